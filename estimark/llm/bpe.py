@@ -13,16 +13,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from estimark.llm.common import ranges, with_vocabulary
-from estimark.llm.wordblocks import batch_words
+from estimark.llm.common import ranges
+from estimark.llm.wordblocks import batch_words, with_vocabulary
 
 #: Words that go to the tokenizer in one call.
 WORDS_A_CALL = 2000
@@ -65,15 +62,8 @@ def encode_words(words: list[bytes], path: str) -> list[bytes]:
     return out
 
 
-def distinct_word_ids(words: DataFrame, path: str) -> DataFrame:
-    """(block, word, payload): the ids of each distinct word, computed once."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encode_words(batch.column(0).to_pylist(), path), pa.binary())], ["word", "payload"])
-
-    table = words.select("word").distinct().mapInArrow(encode, "word binary, payload binary")
-    return words.select("block", "word").join(table, "word")
+def word_ids(path: str):
+    return lambda words, _: pa.array(encode_words(words.to_pylist(), path), pa.binary())
 
 
 def batch_ids(batch: pa.RecordBatch, words: pa.Array, payloads: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +113,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             ["doc_id", "n_tokens", "ids", "decoded"],
         )
 
-    return with_vocabulary(docs.select("doc_id", "text"), lambda w: distinct_word_ids(w, path), use, "doc_id long, n_tokens long, ids binary, decoded string", False)
+    return with_vocabulary(docs.select("doc_id", "text"), word_ids(path), use, "doc_id long, n_tokens long, ids binary, decoded string", False)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -139,4 +129,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             columns.append(pa.array([hashlib.sha256(text[at[a] : max(at[a], at[b] - 1)]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)], pa.string()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return with_vocabulary(docs.select("doc_id", "text"), lambda w: distinct_word_ids(w, path), use, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", False)
+    return with_vocabulary(docs.select("doc_id", "text"), word_ids(path), use, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", False)

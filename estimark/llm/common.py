@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one task holds at once; longer batches are cut between documents.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 
 SPACE, LETTER, DIGIT, PUNCT, HIGH = range(5)
 _CLASS = np.full(256, PUNCT, np.uint8)
@@ -104,14 +104,14 @@ def split_runs(data: np.ndarray, offsets: np.ndarray, chunks: bool) -> tuple[pa.
         joined |= (mark[:-1] & (right == LETTER)) | ((data[1:] == 124) & (left == LETTER))
         cut[1:-1] &= ~joined
     cut[offsets] = True
-    bounds = np.flatnonzero(cut)
-    words = pieces_array(data, bounds)
+    bounds = np.flatnonzero(cut).astype(np.int32)
+    del cut, left, right
     solid = kind[bounds[:-1]] != SPACE
-    coded = words.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    first = np.zeros(len(bounds), np.int64)
+    coded = pieces_array(data, bounds).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)[solid]
+    first = np.zeros(len(bounds), np.int32)
     np.cumsum(solid, out=first[1:])
-    return pa.DictionaryArray.from_arrays(pa.array(codes[solid]), coded.dictionary), first[np.searchsorted(bounds, offsets)]
+    return pa.DictionaryArray.from_arrays(pa.array(codes), coded.dictionary), first[np.searchsorted(bounds, offsets)].astype(np.int64)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -132,22 +132,6 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def with_vocabulary(docs: DataFrame, vocabulary: Callable[[DataFrame], DataFrame], use: Callable, schema: str, chunks: bool, train: str | None = None) -> DataFrame:
-    """Run ``use(batch, words, payloads)`` on batches of documents, each with the rows that a
-    table over all distinct words holds for its own words.
-
-    docs has ``doc_id`` and ``text`` (and a boolean ``train`` column, if named). vocabulary
-    gets (block, word, n), a row per distinct word of each batch with its count over the rows
-    to train on, and returns (block, word, payload). Documents and words meet by block: words
-    are shuffled once per batch they occur in, never once per occurrence, and neither the
-    table nor a batch is broadcast or held by one task.
-    """
-    from estimark.llm.wordblocks import block_words, blocks_of_documents, meet
-
-    words = vocabulary(block_words(docs, chunks, train))
-    return meet(blocks_of_documents(docs), words, use, schema)
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that links reach from each node in a link.
 

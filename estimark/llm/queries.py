@@ -4,17 +4,45 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from estimark.llm import bpe
+from estimark.llm import bpe, collision, near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_near_vectors": op1_near_vectors,
+    "op6_nearest": op6_nearest,
+    "op10_bpe": op10_bpe,
+}
+ORACLE_SQL = {
+    "op1_near_vectors": """
+WITH RECURSIVE u AS (
+  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON r.other = l.a),
+low AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT low.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, low.vec_id = component_id AS kept
+FROM low LEFT JOIN n ON low.vec_id = n.a""",
+}

@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from estimark.llm.common import lower_ascii, split_runs, text_bytes, text_slices
 
@@ -37,40 +37,86 @@ def special_in_capitals(data: np.ndarray) -> bool:
     return bool(len(bars)) and bool(((data[bars + 1] >= 65) & (data[bars + 1] <= 90) | (data[bars + 1] == 115) | (data[bars + 1] == 101)).any())
 
 
-def block_words(docs: DataFrame, chunks: bool, train: str | None) -> DataFrame:
+def packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.columns], schema=batch.schema))
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def unpacked(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch()
+
+
+def block_words(docs: DataFrame, chunks: bool, train: str | None = None) -> DataFrame:
+    """(block, word, n): the distinct words of each batch, with their counts in the rows where
+    ``train`` is true (in all rows, if no such column is named)."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             coded, first = batch_words(batch, chunks)
-            weight = None
+            codes, size = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+            used = np.bincount(codes, minlength=size)
+            n = used
             if train:
-                weight = np.repeat(batch.column(train).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first))
-            n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), weight, len(coded.dictionary)).astype(np.int64)
-            used = np.flatnonzero(np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(n)))
-            block = np.full(len(used), block_of(batch))
+                n = np.bincount(codes[np.repeat(batch.column(train).to_numpy(zero_copy_only=False), np.diff(first))], minlength=size)
+            used, block = np.flatnonzero(used), block_of(batch)
             for at in range(0, len(used), 100_000):
                 part = used[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(block[: len(part)]), coded.dictionary.take(pa.array(part)), pa.array(n[part])], ["block", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), coded.dictionary.take(pa.array(part)), pa.array(n[part])], ["block", "word", "n"])
 
     return docs.select("doc_id", "text", *([train] if train else [])).mapInArrow(emit, "block long, word binary, n long")
 
 
-def blocks_of_documents(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """(block, part, docs): each batch of documents, compressed."""
+def blocks_of_documents(docs: DataFrame) -> DataFrame:
+    """(block, part, data): each batch of documents, compressed."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            block, pack = block_of(batch), zstandard.ZstdCompressor(level=1)
+            block = block_of(batch)
             for k, part in enumerate(text_slices([batch], 4 << 20)):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as out:
-                    out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], schema=part.schema))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([k], pa.int32()), pa.array([pack.compress(sink.getvalue())], pa.binary())], ["block", "part", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([k], pa.int32()), pa.array([packed(part)], pa.binary())], ["block", "part", "data"])
 
-    return docs.mapInArrow(emit, "block long, part int, docs binary")
+    return docs.mapInArrow(emit, "block long, part int, data binary")
 
 
-def unpacked(blob: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch()
+def distinct_words(words: DataFrame, describe: Callable) -> DataFrame:
+    """(block, part = -1, data): what ``describe(words, counts)`` says of each distinct word,
+    asked once a word, packed for the blocks that hold the word.
+
+    Words meet by a shuffle on the word: a row for each block it occurs in, never one for each
+    occurrence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            rows = pa.Table.from_batches([carry, batch] if carry is not None else [batch]).combine_chunks().to_batches()[0] if batch.num_rows else carry
+            if rows is None:
+                continue
+            word = rows.column("word")
+            last = pc.index(word, word[len(word) - 1]).as_py()
+            carry = rows.slice(last)
+            if last:
+                yield from describe_rows(rows.slice(0, last))
+        if carry is not None:
+            yield from describe_rows(carry)
+
+    def describe_rows(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays([rows.column("word")]).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        totals = np.bincount(codes, rows.column("n").to_numpy(zero_copy_only=False), len(coded.dictionary)).astype(np.int64)
+        payload = describe(coded.dictionary, totals)
+        blocks = rows.column("block").to_numpy(zero_copy_only=False)
+        order = np.argsort(blocks, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(blocks[order])) + 1).tolist(), len(order)]
+        keys, data = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            at = pa.array(codes[order[lo:hi]])
+            keys.append(int(blocks[order[lo]]))
+            data.append(packed(pa.RecordBatch.from_arrays([coded.dictionary.take(at), payload.take(at)], ["word", "payload"])))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(len(keys), -1, np.int32)), pa.array(data, pa.binary())], ["block", "part", "data"])
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, part int, data binary")
 
 
 def meet(blocks: DataFrame, words: DataFrame, use: Callable, schema: str) -> DataFrame:
@@ -78,29 +124,28 @@ def meet(blocks: DataFrame, words: DataFrame, use: Callable, schema: str) -> Dat
 
     Both go to the block's partition, words first; documents then stream by, so a task holds
     one block's words and one part of its documents."""
-    empty = F.lit(None).cast("binary")
-    rows = words.select("block", F.lit(-1).alias("part"), "word", "payload", empty.alias("docs")).unionByName(
-        blocks.select("block", "part", empty.alias("word"), empty.alias("payload"), "docs")
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, table = None, [], None
         for batch in batches:
-            ids, parts = batch.column("block").to_numpy(), batch.column("part").to_numpy()
-            cuts = np.flatnonzero(np.diff(ids, prepend=ids[:1]) | np.diff(parts != -1, prepend=(parts[:1] != -1)).astype(np.int64)) if len(ids) else []
-            edges = [0, *[c for c in cuts if c], len(ids)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if lo == hi:
-                    continue
-                if ids[lo] != now:
-                    now, held, table = ids[lo], [], None
-                if parts[lo] == -1:
-                    held.append(batch.slice(lo, hi - lo).select(["word", "payload"]))
+            for block, part, data in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                if block != now:
+                    now, held, table = block, [], None
+                rows = unpacked(data.as_py())
+                if part < 0:
+                    held.append(rows)
                     continue
                 if table is None:
                     table = [pa.concat_arrays([h.column(k) for h in held]) for k in (0, 1)] if held else [pa.array([], pa.binary())] * 2
                     held = []
-                for blob in batch.column("docs").slice(lo, hi - lo):
-                    yield from use(unpacked(blob.as_py()), *table)
+                yield from use(rows, *table)
+
+    return blocks.unionByName(words).repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
+
+
+def with_vocabulary(docs: DataFrame, describe: Callable, use: Callable, schema: str, chunks: bool, train: str | None = None) -> DataFrame:
+    """Run ``use(batch, words, payloads)`` on batches of documents (doc_id, text), each with
+    what ``describe`` says of its own words.
 
-    return rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
+    Neither the table of distinct words nor a batch is broadcast or held by one task."""
+    return meet(blocks_of_documents(docs), distinct_words(block_words(docs, chunks, train), describe), use, schema)
