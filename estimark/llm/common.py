@@ -153,3 +153,48 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     top = edges.groupBy("v").agg(F.lit(1).alias("one")).select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)
+
+
+_BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+_ODD = 0x9E3779B97F4A7C15
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of an odd number modulo 2^64, and their inverses."""
+    size = 1 << max(16, n.bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        _POWERS[size] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)])) for base in (_ODD, pow(_ODD, -1, 1 << 64)))
+    return _POWERS[size]
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes data[start:end]."""
+    up, down = powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
+    return scrambled((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
+
+
+def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without ASCII white space, and each text's first run."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    solid = _CLASS[data] != SPACE
+    edge = np.zeros(len(data) + 1, bool)
+    edge[0] = True
+    edge[1:-1] = ~solid[:-1]
+    edge[offsets] = True
+    starts = np.flatnonzero(edge[:-1] & solid)
+    edge[1:-1] = ~solid[1:]
+    edge[-1] = True
+    edge[offsets] = True
+    ends = np.flatnonzero(edge[1:] & solid) + 1
+    return starts, ends, np.searchsorted(starts, offsets)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estimark.llm import bpe, collision, near_vectors
+from estimark.llm import bpe, collision, langid, near_vectors, ngram_join, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,17 +17,45 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = [F.coalesce(F.col("pii")[kind], F.lit(0)).alias(f"n_{kind}") for kind in pii.KINDS]
+    return docs.select("doc_id", "text", *found)
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(toxicity.fold(5) != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(toxicity.fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    found = langid.predict(docs, langid.learn(docs.where(fold != 2)))
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
+    "op3_pseudonyms": op3_pseudonyms,
+    "op5_ngram_join": op5_ngram_join,
     "op6_nearest": op6_nearest,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL = {
