@@ -57,11 +57,10 @@ def grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndar
     word = np.cumsum(space) - 1
     word[space] -= 1
     code = mixed(chars + _MIX)
-    hashes, h, power = [], np.zeros(len(chars), np.uint64), np.uint64(1)
+    hashes, h = [], np.zeros(len(chars), np.uint64)
     for n in range(1, ORDER + 1):
         shifted = np.concatenate([np.zeros(n - 1, np.uint64), code[: len(code) - n + 1]])
-        h = h + shifted * power
-        power = power * _MIX
+        h = h + shifted * np.uint64(pow(int(_MIX), n - 1, 1 << 64))
         hashes.append(np.where(past >= n - 1, mixed(h + np.uint64(n)), np.uint64(0)))
     keep = np.arange(len(chars)) > 0
     keep &= ~(space & (past == 1))  # an empty word

@@ -33,7 +33,7 @@ WORDS = 5
 RATE, LEVELS, BUCKET = 2.0, 4, 128
 RECALL = 0.9997
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - math.exp(-RATE)) ** 2))
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
 
 
 def shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +45,9 @@ def shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(first)
     long = n >= WORDS
     at = ranges(first[:-1][long], n[long] - WORDS + 1)
-    full, power = np.zeros(len(at), np.uint64), np.uint64(1)
+    full = np.zeros(len(at), np.uint64)
     for k in range(WORDS):
-        full += words[at + k] * power
-        power = power * _STEP
+        full += words[at + k] * _STEPS[k]
     full = scrambled(full)
     sizes = np.zeros(len(n), np.int64)
     sizes[long] = n[long] - WORDS + 1
