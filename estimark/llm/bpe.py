@@ -15,11 +15,10 @@ import functools
 import hashlib
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from estimark.llm.common import ranges
-from estimark.llm.wordblocks import batch_words, with_vocabulary
+from estimark.llm.wordblocks import with_vocabulary
 
 #: Words that go to the tokenizer in one call.
 WORDS_A_CALL = 2000
@@ -66,30 +65,15 @@ def word_ids(path: str):
     return lambda words, _: pa.array(encode_words(words.to_pylist(), path), pa.binary())
 
 
-def batch_ids(batch: pa.RecordBatch, words: pa.Array, payloads: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch's documents in order, and where each document's begin."""
-    coded, first = batch_words(batch, False)
-    local = coded.dictionary
-    at = pc.index_in(local, value_set=words) if len(words) else pa.nulls(len(local), pa.int32())
-    ids_of = payloads.take(at) if len(words) else pa.nulls(len(local), pa.binary())
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    if at.null_count:
-        used = np.zeros(len(local), bool)
-        used[codes] = True
-        miss = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
-        known = ids_of.to_pylist()
-        late = miss[used[miss]]
-        for k, ids in zip(late, encode_words(local.take(pa.array(late)).to_pylist(), path), strict=True):
-            known[k] = ids
-        ids_of = pa.array([b"" if x is None else x for x in known], pa.binary())
-    offsets = np.frombuffer(ids_of.buffers()[1], np.int32)[ids_of.offset : ids_of.offset + len(ids_of) + 1].astype(np.int64) // 2
-    data = ids_of.buffers()[2]
+def ids_of(codes: np.ndarray, first: np.ndarray, payloads: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a block's documents in order, and where each document's begin."""
+    offsets = np.frombuffer(payloads.buffers()[1], np.int32)[payloads.offset : payloads.offset + len(payloads) + 1] // 2 if len(payloads) else np.zeros(1, np.int32)
+    data = payloads.buffers()[2] if len(payloads) else None
     flat = np.frombuffer(data, "<u2", count=int(offsets[-1])) if data is not None else np.zeros(0, "<u2")
     counts = np.diff(offsets)[codes]
-    ids = flat[ranges(offsets[codes], counts)]
     total = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(counts, out=total[1:])
-    return ids, total[first]
+    return flat[ranges(offsets[:-1][codes], counts)], total[first]
 
 
 def joined(table: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
@@ -102,8 +86,8 @@ def joined(table: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids (packed unsigned 16-bit), decoded text."""
 
-    def use(batch, words, payloads):
-        ids, first = batch_ids(batch, words, payloads, path)
+    def use(batch, codes, first, payloads):
+        ids, first = ids_of(codes, first, payloads)
         pieces, _ = id_to_piece(path)
         text, at = joined(pieces, ids)
         packed = ids.astype("<u2").tobytes()
@@ -113,15 +97,15 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             ["doc_id", "n_tokens", "ids", "decoded"],
         )
 
-    return with_vocabulary(docs.select("doc_id", "text"), word_ids(path), use, "doc_id long, n_tokens long, ids binary, decoded string", False)
+    return with_vocabulary(docs.select("doc_id", "text"), word_ids(path), use, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 of the decimal ids joined by one space,
     decoded_sha256 of the decoded text. The same work as encode_decode, hashed in place."""
 
-    def use(batch, words, payloads):
-        ids, first = batch_ids(batch, words, payloads, path)
+    def use(batch, codes, first, payloads):
+        ids, first = ids_of(codes, first, payloads)
         pieces, decimals = id_to_piece(path)
         columns = []
         for table in (decimals, pieces):
@@ -129,4 +113,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             columns.append(pa.array([hashlib.sha256(text[at[a] : max(at[a], at[b] - 1)]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)], pa.string()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return with_vocabulary(docs.select("doc_id", "text"), word_ids(path), use, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", False)
+    return with_vocabulary(docs.select("doc_id", "text"), word_ids(path), use, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

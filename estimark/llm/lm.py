@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estimark.llm.common import split_runs, text_bytes, text_slices, written
-from estimark.llm.wordblocks import batch_words, block_words, blocks_of_documents, distinct_words, lower_ascii, meet
+from estimark.llm.common import lower_ascii, split_runs, text_bytes, text_slices, written
+from estimark.llm.wordblocks import block_words, blocks_of_documents, distinct_words, meet
 
 CLASS_SIZE, CLASSES, ENDINGS, HIDDEN = 64, 32, 16, 32
 FREQUENT = CLASS_SIZE * CLASSES
@@ -314,17 +314,11 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         packed["n"], packed["at"] = counts, inputs_of(these, counts, frequent)
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), len(these), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
 
-    def use(batch: pa.RecordBatch, known: pa.Array, payloads: pa.Array) -> Iterator[pa.RecordBatch]:
+    def use(batch: pa.RecordBatch, codes: np.ndarray, first: np.ndarray, payloads: pa.Array) -> Iterator[pa.RecordBatch]:
         weights, mass, members = context.value
         model = shaped(like, weights)
-        coded, first = batch_words(batch, True)
-        local, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        if len(local):
-            rows = payloads.take(pc.index_in(local, value_set=known))
-            data = np.frombuffer(rows.buffers()[2], [("n", "<i8"), ("at", "<i4")], len(local))
-            n, at = data["n"], data["at"]
-        else:
-            n, at = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        data = np.frombuffer(payloads.buffers()[2], [("n", "<i8"), ("at", "<i4")], len(payloads)) if len(payloads) else np.zeros(0, [("n", "<i8"), ("at", "<i4")])
+        n, at = data["n"], data["at"]
         base = np.log10(n + SMOOTH) - floor
         # the share of its class that a word gets, if it has no output of its own
         k = np.maximum(at - FREQUENT, 0)
@@ -341,4 +335,4 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return meet(blocks_of_documents(docs), distinct_words(words, describe), use, schema)
+    return meet(blocks_of_documents(docs, True, ["doc_id", "train"]), distinct_words(words, describe), use, schema)

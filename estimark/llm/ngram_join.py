@@ -68,7 +68,7 @@ def set_id(own: np.ndarray) -> bytes | None:
 
 
 def sampled_sets(docs: DataFrame, least: float) -> DataFrame:
-    """(doc_id, set, t1 .. tn): each document's set and the shingles it samples at each level,
+    """(doc_id, text_key, set, t0 ..): each document's set and the shingles it samples at each level,
     with the run they are for."""
     odd = np.random.default_rng(5).integers(0, 1 << 63, (LEVELS, RUNS), np.uint64) * np.uint64(2) + np.uint64(1)
     pick = pa.list_(pa.struct([("run", pa.int32()), ("token", pa.int64())]))
@@ -90,9 +90,9 @@ def sampled_sets(docs: DataFrame, least: float) -> DataFrame:
                 token = scrambled(all_[at] + np.uint64(level)).astype(np.int64)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(run), pa.array(token)], ["run", "token"]), type=pick))
             ids = [set_id(all_[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), *columns], ["doc_id", "set", *[f"t{k}" for k in range(LEVELS)]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(ids, pa.binary()), *columns], ["doc_id", "text_key", "set", *[f"t{k}" for k in range(LEVELS)]])
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "doc_id long, set binary, " + ", ".join(f"t{k} array<struct<run:int,token:long>>" for k in range(LEVELS)))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(emit, "doc_id long, text_key long, set binary, " + ", ".join(f"t{k} array<struct<run:int,token:long>>" for k in range(LEVELS)))
 
 
 def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -212,10 +212,9 @@ def compared(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, n_links, class_id, kept, n_rows) for each document: other documents with a
-    similarity of ``least`` or more, the smallest doc_id that such links reach, and rows with
-    the same doc_id and set."""
-    spark = docs.sparkSession
+    """(doc_id, text_key, n_links, class_id, kept, is_empty) for each document: other documents
+    with a similarity of ``least`` or more, the smallest doc_id that such links reach, and a
+    hash of the text."""
     all_sets = written(sampled_sets(docs, least))
     of = all_sets.where("set IS NOT NULL")
     reps = written(of.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
@@ -233,7 +232,26 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     info = info.select("set", "doc_id", "copies", F.coalesce("component", "set").alias("component"), F.coalesce("n", F.lit(0)).alias("n"))
     top = info.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     info = info.join(top, "component").select("set", "class_id", (F.col("n") + F.col("copies") - 1).alias("n_links"))
-    rows = all_sets.groupBy("doc_id", "set").agg(F.count("*").alias("n_rows"))
-    every = all_sets.select("doc_id", "set").join(info, "set", "left").join(rows.withColumnsRenamed({"doc_id": "d", "set": "s"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("set").eqNullSafe(F.col("s")))
+    every = all_sets.select("doc_id", "text_key", "set").join(info, "set", "left")
     class_id = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return every.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), class_id.alias("class_id"), "n_rows").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    every = every.select("doc_id", "text_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), class_id.alias("class_id"), F.col("set").isNull().alias("is_empty"))
+    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each class; documents without words all stay."""
+    found = written(classes(docs, least))
+    hashed = docs.withColumn("__key", F.xxhash64("text"))
+
+    def match(rows: DataFrame, kind: str, frame: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
+        return frame.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), kind)
+
+    rest = match(found.where(~F.col("kept")), "left_anti", hashed)
+    kept = found.where(F.col("kept") & ~F.col("is_empty"))
+    # rows of one class that share the kept doc_id: one of them stays
+    twins = kept.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    if not twins.isEmpty():
+        rows = kept.join(twins, kept["class_id"].eqNullSafe(twins["class_id"]), "left_semi")
+        rest = match(rows, "left_anti", rest).unionByName(match(rows, "left_semi", rest).dropDuplicates(["doc_id"]))
+    return rest.select(docs.columns)

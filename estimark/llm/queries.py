@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estimark.llm import bpe, collision, langid, near_vectors, ngram_join, pii, toxicity
+from estimark.llm import bpe, collision, langid, lm, near_vectors, ngram_join, packing, pii, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,20 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0)
+
+
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = [F.coalesce(F.col("pii")[kind], F.lit(0)).alias(f"n_{kind}") for kind in pii.KINDS]
     return docs.select("doc_id", "text", *found)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")
 
@@ -45,17 +53,24 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
+    "op2_recurrent_lm": op2_recurrent_lm,
     "op3_pseudonyms": op3_pseudonyms,
+    "op4_packing": op4_packing,
     "op5_ngram_join": op5_ngram_join,
     "op6_nearest": op6_nearest,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL = {

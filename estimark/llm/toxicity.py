@@ -217,5 +217,5 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], keep: lis
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in keep], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", *keep, "score", "predicted"])
 
     types = dict(docs.dtypes)
-    inputs = docs.select("doc_id", *[c for c in {"text", *keep}])
+    inputs = docs.select(*dict.fromkeys(["doc_id", "text", *keep]))
     return inputs.mapInArrow(emit, ", ".join(["doc_id long", *[f"`{c}` {types[c]}" for c in keep], "score double", "predicted int"]))
