@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from estimark.llm.vectors import matrix, usable, width
 
 #: Vectors of a shard (on average), queries of a block.
-SHARD_ROWS, QUERY_ROWS = 12_288, 256
+SHARD_ROWS, QUERY_ROWS = 8192, 256
 
 
 class Shard:
@@ -38,50 +38,68 @@ class Shard:
         placed = (np.hstack([x, self.rest[:, None]]) @ lines).T
         self.order = np.argsort(placed, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(placed, self.order, 1)
-        self.step = 0.25 * float(placed.std()) + 1e-12
+        self.half = 0.4 * float(placed.std()) + 1e-12
 
-    def search(self, q: np.ndarray, own: int, k: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and inner products of the k vectors found nearest to q."""
-        n, m = len(self.ids), len(self.lines[0])
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, recall: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and inner products of the k vectors found nearest to it."""
+        n, m = len(self.ids), self.lines.shape[1]
         need = m // 2
-        lines_q = q @ self.lines[:-1]
-        count = np.zeros(n, np.int16)
-        done = self.ids == own
-        at, score = np.zeros(0, np.int64), np.zeros(0)
-        lo = np.array([np.searchsorted(s, p) for s, p in zip(self.sorted, lines_q, strict=True)])
-        hi, half = lo.copy(), 1.5 * self.step
-        q2 = float(q @ q)
-        while True:
-            open_ = False
-            for line, (s, p, order) in enumerate(zip(self.sorted, lines_q, self.order, strict=True)):
-                a, b = np.searchsorted(s, p - half), np.searchsorted(s, p + half, "right")
-                count[order[a : lo[line]]] += 1
-                count[order[hi[line] : b]] += 1
-                lo[line], hi[line] = a, b
-                open_ |= a > 0 or b < n
-            if open_:
-                fresh = np.flatnonzero((count >= need) & ~done)
-            else:
-                fresh = np.flatnonzero(~done)
-            if len(fresh):
-                done[fresh] = True
-                at, score = np.concatenate([at, fresh]), np.concatenate([score, self.x[fresh] @ q])
-                if len(at) > k:
-                    top = np.lexsort((self.ids[at], -score))[:k]
-                    at, score = at[top], score[top]
-            if not open_:
-                return at, score
-            if len(at) >= k:
-                worst = at[-1]
-                far = math.sqrt(max(1e-18, self.rest[worst] ** 2 + float(self.x[worst] @ self.x[worst]) + q2 - 2 * score[-1]))
-                p = math.erf(half / (far * math.sqrt(2)))
-                sure = p - (need - 0.5) / m
-                if sure > 0 and 0.5 * math.erfc(-sure * math.sqrt(m / max(1e-12, 2 * p * (1 - p)))) >= recall:
-                    return at, score
-            half *= 1.2
-
-
-def search(vectors: DataFrame, queries: F.Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", lines: int = 64, recall: float = 0.97, seed: int = 7) -> DataFrame:
+        at_lines = (queries @ self.lines[:-1]).T
+        count = np.zeros((len(queries), n), np.uint8)
+        done = self.ids[None, :] == own[:, None]
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        lo = np.stack([np.searchsorted(s, p) for s, p in zip(self.sorted, at_lines, strict=True)], 1)
+        hi, half = lo.copy(), self.half
+        active, ended = np.arange(len(queries)), []
+        while len(active):
+            a = np.stack([np.searchsorted(s, p - half) for s, p in zip(self.sorted, at_lines[:, active], strict=True)], 1)
+            b = np.stack([np.searchsorted(s, p + half, "right") for s, p in zip(self.sorted, at_lines[:, active], strict=True)], 1)
+            all_in = ((a == 0) & (b == n)).all(1)
+            stay = []
+            for row, q in enumerate(active.tolist()):
+                c = count[q]
+                for order, old_a, old_b, new_a, new_b in zip(self.order, lo[q].tolist(), hi[q].tolist(), a[row].tolist(), b[row].tolist(), strict=True):
+                    if old_a == old_b:
+                        c[order[new_a:new_b]] += 1
+                    else:
+                        c[order[new_a:old_a]] += 1
+                        c[order[old_b:new_b]] += 1
+                lo[q], hi[q] = a[row], b[row]
+                self.verify(q, queries[q], c >= (0 if all_in[row] else need), done[q], best, k)
+                if all_in[row] or self.enough(best[q], queries[q], half, need, m, k, recall):
+                    ended.append(half)
+                else:
+                    stay.append(q)
+            active = np.array(stay, np.int64)
+            half *= 1.25
+        self.half = 0.8 * float(np.median(ended))  # where the next block's windows begin
+        return best
+
+    def verify(self, q: int, query: np.ndarray, hit: np.ndarray, done: np.ndarray, best: list, k: int) -> None:
+        fresh = np.flatnonzero(hit & ~done)
+        if len(fresh):
+            done[fresh] = True
+            at, score = np.concatenate([best[q][0], fresh]), np.concatenate([best[q][1], self.x[fresh] @ query])
+            if len(at) > k:
+                edge = np.partition(score, len(score) - k)[len(score) - k]
+                top = np.flatnonzero(score >= edge)  # with all ties
+                top = top[np.lexsort((self.ids[at[top]], -score[top]))[:k]]
+                at, score = at[top], score[top]
+            best[q] = at, score
+
+    def enough(self, found: tuple, query: np.ndarray, half: float, need: int, m: int, k: int, recall: float) -> bool:
+        """True if a vector as near as the k-th found would have been seen by now."""
+        at, score = found
+        if len(at) < k:
+            return False
+        worst = at[-1]
+        far = math.sqrt(max(1e-18, float(self.x[worst] @ self.x[worst]) + self.rest[worst] ** 2 + float(query @ query) - 2 * score[-1]))
+        p = math.erf(half / (far * math.sqrt(2)))
+        sure = p - (need - 0.5) / m
+        return sure > 0 and 0.5 * math.erfc(-sure * math.sqrt(m / max(1e-12, 2 * p * (1 - p)))) >= recall
+
+
+def search(vectors: DataFrame, queries: F.Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", lines: int = 48, recall: float = 0.95, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` selects, its k nearest of
     the other rows by inner product, ties to the smaller vec_id."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
@@ -113,7 +131,7 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, vec_id: str = "ve
                     if not held:
                         continue
                     shard, held = Shard(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), directions, longest), []
-                out = [(i, *shard.search(q, i, k, recall)) for i, q in zip(ids, x, strict=True)]
+                out = [(i, *found) for at in range(0, len(ids), QUERY_ROWS) for i, found in zip(ids[at : at + QUERY_ROWS], shard.search(x[at : at + QUERY_ROWS], ids[at : at + QUERY_ROWS], k, recall), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out])), pa.array(np.concatenate([shard.ids[o[1]] for o in out])), pa.array(np.concatenate([o[2] for o in out]))],
                     ["query_id", "vec_id", "score"],

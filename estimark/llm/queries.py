@@ -76,9 +76,9 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_near_vectors": """
 WITH RECURSIVE u AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
-    AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
