@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from estimark.plans import lifecycle, places, scores, texts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _plan in (scores, places, lifecycle, texts):
+    QUERIES |= _plan.QUERIES
+    ORACLE_SQL |= _plan.ORACLE_SQL
