@@ -24,8 +24,8 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = [c for c in docs.columns if c != "doc_id"]
-    return toxicity.score(docs, model, kept).where("predicted = 0").select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return toxicity.score(rows, model, ["row"]).where("predicted = 0").select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return counted(pii.pseudonymise(docs), docs.columns)
+    return counted(pii.pseudonymise(docs, found=None), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,6 +106,8 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, vec_id: str = "ve
     asked = vectors.where(queries).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
     d = width(rows, "v")
     n, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = max(1, -(-n // SHARD_ROWS))
     directions = np.random.default_rng(seed).standard_normal((d + 1, lines))
     index = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("long").alias("shard"), F.lit(-1).cast("long").alias("part"), "vec_id", "v")

@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     langs = model["langs"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, 8 << 20):
             n = batch.num_rows
             if not langs:
                 columns = [pa.array(["und"] * n, pa.string()), pa.array(np.zeros(n)), pa.array(np.zeros(n)), pa.array(np.zeros(n, bool))]

@@ -146,6 +146,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     alone = rows.where(~usable("v")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     good = rows.where(usable("v"))
     d = width(good, "v")
+    if not d:
+        return alone.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     eps = float(np.sqrt(2 - 2 * least)) + 1e-9
     lead = max(1, min(lead, d))
     placed = grid_order(good, d, eps, lead)

@@ -222,14 +222,18 @@ def replace(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return PATTERN.sub(put, text), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"estimark pseudonyms") -> DataFrame:
-    """``docs`` with ``text`` replaced and a map ``pii`` from kind to number of findings."""
+def pseudonymise(docs: DataFrame, key: bytes = b"estimark pseudonyms", found: str | None = "pii") -> DataFrame:
+    """``docs`` with ``text`` replaced and, if ``found`` is given, a map of that name (which
+    ``docs`` must not have) from kind to number of findings."""
+    if found in docs.columns:
+        raise ValueError(f"there is a column {found} already")
     names, types = docs.columns, dict(docs.dtypes)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [replace(x, key) for x in batch.column("text").to_pylist()]
             columns = [pa.array([x for x, _ in done], pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([list(c.items()) for _, c in done], pa.map_(pa.string(), pa.int32()))], [*names, "pii"])
+            counts = [pa.array([list(c.items()) for _, c in done], pa.map_(pa.string(), pa.int32()))] if found else []
+            yield pa.RecordBatch.from_arrays([*columns, *counts], [*names, *([found] if found else [])])
 
-    return docs.mapInArrow(emit, ", ".join([*[f"`{n}` {types[n]}" for n in names], "pii map<string,int>"]))
+    return docs.mapInArrow(emit, ", ".join([*[f"`{n}` {types[n]}" for n in names], *([f"`{found}` map<string,int>"] if found else [])]))
