@@ -153,9 +153,9 @@ def blend_sale(median: Column, omi: Column, n: Column, confidence: Column) -> Co
     return F.when(zero(omi) <= 0, median).when(n >= 15, blend(median, omi, confidence)).otherwise(median * 0.4 + omi * 0.6)
 
 
-def price_ceiling(total: Column, delta_pct: Column) -> Column:
-    top = F.when(delta_pct <= 0, 100).when(delta_pct <= 5, 72).when(delta_pct <= 10, 62).when(delta_pct <= 20, 50).otherwise(38)
-    return F.when(delta_pct.isNull(), total).otherwise(F.least(total, top))
+def price_ceiling(delta_pct: Column) -> Column:
+    """The highest score at this distance to the benchmark; null if it is unknown."""
+    return F.when(delta_pct <= 0, 100).when(delta_pct <= 5, 72).when(delta_pct <= 10, 62).when(delta_pct <= 20, 50).when(delta_pct > 20, 38)
 
 
 def value_gate(psqm: Column, sqm: Column) -> Column:

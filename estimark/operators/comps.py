@@ -45,32 +45,33 @@ def percentile(values: Column, p: float) -> Column:
     return pick(values, low) + (pick(values, F.ceil(at)) - pick(values, low)) * (at - low)
 
 
-def trimmed(prices: Column) -> Column:
-    """Sorted prices without outliers (1.5 interquartile ranges, quartiles by position), then
-    without the top 12 % and bottom 5 % (30 and more) or the top 8 % (15 and more)."""
-    s = F.array_sort(prices)
-    n = F.size(s)
-    q1, q3 = pick(s, F.floor(n / 4)), pick(s, F.floor(n * 3 / 4))
-    inner = F.when(n >= 4, F.filter(s, lambda v: (v >= q1 - (q3 - q1) * 1.5) & (v <= q3 + (q3 - q1) * 1.5))).otherwise(s)
-    inner = F.when(F.size(inner) == 0, s).otherwise(inner)
-    m = F.size(inner)
-    top = F.greatest(F.lit(1), F.floor(m * F.when(m >= 30, 0.12).otherwise(0.08)).cast("int"))
-    low = F.greatest(F.lit(1), F.floor(m * 0.05).cast("int"))
-    return F.when(m >= 30, F.slice(inner, low + 1, m - top - low)).when(m >= 15, F.slice(inner, F.lit(1), m - top)).otherwise(inner)
-
-
-def deviation(values: Column) -> Column:
-    """Sample standard deviation of an array; 0 for fewer than two values."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    return F.when(n < 2, 0.0).otherwise(F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.greatest(n - 1, F.lit(1))))
+def deviation(values: Column, mean: Column) -> Column:
+    """Sample standard deviation of an array with the given mean; 0 for fewer than two values."""
+    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    return F.when(F.size(values) < 2, 0.0).otherwise(F.sqrt(squares / F.greatest(F.size(values) - 1, F.lit(1))))
 
 
 def robust(df: DataFrame, prices: str) -> DataFrame:
-    """``df`` with median, p40, p60, n_comps, n_raw and stdev of an array of prices."""
-    df = df.withColumn("n_raw", F.size(prices)).withColumn("kept", trimmed(F.col(prices)))
+    """``df`` with median, p40, p60, n_comps, n_raw and stdev of an array of prices: without
+    outliers (1.5 interquartile ranges, quartiles by position), then without the top 12 % and
+    bottom 5 % (30 and more) or the top 8 % (15 and more).
+
+    Each step is a column of its own, so nothing is sorted or looked up once an element."""
+    columns = df.columns
+    df = df.withColumn("s", F.array_sort(prices)).withColumn("n_raw", F.size("s"))
+    df = df.withColumn("q1", pick(F.col("s"), F.floor(F.col("n_raw") / 4))).withColumn("q3", pick(F.col("s"), F.floor(F.col("n_raw") * 3 / 4)))
+    df = df.withColumns({"low": F.col("q1") - (F.col("q3") - F.col("q1")) * 1.5, "high": F.col("q3") + (F.col("q3") - F.col("q1")) * 1.5})
+    df = df.withColumn("inner", F.when(F.col("n_raw") >= 4, F.filter("s", lambda v: (v >= F.col("low")) & (v <= F.col("high")))).otherwise(F.col("s")))
+    df = df.withColumn("inner", F.when(F.size("inner") == 0, F.col("s")).otherwise(F.col("inner"))).withColumn("m", F.size("inner"))
+    m = F.col("m")
+    top = F.when(m >= 15, F.greatest(F.lit(1), F.floor(m * F.when(m >= 30, 0.12).otherwise(0.08)).cast("int"))).otherwise(0)
+    bottom = F.when(m >= 30, F.greatest(F.lit(1), F.floor(m * 0.05).cast("int"))).otherwise(0)
+    df = df.withColumns({"top": top, "bottom": bottom})
+    df = df.withColumn("kept", F.slice("inner", F.col("bottom") + 1, m - F.col("top") - F.col("bottom")))
     kept = F.col("kept")
-    return df.select("*", percentile(kept, 0.5).alias("median"), percentile(kept, 0.4).alias("p40"), percentile(kept, 0.6).alias("p60"), F.size(kept).alias("n_comps"), deviation(kept).alias("stdev")).drop("kept")
+    df = df.withColumn("mean", F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(kept), F.lit(0)))
+    stats = [percentile(kept, p).alias(name) for name, p in (("median", 0.5), ("p40", 0.4), ("p60", 0.6))]
+    return df.select(*columns, "n_raw", *stats, F.size(kept).alias("n_comps"), deviation(kept, F.col("mean")).alias("stdev"))
 
 
 def radius_pairs(targets: DataFrame, pool: DataFrame, radius_m: int, key: str = "id") -> DataFrame:

@@ -23,17 +23,17 @@ def composite(listings: DataFrame, s: st.Settings) -> DataFrame:
     confidence, ask_psqm, omi_mid, boost (may the zone's price be boosted) and corporate."""
     c = F.col
     df = listings.withColumns({"score_physical": sc.property_score(), "score_penalty": sc.penalty_score(s), "score_location": F.coalesce("geo_score", F.lit(50))})
-    price = F.coalesce(sc.price_score(c("delta_pct"), c("rent_mo"), c("blended_median"), c("sqm"), s), F.lit(50.0))
-    price = F.when(c("delta_pct").isNull() | (F.coalesce("blended_median", F.lit(0.0)) <= 0), 50.0).otherwise(price)
+    # caps are terms of least() (which skips nulls), so no stage repeats the one before it
+    known = c("delta_pct").isNotNull() & (F.coalesce("blended_median", F.lit(0.0)) > 0)
+    price = F.when(known, sc.price_score(c("delta_pct"), c("rent_mo"), c("blended_median"), c("sqm"), s)).otherwise(50.0)
     bonus = F.greatest(F.lit(0.0), (F.coalesce("ldi", F.lit(50.0)) - 50) / 50 * 0.10)
-    df = df.withColumns({"delta_label": sc.exactly(c("delta_pct") * 100, 1), "score_price": sc.half_even(F.when((c("delta_pct") <= 0) & c("boost"), F.least(F.lit(100.0), price * (1 + bonus))).otherwise(price))})
+    boost = F.when((c("delta_pct") <= 0) & c("boost"), 1 + bonus).otherwise(1.0)
+    df = df.withColumns({"delta_label": sc.exactly(c("delta_pct") * 100, 1), "score_price": sc.half_even(F.least(F.lit(100.0), price * boost))})
     total = sc.half_even(c("score_price") * s.w_price + c("score_physical") * s.w_property + c("score_location") * s.w_location + c("score_penalty") * s.w_penalty)
-    total = F.greatest(F.lit(0), F.least(F.lit(100), total))
-    df = df.withColumn("raw", F.when(c("score_physical") < 40, F.least(total, F.lit(75))).otherwise(total))
-    df = df.withColumn("capped", F.when(c("floor_n") < 0, F.least(sc.price_ceiling(c("raw"), c("delta_label")), F.lit(55))).otherwise(sc.price_ceiling(c("raw"), c("delta_label"))))
+    df = df.withColumn("raw", F.least(F.greatest(F.lit(0), total), F.lit(100), F.when(c("score_physical") < 40, 75)))
+    df = df.withColumn("capped", F.least("raw", sc.price_ceiling(c("delta_label")), F.when(c("floor_n") < 0, 55)))
     gate = sc.value_gate(c("ask_psqm"), c("sqm"))
-    df = df.withColumn("gate", F.coalesce(gate < c("capped"), F.lit(False))).withColumn("capped", F.least("capped", gate))
-    df = df.withColumn("capped", F.when(c("corporate"), F.least("capped", F.lit(75))).otherwise(c("capped")))
+    df = df.withColumn("gate", F.coalesce(gate < c("capped"), F.lit(False))).withColumn("capped", F.least("capped", gate, F.when(c("corporate"), 75)))
     extreme = F.coalesce(c("delta_label") < -40, F.lit(False))
 
     def badge(m: tuple, above: Column) -> Column:
@@ -47,7 +47,7 @@ def composite(listings: DataFrame, s: st.Settings) -> DataFrame:
     good = ~gem & badge(s.good_value, c("capped") > s.good_value[0])
     return df.withColumns({
         "hidden_gem": gem & ~extreme, "good_value": good & ~extreme, "extreme_underpricing": extreme,
-        "score_total": F.when(extreme, F.least("capped", F.lit(55))).otherwise(c("capped")), "score_was_capped": c("capped") < c("raw"),
+        "score_total": F.least("capped", F.when(extreme, 55)), "score_was_capped": c("capped") < c("raw"),
         "comps_label": sc.label(c("delta_label"), "at comps median", "comps"), "confidence_label": F.when(c("confidence") >= 70, "High").when(c("confidence") >= 40, "Medium").otherwise("Low"),
     }).drop("raw", "capped")
 
