@@ -152,8 +152,9 @@ def similar(a: list[np.ndarray], b: list[np.ndarray] | None, least: float) -> tu
     column, owner = column[order], owner[order]
     n = len(a)
     inter = np.zeros((n, n if b is None else len(b)), np.float32)
-    width = max(256, (8 << 20) // max(1, len(sets)))
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(max(256, (8 << 20) // len(sets)), columns)
+    for lo in range(0, columns, max(1, width)):
         p, q = np.searchsorted(column, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)
         m[owner[p:q], column[p:q] - lo] = 1
