@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     session = (
-        SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g")
+        SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(shared / "checkpoints")).config("spark.sql.warehouse.dir", str(shared / "warehouse")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
