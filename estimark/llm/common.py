@@ -3,6 +3,7 @@ written intermediate tables and connected components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,10 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: computed once, its
-    lineage cut, and still there when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    lineage cut, and still there when executors are lost.
+
+    The shuffle files behind earlier tables serve no more once nothing refers to their plans;
+    Spark removes them when the driver collects its garbage, so that is asked for here."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

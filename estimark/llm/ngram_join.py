@@ -63,6 +63,18 @@ def shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
+def packed(own: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: enough to compare two sets, too few to name one of all."""
+    return (own >> np.uint64(16)).view(np.uint16).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    parts = np.frombuffer(blob, np.uint16).reshape(-1, 3)
+    out = np.zeros((len(parts), 4), np.uint16)
+    out[:, :3] = parts
+    return out.view(np.uint64).ravel()
+
+
 def set_id(own: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
 
@@ -105,7 +117,7 @@ def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             if now.isEmpty():
                 break
         size = now.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        sized = now.join(size, "path")
+        sized = written(now.join(size, "path"))
         done = sized.where(F.col("n") <= BUCKET).groupBy("path").agg(F.sort_array(F.collect_set("set")).alias("sets"))
         done = done.where(F.size("sets") > 1).select("sets")
         small = done if small is None else small.unionByName(done)
@@ -124,18 +136,19 @@ def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set, shingles) for the ``wanted`` (doc_id, set) rows."""
+    """(set, copies, shingles) for the ``wanted`` (doc_id, set, copies) rows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 4 << 20):
             all_, first = shingles(batch)
             ids = [set_id(all_[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
             good = [k for k, w in enumerate(batch.column("set").to_pylist()) if ids[k] == w]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in good], pa.binary()), pa.array([all_[first[k] : first[k + 1]].tobytes() for k in good], pa.binary())], ["set", "shingles"])
+            blobs = [packed(all_[first[k] : first[k + 1]]) for k in good]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in good], pa.binary()), batch.column("copies").take(pa.array(good, pa.int64())), pa.array(blobs, pa.binary())], ["set", "copies", "shingles"])
 
-    wanted = wanted.select(F.col("doc_id").alias("id"), "set")
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "set")
-    return rows.mapInArrow(emit, "set binary, shingles binary")
+    wanted = wanted.select(F.col("doc_id").alias("id"), "set", "copies")
+    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "set", "copies")
+    return rows.mapInArrow(emit, "set binary, copies long, shingles binary")
 
 
 def similar(a: list[np.ndarray], b: list[np.ndarray] | None, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +215,7 @@ def compared(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                         out += group_links(sides)
                     now, sides = k, ([], [])
                 if not sides[side] or sides[side][-1][0] != name:
-                    sides[side].append((name, np.frombuffer(blob, np.uint64), copies))
+                    sides[side].append((name, unpacked(blob), copies))
             if len(out) > 5000:
                 yield flush()
         if now is not None and len(sides[0]) + len(sides[1]) > 1 and sides[0]:
@@ -223,7 +236,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     small, large = buckets(sets)
     small = written(small)
     wanted = small.select("set") if large is None else small.select("set").unionByName(large.select("set"))
-    bodies = written(shingles_of(docs, wanted.distinct().join(reps, "set").select("doc_id", "set")).join(reps.select("set", "copies"), "set"))
+    bodies = written(shingles_of(docs, wanted.distinct().join(reps, "set")))
     found = compared(small.withColumnRenamed("bucket", "group"), bodies, least)
     if large is not None:
         found = found.select("set", "root").unionByName(compared(large, bodies, least).select("set", "root"))
