@@ -207,7 +207,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     part = compared(found.join(several, "core"))
     whole = rows.join(kinds.where("copies > 1").select("anchor", "segment"), ["anchor", "segment"]).select("key", "first", "last")
     runs = whole.unionByName(part).distinct()
-    return runs.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    # written before the texts are dealt out again, so that pieces and texts don't fill the disk together
+    return written(runs.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
 
 
 def spans(runs: pa.ListArray, k: int) -> list[tuple[int, int]]:
