@@ -118,8 +118,8 @@ def pieces(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(core.astype(np.int64)), pa.array(body, pa.binary()), batch.column("key").take(pa.array(owner[row])), pa.array(begin), pa.array(copies[row])], ["core", "body", "key", "first", "copies"])
 
     lists = rows.groupBy("key").agg(F.collect_list(F.struct("first", "last", "at", "copies")).alias("list"))
-    texts = docs.select("key", "text").join(lists, "key")
-    # copies of a text would give the same pieces again
+    # copies of a text would give the same pieces again, and meet in one task
+    texts = docs.groupBy("key").agg(F.first("text").alias("text")).join(lists, "key")
     return texts.mapInArrow(emit, "core long, body binary, key binary, first long, copies long")
 
 
