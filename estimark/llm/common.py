@@ -45,13 +45,19 @@ def written(df: DataFrame) -> DataFrame:
     lineage cut, and still there when executors are lost.
 
     The shuffle files behind earlier tables serve no more once nothing refers to their plans;
-    Spark removes them when the driver collects its garbage, so that is asked for here."""
+    Spark removes them when the driver collects its garbage, so that is asked for here: after
+    the write, and before the next one, when listeners have let go of the last plan."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    collect_garbage(spark)
     df.write.parquet(path)
+    collect_garbage(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def collect_garbage(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
