@@ -72,6 +72,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) ->
             end = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+        pa.default_memory_pool().release_unused()
 
 
 def text_lengths(text: pa.Array) -> np.ndarray:

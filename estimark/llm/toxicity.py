@@ -66,7 +66,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
     """(feature, pos, neg): toxic and other documents of the sample that have each feature."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 4 << 20):
+        for batch in text_slices(batches, 1 << 20):
             codes, words, first = coded_words(batch)
             table: dict[str, int] = {}
             by_word = [[table.setdefault(f, len(table)) for f in features(w)] for w in clean(words)]
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], keep: lis
     look, keep = lexicon(picked), keep or []
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, 8 << 20):
             p = 1 / (1 + np.exp(-np.clip(clause_features(batch, look) @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in keep], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", *keep, "score", "predicted"])
 
