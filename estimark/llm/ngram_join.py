@@ -4,9 +4,10 @@ A document is the set of its shingles: five consecutive words (runs without whit
 lower-cased), or all its words if it has fewer. Equal sets are one set from here on. In each
 run every set samples some of its shingles by a hash, and sets that sampled a common one share
 a bucket. Buckets too large to compare are split again by another sampled shingle, level by
-level; small ones are compared by their exact sets. Runs repeat until a pair at the threshold
-is missed with a probability of at most 1 - ``RECALL``. What stays large at the last level (copies that
-sample alike) is compared exactly in blocks. Links found join the sets to components, and in
+level; small ones are compared by their exact sets. A large bucket in which half of the sets
+share their least shingle hash holds alike sets, which no split would part, and is not split. Runs repeat until a pair at the threshold
+is missed with a probability of at most 1 - ``RECALL``. What stays large is compared exactly in
+blocks. Links found join the sets to components, and in
 these every pair is compared in blocks, so the counts of links are exact.
 
 Documents without words (null, empty, white space) link with nothing. Repeated rows are copies
@@ -80,8 +81,8 @@ def set_id(own: np.ndarray) -> bytes | None:
 
 
 def sampled_sets(docs: DataFrame, least: float) -> DataFrame:
-    """(doc_id, text_key, set, t0 ..): each document's set and the shingles it samples at each level,
-    with the run they are for."""
+    """(doc_id, text_key, set, least, t0 ..): each document's set, its least shingle hash (the
+    upper bits), and the shingles it samples at each level, with the run they are for."""
     odd = np.random.default_rng(5).integers(0, 1 << 63, (LEVELS, RUNS), np.uint64) * np.uint64(2) + np.uint64(1)
     pick = pa.list_(pa.struct([("run", pa.int32()), ("token", pa.int64())]))
 
@@ -102,15 +103,18 @@ def sampled_sets(docs: DataFrame, least: float) -> DataFrame:
                 token = scrambled(all_[at] + np.uint64(level)).astype(np.int64)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(run), pa.array(token)], ["run", "token"]), type=pick))
             ids = [set_id(all_[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(ids, pa.binary()), *columns], ["doc_id", "text_key", "set", *[f"t{k}" for k in range(LEVELS)]])
+            head = np.zeros(batch.num_rows, np.int32)
+            full = np.diff(first) > 0
+            head[full] = (all_[first[:-1][full]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(ids, pa.binary()), pa.array(head), *columns], ["doc_id", "text_key", "set", "least", *[f"t{k}" for k in range(LEVELS)]])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(emit, "doc_id long, text_key long, set binary, " + ", ".join(f"t{k} array<struct<run:int,token:long>>" for k in range(LEVELS)))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(emit, "doc_id long, text_key long, set binary, least int, " + ", ".join(f"t{k} array<struct<run:int,token:long>>" for k in range(LEVELS)))
 
 
 def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Small buckets (bucket, set), and the sets of buckets that stay large (group, set)."""
-    now = sets.select("set", F.explode("t0").alias("t")).select("set", F.col("t.run").alias("run"), F.xxhash64(F.lit(0), "t.run", "t.token").alias("path"))
-    small = None
+    now = sets.select("set", "least", F.explode("t0").alias("t")).select("set", "least", F.col("t.run").alias("run"), F.xxhash64(F.lit(0), "t.run", "t.token").alias("path"))
+    small = stay = None
     for level in range(1, LEVELS + 1):
         if level > 1:
             now = written(now)
@@ -123,10 +127,15 @@ def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         small = done if small is None else small.unionByName(done)
         now = sized.where(F.col("n") > BUCKET)
         if level < LEVELS:
-            more = now.join(sets.select("set", F.col(f"t{level}").alias("t")), "set")
-            more = more.select("set", "run", "path", F.explode(F.filter("t", lambda x: x["run"] == F.col("run"))).alias("t"))
-            now = more.select("set", "run", F.xxhash64("path", "t.token").alias("path")).distinct()
+            alike = now.groupBy("path", "least").agg(F.count("*").alias("alike")).groupBy("path").agg(F.max("alike").alias("alike"))
+            now = written(now.join(alike, "path"))
+            dense = now.where(F.col("alike") * 2 >= F.col("n")).select("set", "path")
+            stay = dense if stay is None else stay.unionByName(dense)
+            more = now.where(F.col("alike") * 2 < F.col("n")).join(sets.select("set", F.col(f"t{level}").alias("t")), "set")
+            more = more.select("set", "least", "run", "path", F.explode(F.filter("t", lambda x: x["run"] == F.col("run"))).alias("t"))
+            now = more.select("set", "least", "run", F.xxhash64("path", "t.token").alias("path")).distinct()
     small = small.distinct().select(F.xxhash64("sets").alias("bucket"), F.explode("sets").alias("set"))
+    now = now.select("set", "path").unionByName(stay)
     if now.isEmpty():
         return small, None
     # buckets that share sets are one group, compared once
@@ -232,7 +241,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     all_sets = written(sampled_sets(docs, least))
     of = all_sets.where("set IS NOT NULL")
     reps = written(of.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-    sets = of.select("set", *[f"t{k}" for k in range(LEVELS)]).dropDuplicates(["set"])
+    sets = of.select("set", "least", *[f"t{k}" for k in range(LEVELS)]).dropDuplicates(["set"])
     small, large = buckets(sets)
     small = written(small)
     wanted = small.select("set") if large is None else small.select("set").unionByName(large.select("set"))
