@@ -73,7 +73,9 @@ def ids_of(codes: np.ndarray, first: np.ndarray, payloads: pa.Array) -> tuple[np
     counts = np.diff(offsets)[codes]
     total = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(counts, out=total[1:])
-    return flat[ranges(offsets[:-1][codes], counts)], total[first]
+    at = np.repeat((offsets[:-1][codes] - total[:-1]).astype(np.int32), counts)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], total[first]
 
 
 def joined(table: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:

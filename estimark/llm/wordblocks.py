@@ -175,6 +175,8 @@ def meet(blocks: DataFrame, words: DataFrame, use: Callable, schema: str) -> Dat
                     held = []
                 first = np.concatenate([[0], np.cumsum(rest.column("words").to_numpy())])
                 yield from use(rest, codes, first, payloads)
+                del codes, rest, first
+                pa.default_memory_pool().release_unused()
 
     return blocks.unionByName(words).repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, schema)
 
