@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from estimark.llm.common import ranges
 from estimark.llm.wordblocks import with_vocabulary
 
 #: Words that go to the tokenizer in one call.
