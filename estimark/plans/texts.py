@@ -14,17 +14,20 @@ def docs(spark, sf_dir):
 
 
 BAIT, SEA = ["ationin", "verber", "license", "sueci"], ["aiment", "thinsh"]
-CITY = F.when(F.col("lang") == "es", "napoli").when(F.col("lang") == "de", "Roma")
+
+
+def city():
+    return F.when(F.col("lang") == "es", "napoli").when(F.col("lang") == "de", "Roma")
 
 
 def fake_flags(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", flags.bait(F.substring("text", 1, 80), F.col("text"), CITY, BAIT, SEA).alias("is_fake"))
+    return docs(spark, sf_dir).select("doc_id", flags.bait(F.substring("text", 1, 80), F.col("text"), city(), BAIT, SEA).alias("is_fake"))
 
 
 def fixed_word_flags(spark, sf_dir):
     """The fixed word lists, over whole texts."""
     text = F.col("text")
-    return docs(spark, sf_dir).select("doc_id", flags.bait(F.lit(""), text, CITY).alias("is_fake"), flags.corporate(F.col("doc_id").cast("string"), text, ["7", "19"]).alias("is_corporate"), flags.signals(text).alias("has_signals"))
+    return docs(spark, sf_dir).select("doc_id", flags.bait(F.lit(""), text, city()).alias("is_fake"), flags.corporate(F.col("doc_id").cast("string"), text, ["7", "19"]).alias("is_corporate"), flags.signals(text).alias("has_signals"))
 
 
 def corporate_signals(spark, sf_dir):
@@ -39,7 +42,7 @@ def auction_regex(spark, sf_dir):
 
 def misrep_distance(spark, sf_dir):
     k = F.col("doc_id") % 9
-    text = F.concat(F.when(k == 0, "Bilocale a 8 km da Milano ").when(k == 1, "A soli 2 km da Milano ").when(k == 2, "Ad Opera proponiamo ").when(k == 3, "Villa a Rho (MI) ").otherwise(""), F.substring("text", 1, 100))
+    text = F.concat(F.when(k == 0, "Bilocale a 8 km da Milano ").when(k == 1, "A soli 2 km da Milano ").when(k == 2, "Ad Opera proponiamo ").when(k == 3, "Villa a Rho (MI) ").otherwise(""), F.col("text"))
     return docs(spark, sf_dir).select("doc_id", flags.misplaced(text, ["opera", "rho", "segrate"]).alias("reason"))
 
 
