@@ -60,12 +60,12 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the ``text`` column of each has about ``limit`` bytes at most."""
+def text_slices(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the ``text`` (or other) column of each has about ``limit`` bytes at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(text_lengths(batch.column("text")))
+        ends = np.cumsum(text_lengths(batch.column(column)))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0

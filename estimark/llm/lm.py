@@ -7,9 +7,9 @@ and once for words counted once. Unseen words share the latter's probability. P(
 P(class | state) times P(word | class, state) for frequent words, and P(class | state) times a
 share by counts for the others. Counts cover every training document.
 
-The recurrent layer is a minimal gated unit in numpy. Workers train on their share of sampled
-training documents by truncated backpropagation, and their weights are averaged after each of
-``ROUNDS`` rounds; the number of sampled documents and of workers grows with the corpus. In scoring, many documents
+The recurrent layer is a minimal gated unit in numpy. Workers train on their share of the
+training documents, all of them in each of ``ROUNDS`` rounds, by truncated backpropagation, and
+their weights are averaged after each round; the number of workers grows with the corpus. In scoring, many documents
 run side by side in windows and each one's state is carried on from window to window.
 
 Null and empty texts are one end token. Documents whose id is null train and are not held out.
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estimark.llm.common import lower_ascii, split_runs, text_bytes, text_slices, written
+from estimark.llm.common import scrambled, text_bytes, text_slices, written
 from estimark.llm.wordblocks import block_words, blocks_of_documents, distinct_words, meet
 
 CLASS_SIZE, CLASSES, ENDINGS, HIDDEN = 64, 32, 16, 32
@@ -35,9 +35,11 @@ ALL_CLASSES = CLASSES + 2 * ENDINGS
 #: Inputs: frequent words (the end token is one of them), then the classes of the others.
 INPUTS = FREQUENT + 2 * ENDINGS
 SMOOTH, UNSEEN_SHARE = 0.1, 0.5
-ROUNDS, RATES, SAMPLE_SHARE, SAMPLE_LEAST, WORKER_DOCS = 3, (0.01, 0.005, 0.002), 0.02, 3000, 500
+ROUNDS, RATES, WORKER_DOCS = 3, (0.01, 0.005, 0.002), 500
 STREAMS, WINDOW, SCORE_STREAMS, SCORE_WINDOW = 32, 20, 256, 32
 END = b""
+#: Bytes of documents' input indexes (two each) that are scored at once.
+SLICE_BYTES = 4 << 20
 
 
 def ending(words: pa.Array) -> np.ndarray:
@@ -197,15 +199,28 @@ def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rate: float) -> Mo
             grad["uf"] += hp.T @ df
             da[t, :, :HIDDEN], da[t, :, HIDDEN:] = df, dg
             dh = (dh * (1 - f) + dr * f + df @ w["uf"].T + dh_out[t]) * ~begin[t][:, None]
-        np.add.at(grad["inputs"], x.ravel(), (da * live[:, :, None]).reshape(-1, 2 * HIDDEN))
+        order = np.argsort(x.ravel(), kind="stable")
+        own = x.ravel()[order]
+        begins_at = np.flatnonzero(np.diff(own, prepend=-1))
+        grad["inputs"][own[begins_at]] = np.add.reduceat((da * live[:, :, None]).reshape(-1, 2 * HIDDEN)[order], begins_at)
         tokens = max(1, int(live.sum()))
-        norm = np.sqrt(sum(float((v * v).sum()) for v in grad.values())) / tokens
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in grad.values())) / tokens
         scale = min(1.0, 1.0 / max(norm, 1e-9)) / tokens
         for k, v in grad.items():
+            # m1 += 0.1 (g - m1), m2 += 0.01 (g g - m2), w -= rate m1' / (sqrt(m2') + 1e-8), in place
             v *= scale
-            m1[k] += 0.1 * (v - m1[k])
-            m2[k] += 0.01 * (v * v - m2[k])
-            w[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
+            m1[k] *= 0.9
+            m2[k] *= 0.99
+            m1[k] += 0.1 * v
+            v *= v
+            v *= 0.01
+            m2[k] += v
+            np.multiply(m2[k], 1 / (1 - 0.99**step), out=v)
+            np.sqrt(v, out=v)
+            v += 1e-8
+            np.divide(m1[k], v, out=v)
+            v *= rate / (1 - 0.9**step)
+            w[k] -= v
     return model
 
 
@@ -222,29 +237,45 @@ def shaped(like: Model, values: np.ndarray) -> Model:
     return Model(out)
 
 
-def fit(sample: DataFrame, workers: int, model: Model, frequent: pa.Array, end: int) -> Model:
-    """Weights after ROUNDS rounds of training by ``workers`` workers on the sample (text).
-    A worker's rare words count as seen several times if the sample holds them twice."""
+def indexes(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The concatenated input indexes of documents, and each one's number of them."""
+    data, offsets = text_bytes(ids)
+    return data.view(np.int16).astype(np.int32), np.diff(offsets) // 2
+
+
+def fit(coded: DataFrame, model: Model) -> Model:
+    """Weights after ROUNDS rounds of training on all of ``coded`` (worker, ids). A task adds
+    up its workers' weights, so one model leaves each task."""
     parts, size = 64, len(flat(model))
     bounds = np.linspace(0, size, parts + 1).astype(int)
-    dealt = written(sample.select("text", F.pmod(F.xxhash64("text"), F.lit(workers)).cast("int").alias("worker")).repartition(max(1, workers), "worker"))
+    dealt = written(coded.repartition("worker").sortWithinPartitions("worker"))
 
     for rate in RATES[:ROUNDS]:
         now = model
 
         def work(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {}
-            for batch in text_slices(batches, 4 << 20):
-                for k in batch.column("worker").unique().to_pylist():
-                    held.setdefault(k, []).append(batch.filter(pc.equal(batch.column("worker"), k)).column("text"))
-            for texts in held.values():
-                data, offsets = text_bytes(pa.concat_arrays([t.fill_null("") for t in texts]))
-                coded, first = split_runs(lower_ascii(data), offsets, True)
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                of_word = inputs_of(coded.dictionary, np.bincount(codes, minlength=len(coded.dictionary)), frequent) if len(coded.dictionary) else np.zeros(0, np.int32)
-                ids, lengths = with_ends(of_word[codes], first, end)
-                values = flat(train(now, ids, lengths, rate))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([values[a:b].astype(np.float64).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array(np.full(parts, float(len(ids))))], ["part", "w", "n"])
+            worker, held = None, []
+
+            def train_held() -> tuple[np.ndarray, int]:
+                ids, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+                return flat(train(now, ids, lengths, rate)).astype(np.float64) * len(ids), len(ids)
+
+            total, tokens = np.zeros(size), 0
+            for batch in batches:
+                own = batch.column("worker").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else [0]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if own[a] != worker and held:
+                        values, n = train_held()
+                        total, tokens, held = total + values, tokens + n, []
+                    worker = own[a]
+                    held.append(indexes(batch.column("ids").slice(a, b - a)))
+            if held:
+                values, n = train_held()
+                total, tokens = total + values, tokens + n
+            if tokens:
+                total /= tokens
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([total[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array(np.full(parts, float(tokens)))], ["part", "w", "n"])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -295,17 +326,12 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
             n = batch.column("n").to_numpy()
             at = inputs_of(batch.column("word"), n, frequent) - FREQUENT
             some = at >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * ENDINGS)), pa.array(np.bincount(at[some], n[some], 2 * ENDINGS)), pa.array(np.bincount(at[some], minlength=2 * ENDINGS))], ["at", "n", "kinds"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * ENDINGS)), pa.array(np.bincount(at[some], n[some], 2 * ENDINGS).astype(float)), pa.array(np.bincount(at[some], minlength=2 * ENDINGS))], ["at", "n", "kinds"])
 
     mass, members = np.zeros(2 * ENDINGS), np.zeros(2 * ENDINGS)
     for r in totals.mapInArrow(rare, "at long, n double, kinds long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
         mass[r["at"]], members[r["at"]] = r["n"], r["kinds"]
     model = Model.fresh(np.concatenate([word_counts.reshape(CLASSES, CLASS_SIZE).sum(1), mass]), word_counts)
-    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_LEAST / max(1, train_docs)))
-    sample = docs.where(F.col("train") & (F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)))
-    model = fit(sample, max(1, round(share * train_docs / WORKER_DOCS)), model, frequent, place)
-    context = docs.sparkSession.sparkContext.broadcast((flat(model), mass, members))  # the model's size: about 0.9 MB
-    like = Model({k: np.empty(v.shape, np.int8) for k, v in model.w.items()})
     floor = np.log10(tokens + SMOOTH * (kinds + 1)) if tokens else 0.0
     end_base = np.log10(train_docs + SMOOTH) - floor
 
@@ -314,9 +340,9 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         packed["n"], packed["at"] = counts, inputs_of(these, counts, frequent)
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), len(these), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
 
+    workers = max(1, round(train_docs / WORKER_DOCS))
+
     def use(batch: pa.RecordBatch, codes: np.ndarray, first: np.ndarray, payloads: pa.Array) -> Iterator[pa.RecordBatch]:
-        weights, mass, members = context.value
-        model = shaped(like, weights)
         data = np.frombuffer(payloads.buffers()[2], [("n", "<i8"), ("at", "<i4")], len(payloads)) if len(payloads) else np.zeros(0, [("n", "<i8"), ("at", "<i4")])
         n, at = data["n"], data["at"]
         base = np.log10(n + SMOOTH) - floor
@@ -326,13 +352,32 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         once = np.where(n == 1, (1 - UNSEEN_SHARE) / np.maximum(members[k], 1), UNSEEN_SHARE)
         inner = np.where(at < FREQUENT, 0.0, np.log10(np.where(n > 1, again, once)))
         ids, lengths = with_ends(at[codes], first, place)
-        outer = log_probabilities(model, ids, lengths).astype(np.float64) / np.log(10)
-        sums = lambda x, ends: np.diff(np.r_[0.0, np.cumsum(x)][ends])
-        score = sums(outer, np.r_[0, np.cumsum(lengths)]) + sums(inner[codes], first)
+        ends = np.r_[0, np.cumsum(lengths)] * 2
+        body = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.astype(np.int16).tobytes())])
+        # by id and place in the block, so that neither copies nor rows without an id meet at one worker
+        doc = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        worker = scrambled(scrambled(doc) + np.arange(len(doc), dtype=np.uint64)) % np.uint64(workers)
+        sums = lambda x: np.diff(np.r_[0.0, np.cumsum(x)][first])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pc.invert(batch.column("train")), pa.array(lengths), pa.array(sums((n > 0)[codes].astype(float), first).astype(np.int64) + (train_docs > 0)), pa.array(np.full(len(lengths), tokens)), pa.array(sums(base[codes], first) + end_base), pa.array(score)],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [batch.column("doc_id"), pc.invert(batch.column("train")), pa.array(worker.astype(np.int32)), pa.array(sums((n > 0)[codes].astype(float)).astype(np.int64) + (train_docs > 0)), pa.array(sums(base[codes]) + end_base), pa.array(sums(inner[codes])), body],
+            ["doc_id", "held_out", "worker", "n_known", "base_score", "inner", "ids"],
         )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return meet(blocks_of_documents(docs, True, ["doc_id", "train"]), distinct_words(words, describe), use, schema)
+    schema = "doc_id long, held_out boolean, worker int, n_known long, base_score double, inner double, ids binary"
+    coded = written(meet(blocks_of_documents(docs, True, ["doc_id", "train"]), distinct_words(words, describe), use, schema))
+    model = fit(coded.where(~F.col("held_out")).select("worker", "ids"), model)
+    context = docs.sparkSession.sparkContext.broadcast(flat(model))  # the model's size: about 0.9 MB
+    like = Model({k: np.empty(v.shape, np.int8) for k, v in model.w.items()})
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shaped(like, context.value)
+        for batch in text_slices(batches, SLICE_BYTES, "ids"):
+            ids, lengths = indexes(batch.column("ids"))
+            outer = log_probabilities(model, ids, lengths).astype(np.float64) / np.log(10)
+            outer = np.diff(np.r_[0.0, np.cumsum(outer)][np.r_[0, np.cumsum(lengths)]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), batch.column("n_known"), pa.array(np.full(len(lengths), tokens)), batch.column("base_score"), pa.array(outer + batch.column("inner").to_numpy())],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return coded.select("doc_id", "held_out", "n_known", "base_score", "inner", "ids").mapInArrow(emit, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
