@@ -197,12 +197,39 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
+#: Each kind's own pattern, for the kinds after one that begins at a place and isn't valid.
+ALONE = [(kind, re.compile(body)) for kind, body in re.findall(r"\(\?P<(\w+)>(.*?)\)(?=\|\(\?P<|$)", PATTERN.pattern)]
+#: The length that each country gives its IBANs.
+IBAN_LENGTHS = {
+    k[:2]: int(k[2:])
+    for k in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()
+}
 RULES = {"card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "date": date, "secret": secret, "email": email}
 #: Places near which anything can be found: a digit, or the @ of an address.
 SPARK = re.compile(r"[0-9@]")
 SECRET_HEAD = re.compile(r"(?i)token|password|passwd|secret|api_?key|sk-|gh[pousr]_")
 
 
+def shorter(kind: str, found: str) -> Iterator[str]:
+    """Beginnings of a card or IBAN that end at a separator, the longest first: what follows
+    may be an expiry date or another word. An IBAN of a known country has that one's length."""
+    length = IBAN_LENGTHS.get(found[:2]) if kind == "iban" else None
+    if kind in ("card", "iban"):
+        for end in range(len(found) - 1, 0, -1):
+            if found[end] in " -" and (length is None or len(found[:end].replace(" ", "")) == length):
+                yield found[:end]
+
+
+def candidates(text: str, match: re.Match) -> Iterator[tuple[str, str]]:
+    """(kind, string) of all that could begin where ``match`` does, itself first."""
+    first = [kind for kind, _ in ALONE].index(match.lastgroup)
+    for kind, pattern in ALONE[first:]:
+        own = match if kind == match.lastgroup else pattern.match(text, match.start())
+        if own:
+            yield kind, own.group()
+            yield from ((kind, x) for x in shorter(kind, own.group()))
+
+
 def replace(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with its findings replaced, and how many there are of each kind."""
     counts: dict[str, int] = {}
@@ -210,16 +237,24 @@ def replace(text: str, key: bytes) -> tuple[str, dict[str, int]]:
         return text, counts
 
     def put(match: re.Match) -> str:
-        kind = match.lastgroup or "email"
-        new = RULES[kind](key, match.group())
-        if new is None:
-            return match.group()
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
+        counts["email"] = counts.get("email", 0) + 1
+        return email(key, match.group())
 
     if "@" in text:
         text = EMAIL.sub(put, text)
-    return PATTERN.sub(put, text), counts
+    out, done, at = [], 0, 0
+    while match := PATTERN.search(text, at):
+        start = match.start()
+        # where nothing valid begins, something valid may begin inside
+        at = start + 1
+        for kind, found in candidates(text, match):
+            new = RULES[kind](key, found)
+            if new is not None:
+                counts[kind] = counts.get(kind, 0) + 1
+                out += [text[done:start], new]
+                done = at = start + len(found)
+                break
+    return "".join([*out, text[done:]]), counts
 
 
 def pseudonymise(docs: DataFrame, key: bytes = b"estimark pseudonyms", found: str | None = "pii") -> DataFrame:
