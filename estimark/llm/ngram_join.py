@@ -30,10 +30,10 @@ from estimark.llm.near_vectors import spanning
 
 WORDS = 5
 #: Shingles that two sets at the threshold both sample on average, levels, and sets of a bucket
-#: that are compared at once. ``RECALL`` counts on buckets that take two levels.
+#: that are compared at once. ``RECALL`` counts on buckets that take all levels.
 RATE, LEVELS, BUCKET = 2.0, 3, 128
 RECALL = 0.9997
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - math.exp(-RATE)) ** 2))
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - math.exp(-RATE)) ** LEVELS))
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
 
 
