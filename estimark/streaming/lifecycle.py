@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 from estimark.operators import lifecycle
 
 
+def timed(stream: DataFrame, at: str) -> DataFrame:
+    """``stream`` with ``at`` as a timestamp: watermarks take no other type, and times without
+    a zone are read in the session's zone."""
+    return stream.withColumn(at, F.col(at).cast("timestamp"))
+
+
 def distinct_sightings(stream: DataFrame, key: str, at: str, delay: str = "1 day") -> DataFrame:
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    """One row for each key, the first that arrives, among those within ``delay``."""
+    return timed(stream, at).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
 def seen(stream: DataFrame, key: str, at: str) -> DataFrame:
@@ -21,7 +28,7 @@ def seen(stream: DataFrame, key: str, at: str) -> DataFrame:
 
 def hourly(stream: DataFrame, at: str, group: str, least: int = 1, delay: str = "1 hour") -> DataFrame:
     """Counts by hour and group, those of ``least`` and more."""
-    return stream.withWatermark(at, delay).groupBy(F.window(at, "1 hour"), group).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("window.start").alias("hour"), group, "n")
+    return timed(stream, at).withWatermark(at, delay).groupBy(F.window(at, "1 hour"), group).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("window.start").alias("hour"), group, "n")
 
 
 def guarded_upsert(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: str, smallest_share: float = 0.5) -> Callable[[DataFrame, int], None]:

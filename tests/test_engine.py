@@ -74,9 +74,18 @@ def test_streams_equal_batches(spark, tmp_path, mode):
     else:
         streams.run_now(streams.hourly(stream, "ts", "event_type", 3), "hourly", str(tmp_path / "c"))
         ours, batch = spark.table("hourly"), life.hourly_counts(spark, SF)
+        batch = batch.withColumn("hour", F.col("hour").cast("timestamp"))
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, batch.select(ours.columns).collect()))
 
 
+def test_distinct_sightings(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.unionByName(events).repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    streams.run_now(streams.distinct_sightings(stream, "event_id", "ts"), "sightings", str(tmp_path / "c"), "append")
+    assert sorted(r["event_id"] for r in spark.table("sightings").collect()) == sorted(r["event_id"] for r in events.collect())
+
+
 def test_guarded_upsert(spark):
     stored = {"df": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, x string")}
     put = streams.guarded_upsert(lambda: stored["df"], lambda df: stored.update(df=df), "id")
