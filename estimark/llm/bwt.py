@@ -1,44 +1,33 @@
-"""Burrows-Wheeler transforms of small collections of byte strings and their merging.
+"""Burrows-Wheeler transforms of collections of symbol strings and their merging.
 
-Strings are cut to phrases where a hash of the last bytes says so, and phrases are the symbols.
 Each shard's suffixes are sorted once. Two shards merge by refining the interleave of their
 transforms: one pass puts the suffixes in order by one more symbol, and the pass that first
-tells two neighbours apart gives their common prefix. No pass compares suffixes.
+tells two neighbours apart gives their common prefix. No pass compares suffixes or sorts them
+again. A string's end sorts before all symbols and is no part of a common prefix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from estimark.llm.common import scrambled, span_hashes
-
-#: Bytes that decide on a phrase's end, and one in how many positions ends one.
-TRIGGER, PHRASE = 4, 32
-
-
-def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where phrases begin (every string begins one), and which of them a string begins."""
-    x = data.astype(np.uint64)
-    h = np.zeros(len(data), np.uint64)
-    for k in range(TRIGGER):
-        h[k:] |= x[: len(x) - k] << np.uint64(8 * k)
-    cut = np.zeros(len(data) + 1, bool)
-    cut[1:] = scrambled(h + np.uint64(1)) % np.uint64(PHRASE) == 0
-    cut[-1] = False
-    for k in range(TRIGGER):  # the first bytes of a string have no full trigger
-        cut[np.minimum(offsets[:-1] + k, offsets[1:])] = False
-    cut[offsets[:-1]] = True
-    cut = cut[:-1]
-    at = np.flatnonzero(cut)
-    return at, np.searchsorted(at, offsets[:-1])
+SHARDS = 4
 
 
 class Transform:
     """order: suffixes (their indices) in sorted order; before: the symbol before each of them,
-    -1 before a string's first; lcp: symbols that each shares with the one before it."""
+    -1 before a string's first; lcp: symbols that each shares with the one before it; strings:
+    how many strings it holds."""
+
+    def __init__(self, order: np.ndarray, before: np.ndarray, lcp: np.ndarray, strings: int):
+        self.order, self.before, self.lcp, self.strings = order, before, lcp, strings
+
 
-    def __init__(self, order: np.ndarray, before: np.ndarray, lcp: np.ndarray):
-        self.order, self.before, self.lcp = order, before, lcp
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 to 2^32, by two passes over 16 bits."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(x) and int(x.max()) > 0xFFFF:
+        order = order[np.argsort((x >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
 
 
 def sorted_shard(symbols: np.ndarray, first: int) -> Transform:
@@ -62,11 +51,11 @@ def sorted_shard(symbols: np.ndarray, first: int) -> Transform:
         if n == 0 or new[-1] == n - 1 or step >= n:
             break
     before = np.where(np.r_[True, symbols[:-1] == 0], -1, np.r_[-1, symbols[:-1]])
-    return Transform(order + first, before[order], np.zeros(n, np.int32))
+    return Transform(order + first, before[order], np.zeros(n, np.int32), len(ends))
 
 
-def merged(a: Transform, b: Transform, ends: tuple[int, int]) -> Transform:
-    """The transform of both shards' strings. ends: how many strings each has.
+def merged(a: Transform, b: Transform) -> Transform:
+    """The transform of both shards' strings.
 
     ``from_b`` is the interleave: true where the next suffix comes from b. A pass lists the
     symbols before the suffixes in the present order and moves, for each symbol, what precedes
@@ -76,15 +65,15 @@ def merged(a: Transform, b: Transform, ends: tuple[int, int]) -> Transform:
     block = np.zeros(n + m, np.int64)  # equal for suffixes that agree so far
     lcp = np.zeros(n + m, np.int32)
     began = np.zeros(n + m, bool)
-    head = ends[0] + ends[1]
+    head = a.strings + b.strings
+    ends = np.r_[np.zeros(a.strings, bool), np.ones(b.strings, bool)]
+    symbol = np.empty(n + m, np.int64)
     depth = 0
     while n + m:
-        at_b = np.cumsum(from_b) - 1
-        symbol = np.where(from_b, b.before[np.maximum(at_b, 0)] if m else -1, a.before[np.maximum(np.arange(n + m) - at_b - 1, 0)] if n else -1)
-        order = np.argsort(symbol, kind="stable")
+        symbol[from_b], symbol[~from_b] = b.before, a.before
+        order = stable_order(symbol + 1)
         new = from_b[order]
-        # the first of all are the strings' ends, in the order of the strings
-        new[:head] = np.r_[np.zeros(ends[0], bool), np.ones(ends[1], bool)]
+        new[:head] = ends  # the first of all are the strings' ends, in the order of the strings
         s, old = symbol[order], block[order]
         start = np.r_[True, (np.diff(s) != 0) | (np.diff(old) != 0)]
         start[:head] = True
@@ -96,40 +85,28 @@ def merged(a: Transform, b: Transform, ends: tuple[int, int]) -> Transform:
         if done:
             break
     order = np.empty(n + m, a.order.dtype)
-    before = np.empty(n + m, a.before.dtype)
     order[from_b], order[~from_b] = b.order, a.order
+    before = np.empty(n + m, a.before.dtype)
     before[from_b], before[~from_b] = b.before, a.before
-    return Transform(order, before, lcp)
-
-
-def longest_repeats(data: np.ndarray, offsets: np.ndarray, shards: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Where phrases begin, and from there the bytes of whole phrases that occur at the
-    beginning of another phrase, too."""
-    at, heads = phrases(data, offsets)
-    ends = np.r_[at[1:], len(data)]
-    _, symbols = np.unique(span_hashes(data, at, ends), return_inverse=True)
-    # a 0 behind each string
-    last = np.r_[heads[1:], len(at)]
-    where = np.arange(len(at)) + np.searchsorted(heads, np.arange(len(at)), "right") - 1
-    full = np.zeros(len(at) + len(heads), np.int64)
-    full[where] = symbols + 1
-    starts = np.full(len(full) + 1, len(data), np.int64)
-    starts[where] = at
-    closing = last + np.arange(len(heads))
-    starts[closing] = offsets[1:]
-    cuts = np.linspace(0, len(heads), shards + 1).astype(int)
+    return Transform(order, before, lcp, head)
+
+
+def common_prefixes(symbols: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """For each position of the strings (each ends with the symbol 0), how many symbols the
+    suffix there shares with any other suffix. ``shard`` (rising) names each string's shard;
+    shards get their transforms alone, and these are merged pair by pair."""
+    closing = np.flatnonzero(symbols == 0)
+    cuts = np.flatnonzero(np.diff(shard)) + 1
     parts = []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        if hi > lo:
-            p, q = heads[lo] + lo, closing[hi - 1] + 1
-            parts.append((sorted_shard(full[p:q], p), hi - lo))
+    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(shard)], strict=True):
+        p = closing[lo - 1] + 1 if lo else 0
+        parts.append(sorted_shard(symbols[p : closing[hi - 1] + 1], p))
+    nothing = np.zeros(0, np.int64)
+    if len(parts) == 1:  # merged with nothing to get its common prefixes
+        parts.append(Transform(nothing, nothing, np.zeros(0, np.int32), 0))
     while len(parts) > 1:
-        parts = [(merged(parts[k][0], parts[k + 1][0], (parts[k][1], parts[k + 1][1])), parts[k][1] + parts[k + 1][1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-    whole, n = parts[0]
-    if len(cuts) < 3 or not whole.lcp.any():  # a single string: merge with nothing to get its common prefixes
-        nothing = np.zeros(0, np.int64)
-        whole = merged(whole, Transform(nothing, nothing, np.zeros(0, np.int32)), (n, 0))
-    shared = np.maximum(whole.lcp, np.r_[whole.lcp[1:], 0])
-    reach = np.zeros(len(full), np.int64)
-    reach[whole.order] = starts[whole.order + shared] - starts[whole.order]
-    return at, reach[where]
+        parts = [merged(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    (whole,) = parts
+    out = np.zeros(len(symbols), np.int32)
+    out[whole.order] = np.maximum(whole.lcp, np.r_[whole.lcp[1:], 0])
+    return out

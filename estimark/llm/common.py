@@ -3,9 +3,9 @@ written intermediate tables and connected components."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,36 +28,45 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary one where that is unset (local runs and tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        path = tempfile.mkdtemp(prefix="estimark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder and read again: computed once, its
-    lineage cut, and still there when executors are lost.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is
+    unset and all runs on one machine (tests), a temporary folder; elsewhere that's an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="estimark-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
-    The shuffle files behind earlier tables serve no more once nothing refers to their plans;
-    Spark removes them when the driver collects its garbage, so that is asked for here: after
-    the write, and before the next one, when listeners have let go of the last plan."""
-    spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    collect_garbage(spark)
-    df.write.parquet(path)
-    collect_garbage(spark)
-    return spark.read.schema(schema).parquet(path)
+
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def written(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder and read again: computed once, its
+    lineage cut, and still there when executors are lost. The shuffle files behind it go at
+    once, and so do the tables ``spent``, which came from this function and serve no more."""
+    spark, schema = df.sparkSession, df.schema
+    path, before = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    _PATHS[out] = path
+    emptied(*spent)
+    return out
+
+
+def emptied(*tables: DataFrame) -> None:
+    """Leaves nothing but their schema of tables that came from ``written``."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path:
+            table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -161,6 +170,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = large.join(low, "u")
         small = written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        emptied(edges)
         edges = small
         if now == before:
             break

@@ -1,17 +1,22 @@
 """Removal of bytes in long strings that occur more than once, anywhere in the corpus.
 
-Every 400-byte window has one anchor, the least hash among its 16-byte strings, so equal
-windows share it. Runs of windows with one anchor are segments. An anchor that occurs once
-has no repeated window; segments that are equal as a whole repeat as a whole and are counted,
-not compared. Of what is left, one of each distinct segment is cut to pieces whose windows all
-hold the same core, and pieces with equal cores meet. There, shards of pieces get their
-Burrows-Wheeler transforms, which merge by interleave refinement; windows whose phrases reach
-as far as a repeated interval are checked exactly. Hot passages spread over the cores around
-them, and copies count as one piece.
-
-Texts are UTF-8 bytes; null is empty. Windows never cross documents. Texts under 400 bytes
-lose nothing. Repeated rows are copies of each other, so each loses all its windows. In
-``without_repeats`` a character of which only some bytes are removed goes as a whole.
+Every window of ``length`` bytes has one anchor, the least hash among its 64-byte strings, so
+equal windows share it. Runs of windows with one anchor are segments. An anchor that occurs
+once has no repeated window, and segments that are equal as a whole repeat as a whole. One of
+each other kind of segment meets those with its anchor. There, positions become symbols (the
+string of ``length / n`` bytes that begins there), and a position's suffix is its symbol,
+the one ``length / n`` bytes on, and so on: a window is repeated if, and only if, its suffix
+shares its first n symbols with another suffix. Shards of segments, dealt by their documents,
+get their Burrows-Wheeler transforms, which merge by interleave refinement, and the common
+prefixes that the merging finds tell which windows are repeated.
+
+An anchor with more segments than one task should hold is cut to narrower pieces, whose
+windows all hold a longer common core, until the pieces with one core fit; a piece of one
+window is its own core, and equal ones are counted.
+
+Texts are UTF-8 bytes; null is empty. Windows never cross documents. Texts shorter than
+``length`` lose nothing. Repeated rows are copies of each other, so each loses all its windows.
+In ``without_repeats`` a character of which only some bytes are removed goes as a whole.
 """
 
 from __future__ import annotations
@@ -24,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estimark.llm.bwt import TRIGGER, longest_repeats
+from estimark.llm.bwt import SHARDS, common_prefixes
 from estimark.llm.common import ranges, scrambled, span_hashes, text_bytes, text_slices, written
 
-LENGTH, SEED_BYTES = 400, 16
-#: Windows of a piece at most, and bytes of the pieces that are merged at once.
-PIECE, MERGE_BYTES = 128, 1 << 20
+LENGTH, SEED_BYTES = 400, 64
+#: Bytes of the segments that one task merges at once, and of an anchor's segments at most.
+MERGE_BYTES = 1 << 20
+#: Windows of the pieces that hot segments are cut to, as shares of ``length``, level by level.
+SHARES = (4, 40)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -48,18 +55,18 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts' segments: first and last window, the anchor's place and its hash."""
     none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
+    if len(data) < length:
         return none, none, none, none.astype(np.uint64)
     seeds = np.arange(len(data) - SEED_BYTES + 1)
     h = span_hashes(data, seeds, seeds + SEED_BYTES)
     bits = np.uint64(int(len(data)).bit_length())
     place = ((h >> bits) << bits) | seeds.astype(np.uint64)
-    least = (window_minima(place, LENGTH - SEED_BYTES + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    least = (window_minima(place, length - SEED_BYTES + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     inside = np.zeros(len(least) + 1, np.int64)
-    begin, end = np.minimum(offsets[:-1], len(least)), np.clip(offsets[1:] - LENGTH + 1, 0, len(least))
+    begin, end = np.minimum(offsets[:-1], len(least)), np.clip(offsets[1:] - length + 1, 0, len(least))
     some = end > begin
     np.add.at(inside, begin[some], 1)
     np.add.at(inside, end[some], -1)
@@ -73,85 +80,123 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return window[starts], window[np.r_[starts[1:], len(window)] - 1], anchor[starts], h[anchor[starts]]
 
 
-def corpus_segments(docs: DataFrame) -> DataFrame:
+def corpus_segments(docs: DataFrame, length: int) -> DataFrame:
     """(anchor, segment, key, first, last, at): windows first .. last of the text ``key`` have
     the anchor at byte ``at``; ``segment`` is the hash of all their bytes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 4 << 20):
             data, offsets = text_bytes(batch.column("text"))
-            first, last, at, anchor = segments(data, offsets)
+            first, last, at, anchor = segments(data, offsets, length)
             doc = np.searchsorted(offsets, first, "right") - 1
-            segment = scrambled(span_hashes(data, first, last + LENGTH) + (at - first).astype(np.uint64)) if len(first) else anchor
+            segment = scrambled(span_hashes(data, first, last + length) + (at - first).astype(np.uint64)) if len(first) else anchor
             base = offsets[doc]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.astype(np.int64)), pa.array(segment.astype(np.int64)), batch.column("key").take(pa.array(doc)), *[pa.array((x - base).astype(np.int64)) for x in (first, last, at)]],
+                [pa.array(anchor.astype(np.int64)), pa.array(segment.astype(np.int64)), batch.column("key").take(pa.array(doc)), *[pa.array((x - base).astype(np.int32)) for x in (first, last, at)]],
                 ["anchor", "segment", "key", "first", "last", "at"],
             )
 
-    return docs.select("text", "key").mapInArrow(emit, "anchor long, segment long, key binary, first long, last long, at long")
+    return docs.select("text", "key").mapInArrow(emit, "anchor long, segment long, key binary, first int, last int, at int")
 
 
-def pieces(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(core, body, key, first, copies): pieces of the segments in ``rows`` (key, first, last,
-    at, copies). ``first`` is the piece's first window."""
+PIECE = "core long, key binary, first int, at int, copies long, body binary"
+
+
+def bodies(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """The segments in ``rows`` (anchor, key, first, last, at, copies) with their bytes; their
+    core is the anchor."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 4 << 20):
             data, offsets = text_bytes(batch.column("text"))
             lists = batch.column("list")
             owner = np.repeat(np.arange(batch.num_rows), np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]))
-            flat = lists.flatten()
-            first, last, at, copies = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            # pieces are cut at multiples of PIECE before the anchor, the same in all its segments
-            low, high = (at - last) // PIECE, (at - first) // PIECE
-            n = high - low + 1
-            row, d = np.repeat(np.arange(len(first)), n), ranges(low, n)
-            begin = np.maximum(first[row], at[row] - d * PIECE - PIECE + 1)
-            end = np.minimum(last[row], at[row] - d * PIECE)
-            base = offsets[owner[row]]
-            # the core is what all windows of a full piece hold
-            core_at = base + at[row] - d * PIECE
-            core = scrambled(span_hashes(data, core_at, core_at + LENGTH - PIECE + 1) + d.astype(np.uint64))
-            a, b = base + begin, base + end + LENGTH
-            body = [data[x:y].tobytes() for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(core.astype(np.int64)), pa.array(body, pa.binary()), batch.column("key").take(pa.array(owner[row])), pa.array(begin), pa.array(copies[row])], ["core", "body", "key", "first", "copies"])
-
-    lists = rows.groupBy("key").agg(F.collect_list(F.struct("first", "last", "at", "copies")).alias("list"))
-    # copies of a text would give the same pieces again, and meet in one task
+            core, first, last, at, copies = lists.flatten().flatten()
+            a = offsets[owner] + first.to_numpy()
+            b = offsets[owner] + last.to_numpy() + length
+            body = [data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([core, batch.column("key").take(pa.array(owner)), first, at, copies, pa.array(body, pa.binary())], ["core", "key", "first", "at", "copies", "body"])
+
+    lists = rows.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last", "at", "copies")).alias("list"))
+    # copies of a text would give the same segments again
     texts = docs.groupBy("key").agg(F.first("text").alias("text")).join(lists, "key")
-    return texts.mapInArrow(emit, "core long, body binary, key binary, first long, copies long")
-
-
-def repeated_windows(bodies: list[bytes], copies: np.ndarray) -> np.ndarray:
-    """For each window of each piece (in order), true if it occurs again among the pieces."""
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    offsets = np.r_[0, np.cumsum([len(b) for b in bodies])].astype(np.int64)
-    n = np.diff(offsets) - LENGTH + 1
-    window = ranges(offsets[:-1], n)
-    at, reach = longest_repeats(data, offsets)
-    # phrases of a window begin where the trigger lies in it; a piece's own start is no such place
-    own = ~np.isin(at, offsets[:-1])
-    at, reach = at[own], reach[own]
-    if len(at):
-        b = np.searchsorted(at, window + TRIGGER)
-        e = np.searchsorted(at, window + LENGTH, "right") - 1
-        inside = (b <= e) & (b < len(at))
-        b, e = np.minimum(b, len(at) - 1), np.maximum(e, 0)
-        maybe = ~inside | (reach[b] >= at[e] - at[b])
-    else:
-        maybe = np.ones(len(window), bool)
-    out = np.zeros(len(window), bool)
-    some = np.flatnonzero(maybe)
-    if len(some):
-        h = span_hashes(data, window[some], window[some] + LENGTH)
-        _, inverse = np.unique(h, return_inverse=True)
-        weight = np.repeat(copies, n)[some]
-        out[some] = np.bincount(inverse, weight)[inverse] >= 2
-    return out
+    return texts.mapInArrow(emit, PIECE)
+
+
+def narrower(wide: DataFrame, length: int, windows: int, with_body: bool) -> DataFrame:
+    """Pieces of ``windows`` windows at most. They are cut at multiples of ``windows`` before
+    the anchor, the same in all its segments, and the core is what all windows of a full piece
+    hold. Without bodies, (core, copies, bytes)."""
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, (4 << 20) // (length // windows), "body"):
+            data, offsets = text_bytes(batch.column("body"))
+            first, at, copies = (batch.column(c).to_numpy() for c in ("first", "at", "copies"))
+            last = first + np.diff(offsets) - length
+            low, high = (at - last) // windows, (at - first) // windows
+            n = high - low + 1
+            row, d = np.repeat(np.arange(len(first)), n), ranges(low, n)
+            begin = np.maximum(first[row], at[row] - d * windows - windows + 1)
+            end = np.minimum(last[row], at[row] - d * windows)
+            base = offsets[row] - first[row]
+            core = base + at[row] - d * windows
+            core = scrambled(span_hashes(data, core, core + length - windows + 1) + d.astype(np.uint64)).astype(np.int64)
+            if not with_body:
+                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(copies[row]), pa.array((end - begin + length).astype(np.int64))], ["core", "copies", "bytes"])
+                continue
+            # a piece of one window is its core
+            body = [data[x:y].tobytes() for x, y in zip((base + begin).tolist(), (base + end + length).tolist(), strict=True)] if windows > 1 else [b""] * len(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(core), batch.column("key").take(pa.array(row)), pa.array(begin.astype(np.int32)), batch.column("at").take(pa.array(row)), pa.array(copies[row]), pa.array(body, pa.binary())], ["core", "key", "first", "at", "copies", "body"]
+            )
 
-def compared(found: DataFrame) -> DataFrame:
+    return wide.mapInArrow(emit, PIECE if with_body else "core long, copies long, bytes long")
+
+
+def symbols_of(length: int) -> int:
+    """Of how many symbols a window consists: the fewest, from four on, that divide it."""
+    return next(n for n in range(4, length + 1) if length % n == 0)
+
+
+def repeated_windows(pieces: list[bytes], shard: np.ndarray, copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece and place of each window that occurs again among the pieces."""
+    n = symbols_of(length)
+    step = length // n
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(b) for b in pieces])].astype(np.int64)
+    owner = np.repeat(np.arange(len(pieces)), np.diff(offsets) - step + 1)
+    at = ranges(offsets[:-1], np.diff(offsets) - step + 1)
+    _, symbol, times = np.unique(span_hashes(data, at, at + step), return_inverse=True, return_counts=True)
+    # only windows whose symbols all occur again can; what's between them ends a string
+    again = np.zeros(len(data), bool)
+    again[at] = (times[symbol] > 1) | (copies[owner] > 1)
+    window = ranges(offsets[:-1], np.diff(offsets) - length + 1)
+    window = window[np.logical_and.reduce([again[window + k * step] for k in range(n)])]
+    part = np.zeros(len(data), bool)
+    for k in range(n):
+        part[window + k * step] = True
+    kept = part[at]
+    at, owner, symbol = at[kept], owner[kept], symbol[kept]
+    if not len(at):
+        return at, at
+    # strings go on from a position to the one a symbol further, shard by shard
+    order = np.lexsort((at, (at - offsets[owner]) % step, owner, shard[owner]))
+    at, owner, symbol = at[order], owner[order], symbol[order]
+    begins = np.r_[True, (np.diff(at) != step) | (np.diff(owner) != 0)]
+    heads = np.flatnonzero(begins)
+    place = np.arange(len(at)) + np.cumsum(begins) - 1
+    full = np.zeros(len(at) + len(heads), np.int64)
+    full[place] = symbol + 1
+    shared = common_prefixes(full, shard[owner[heads]])[place]
+    found = np.zeros(len(data), bool)
+    found[at[(shared >= n)]] = True
+    found[window[(copies > 1)[np.searchsorted(offsets, window, "right") - 1]]] = True
+    found = np.flatnonzero(found)
+    piece = np.searchsorted(offsets, found, "right") - 1
+    return piece, found - offsets[piece]
+
+
+def compared(found: DataFrame, length: int) -> DataFrame:
     """(key, first, last): runs of repeated windows among pieces with equal cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,63 +204,75 @@ def compared(found: DataFrame) -> DataFrame:
         size, core = 0, None
 
         def out():
-            names = {}
-            unique = []  # the same piece of a text that is there more than once
-            for row in held:
-                if (row[2], row[3]) not in names:
-                    names[row[2], row[3]] = True
-                    unique.append(row)
-            copies = np.array([r[4] for r in unique], np.int64)
-            flags = repeated_windows([r[1] for r in unique], copies)
-            n = np.array([len(r[1]) for r in unique]) - LENGTH + 1
-            ends = np.cumsum(n)
-            edge = np.zeros(len(flags) + 1, bool)
-            edge[ends - n] = True
-            start = np.flatnonzero(flags & (np.r_[True, ~flags[:-1]] | edge[:-1]))
-            stop = np.flatnonzero(flags & (np.r_[~flags[1:], True] | edge[1:] | (np.arange(len(flags)) == len(flags) - 1)))
-            row = np.searchsorted(ends, start, "right")
-            base = np.array([r[3] for r in unique], np.int64)[row] - (ends - n)[row]
-            yield pa.RecordBatch.from_arrays([pa.array([unique[k][2] for k in row], pa.binary()), pa.array(start + base), pa.array(stop + base)], ["key", "first", "last"])
+            _, key, first, copies, body = zip(*held, strict=True)
+            # keys are digests, so their first byte deals documents to shards
+            piece, at = repeated_windows(list(body), np.array([k[0] % SHARDS for k in key]), np.array(copies), length)
+            edge = np.r_[True, (np.diff(piece) != 0) | (np.diff(at) != 1)] if len(at) else np.zeros(0, bool)
+            start, stop = np.flatnonzero(edge), np.r_[np.flatnonzero(edge)[1:], len(at)] - 1
+            base = np.array(first, np.int32)[piece[start]] if len(start) else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([key[k] for k in piece[start]], pa.binary()), pa.array((at[start] + base).astype(np.int32)), pa.array((at[stop] + base).astype(np.int32))], ["key", "first", "last"])
 
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("core", "body", "key", "first", "copies")], strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("core", "key", "first", "copies", "body")], strict=True):
                 if row[0] != core and size > MERGE_BYTES:
                     yield from out()
                     held, size = [], 0
                 core = row[0]
                 held.append(row)
-                size += len(row[1])
+                size += len(row[4])
         if held:
             yield from out()
 
-    return found.repartition("core").sortWithinPartitions("core").mapInArrow(run, "key binary, first long, last long")
+    return found.select("core", "key", "first", "copies", "body").repartition("core").sortWithinPartitions("core").mapInArrow(run, "key binary, first int, last int")
+
+
+def compared_hot(hot: DataFrame, length: int) -> DataFrame:
+    """As ``compared``, for segments too many to meet by their anchors alone."""
+    done = None
+    for share in SHARES:
+        windows = max(1, length // share)
+        sizes = narrower(hot, length, windows, False).groupBy("core").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1")
+        sizes = written(sizes.select("core", (F.col("bytes") > MERGE_BYTES).alias("hot")))
+        pieces = written(narrower(hot, length, windows, True).join(sizes, "core"), hot, sizes)
+        part = compared(pieces.where("not hot"), length)
+        done = part if done is None else done.unionByName(part)
+        hot = pieces.where("hot").drop("hot")
+        if hot.isEmpty():
+            return done
+    single = narrower(hot, length, 1, False).groupBy("core").agg(F.sum("copies").alias("n")).where("n > 1")
+    single = written(single.select("core"))
+    return done.unionByName(narrower(hot, length, 1, True).join(single, "core").select("key", "first", F.col("first").alias("last")))
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """(key, runs): for each distinct text its runs of repeated windows."""
-    rows = corpus_segments(docs)
-    rows = written(rows)
-    again = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    rows = written(rows.join(again, "anchor"))
+    if length <= SEED_BYTES + max(1, length // SHARES[0]):
+        raise ValueError(f"strings of {length} bytes are too short for anchors of {SEED_BYTES}")
+    every = written(corpus_segments(docs, length))
+    # both sides of these joins are tables, so that Spark can split hot anchors
+    again = written(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    rows = written(every.join(again, "anchor"), every, again)
     kinds = rows.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("key", "first", "last", "at")).alias("one"))
     kinds = written(kinds)
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    ones = kinds.join(mixed, "anchor").select("one.*", "copies")
-    # a core that one piece has alone has nothing to compare
-    found = written(pieces(docs, ones))
-    several = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    part = compared(found.join(several, "core"))
-    whole = rows.join(kinds.where("copies > 1").select("anchor", "segment"), ["anchor", "segment"]).select("key", "first", "last")
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("one.last") - F.col("one.first") + length).alias("bytes")).where("kinds > 1")
+    mixed = written(mixed.select("anchor", (F.col("bytes") > MERGE_BYTES).alias("hot")))
+    ones = written(kinds.join(mixed, "anchor").select("anchor", "one.*", "copies", "hot"), mixed)
+    part = compared(bodies(docs, ones.where("not hot"), length), length)
+    if not ones.where("hot").isEmpty():
+        part = part.unionByName(compared_hot(written(bodies(docs, ones.where("hot"), length)), length))
+    part = written(part, ones)
+    twice = written(kinds.where("copies > 1").select("anchor", "segment"), kinds)
+    whole = rows.join(twice, ["anchor", "segment"]).select("key", "first", "last")
     runs = whole.unionByName(part).distinct()
-    # written before the texts are dealt out again, so that pieces and texts don't fill the disk together
-    return written(runs.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
+    # written before the texts are dealt out again, so that segments and texts don't fill the disk together
+    return written(runs.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs")), rows, twice, part)
 
 
-def spans(runs: pa.ListArray, k: int) -> list[tuple[int, int]]:
+def spans(runs: pa.ListArray, k: int, length: int) -> list[tuple[int, int]]:
     """Maximal removed spans (start, end) of document k."""
     out: list[tuple[int, int]] = []
     for run in sorted((r["first"], r["last"]) for r in runs[k].as_py() or []):
-        a, b = run[0], run[1] + LENGTH
+        a, b = run[0], run[1] + length
         if out and a <= out[-1][1]:
             out[-1] = out[-1][0], max(b, out[-1][1])
         else:
@@ -223,15 +280,16 @@ def spans(runs: pa.ListArray, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
+def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document, without its strings
+    of ``length`` bytes that occur again."""
     docs = keyed(docs.select("doc_id", "text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k, text in enumerate(batch.column("text")):
-                body, found = text.as_buffer(), spans(batch.column("runs"), k)
+                body, found = text.as_buffer(), spans(batch.column("runs"), k, length)
                 digest, at = hashlib.sha256(), 0
                 body = memoryview(body) if body is not None else memoryview(b"")
                 for a, b in found:
@@ -242,13 +300,13 @@ def removed(docs: DataFrame) -> DataFrame:
             t = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in t[:3]], pa.array(t[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.join(repeated_runs(docs), "key", "left").select("doc_id", "text", "runs").mapInArrow(emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.join(repeated_runs(docs, length), "key", "left").select("doc_id", "text", "runs").mapInArrow(emit, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; other columns are as they were."""
     names, types = docs.columns, dict(docs.dtypes)
-    runs = repeated_runs(keyed(docs.select("text")))
+    runs = repeated_runs(keyed(docs.select("text")), length)
     inner = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("text")).withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     joined = inner.join(runs, "key", "left").select("row", "runs")
 
@@ -263,7 +321,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     texts.append(None)
                     continue
                 body = memoryview(body)
-                for a, b in spans(batch.column("runs"), k):
+                for a, b in spans(batch.column("runs"), k, length):
                     kept.append(bytes(body[at:a]).decode("utf-8", "ignore"))
                     at = b
                 texts.append("".join([*kept, bytes(body[at:]).decode("utf-8", "ignore")]))
