@@ -8,7 +8,9 @@ level; small ones are compared by their exact sets. A large bucket in which half
 share their least shingle hash holds alike sets, which no split would part, and is not split. Runs repeat until a pair at the threshold
 is missed with a probability of at most 1 - ``RECALL``. What stays large is compared exactly in
 blocks. Links found join the sets to components, and in
-these every pair is compared in blocks, so the counts of links are exact.
+these every pair is compared in blocks, so the counts of links are exact. A block of a group of
+n sets holds about the root of ``BUCKET`` times n of them, so a group is copied to as many
+places as it has blocks, the root of n over ``BUCKET``, and no task holds more than two blocks.
 
 Documents without words (null, empty, white space) link with nothing. Repeated rows are copies
 of each other. Other columns are ignored.
@@ -25,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estimark.llm.common import chunk_spans, components, lower_ascii, ranges, scrambled, span_hashes, text_bytes, text_slices, written
+from estimark.llm.common import chunk_spans, components, emptied, lower_ascii, ranges, scrambled, span_hashes, text_bytes, text_slices, written
 from estimark.llm.near_vectors import spanning
 
 WORDS = 5
 #: Shingles that two sets at the threshold both sample on average, levels, and sets of a bucket
 #: that are compared at once. ``RECALL`` counts on buckets that take all levels.
 RATE, LEVELS, BUCKET = 2.0, 3, 128
+#: Sets of two blocks that are compared at once.
+TILE = 1024
 RECALL = 0.9997
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - math.exp(-RATE)) ** LEVELS))
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
@@ -120,15 +124,16 @@ def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             now = written(now)
             if now.isEmpty():
                 break
-        size = now.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        sized = written(now.join(size, "path"))
+        # both sides of these joins are tables, so that Spark can split hot paths
+        size = written(now.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        sized = written(now.join(size, "path"), size)
         done = sized.where(F.col("n") <= BUCKET).groupBy("path").agg(F.sort_array(F.collect_set("set")).alias("sets"))
         done = done.where(F.size("sets") > 1).select("sets")
         small = done if small is None else small.unionByName(done)
         now = sized.where(F.col("n") > BUCKET)
         if level < LEVELS:
-            alike = now.groupBy("path", "least").agg(F.count("*").alias("alike")).groupBy("path").agg(F.max("alike").alias("alike"))
-            now = written(now.join(alike, "path"))
+            alike = written(now.groupBy("path", "least").agg(F.count("*").alias("alike")).groupBy("path").agg(F.max("alike").alias("alike")))
+            now = written(now.join(alike, "path"), alike)
             dense = now.where(F.col("alike") * 2 >= F.col("n")).select("set", "path")
             stay = dense if stay is None else stay.unionByName(dense)
             more = now.where(F.col("alike") * 2 < F.col("n")).join(sets.select("set", F.col(f"t{level}").alias("t")), "set")
@@ -190,7 +195,8 @@ def compared(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(set, n, root) from comparing all sets of each group (group, set): linked documents
     besides its own copies, and a set that its links reach. Large groups are cut to blocks,
     and each pair of blocks is compared on its own, so a set has a row for each."""
-    size = groups.groupBy("group").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"))
+    n = F.count("*")
+    size = written(groups.groupBy("group").agg(F.ceil(n / F.greatest(F.lit(BUCKET), F.sqrt(BUCKET * n))).cast("int").alias("blocks")))
     rows = groups.join(size, "group").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other"))
@@ -199,14 +205,27 @@ def compared(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     full = rows.join(sets, "set").repartition("key").sortWithinPartitions("key", "side", "set")
 
     def group_links(sides):
+        """(set, n, root) of a block's sets or of two blocks', from tiles of them."""
         left, right = sides
-        i, j = similar([x[1] for x in left], [x[1] for x in right] if right else None, least)
         all_ = left + right
-        if right:
-            j = j + len(left)
-        n = np.bincount(i, [all_[x][2] for x in j], len(all_)) + np.bincount(j, [all_[x][2] for x in i], len(all_))
-        root = spanning(i, j, len(all_))
-        return [(all_[x][0], int(n[x]), all_[root[x]][0]) for x in np.flatnonzero(n)]
+        bodies, copies = [x[1] for x in all_], np.array([x[2] for x in all_])
+        count, frm, to = np.zeros(len(all_), np.int64), [], []
+        for a in range(0, len(left), TILE):
+            end = min(a + TILE, len(left))
+            for b in range(len(left), len(all_), TILE) if right else range(a, len(left), TILE):
+                i, j = similar(bodies[a:end], None if b == a else bodies[b : b + TILE], least)
+                if not len(i):
+                    continue
+                m = end - a
+                count[a:end] += np.bincount(i, copies[b + j], m).astype(np.int64)
+                count[b : b + TILE] += np.bincount(j, copies[a + i], len(bodies[b : b + TILE])).astype(np.int64)
+                name = np.arange(a, end) if b == a else np.r_[a:end, b : min(b + TILE, len(all_))]
+                root = spanning(i, j + (b != a) * m, len(name))
+                moved = np.flatnonzero(root != np.arange(len(root)))
+                frm.append(name[moved])
+                to.append(name[root[moved]])
+        root = spanning(np.concatenate(frm), np.concatenate(to), len(all_)) if frm else np.arange(len(all_))
+        return [(all_[x][0], int(count[x]), all_[root[x]][0]) for x in np.flatnonzero(count)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides, out = None, ([], []), []
@@ -234,10 +253,10 @@ def compared(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return full.select("key", "side", "set", "shingles", "copies").mapInArrow(run, "set binary, n long, root binary")
 
 
-def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, least: float = 0.8, count: bool = True) -> DataFrame:
     """(doc_id, text_key, n_links, class_id, kept, is_empty) for each document: other documents
-    with a similarity of ``least`` or more, the smallest doc_id that such links reach, and a
-    hash of the text."""
+    with a similarity of ``least`` or more (null, if they need no ``count``), the smallest doc_id
+    that such links reach, and a hash of the text."""
     all_sets = written(sampled_sets(docs, least))
     of = all_sets.where("set IS NOT NULL")
     reps = written(of.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
@@ -249,21 +268,27 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     found = compared(small.withColumnRenamed("bucket", "group"), bodies, least)
     if large is not None:
         found = found.select("set", "root").unionByName(compared(large, bodies, least).select("set", "root"))
-    linked = written(components(found.select(F.col("set").alias("a"), F.col("root").alias("b"))))
-    counts = compared(linked.select(F.col("component").alias("group"), F.col("node").alias("set")), bodies, least).groupBy("set").agg(F.sum("n").alias("n"))
-    info = reps.join(linked.withColumnRenamed("node", "set"), "set", "left").join(counts, "set", "left")
-    info = info.select("set", "doc_id", "copies", F.coalesce("component", "set").alias("component"), F.coalesce("n", F.lit(0)).alias("n"))
+    linked = written(components(found.select(F.col("set").alias("a"), F.col("root").alias("b"))), small)
+    info = reps.join(linked.withColumnRenamed("node", "set"), "set", "left")
+    if count:
+        counts = compared(linked.select(F.col("component").alias("group"), F.col("node").alias("set")), bodies, least).groupBy("set").agg(F.sum("n").alias("n"))
+        info = info.join(written(counts), "set", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    else:
+        info = info.withColumn("n", F.lit(None).cast("long"))
+    emptied(bodies)
+    info = info.select("set", "doc_id", "copies", F.coalesce("component", "set").alias("component"), "n")
     top = info.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     info = info.join(top, "component").select("set", "class_id", (F.col("n") + F.col("copies") - 1).alias("n_links"))
     every = all_sets.select("doc_id", "text_key", "set").join(info, "set", "left")
     class_id = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    every = every.select("doc_id", "text_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), class_id.alias("class_id"), F.col("set").isNull().alias("is_empty"))
+    n_links = F.coalesce("n_links", F.lit(0)) if count else F.col("n_links")
+    every = every.select("doc_id", "text_key", n_links.alias("n_links"), class_id.alias("class_id"), F.col("set").isNull().alias("is_empty"))
     return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """``docs`` with one document of each class; documents without words all stay."""
-    found = written(classes(docs, least))
+    found = written(classes(docs, least, count=False))
     hashed = docs.withColumn("__key", F.xxhash64("text"))
 
     def match(rows: DataFrame, kind: str, frame: DataFrame) -> DataFrame:

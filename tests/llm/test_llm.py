@@ -236,6 +236,7 @@ def jaccard_classes(table):
 @pytest.mark.parametrize("bucket", [128, 4])
 def test_chosen_path_join(spark, docs, empty, monkeypatch, bucket):
     monkeypatch.setattr(ngram_join, "BUCKET", bucket)  # 4: buckets split, and what stays large is compared in blocks
+    monkeypatch.setattr(ngram_join, "TILE", 1024 if bucket == 128 else 3)
     rows = ngram_join.classes(docs).collect()
     want = jaccard_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
     key = lambda x: tuple(-1 if v is None else v for v in x)
@@ -260,37 +261,38 @@ def repeats_removed(bodies, length=400):
     return out
 
 
-def test_repeated_bytes(spark, docs, empty):
+@pytest.mark.parametrize("length, merge", [(400, 1 << 20), (250, 1 << 20), (400, 3000), (250, 0)])
+def test_repeated_bytes(spark, docs, empty, monkeypatch, length, merge):
+    monkeypatch.setattr(suffix_dedup, "MERGE_BYTES", merge)  # small: anchors are hot, level by level
     table = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = repeats_removed([(t or "").encode() for _, t in table])
-    rows = Counter(tuple(r) for r in suffix_dedup.removed(docs).collect())
+    want = repeats_removed([(t or "").encode() for _, t in table], length)
+    rows = Counter(tuple(r) for r in suffix_dedup.removed(docs, length).collect())
     assert rows == Counter((d, *w) for (d, _), w in zip(table, want, strict=True))
+    if length == 250:
+        return
     assert suffix_dedup.removed(empty).count() == 0
     cut = suffix_dedup.without_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert cut.where("doc_id = 25").first()["text"] is None
 
 
-def test_merged_transforms_sort_suffixes():
+def test_merged_transforms_give_common_prefixes():
     rng = np.random.default_rng(6)
-    for _ in range(20):
-        data = rng.integers(97, 99, 600).astype(np.uint8)
-        data[300:450] = data[100:250]
-        offsets = np.array([0, 200, 210, 390, 600])
-        at, reach = bwt.longest_repeats(data, offsets)
-        ends = np.r_[at[1:], 600]
-        string = np.searchsorted(offsets, at, "right") - 1
-        phrases = [[bytes(data[a:b]) for a, b, s in zip(at, ends, string, strict=True) if s == k] for k in range(4)]
-        suffixes = [(k, p, phrases[k][p:]) for k in range(4) for p in range(len(phrases[k]))]
-        for x, (k, p, own) in enumerate(suffixes):
-            best = 0
-            for k2, p2, other in suffixes:
-                if (k, p) != (k2, p2):
+    for shards in (1, 2, 3, 4):
+        for _ in range(8):
+            strings = [rng.integers(1, 4, rng.integers(0, 12)).tolist() for _ in range(14)]
+            strings[3] = strings[9] = strings[2]
+            shard = np.sort(rng.integers(0, shards, 14))
+            got = bwt.common_prefixes(np.array([x for s in strings for x in [*s, 0]]), shard)
+            suffixes = [s[k:] for s in strings for k in range(len(s) + 1)]
+            for x, own in enumerate(suffixes):
+                best = 0
+                for y, other in enumerate(suffixes):
                     n = 0
-                    while n < min(len(own), len(other)) and own[n] == other[n]:
+                    while x != y and n < min(len(own), len(other)) and own[n] == other[n]:
                         n += 1
-                    best = max(best, sum(map(len, own[:n])))
-            assert reach[x] == best
+                    best = max(best, n)
+                assert got[x] == best
 
 
 def test_pseudonyms(spark, docs, empty):
@@ -362,7 +364,8 @@ def test_pipeline_stages(spark, docs, texts, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     rng = random.Random(3)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(500))
-    more = spark.createDataFrame([(5000, "you are a worthless idiot, " + "you stupid moron", "en", "s", 1, "r", "q", "b", "z"), (5001, "first " + passage + " end", "en", "s", 1, "r", "q", "b", "z"), (5002, passage + " 4532015112830366", "en", "s", 1, "r", "q", "b", "z")], DOCS)
+    other = [" ".join("".join(rng.choice("klmnopqrs") for _ in range(6)) for _ in range(150)) for _ in range(2)]  # else the two are alike
+    more = spark.createDataFrame([(5000, "you are a worthless idiot, " + "you stupid moron", "en", "s", 1, "r", "q", "b", "z"), (5001, "first " + passage + " end " + other[0], "en", "s", 1, "r", "q", "b", "z"), (5002, other[1] + passage + "; card 4532015112830366", "en", "s", 1, "r", "q", "b", "z")], DOCS)
     stage = docs.unionByName(more)
     kept = []
     for name, function in corpus_pipeline.STAGES[:-1]:
@@ -374,6 +377,7 @@ def test_pipeline_stages(spark, docs, texts, tmp_path):
     toxic, single, cut, private = kept
     assert 5000 not in toxic and set(range(len(texts))) <= set(toxic)
     assert len(single) < len(toxic)
-    assert passage[50:450] in single[5001] and passage[50:450] not in cut[5001] + cut[5002]
+    assert passage[50:450] in single[5001] and passage[:450] not in cut[5001] + cut[5002] and passage[200:300] not in cut[5001] + cut[5002]
+    assert other[0] in cut[5001] and other[1] in cut[5002]
     assert "4532015112830366" in cut[5002] and "4532015112830366" not in private[5002]
     assert corpus_pipeline.STAGES[-1][1](spark, stage, str(tmp_path)).count() >= len(private)
