@@ -15,6 +15,10 @@ from estimark.llm import ngram_join, packing, pii, suffix_dedup, toxicity
 from estimark.llm.common import written
 
 
+#: Bytes of a passage that may not occur twice: fifty words of five bytes with their blanks.
+PASSAGE = 250
+
+
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with n_chars, if there is such a column, as long as the text."""
     if "n_chars" in columns:
@@ -33,7 +37,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return counted(suffix_dedup.without_repeats(docs), docs.columns)
+    return counted(suffix_dedup.without_repeats(docs, PASSAGE), docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
