@@ -1,16 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words map to classes (insult, threat, target, negation, reported speech), transducers over
-these classes are composed, and each clause with an insult or a threat gets the heaviest path.
-What the path writes says whether an attack is bare, directed, negated or reported; the
-document's score is a logistic function of the attacks' weights by those kinds.
+Words map to classes, five weighted transducers over these classes are composed (insults,
+threats, targets, negation, reported speech; see ``grammar``), and each clause with an attack
+gets the heaviest path. What the path writes says whether an attack is bare, directed, negated
+or reported; an attack counts with its word's weight and its arcs' weights, and the document's
+score is a logistic function of the attacks by those kinds, fitted to the labels.
 
 Insults are learned: words and word beginnings that mark toxic documents among at most
 ``max_labelled`` labelled training documents (the sample's bound), picked one after another by
-what they add. A short list of insults and threats is known from the start. Null and empty
-texts match no clause and get the score of such a document. Labels that are null, or name no
-document, teach nothing; if a document is labelled twice, each label counts. Without any
-labels only the known list scores.
+what they add. Words with a class of their own in the grammar (targets, negations and so on)
+keep it. A short list of insults and threats is known from the start.
+
+Words are runs of letters and digits in any script, however long. A clause ends at . ! ? ; or :
+or where no transducer reaches. Null and empty texts match no clause and get the score of such
+a document. Labels that are null, or name no document, teach nothing; if a document is labelled
+twice, each label counts. Repeated rows are scored each. Without any labels only the known list
+scores.
 """
 
 from __future__ import annotations
@@ -33,21 +38,29 @@ KNOWN = {
     grammar.INSULT: "idiot idiots moron morons stupid imbecile fool dumb loser losers scum trash worthless pathetic disgusting clown coward idiota idiotas estupido imbecil basura dummkopf idioten abschaum trottel idiote imbecile ordure stupide".split(),
     grammar.THREAT: "kill hurt destroy beat crush stab shoot murder burn töten umbringen verletzen tuer blesser détruire matar destruir golpear".split(),
     grammar.TARGET: "you your yours he she they him her them this these those that people du ihr euch sie dich tu vous toi ils elles cette ces usted ustedes ellos ellas ese esa".split(),
-    grammar.NEGATION: "not never no neither nor isn't aren't wasn't don't nicht nie kein keine pas jamais aucun ni nunca jamás".split(),
+    grammar.NEGATION: "not never no neither nor isnt arent wasnt dont wont nicht nie kein keine pas jamais aucun ni nunca jamás".split(),
     grammar.REPORT: "said says say wrote writes claimed claims reported reports quoted called sagte schrieb behauptet dit écrit affirme dijo escribió afirma".split(),
+    grammar.STRONG: "total totally complete completely utter utterly absolute such so really very völliger totaler so complètement vraiment totalmente completo muy".split(),
+    grammar.PART: "piece waste pile sack bunch stück haufen morceau tas pedazo montón".split(),
+    grammar.FILTH: "filth garbage dirt space air dreck müll saleté merde mierda suciedad".split(),
+    grammar.INTENT: "will gonna going shall must should hope wish want werde werden soll hoffe will vais va dois espère voy vas debe espero quiero".split(),
+    grammar.FATE: "die suffer rot perish drown sterben leiden verrecken mourir crever souffrir morir sufrir pudrirte".split(),
 }
-WORD = re.compile(r"[\W_]+", re.UNICODE)
-#: Words on either side of an attack that belong to its clause at most.
-REACH = 16
+#: Classes that a learned lexeme doesn't take a word out of.
+FIXED = (grammar.TARGET, grammar.NEGATION, grammar.REPORT, grammar.STRONG, grammar.INTENT)
+WORD = re.compile(r"[^\W_]+")
+APOSTROPHES = str.maketrans("", "", "'’")
+#: No transducer's memory is longer, so words further from an attack don't change it.
+REACH = sum((grammar.REPORT_SPAN, grammar.NEGATION_SPAN, 4, 4, 2))
 
 
 def fold(parts: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
 
 
-def clean(words: list[bytes]) -> list[str]:
-    """Lower-cased words without punctuation around them."""
-    return [WORD.sub("", w.decode("utf-8", "replace")).lower() if len(w) <= 200 else "" for w in words]
+def clean(run: bytes) -> list[str]:
+    """The lower-cased words of a run without ASCII white space."""
+    return WORD.findall(run.decode("utf-8", "replace").lower().translate(APOSTROPHES))
 
 
 def features(word: str) -> list[str]:
@@ -69,7 +82,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
         for batch in text_slices(batches, 1 << 20):
             codes, words, first = coded_words(batch)
             table: dict[str, int] = {}
-            by_word = [[table.setdefault(f, len(table)) for f in features(w)] for w in clean(words)]
+            by_word = [[table.setdefault(f, len(table)) for f in sorted({f for w in clean(run) for f in features(w)})] for run in words]
             doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
             pairs = np.unique(doc.astype(np.int64) * (len(words) + 1) + codes)
             d, w = np.divmod(pairs, len(words) + 1)
@@ -100,7 +113,7 @@ def pick(sample: DataFrame) -> dict[str, float]:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 4 << 20):
             codes, words, first = coded_words(batch)
-            has = [{index[f] for f in features(w) if f in index} for w in clean(words)]
+            has = [{index[f] for w in clean(run) for f in features(w) if f in index} for run in words]
             out = [sorted(set().union(*(has[c] for c in set(codes[a:b].tolist()) if has[c]))) for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.int32()))], ["toxic", "has"])
 
@@ -125,45 +138,58 @@ def pick(sample: DataFrame) -> dict[str, float]:
 
 
 def lexicon(picked: dict[str, float]):
-    """word -> (class, weight); learned lexemes first, then the known list."""
-    known = {w: (kind, 3.0) for kind, words in KNOWN.items() for w in words}
-
-    def look(word: str):
+    """word -> (class, weight). Words of a fixed class keep it; then learned lexemes count as
+    insults; then come the known insults and threats."""
+    known: dict[str, tuple[str, float]] = {}
+    for kind, words in KNOWN.items():
+        for w in words:
+            known.setdefault(w, (kind, 3.0 if kind in (grammar.INSULT, grammar.THREAT) else 1.5 if kind in grammar.ATTACKS else 0.0))
+
+    def look(word: str) -> tuple[str, float]:
+        kind, own = known.get(word, (grammar.OTHER, 0.0))
+        if kind in FIXED:
+            return kind, own
         weight = max((picked[f] for f in features(word) if f in picked), default=0.0)
-        if weight:
-            return grammar.INSULT, weight
-        return known.get(word, (grammar.OTHER, 0.0))
+        return (grammar.INSULT, max(weight, own)) if weight else (kind, own)
 
     return look
 
 
+def clauses(places: np.ndarray, first: int, end: int, stops: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of one document's runs around its attacks at ``places``: to the ends of the clause
+    or as far as the grammar reaches; spans that meet are one. words: words up to each run."""
+    k = np.searchsorted(stops, places)
+    bounds = np.r_[-1, stops, end - 1]
+    lo = np.maximum.reduce([np.full(len(k), first), bounds[k] + 1, np.searchsorted(words, words[places] - REACH)])
+    hi = np.minimum.reduce([np.full(len(k), end), bounds[k + 1] + 1, np.searchsorted(words, words[places] + REACH, "right") + 1])
+    starts = np.flatnonzero(np.r_[True, lo[1:] >= np.maximum.accumulate(hi)[:-1]])
+    yield from zip(lo[starts].tolist(), np.maximum.reduceat(hi, starts).tolist(), strict=True)
+
+
 def clause_features(batch: pa.RecordBatch, look) -> np.ndarray:
     """Per document, the summed and the largest weights of its attacks by kind."""
     codes, raw, first = coded_words(batch)
-    kinds = [look(w) for w in clean(raw)]
-    hit = np.array([k in (grammar.INSULT, grammar.THREAT) for k, _ in kinds] or [False])
+    kinds = [[look(w) for w in clean(run)] for run in raw]
+    hit = np.array([any(k in grammar.ATTACKS for k, _ in run) for run in kinds] or [False])
     stop = np.array([any(c in w for c in b".!?;:") for w in raw] or [False])
     out = np.zeros((batch.num_rows, 2 * (max(grammar.GROUPS.values()) + 1)))
     if not len(codes):
         return out
     places = np.flatnonzero(hit[codes])
     doc = np.searchsorted(first, places, "right") - 1
-    ends = np.flatnonzero(stop[codes])
-    till = -1
-    for at, d in zip(places.tolist(), doc.tolist(), strict=True):
-        if at < till:
-            continue
-        k = int(np.searchsorted(ends, at))
-        lo = max(int(first[d]), at - REACH, int(ends[k - 1]) + 1 if k else 0)
-        till = min(int(first[d + 1]), at + REACH + 1, int(ends[k]) + 1 if k < len(ends) else len(codes))
-        clause = [kinds[c] for c in codes[lo:till].tolist()]
-        _, written = grammar.CLAUSE.best([s for s, _ in clause], lambda i, s, c=clause: c[i][1] if s in grammar.GROUPS else 0.0)
-        for (_, weight), s in zip(clause, written, strict=True):
-            if s in grammar.GROUPS:
-                g = 2 * grammar.GROUPS[s]
-                out[d, g] += weight
-                out[d, g + 1] = max(out[d, g + 1], weight)
-    out[:, ::2] = np.log1p(out[:, ::2])
+    stops = np.flatnonzero(stop[codes])
+    upto = np.cumsum(np.array([len(run) for run in kinds])[codes])
+    for d in np.unique(doc).tolist():
+        own = places[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
+        for lo, hi in clauses(own, int(first[d]), int(first[d + 1]), stops, upto):
+            clause = [symbol for c in codes[lo:hi].tolist() for symbol in kinds[c]]
+            _, written, arcs = grammar.CLAUSE.best([s for s, _ in clause])
+            for (_, weight), s, arc in zip(clause, written, arcs, strict=True):
+                if s in grammar.GROUPS:
+                    g = 2 * grammar.GROUPS[s]
+                    out[d, g] += weight + arc
+                    out[d, g + 1] = max(out[d, g + 1], weight + arc)
+    out[:, ::2] = np.log1p(np.maximum(out[:, ::2], 0))
     return out
 
 

@@ -315,12 +315,41 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymise(empty, key).count() == 0 and pii.pseudonymise(docs, key, found=None).columns == docs.columns
 
 
-def test_grammar():
-    def kinds(*symbols):
-        return [s for s in grammar.CLAUSE.best(list(symbols), lambda _, __: 0.0)[1] if s in grammar.GROUPS]
+def kinds(*symbols):
+    return [s for s in grammar.CLAUSE.best(list(symbols))[1] if s in grammar.GROUPS]
+
 
+def test_grammar():
     assert kinds("o", "i") == ["i"] and kinds("t", "o", "i") == ["d"] and kinds("t", "o", "o", "o", "o", "i") == ["i"]
-    assert kinds("n", "i") == ["N"] and kinds("r", "o", "t", "i") == ["dR"] and kinds("h", "t") == ["h"] and kinds("t", "h") == ["D"]
+    assert kinds("x", "i") == ["I"] and kinds("p", "o", "b") == ["I"] and kinds("p", "o", "o", "b") == [] and kinds("b") == [] and kinds("t", "p", "o", "b") == ["d"]
+    assert kinds("h") == ["h"] and kinds("m", "o", "h") == ["H"] and kinds("m", "t", "f") == ["D"] and kinds("f") == [] and kinds("m", "n", "h") == ["N"]
+    assert kinds("i", "o", "t") == ["d"] and kinds("i", "o", "o", "o", "t") == ["i"] and kinds("h", "t") == ["D"]
+    assert kinds("n", "i") == ["N"] and kinds("r", "o", "t", "i") == ["R"] and kinds("n", "r", "i") == ["N"] and kinds("r", "i", *"o" * 9, "i") == ["R", "i"]
+
+
+def test_grammar_takes_the_heaviest_of_all_paths():
+    rng = random.Random(5)
+    for _ in range(300):
+        symbols = [rng.choice(grammar.CLASSES) for _ in range(rng.randint(1, 9))]
+        weight, written, arcs = grammar.CLAUSE.best(symbols)
+        every = grammar.CLAUSE.paths(symbols)
+        assert abs(weight - max(w for w, _ in every)) < 1e-9 and abs(sum(arcs) - weight) < 1e-9
+        assert any(outs == written and abs(w - weight) < 1e-9 for w, outs in every)
+
+
+def test_what_lies_beyond_the_grammars_reach_changes_nothing():
+    rng = random.Random(6)
+    for _ in range(100):
+        near = [rng.choice("oonrtxpm") for _ in range(toxicity.REACH)]
+        far = [rng.choice("nrtxpm") for _ in range(5)]
+        whole, cut = grammar.CLAUSE.best([*far, *near, "i"]), grammar.CLAUSE.best([*near, "i"])
+        assert (whole[1][-1], round(whole[2][-1], 9)) == (cut[1][-1], round(cut[2][-1], 9))
+
+
+def test_clauses_cover_attacks_once():
+    # runs 0..99 of one document, attacks at 10, 12 and 80, a stop at 11
+    spans = list(toxicity.clauses(np.array([10, 12, 80]), 0, 100, np.array([11]), np.arange(1, 101)))
+    assert spans[0][1] == 12 and spans[1][0] == 12 and len(spans) == 3 and spans[2][0] > spans[1][1]
 
 
 def labelled(spark, n=400):
@@ -341,6 +370,9 @@ def test_toxicity_held_out(spark, empty):
     model = toxicity.learn(docs, labels.where(toxicity.fold(5) != 0))
     rows = toxicity.score(docs, model).join(labels, "doc_id", "left").where(toxicity.fold(5) == 0).collect()
     assert rows and all(r["predicted"] == r["toxic"] for r in rows if r["toxic"] is not None)
+    glued = "dies\u00a0ist\u00a0" * 60 + "zorgax" + "\u00a0lang" * 60  # one run of over 200 bytes
+    hard = spark.createDataFrame([(1, "ruhig " + glued), (2, "ruhig " + glued.replace("zorgax", "leise")), (3, "a" * 200_000)], "doc_id long, text string")
+    assert [r["predicted"] for r in toxicity.score(hard, model).orderBy("doc_id").collect()] == [1, 0, 0]
     odd = toxicity.score(docs.where("doc_id >= 400"), model).collect()
     assert len(odd) == 2 and all(r["predicted"] == 0 for r in odd)
     untaught = toxicity.learn(empty, labels.limit(0))
