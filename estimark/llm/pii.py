@@ -17,11 +17,14 @@ import datetime
 import functools
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: The session's setting that holds the secret key.
+KEY_SETTING = "spark.estimark.pseudonyms.key"
 ROUNDS = 8
 KINDS = ["email", "iban", "card", "phone", "ssn", "ip", "date", "secret"]
 
@@ -125,8 +128,9 @@ def phone(key: bytes, text: str) -> str | None:
     d = digits_of(text)
     if not 10 <= len(d) <= 15:
         return None
-    code = len(d) - 10 if text.startswith("+") else 0
-    return refill(text, d[:code] + permute_digits(key, "phone" + d[:code], d[code:], lambda x: x[0] not in "01" or d[code] in "01"))
+    # the last ten digits alone decide, so a number is linked with and without its country's code
+    code = len(d) - 10
+    return refill(text, d[:code] + permute_digits(key, "phone", d[code:], lambda x: x[0] not in "01" or d[code] in "01"))
 
 
 def ssn(key: bytes, text: str) -> str | None:
@@ -148,7 +152,9 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 
 def date(key: bytes, text: str) -> str | None:
-    """Dates of 1900 to 2099: year-month-day, or day first (month first where only that fits)."""
+    """Dates of 1900 to 2099: year-month-day, or day first (month first where only that fits).
+    The day itself is permuted, so it is linked in all ways of writing it; the pseudonym is
+    written as the original was, month first if it was so, whatever its day."""
     sep = next(c for c in text if not c.isdigit())
     p = text.split(sep)
     order = (0, 1, 2) if len(p[0]) == 4 else (2, 1, 0) if int(p[1]) <= 12 else (2, 0, 1)
@@ -158,21 +164,21 @@ def date(key: bytes, text: str) -> str | None:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-
-    def swapped(x: int) -> bool:  # month-first dates stay readable as such only with days over 12
-        return order == (2, 0, 1) and datetime.date.fromordinal(FIRST_DAY + x).day <= 12
-
-    new = datetime.date.fromordinal(FIRST_DAY + feistel(key, "date", LAST_DAY - FIRST_DAY + 1).permute(day - FIRST_DAY, lambda x: not swapped(x)))
+    new = datetime.date.fromordinal(FIRST_DAY + feistel(key, "date", LAST_DAY - FIRST_DAY + 1).permute(day - FIRST_DAY))
     fields = dict(zip(order, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"), strict=True))
     return sep.join(fields[k] for k in range(3))
 
 
 def email(key: bytes, text: str) -> str | None:
+    """Name and host by permutations of their own; the top-level domain stays. Addresses and
+    hosts are linked whatever the case of the host's letters."""
     name, _, host = text.rpartition("@")
+    labels, _, top = host.rpartition(".")
     new = name
     for tweak, alphabet in (("a", LOWER), ("A", UPPER), ("0", DIGITS)):
         new = permute_symbols(key, "email" + tweak + host.lower(), new, alphabet)
-    return f"{new}@{host}"
+    hidden = permute_symbols(key, "host0", permute_symbols(key, "host", labels.lower(), LOWER), DIGITS)
+    return f"{new}@{hidden}.{top}"
 
 
 def secret(key: bytes, text: str) -> str | None:
@@ -257,9 +263,19 @@ def replace(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return "".join([*out, text[done:]]), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"estimark pseudonyms", found: str | None = "pii") -> DataFrame:
-    """``docs`` with ``text`` replaced and, if ``found`` is given, a map of that name (which
-    ``docs`` must not have) from kind to number of findings."""
+def key_of(spark: SparkSession) -> bytes:
+    """The secret key that the session's setting ``KEY_SETTING`` holds. Where there is none, a
+    new one that nobody knows: values are then linked in this run, and never again."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return key.encode() if key else secrets.token_bytes(32)
+
+
+def pseudonymise(docs: DataFrame, key: bytes, found: str | None = "pii") -> DataFrame:
+    """``docs`` with ``text`` replaced under the secret ``key`` and, if ``found`` is given, a map
+    of that name (which ``docs`` must not have) from kind to number of findings."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
+    key = hashlib.sha256(key).digest()
     if found in docs.columns:
         raise ValueError(f"there is a column {found} already")
     names, types = docs.columns, dict(docs.dtypes)

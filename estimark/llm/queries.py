@@ -22,7 +22,7 @@ def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
     found = [F.coalesce(F.col("pii")[kind], F.lit(0)).alias(f"n_{kind}") for kind in pii.KINDS]
     return docs.select("doc_id", "text", *found)
 

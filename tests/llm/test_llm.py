@@ -315,6 +315,32 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymise(empty, key).count() == 0 and pii.pseudonymise(docs, key, found=None).columns == docs.columns
 
 
+def test_pseudonyms_link_equal_values():
+    rng = random.Random(3)
+    for _ in range(200):
+        y, m, d = rng.randint(1950, 2050), rng.randint(1, 12), rng.randint(13, 28)
+        iso = pii.date(b"k", f"{y}-{m:02d}-{d:02d}")
+        assert "/".join(reversed(iso.split("-"))) == pii.date(b"k", f"{d:02d}/{m:02d}/{y}")
+        month_first = pii.date(b"k", f"{m:02d}/{d:02d}/{y}").split("/")
+        assert [month_first[2], month_first[0], month_first[1]] == iso.split("-")
+    one, other = pii.phone(b"k", "+1 386 555 3733"), pii.phone(b"k", "386-555-3733")
+    assert pii.digits_of(one)[1:] == pii.digits_of(other) and one.startswith("+1 ")
+    days = {pii.date(b"k", f"2024-{m:02d}-{d:02d}") for m in range(1, 13) for d in range(1, 29)}
+    assert len(days) == 12 * 28
+    a, b = pii.email(b"k", "ann.bee@firm.example.org"), pii.email(b"k", "joe@firm.example.org")
+    assert a.endswith(".org") and "firm" not in a and a.split("@")[1] == b.split("@")[1] and re.fullmatch(r"[a-z]{3}\.[a-z]{3}@[a-z]{4}\.[a-z]{7}\.org", a)
+    assert pii.date(b"k", "2024-02-29") != pii.date(b"other", "2024-02-29")
+
+
+def test_pseudonyms_need_a_key(spark, docs):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, b"")
+    spark.conf.set(pii.KEY_SETTING, "secret")
+    assert pii.key_of(spark) == b"secret"
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.key_of(spark) != pii.key_of(spark)
+
+
 def kinds(*symbols):
     return [s for s in grammar.CLAUSE.best(list(symbols))[1] if s in grammar.GROUPS]
 
