@@ -41,7 +41,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return counted(pii.pseudonymise(docs, found=None), docs.columns)
+    return counted(pii.pseudonymise(docs, pii.key_of(spark), found=None), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
