@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from estimark.plans import lifecycle, places, scores, texts
+from estimark.plans import lifecycle, places, raw, sale, scores, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plan in (scores, places, lifecycle, texts):
+for _plan in (scores, places, lifecycle, texts, raw, sale):
     QUERIES |= _plan.QUERIES
     ORACLE_SQL |= _plan.ORACLE_SQL
