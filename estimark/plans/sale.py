@@ -12,8 +12,8 @@ from estimark.settings import Settings
 
 #: Sales over the listings: what differs, as SQL that both engines read.
 SALE = {
-    "rent_mo": "CAST(NULL AS INT)", "ask_psqm": "CASE WHEN id % 50 = 7 THEN CAST(300 AS DOUBLE) ELSE CAST(CAST(FLOOR(ask_psqm * 90) AS INT) AS DOUBLE) END",
-    "price": "CAST(CASE WHEN id % 50 = 7 THEN 300 ELSE CAST(FLOOR(ask_psqm * 90) AS INT) END * coalesce(sqm, 50) AS INT)",
+    "rent_mo": "CAST(NULL AS INT)", "ask_psqm": "CASE WHEN id % 50 = 7 THEN CAST(300 AS DOUBLE) ELSE CAST(CAST(FLOOR(ask_psqm * 220) AS INT) AS DOUBLE) END",
+    "price": "CAST(CASE WHEN id % 50 = 7 THEN 300 ELSE CAST(FLOOR(ask_psqm * 220) AS INT) END * coalesce(sqm, 50) AS INT)",
 }
 EXTRA = {
     "compr_mid": "CASE WHEN id % 19 = 0 THEN NULL ELSE CAST(3000 + id % 7 * 500 AS DOUBLE) END", "compr_max": "CASE WHEN id % 19 = 0 THEN NULL ELSE CAST(3300 + id % 7 * 550 AS DOUBLE) END", "loc_mid": "omi_mid",
