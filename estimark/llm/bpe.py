@@ -47,6 +47,8 @@ def id_to_piece(path: str) -> tuple[pa.Array, pa.Array]:
 def encode_words(words: list[bytes], path: str) -> list[bytes]:
     """Ids of each word as packed unsigned 16-bit numbers; a word holds no ASCII white space."""
     tok = tokenizer(path)
+    if tok.get_vocab_size(with_added_tokens=True) > 1 << 16:
+        raise ValueError("the tokenizer has more ids than 16 bits hold")
     out = []
     for at in range(0, len(words), WORDS_A_CALL):
         part = [w.decode("utf-8", "replace") for w in words[at : at + WORDS_A_CALL]]

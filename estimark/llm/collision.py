@@ -72,7 +72,7 @@ class Shard:
                     stay.append(q)
             active = np.array(stay, np.int64)
             half *= 1.25
-        self.half = 0.8 * float(np.median(ended))  # where the next block's windows begin
+        self.half = 0.8 * float(np.median(ended))  # where the next block's windows begin; blocks come in a fixed order
         return best
 
     def verify(self, q: int, query: np.ndarray, hit: np.ndarray, done: np.ndarray, best: list, k: int) -> None:
@@ -139,7 +139,8 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, vec_id: str = "ve
                     ["query_id", "vec_id", "score"],
                 )
 
-    both = index.unionByName(ask).repartition("shard").sortWithinPartitions("shard", "part")
+    # in one order whatever the input's, so that a task that runs again finds the same
+    both = index.unionByName(ask).repartition("shard").sortWithinPartitions("shard", "part", "vec_id", F.xxhash64("v"))
     found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -152,8 +152,41 @@ def test_packing(spark, docs, empty, texts):
 def test_neighbours_share_words():
     codes = np.array([0, 1, 2, 0, 1, 3, 4, 5, 6, 4, 5, 7])
     index = packing.Index(codes, np.array([0, 3, 6, 9, 12]), 8)
-    assert index.neighbours(0, np.array([False, True, True, True])) == [1]
-    assert index.neighbours(2, np.array([True, True, False, True])) == [3]
+    assert list(index.neighbours(0, np.array([False, True, True, True]))) == [1]
+    assert list(index.neighbours(2, np.array([True, True, False, True]))) == [3]
+
+
+def test_all_neighbours_come_best_first():
+    # 200 documents share words 0..2 with the seed and have one of their own; document d repeats word 0
+    docs = [[0, 1, 2]] + [[0] * (1 + d % 5) + [1, 2, 10 + d] for d in range(200)] + [[500 + d] for d in range(2000)]
+    first = np.cumsum([0, *map(len, docs)])
+    index = packing.Index(np.concatenate(docs), first, 3000)
+    unused = np.ones(len(docs), bool)
+    unused[0] = False
+    found = list(index.neighbours(0, unused))
+    assert sorted(found) == list(range(1, 201))
+    weights = np.zeros(len(docs))
+    for w in range(3):
+        np.add.at(weights, index.posted[index.at[w] : index.at[w + 1]], index.weight[index.at[w] : index.at[w + 1]])
+    assert all(weights[a] >= weights[b] - 1e-6 for a, b in zip(found[:-1], found[1:]))
+
+
+def test_copies_are_neighbours_though_their_words_are_common():
+    docs = [[d, 30, 31] for d in (0, 1)] + [[5, 6, 7, 8]] * 40 + [[9, 10, 11]] * 40
+    index = packing.Index(np.concatenate(docs), np.cumsum([0, *map(len, docs)]), 32)
+    unused = np.ones(len(docs), bool)
+    unused[2] = False
+    assert set(index.neighbours(2, unused)) == set(range(3, 42))
+
+
+def test_more_ids_than_16_bits(monkeypatch):
+    class Large:
+        def get_vocab_size(self, with_added_tokens):
+            return (1 << 16) + 1
+
+    monkeypatch.setattr(bpe, "tokenizer", lambda path: Large())
+    with pytest.raises(ValueError):
+        bpe.encode_words([b"x"], "any")
 
 
 def test_language_model_counts(spark, docs, empty, texts):
