@@ -35,7 +35,7 @@ WORDS = 5
 #: that are compared at once. ``RECALL`` counts on buckets that take all levels.
 RATE, LEVELS, BUCKET = 2.0, 3, 128
 #: Sets of two blocks that are compared at once.
-TILE = 1024
+TILE = 512
 RECALL = 0.9997
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - math.exp(-RATE)) ** LEVELS))
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
@@ -91,7 +91,7 @@ def sampled_sets(docs: DataFrame, least: float) -> DataFrame:
     pick = pa.list_(pa.struct([("run", pa.int32()), ("token", pa.int64())]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 4 << 20):
+        for batch in text_slices(batches, 2 << 20):
             all_, first = shingles(batch)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
             bound = np.minimum(RATE / (least * np.maximum(1, np.diff(first))), 1.0)
@@ -153,7 +153,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set, copies, shingles) for the ``wanted`` (doc_id, set, copies) rows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 4 << 20):
+        for batch in text_slices(batches, 2 << 20):
             all_, first = shingles(batch)
             ids = [set_id(all_[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
             good = [k for k, w in enumerate(batch.column("set").to_pylist()) if ids[k] == w]
@@ -180,7 +180,7 @@ def similar(a: list[np.ndarray], b: list[np.ndarray] | None, least: float) -> tu
     n = len(a)
     inter = np.zeros((n, n if b is None else len(b)), np.float32)
     columns = int(column[-1]) + 1 if len(column) else 0
-    width = min(max(256, (8 << 20) // len(sets)), columns)
+    width = min(max(256, (2 << 20) // len(sets)), columns)
     for lo in range(0, columns, max(1, width)):
         p, q = np.searchsorted(column, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)

@@ -35,6 +35,8 @@ from estimark.llm.common import ranges, scrambled, span_hashes, text_bytes, text
 LENGTH, SEED_BYTES = 400, 64
 #: Bytes of the segments that one task merges at once, and of an anchor's segments at most.
 MERGE_BYTES = 1 << 20
+#: Bytes of texts that one task looks at at once; its arrays take about 70 times as much.
+SLICE_BYTES = 1 << 20
 #: Windows of the pieces that hot segments are cut to, as shares of ``length``, level by level.
 SHARES = (4, 40)
 
@@ -85,7 +87,7 @@ def corpus_segments(docs: DataFrame, length: int) -> DataFrame:
     the anchor at byte ``at``; ``segment`` is the hash of all their bytes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 4 << 20):
+        for batch in text_slices(batches, SLICE_BYTES):
             data, offsets = text_bytes(batch.column("text"))
             first, last, at, anchor = segments(data, offsets, length)
             doc = np.searchsorted(offsets, first, "right") - 1
@@ -107,7 +109,7 @@ def bodies(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     core is the anchor."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 4 << 20):
+        for batch in text_slices(batches, SLICE_BYTES):
             data, offsets = text_bytes(batch.column("text"))
             lists = batch.column("list")
             owner = np.repeat(np.arange(batch.num_rows), np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]))
@@ -129,7 +131,7 @@ def narrower(wide: DataFrame, length: int, windows: int, with_body: bool) -> Dat
     hold. Without bodies, (core, copies, bytes)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, (4 << 20) // (length // windows), "body"):
+        for batch in text_slices(batches, SLICE_BYTES // (length // windows), "body"):
             data, offsets = text_bytes(batch.column("body"))
             first, at, copies = (batch.column(c).to_numpy() for c in ("first", "at", "copies"))
             last = first + np.diff(offsets) - length
