@@ -8,7 +8,7 @@ P(class | state) times P(word | class, state) for frequent words, and P(class |
 share by counts for the others. Counts cover every training document.
 
 The recurrent layer is a minimal gated unit in numpy. Workers train on their share of the
-training documents, all of them in each of ``ROUNDS`` rounds, by truncated backpropagation, and
+training documents, all of them in each of the rounds, by truncated backpropagation, and
 their weights are averaged after each round; the number of workers grows with the corpus. In scoring, many documents
 run side by side in windows and each one's state is carried on from window to window.
 
@@ -35,8 +35,9 @@ ALL_CLASSES = CLASSES + 2 * ENDINGS
 #: Inputs: frequent words (the end token is one of them), then the classes of the others.
 INPUTS = FREQUENT + 2 * ENDINGS
 SMOOTH, UNSEEN_SHARE = 0.1, 0.5
-ROUNDS, RATES, WORKER_DOCS = 3, (0.01, 0.005, 0.002), 500
-STREAMS, WINDOW, SCORE_STREAMS, SCORE_WINDOW = 32, 20, 256, 32
+#: Rates of the rounds, each over all training documents, and documents a worker.
+RATES, WORKER_DOCS = (0.01,), 4000
+STREAMS, WINDOW, SCORE_STREAMS, SCORE_WINDOW = 128, 24, 256, 32
 END = b""
 #: Bytes of documents' input indexes (two each) that are scored at once.
 SLICE_BYTES = 4 << 20
@@ -89,12 +90,18 @@ class Model:
         with ``grad``, adds to it and returns the gradient by the states, too."""
         w = self.w
         cls = np.where(ids < FREQUENT, ids // CLASS_SIZE, ids - FREQUENT + CLASSES)
-        logits = h @ w["wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
+        # in the order of classes, so that each class's rows are neighbours
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
+        h, ids, cls = h[order], ids[order], cls[order]
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        p = h @ w["wc"]
+        p += w["bc"]
+        p -= p.max(1, keepdims=True)
         row = np.arange(len(ids))
-        out = logits[row, cls] - np.log(total)
+        out = p[row, cls]
+        np.exp(p, out=p)
+        total = p.sum(1)
+        out -= np.log(total)
         dh = None
         if grad is not None:
             p /= total[:, None]
@@ -102,32 +109,38 @@ class Model:
             grad["wc"] += h.T @ p
             grad["bc"] += p.sum(0)
             dh = p @ w["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at):
+            a, b = cuts[c], cuts[c + 1]
+            if a == b:
                 continue
-            own, x = ids[at] - c * CLASS_SIZE, h[at]
-            z = x @ w["ww"][c] + w["bw"][c]
+            x, k = h[a:b], np.arange(b - a)
+            own = ids[a:b] - c * CLASS_SIZE
+            z = x @ w["ww"][c]
+            z += w["bw"][c]
             z -= z.max(1, keepdims=True)
-            q = np.exp(z)
-            total = q.sum(1)
-            k = np.arange(len(at))
-            out[at] += z[k, own] - np.log(total)
+            out[a:b] += z[k, own]
+            np.exp(z, out=z)
+            total = z.sum(1)
+            out[a:b] -= np.log(total)
             if grad is not None:
-                q /= total[:, None]
-                q[k, own] -= 1
-                grad["ww"][c] += x.T @ q
-                grad["bw"][c] += q.sum(0)
-                dh[at] += q @ w["ww"][c].T
-        return (out, dh) if grad is not None else out
-
-
-def streams_of(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+                z /= total[:, None]
+                z[k, own] -= 1
+                grad["ww"][c] += x.T @ z
+                grad["bw"][c] += z.sum(0)
+                dh[a:b] += z @ w["ww"][c].T
+        back = np.empty_like(out)
+        back[order] = out
+        if grad is None:
+            return back
+        moved = np.empty_like(dh)
+        moved[order] = dh
+        return back, moved
+
+
+def streams_of(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Deals sequences out to n streams, longest first, each to the shortest stream in turn.
-    Returns for each stream and step the position in the concatenation (-1: none), and
-    whether a sequence begins there."""
+    Returns for each stream (the longest first) and step the position in the concatenation
+    (-1: none), whether a sequence begins there, and for each step how many streams go on."""
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
     load, lists = np.zeros(n, np.int64), [[] for _ in range(n)]
@@ -136,73 +149,86 @@ def streams_of(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         for s, k in zip(np.argsort(load, kind="stable"), part, strict=False):
             lists[s].append(k)
             load[s] += lengths[k]
+    rank = np.argsort(-load, kind="stable")
     place = np.full((int(load.max(initial=0)), n), -1, np.int64)
     begins = np.zeros(place.shape, bool)
-    for s, own in enumerate(lists):
+    for s, own in enumerate(rank):
         at = 0
-        for k in own:
+        for k in lists[own]:
             place[at : at + lengths[k], s] = np.arange(starts[k], starts[k] + lengths[k])
             begins[at, s] = True
             at += lengths[k]
-    return place, begins
+    return place, begins, (place >= 0).sum(1)
 
 
 def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log of P(class or frequent word | all tokens before) for each token of the
     concatenated documents."""
     n = min(SCORE_STREAMS, max(1, len(lengths)))
-    place, begins = streams_of(lengths, n)
+    place, begins, going = streams_of(lengths, n)
     out = np.zeros(len(ids), np.float32)
     h = np.zeros((n, HIDDEN), np.float32)
     states = np.empty((SCORE_WINDOW, n, HIDDEN), np.float32)
     for at in range(0, len(place), SCORE_WINDOW):
-        where = place[at : at + SCORE_WINDOW]
+        n = going[at]
+        where = place[at : at + SCORE_WINDOW, :n]
         x = ids[np.maximum(where, 0)]
         for t in range(len(where)):
-            h[begins[at + t]] = 0
-            states[t] = h
-            h = model.step(h, x[t])[0]
+            k = going[at + t]
+            h[:k][begins[at + t, :k]] = 0
+            states[t, :k] = h[:k]
+            h[:k] = model.step(h[:k], x[t, :k])[0]
         live = where >= 0
-        out[where[live]] = model.outputs(states[: len(where)][live], x[live])
+        out[where[live]] = model.outputs(states[: len(where), :n][live], x[live])
     return out
 
 
+def gradients(model: Model, x: np.ndarray, begin: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Gradients of minus the summed log probability over a window of streams (steps x streams),
+    by backpropagation to the window's beginning; the log probabilities of its live places and
+    the states after it."""
+    w, (steps, n) = model.w, x.shape
+    kept, hs = [], np.empty((steps, n, HIDDEN), h.dtype)
+    for t in range(steps):
+        h = np.where(begin[t][:, None], h.dtype.type(0), h)
+        hs[t] = h
+        h, f, r, g = model.step(h, x[t])
+        kept.append((f, r, g))
+    grad = {k: np.zeros_like(v) for k, v in w.items()}
+    out, dlive = model.outputs(hs[live], x[live], grad)
+    dh_out = np.zeros_like(hs)
+    dh_out[live] = dlive
+    dh, da = np.zeros_like(h), np.empty((steps, n, 2 * HIDDEN), h.dtype)
+    for t in range(steps - 1, -1, -1):
+        f, r, g = kept[t]
+        hp = hs[t]
+        dg = dh * f * (1 - g * g)
+        grad["ug"] += r.T @ dg
+        dr = dg @ w["ug"].T
+        df = (dh * (g - hp) + dr * hp) * f * (1 - f)
+        grad["uf"] += hp.T @ df
+        da[t, :, :HIDDEN], da[t, :, HIDDEN:] = df, dg
+        dh = (dh * (1 - f) + dr * f + df @ w["uf"].T + dh_out[t]) * ~begin[t][:, None]
+    order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+    own = x.ravel()[order]
+    begins_at = np.flatnonzero(np.diff(own, prepend=-1))
+    grad["inputs"][own[begins_at]] = np.add.reduceat((da * live[:, :, None]).reshape(-1, 2 * HIDDEN)[order], begins_at)
+    return grad, out, h
+
+
 def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rate: float) -> Model:
-    """One pass of truncated backpropagation over the documents, with Adam steps."""
+    """One pass of truncated backpropagation over the documents, with Adam steps that shrink to a
+    tenth of ``rate``."""
     w = {k: v.copy() for k, v in model.w.items()}
     model = Model(w)
-    place, begins = streams_of(lengths, STREAMS)
-    h = np.zeros((STREAMS, HIDDEN), np.float32)
+    place, begins, going = streams_of(lengths, min(STREAMS, max(1, len(lengths))))
+    h = np.zeros((place.shape[1], HIDDEN), np.float32)
     m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     for step, at in enumerate(range(0, len(place), WINDOW), 1):
-        where, begin = place[at : at + WINDOW], begins[at : at + WINDOW]
-        x, steps = ids[np.maximum(where, 0)], len(where)
-        kept, hs = [], np.empty((steps, STREAMS, HIDDEN), np.float32)
-        for t in range(steps):
-            h = np.where(begin[t][:, None], np.float32(0), h)
-            hs[t] = h
-            h, f, r, g = model.step(h, x[t])
-            kept.append((f, r, g))
+        n = going[at]
+        where = place[at : at + WINDOW, :n]
         live = where >= 0
-        grad = {k: np.zeros_like(v) for k, v in w.items()}
-        _, dlive = model.outputs(hs[live], x[live], grad)
-        dh_out = np.zeros_like(hs)
-        dh_out[live] = dlive
-        dh, da = np.zeros_like(h), np.empty((steps, STREAMS, 2 * HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            f, r, g = kept[t]
-            hp = hs[t]
-            dg = dh * f * (1 - g * g)
-            grad["ug"] += r.T @ dg
-            dr = dg @ w["ug"].T
-            df = (dh * (g - hp) + dr * hp) * f * (1 - f)
-            grad["uf"] += hp.T @ df
-            da[t, :, :HIDDEN], da[t, :, HIDDEN:] = df, dg
-            dh = (dh * (1 - f) + dr * f + df @ w["uf"].T + dh_out[t]) * ~begin[t][:, None]
-        order = np.argsort(x.ravel(), kind="stable")
-        own = x.ravel()[order]
-        begins_at = np.flatnonzero(np.diff(own, prepend=-1))
-        grad["inputs"][own[begins_at]] = np.add.reduceat((da * live[:, :, None]).reshape(-1, 2 * HIDDEN)[order], begins_at)
+        grad, _, h = gradients(model, ids[np.maximum(where, 0)], begins[at : at + WINDOW, :n], live, h[:n])
         tokens = max(1, int(live.sum()))
         norm = np.sqrt(sum(float(np.vdot(v, v)) for v in grad.values())) / tokens
         scale = min(1.0, 1.0 / max(norm, 1e-9)) / tokens
@@ -219,7 +245,7 @@ def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rate: float) -> Mo
             np.sqrt(v, out=v)
             v += 1e-8
             np.divide(m1[k], v, out=v)
-            v *= rate / (1 - 0.9**step)
+            v *= rate * (1 - 0.9 * at / len(place)) / (1 - 0.9**step)
             w[k] -= v
     return model
 
@@ -244,13 +270,13 @@ def indexes(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(coded: DataFrame, model: Model) -> Model:
-    """Weights after ROUNDS rounds of training on all of ``coded`` (worker, ids). A task adds
+    """Weights after the rounds of training on all of ``coded`` (worker, ids). A task adds
     up its workers' weights, so one model leaves each task."""
     parts, size = 64, len(flat(model))
     bounds = np.linspace(0, size, parts + 1).astype(int)
     dealt = written(coded.repartition("worker").sortWithinPartitions("worker"))
 
-    for rate in RATES[:ROUNDS]:
+    for rate in RATES:
         now = model
 
         def work(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:

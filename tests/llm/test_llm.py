@@ -220,15 +220,41 @@ def test_state_is_carried_over_windows(monkeypatch):
     assert np.allclose(whole, lm.log_probabilities(model, ids, lengths), atol=1e-4)
 
 
-def test_gradients():
+def test_gradients_equal_finite_differences():
     rng = np.random.default_rng(1)
-    model = lm.Model.fresh(np.ones(lm.ALL_CLASSES), np.ones(lm.FREQUENT))
-    ids = np.tile(rng.integers(0, 40, 10).astype(np.int32), 60)
-    lengths = np.full(30, 20)
-    before = lm.log_probabilities(model, ids, lengths).mean()
-    for _ in range(4):
-        model = lm.train(model, ids, lengths, 0.01)
-    assert lm.log_probabilities(model, ids, lengths).mean() > before + 1
+    model = lm.Model.fresh(np.arange(1, lm.ALL_CLASSES + 1), np.arange(1, lm.FREQUENT + 1))
+    model = lm.Model({k: v.astype(np.float64) + 0.3 * rng.standard_normal(v.shape) for k, v in model.w.items()})
+    x = rng.choice([3, 70, 71, lm.FREQUENT + 1, lm.INPUTS - 1], (7, 4)).astype(np.int32)
+    begin, live = rng.random((7, 4)) < 0.2, rng.random((7, 4)) < 0.9
+    h = rng.standard_normal((4, lm.HIDDEN))
+    loss = lambda: -lm.gradients(model, x, begin, live, h)[1].sum()
+    grad = lm.gradients(model, x, begin, live, h)[0]
+    for name, values in model.w.items():
+        flat, own = values.reshape(-1), grad[name].reshape(-1)
+        # a few of the places that the window touches, and some that it may not
+        for at in [*np.argsort(-np.abs(own))[:6].tolist(), *rng.integers(0, len(flat), 6).tolist()]:
+            was, eps = flat[at], 1e-5
+            flat[at] = was + eps
+            up = loss()
+            flat[at] = was - eps
+            down = loss()
+            flat[at] = was
+            assert abs((up - down) / (2 * eps) - own[at]) < 1e-5 * max(1, abs(own[at])), name
+
+
+def test_training_helps_unseen_documents(spark):
+    """Words follow one another by a rule, so the recurrent model must beat the counts."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(1500):
+        at, out = rng.randrange(40), []
+        for _ in range(60):
+            out.append(f"w{at}")
+            at = (at * 7 + 3 + (rng.random() < 0.1)) % 40
+        rows.append((k, " ".join(out)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lm.score(docs, F.col("doc_id") % 10 == 0).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert found[0] > found[1] + 0.3 * found[2]
 
 
 def test_probabilities_sum_to_one():
