@@ -28,3 +28,10 @@ def due(users: DataFrame, hour: int) -> DataFrame:
 def ready(found: DataFrame, least: str = "min_new_listings") -> DataFrame:
     """Rules with at least as many distinct listings as they ask for."""
     return found.groupBy("rule_id", least).agg(F.countDistinct("id").alias("n")).where(F.col("n") >= F.coalesce(F.col(least), F.lit(1)))
+
+
+def counts(found: DataFrame) -> DataFrame:
+    """(rule_id, n_new, n_dropped): distinct listings of each rule that are new, and that are
+    cheaper."""
+    of = lambda flag: F.countDistinct(F.when(F.col(flag), F.col("id")))
+    return found.groupBy("rule_id").agg(of("is_new").alias("n_new"), of("dropped").alias("n_dropped"))
