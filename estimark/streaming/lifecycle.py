@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from estimark.operators import lifecycle
 
@@ -45,6 +47,76 @@ def guarded_upsert(read: Callable[[], DataFrame], write: Callable[[DataFrame], N
     return put
 
 
+def watch_files(spark: SparkSession, path: str, schema: str, put: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "30 seconds"):
+    """Starts a query that hands each batch of new JSON files below ``path`` to ``put``; without
+    ``every``, it stops when all that is there now has been handed over."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return spark.readStream.schema(schema).json(path).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def due_digests(stream: DataFrame, users: DataFrame, at: str, group: str, delay: str = "1 hour") -> DataFrame:
+    """(hour, user, n): active users at whose hour a group (their city) has as many new listings
+    as they ask for. users: id, city, active, send_hour, min_new."""
+    counts = hourly(stream, at, group, 1, delay).withColumnRenamed(group, "__group")
+    hit = counts.join(users.where("active"), (F.col("__group") == F.col("city")) & (F.hour("hour") == F.col("send_hour")))
+    return hit.where(F.col("n") >= F.coalesce("min_new", F.lit(1))).select("hour", F.col("id").alias("user"), "n")
+
+
+def price_changes(stream: DataFrame, key: str, at: str, price: str) -> DataFrame:
+    """(key, at, previous_price, price) whenever a listing is seen cheaper than before. The state
+    is one price a listing; within a batch sightings count in the order of their times."""
+
+    def follow(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(frames).sort_values([at, price], kind="stable")
+        before, out = (state.get[0] if state.exists else None), []
+        for when, now in zip(rows[at], rows[price], strict=True):
+            if pd.isna(now):
+                continue
+            if before is not None and now < before:
+                out.append((name[0], when, before, float(now)))
+            before = float(now)
+        if before is not None:
+            state.update((before,))
+        yield pd.DataFrame(out, columns=[key, at, "previous_price", price])
+
+    kind = dict(stream.dtypes)[key]
+    rows = timed(stream, at).select(key, at, F.col(price).cast("double").alias(price))
+    return rows.groupBy(key).applyInPandasWithState(follow, f"`{key}` {kind}, `{at}` timestamp, previous_price double, `{price}` double", "price double", "append", GroupStateTimeout.NoTimeout)
+
+
+def expiry(stream: DataFrame, key: str, at: str, stale_after: int = 7, drop_after: int = 30, delay: str = "1 hour") -> DataFrame:
+    """(key, first_seen, last_seen, status) as listings are seen, go stale (``stale_after`` days
+    without a sighting) and are dropped (``drop_after`` days). Who returns before that keeps the
+    first sighting; who returns later begins anew."""
+    day_ms = 86_400_000
+    time = lambda ms: pd.to_datetime(ms, unit="ms")
+
+    def follow(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            first, last, stale = state.get
+            if stale:
+                state.remove()
+            else:
+                state.update((first, last, True))
+                state.setTimeoutTimestamp(max(last + drop_after * day_ms, state.getCurrentWatermarkMs() + 1))
+            out = [(name[0], time(first), time(last), "dropped" if stale else "stale")]
+        else:
+            times = pd.concat(frames)[at].dropna()
+            seen_ms = [int(t.timestamp() * 1000) for t in times]
+            if not seen_ms and not state.exists:
+                return
+            first, last = (state.get[0], state.get[1]) if state.exists else (min(seen_ms), min(seen_ms))
+            first, last = min([first, *seen_ms]), max([last, *seen_ms])
+            state.update((first, last, False))
+            state.setTimeoutTimestamp(max(last + stale_after * day_ms, state.getCurrentWatermarkMs() + 1))
+            out = [(name[0], time(first), time(last), "seen")]
+        yield pd.DataFrame(out, columns=[key, "first_seen", "last_seen", "status"])
+
+    kind = dict(stream.dtypes)[key]
+    rows = timed(stream, at).select(key, at).withWatermark(at, delay)
+    return rows.groupBy(key).applyInPandasWithState(follow, f"`{key}` {kind}, first_seen timestamp, last_seen timestamp, status string", "first long, last long, stale boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_now(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> None:
     """Runs a streaming frame over all that is there, into a table in memory."""
     df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

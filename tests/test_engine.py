@@ -124,3 +124,41 @@ def test_snapshot_and_item_list(spark, tmp_path):
     assert files.item_list(page, "body").first()["item_id"] == "123"
     files.export_csv(df, str(tmp_path / "c"), ["id", "missing"])
     assert spark.read.option("header", "true").csv(str(tmp_path / "c")).columns == ["id", "missing"]
+
+
+def test_price_changes_of_a_stream(spark, tmp_path):
+    first = [(1, "2024-01-01 10:00:00", 100.0), (1, "2024-01-01 12:00:00", 90.0), (2, "2024-01-01 10:00:00", 50.0), (3, "2024-01-01 10:00:00", None)]
+    second = [(1, "2024-01-02 10:00:00", 95.0), (2, "2024-01-02 10:00:00", 40.0), (1, "2024-01-02 11:00:00", 80.0)]
+    schema = "id long, at string, price double"
+    for k, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = streams.price_changes(spark.readStream.schema(schema).json(str(tmp_path / "in")), "id", "at", "price")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    out = sorted((r["id"], r["previous_price"], r["price"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert out == [(1, 95.0, 80.0), (1, 100.0, 90.0), (2, 50.0, 40.0)]
+
+
+def test_expiry_of_a_stream(spark, tmp_path):
+    schema = "id long, at string"
+    days = [[(1, "2024-01-01"), (2, "2024-01-01")], [(2, "2024-01-20"), (9, "2024-01-20")], [(9, "2024-02-03")], [(9, "2024-02-20")], [(1, "2024-03-01"), (9, "2024-03-01")]]
+    for rows in days:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = streams.expiry(spark.readStream.schema(schema).json(str(tmp_path / "in")), "id", "at")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    out = [(r["id"], r["status"], str(r["first_seen"].date())) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert (1, "stale", "2024-01-01") in out and (1, "dropped", "2024-01-01") in out and (1, "seen", "2024-03-01") in out
+    assert (2, "seen", "2024-01-01") in out and all(first == "2024-01-01" for k, status, first in out if k == 2)
+    assert out.count((9, "seen", "2024-01-20")) == 4
+
+
+def test_watched_files_and_due_digests(spark, tmp_path):
+    rows = [(1, "2024-01-01 07:10:00", "milano"), (2, "2024-01-01 07:20:00", "milano"), (3, "2024-01-01 08:20:00", "roma")]
+    schema = "id long, at timestamp, city string"
+    spark.createDataFrame(rows, "id long, at string, city string").write.json(str(tmp_path / "in"))
+    got = []
+    streams.watch_files(spark, str(tmp_path / "in"), schema, lambda df, _: got.extend(r["id"] for r in df.collect()), str(tmp_path / "c"), None).awaitTermination()
+    assert sorted(got) == [1, 2, 3]
+    users = spark.createDataFrame([(10, "milano", True, 7, 2), (11, "milano", True, 7, 3), (12, "roma", True, 8, None), (13, "roma", False, 8, 1)], "id long, city string, active boolean, send_hour int, min_new int").withColumnRenamed("city", "city")
+    due = streams.due_digests(spark.readStream.schema(schema).json(str(tmp_path / "in")).withColumnRenamed("city", "place"), users, "at", "place")
+    due.writeStream.format("memory").queryName("due").outputMode("complete").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["user"], r["n"]) for r in spark.table("due").collect()) == [(10, 2), (12, 1)]
