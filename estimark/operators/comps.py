@@ -78,15 +78,24 @@ def radius_pairs(targets: DataFrame, pool: DataFrame, radius_m: int, key: str =
     """Pairs of points at most ``radius_m`` apart, by an equi-join on grid cells and their
     neighbours. Points are (key, lat, lng); the partner's columns have the prefix c_."""
     cell = radius_m / 111_000.0
-    grid = lambda df: df.where("lat IS NOT NULL AND lng IS NOT NULL").withColumn("gy", F.floor(F.col("lat") / cell)).withColumn("gx", F.floor(F.col("lng") / (2 * cell)))
-    pool = grid(pool)
+    # a band of latitude has cells as wide as the radius at its edge nearer to the pole; next to a pole it is one cell
+    band_edge = lambda gy: F.greatest(F.abs(gy * cell), F.abs((gy + 1) * cell))
+    wide = lambda gy: F.least(F.lit(360.0), cell / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), band_edge(gy)))), F.lit(1e-6)))
+    known = lambda df: df.where("lat IS NOT NULL AND lng IS NOT NULL").withColumn("gy", F.floor(F.col("lat") / cell)).withColumn("east", F.pmod(F.col("lng") + 180, F.lit(360.0)))
+    pool = known(pool).withColumn("gx", F.floor(F.col("east") / wide(F.col("gy"))).cast("long")).drop("east")
     pool = pool.select(*[F.col(c).alias(f"c_{c}") for c in pool.columns])
-    # a cell spans 2 * radius / cos(lat) metres in longitude at 60 degrees; neighbours cover the radius up to there
-    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    near = grid(targets).withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step)).withColumn("gy", F.col("gy") + F.col("dy")).withColumn("gx", F.col("gx") + F.col("dx"))
+    near = known(targets).withColumn("dy", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))).withColumn("gy", F.col("gy") + F.col("dy"))
+    w, e = wide(F.col("gy")), F.col("east")
+    # no point within the radius lies further east or west than this
+    reach = cell / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs("lat") + cell, band_edge(F.col("gy")))))), F.lit(1e-6)) * 1.01
+    span = lambda low, high: F.sequence(F.floor(low / w).cast("long"), F.floor(high / w).cast("long"))
+    none = F.array().cast("array<bigint>")
+    around = F.when(reach >= 180, span(F.lit(0.0), F.lit(360.0))).otherwise(F.array_distinct(F.concat(
+        span(F.greatest(e - reach, F.lit(0.0)), F.least(e + reach, F.lit(360.0))), F.when(e + reach >= 360, span(F.lit(0.0), e + reach - 360)).otherwise(none), F.when(e - reach < 0, span(e - reach + 360, F.lit(360.0))).otherwise(none))))
+    near = near.withColumn("gx", F.explode(around)).drop("east")
     pairs = near.join(pool, (F.col("gy") == F.col("c_gy")) & (F.col("gx") == F.col("c_gx")))
     distance = sc.haversine_m(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))
-    return pairs.withColumn("distance_m", F.round(distance, 3)).where((F.col("distance_m") <= radius_m) & (F.col(key) != F.col(f"c_{key}"))).drop("gy", "gx", "dy", "dx", "c_gy", "c_gx")
+    return pairs.withColumn("distance_m", F.round(distance, 3)).where((F.col("distance_m") <= radius_m) & (F.col(key) != F.col(f"c_{key}"))).drop("gy", "gx", "dy", "c_gy", "c_gx")
 
 
 def cascade(listings: DataFrame, s: Settings, sale: bool = False) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 def keyword_zone(listings: DataFrame, text: str, keywords: DataFrame, custom: DataFrame | None = None, fallback: str | None = None) -> DataFrame:
     """``listings`` with ``zone``: an exact custom mapping, else the longest keyword that the
     text contains (ties to the first), else the fallback. keywords: keyword, ord, zone."""
+    # one row that holds the keyword table; Spark broadcasts it if it is below its threshold
     words = keywords.select(F.struct(F.length("keyword").alias("n"), (-F.col("ord")).alias("o"), F.lower("keyword").alias("k"), "zone").alias("w"))
-    table = words.agg(F.sort_array(F.collect_list("w"), asc=False).alias("table"))  # one row: the table of keywords
+    table = words.agg(F.sort_array(F.collect_list("w"), asc=False).alias("table"))
     low = F.lower(text)
-    found = F.element_at(F.filter("table", lambda w: low.contains(w["k"])), 1)["zone"]
-    out = listings.crossJoin(F.broadcast(table)).withColumn("zone", F.when(F.size(F.filter("table", lambda w: low.contains(w["k"]))) > 0, found)).drop("table")
+    found = F.try_element_at(F.filter("table", lambda w: low.contains(w["k"])), F.lit(1))["zone"]
+    out = listings.crossJoin(table).withColumn("zone", found).drop("table")
     if custom is not None:
         custom = custom.select(F.lower("neighbourhood").alias("__n"), F.col("zone").alias("__z"))
         out = out.join(custom, low == F.col("__n"), "left").withColumn("zone", F.coalesce("__z", "zone")).drop("__n", "__z")
@@ -26,13 +27,20 @@ def synonyms(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
 
 
 def prefix_semi(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows of ``left`` whose value begins a value of ``right`` or begins with one.
+    """Rows of ``left`` whose value begins a value of ``right`` or begins with one. An empty
+    value begins every other.
 
-    Values meet on their first three characters, so nothing is compared with everything."""
-    head = lambda c: F.substring(F.lower(c), 1, 3)
-    x, y = F.lower(a), F.lower(F.col(f"__{b}"))
-    other = right.select(F.col(b).alias(f"__{b}")).distinct().withColumn("__head", head(f"__{b}"))
-    return left.join(other, (head(a) == F.col("__head")) & (x.startswith(y) | y.startswith(x)), "left_semi")
+    Distinct values meet on as many of their first three characters as both have, so a value
+    has four rows at most and nothing but empty values is compared with everything."""
+
+    def heads(df: DataFrame, column: str, name: str) -> DataFrame:
+        values = df.select(F.lower(column).alias(name)).where(F.col(name).isNotNull()).distinct()
+        return values.withColumn("__n", F.explode(F.sequence(F.lit(0), F.least(F.lit(3), F.length(name))))).withColumn("__head", F.substring(F.col(name), F.lit(1), F.col("__n")))
+
+    x, y = heads(left, a, "__a"), heads(right, b, "__b")
+    met = x.join(y, ["__n", "__head"]).where(F.col("__n") == F.least(F.lit(3), F.length("__a"), F.length("__b")))
+    found = met.where(F.startswith("__a", "__b") | F.startswith("__b", "__a")).select("__a").distinct()
+    return left.join(found, F.lower(a) == F.col("__a"), "left_semi")
 
 
 def first_by_priority(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -62,8 +62,8 @@ KEYWORDS = [("th", 0, "K0"), ("the", 1, "K1"), ("ation", 2, "K2"), ("licen", 3,
 
 
 def keyword_zone_lookup(spark, sf_dir):
-    """Documents' first 40 characters looked up as neighbourhood names."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 40).alias("head"))
+    """Documents' texts looked up as neighbourhood names."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("head"))
     words = spark.createDataFrame(KEYWORDS, "keyword string, ord int, zone string")
     custom = spark.createDataFrame([("de", "C1"), ("as.", "C2")], "neighbourhood string, zone string")
     return lookup.keyword_zone(docs, "head", words, custom, "CITY").select("doc_id", "zone")
@@ -108,7 +108,7 @@ SELECT id, zona, 'polygon' AS how FROM first UNION ALL SELECT id, zona, 'centroi
     "geo_scores": f"WITH {SQL}, x AS (SELECT id, " + ", ".join(f"CASE WHEN id % 13 = {n} THEN NULL ELSE CAST(id * {m} % {top} AS INT) END AS {c}" for n, (c, m, top) in enumerate([("me", 37, 2500), ("tr", 53, 1300), ("su", 71, 1300), ("pa", 29, 1900), ("un", 43, 1900)])) + """ FROM listings)
 SELECT id, CAST(least(100, CASE WHEN me <= 300 THEN 40 WHEN me <= 500 THEN 35 WHEN me <= 800 THEN 28 WHEN me <= 1200 THEN 18 WHEN me <= 2000 THEN 8 ELSE 0 END + CASE WHEN tr <= 200 THEN 15 WHEN tr <= 500 THEN 10 WHEN tr <= 1000 THEN 5 ELSE 0 END
  + CASE WHEN su <= 300 THEN 20 WHEN su <= 600 THEN 14 WHEN su <= 1000 THEN 8 ELSE 0 END + CASE WHEN pa <= 300 THEN 15 WHEN pa <= 800 THEN 10 WHEN pa <= 1500 THEN 5 ELSE 0 END + CASE WHEN un <= 500 THEN 10 WHEN un <= 1500 THEN 6 ELSE 0 END) AS INT) AS geo_score, CAST(round_even(me / 60, 0) AS INT) AS metro_walk_min FROM x""",
-    "keyword_zone_lookup": "WITH d AS (SELECT doc_id, lower(substr(text, 1, 40)) AS h FROM documents), k(w, o, z) AS (VALUES " + ", ".join(f"('{w}', {o}, '{z}')" for w, o, z in KEYWORDS) + """),
+    "keyword_zone_lookup": "WITH d AS (SELECT doc_id, lower(text) AS h FROM documents), k(w, o, z) AS (VALUES " + ", ".join(f"('{w}', {o}, '{z}')" for w, o, z in KEYWORDS) + """),
 m AS (SELECT doc_id, z, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, o) AS n FROM d JOIN k ON contains(h, w))
 SELECT d.doc_id, CASE h WHEN 'de' THEN 'C1' WHEN 'as.' THEN 'C2' ELSE coalesce(m.z, 'CITY') END AS zone FROM d LEFT JOIN m ON d.doc_id = m.doc_id AND n = 1""",
     "synonym_lookup": "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'C_' || n_name ELSE n_name END AS canonical FROM nation",

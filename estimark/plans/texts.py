@@ -21,7 +21,7 @@ def city():
 
 
 def fake_flags(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", flags.bait(F.substring("text", 1, 80), F.col("text"), city(), BAIT, SEA).alias("is_fake"))
+    return docs(spark, sf_dir).select("doc_id", flags.bait(F.col("text"), F.col("text"), city(), BAIT, SEA).alias("is_fake"))
 
 
 def fixed_word_flags(spark, sf_dir):
@@ -35,7 +35,7 @@ def corporate_signals(spark, sf_dir):
 
 
 def auction_regex(spark, sf_dir):
-    text = F.concat(F.substring("text", 1, 200), F.when(F.col("doc_id") % 7 == 0, " vendita giudiziaria").when(F.col("doc_id") % 7 == 1, " Guastalla, ascensore").when(F.col("doc_id") % 7 == 2, " In ASTA").when(F.col("doc_id") % 7 == 3, " nuda proprietà").otherwise(""))
+    text = F.concat(F.col("text"), F.when(F.col("doc_id") % 7 == 0, " vendita giudiziaria").when(F.col("doc_id") % 7 == 1, " Guastalla, ascensore").when(F.col("doc_id") % 7 == 2, " In ASTA").when(F.col("doc_id") % 7 == 3, " nuda proprietà").otherwise(""))
     auction, bare = flags.auction_or_bare(text)
     return docs(spark, sf_dir).select("doc_id", auction.alias("is_auction"), bare.alias("is_nuda"))
 
@@ -62,7 +62,7 @@ def parse_amounts(spark, sf_dir):
 
 
 def slugs(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", sc.slug(F.substring("text", 1, 60)).alias("slug"))
+    return docs(spark, sf_dir).select("doc_id", sc.slug(F.col("text")).alias("slug"))
 
 
 def json_flatten(spark, sf_dir):
@@ -89,22 +89,27 @@ def distinct_zones(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (fake_flags, fixed_word_flags, corporate_signals, auction_regex, misrep_distance, parse_floor, parse_amounts, slugs, json_flatten, feature_arrays, unmatched_counts, distinct_zones)}
 
 
+def _quoted(pattern: str) -> str:
+    """The pattern for DuckDB, whose word boundaries know ASCII letters alone."""
+    return pattern.replace(r"\basta\b|\baste\b", r"(?:^|[^\pL\pN_])ast[ae](?:[^\pL\pN_]|$)").replace("'", "''")
+
+
 def _any(text: str, words: list[str]) -> str:
     return "(" + " OR ".join("contains({}, '{}')".format(text, w.replace("'", "''")) for w in words) + ")"
 
 
-_SHOUT = "len(list_filter(string_split_regex(trim(substr(text, 1, 80)), '\\s+'), lambda w: w <> '')) >= 4 AND len(list_filter(string_split_regex(substr(text, 1, 80), '\\s+'), lambda w: length(w) > 2 AND upper(w) = w AND lower(w) <> w)) * 2 > len(list_filter(string_split_regex(substr(text, 1, 80), '\\s+'), lambda w: length(w) > 2))"
+_SHOUT = "len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) >= 4 AND len(list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 2 AND upper(w) = w AND lower(w) <> w)) * 2 > len(list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 2))"
 _F = "VALUES " + ", ".join(f"({i}, '{x}', {n}, {l})" for i, (x, n, l) in enumerate(zip(FLOORS, ["-1", "4", "0", "-2", "-2", "1", "12", "-1", "NULL", "NULL", "3", "0", "1", "NULL"], ["'Seminterrato'", "'4° piano'", "'Piano terra'", "'Interrato'", "'Interrato'", "'Piano rialzato'", "'12° piano'", "'Seminterrato'", "NULL", "NULL", "'3° piano'", "'Piano terra'", "'Piano rialzato'", "NULL"], strict=True)))  # noqa: E741
 ORACLE_SQL = {
-    "fake_flags": f"SELECT doc_id, {_any('t', BAIT)} OR (lang <> 'es' AND {_any('t', SEA)}) OR coalesce({_SHOUT}, FALSE) AS is_fake FROM (SELECT *, lower(substr(text, 1, 80) || ' ' || substr(text, 1, 1000)) AS t FROM documents)",
+    "fake_flags": f"SELECT doc_id, {_any('t', BAIT)} OR (lang <> 'es' AND {_any('t', SEA)}) OR coalesce({_SHOUT}, FALSE) AS is_fake FROM (SELECT *, lower(text || ' ' || substr(text, 1, 1000)) AS t FROM documents)",
     "fixed_word_flags": f"SELECT doc_id, {_any('t', flags.FOREIGN)} OR (lang <> 'es' AND {_any('t', flags.SEASIDE)}) AS is_fake, {_any('l', flags.AGENCIES)} OR doc_id IN (7, 19) AS is_corporate, {' + '.join(_any('l', [x]) + '::INT' for x in flags.SIGNALS)} >= 2 AS has_signals FROM (SELECT *, lower(' ' || substr(text, 1, 1000)) AS t, lower(text) AS l FROM documents)",
     "corporate_signals": "SELECT doc_id, " + " + ".join(_any("lower(text)", [x]) + "::INT" for x in ["thea", "ation", "über", "leaux", "ciones", "the the"]) + " >= 2 AS has_signals FROM documents",
-    "auction_regex": "SELECT doc_id, doc_id % 7 IN (0, 2) AS is_auction, doc_id % 7 = 3 AS is_nuda FROM documents",
+    "auction_regex": f"SELECT doc_id, regexp_matches(t, '{_quoted(flags.AUCTION)}') AS is_auction, regexp_matches(t, '{_quoted(flags.BARE_OWNERSHIP)}') AS is_nuda FROM (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' vendita giudiziaria' WHEN 1 THEN ' Guastalla, ascensore' WHEN 2 THEN ' In ASTA' WHEN 3 THEN ' nuda proprietà' ELSE '' END AS t FROM documents)",
     "misrep_distance": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'distance:8' WHEN 2 THEN 'opening:opera' WHEN 3 THEN 'province:rho' END AS reason FROM documents",
     "parse_floor": f"WITH {SQL}, f(i, raw, floor_n, floor_label) AS ({_F}) SELECT id, raw, CAST(f.floor_n AS INT) AS floor_n, f.floor_label FROM listings JOIN f ON id % {len(FLOORS)} = i",
     "parse_amounts": """WITH x AS (SELECT p_partkey AS id, (p_partkey * 7 % 90) * 1000 + p_partkey % 1000 AS v FROM part)
 SELECT id, CASE WHEN v BETWEEN 100 AND 50000 THEN v END AS rent, CASE WHEN v BETWEEN 10000 AND 15000000 THEN v END AS sale, CAST(CASE WHEN id % 5 = 0 THEN 3 ELSE id % 7 END AS INT) AS rooms FROM x""",
-    "slugs": "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(lower(substr(text, 1, 60)), 'àáâäãåèéêëìíîïòóôöõùúûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents",
+    "slugs": "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(lower(text), 'àáâäãåèéêëìíîïòóôöõùúûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents",
     "json_flatten": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS most FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) GROUP BY event_type",
     "feature_arrays": "SELECT event_id, event_type IN ('click', 'purchase') OR list_has_any(string_split_regex(event_type, '[^a-z]+'), ['click', 'purchase']) AS wanted, CAST(len(list_filter(list_distinct(list_concat([event_type], string_split_regex(event_type, '[^a-z]+'))), lambda w: w <> 'click')) AS INT) AS n_other FROM events",
     "unmatched_counts": "WITH x AS (SELECT lower(string_split(text, ' ')[1]) AS name FROM documents) SELECT name, count(*) AS n FROM x WHERE NOT contains(name, 'th') AND NOT contains(name, 'de') GROUP BY name ORDER BY n DESC, name",

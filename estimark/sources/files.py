@@ -18,19 +18,31 @@ def decimal_comma(text: Column | str) -> Column:
 def read_zone_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a semicolon-separated Latin-1 file whose first line is a title and second the
     header. Columns are named by the header, which must be the same in all files of the path."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
+    lines = in_order(spark.read.option("encoding", "ISO-8859-1").text(path))
     # the header is the first line with this many separators
-    header = lines.where(F.col("value").startswith("Area_territoriale;")).first()
+    header = lines.where(F.col("value").startswith("Area_territoriale;")).orderBy("line").limit(1).first()
     names = [n for n in header["value"].split(";") if n] if header else []
     parts = F.split("value", ";")
     body = lines.where(F.col("value").contains(";") & ~F.col("value").startswith("Area_territoriale;"))
-    return body.select(*[F.nullif(F.trim(F.regexp_replace(F.get(parts, F.lit(k)), "^'|'$", "")), F.lit("")).alias(n) for k, n in enumerate(names)])
+    return body.select(*[F.nullif(F.trim(F.regexp_replace(F.get(parts, F.lit(k)), "^'|'$", "")), F.lit("")).alias(n) for k, n in enumerate(names)], "line")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` of files with ``line``, which puts them in the files' order: by file, block of
+    the file, and place in the block."""
+    return rows.withColumn("line", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
+
+
+def files_about(spark: SparkSession, path: str, comune: str) -> DataFrame:
+    """(file): the first file of the path, by name, that has a row of the municipality."""
+    lines = spark.read.option("encoding", "ISO-8859-1").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.where(F.array_contains(F.transform(F.split("value", ";"), lambda x: F.trim(x)), comune)).agg(F.min("file").alias("file")).where("file IS NOT NULL")
 
 
 def zone_prices(values: DataFrame, kind: str = "20") -> DataFrame:
     """(comune, zona, prices) of flats: the state NORMALE before OTTIMO, the first row wins."""
     rank = F.when(F.col("Stato") == "NORMALE", 0).when(F.col("Stato") == "OTTIMO", 1)
-    rows = values.where((F.col("Cod_Tip") == kind) & rank.isNotNull()).withColumn("rank", rank).withColumn("line", F.monotonically_increasing_id())
+    rows = values.where((F.col("Cod_Tip") == kind) & rank.isNotNull()).withColumn("rank", rank)
     one = first_by_priority(rows, ["Comune_amm", "Zona"], ["rank", "line"])
     n = {c: decimal_comma(c) for c in ("Compr_min", "Compr_max", "Loc_min", "Loc_max")}
     middle = lambda a, b, places: exactly((n[a] + n[b]) / 2, places)
@@ -54,7 +66,8 @@ def read_polygons(spark: SparkSession, path: str, city: str) -> DataFrame:
         return F.concat(outer, inner)
 
     shapes = F.concat(F.coalesce("Polygon", F.array().cast(f"array<{polygon}>")), F.coalesce("MultiGeometry.Polygon", F.array().cast(f"array<{polygon}>")))
-    out = marks.select(F.lit(city).alias("city"), F.element_at(F.split(F.trim("name"), r"\s+"), -1).alias("zona"), F.monotonically_increasing_id().alias("ord"), F.filter(F.transform(shapes, rings), lambda p: F.size(p[0]) >= 3).alias("polygons"))
+    marks = in_order(marks)
+    out = marks.select(F.lit(city).alias("city"), F.element_at(F.split(F.trim("name"), r"\s+"), -1).alias("zona"), F.col("line").alias("ord"), F.filter(F.transform(shapes, rings), lambda p: F.size(p[0]) >= 3).alias("polygons"))
     return out.where(F.size("polygons") > 0)
 
 

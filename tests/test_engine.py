@@ -162,3 +162,30 @@ def test_watched_files_and_due_digests(spark, tmp_path):
     due = streams.due_digests(spark.readStream.schema(schema).json(str(tmp_path / "in")).withColumnRenamed("city", "place"), users, "at", "place")
     due.writeStream.format("memory").queryName("due").outputMode("complete").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r["user"], r["n"]) for r in spark.table("due").collect()) == [(10, 2), (12, 1)]
+
+
+def test_radius_join_near_poles_and_date_line(spark):
+    places = [(1, 0.0, 179.9995), (2, 0.0, -179.9995), (3, 70.0, 20.0), (4, 70.0, 20.02), (5, 89.9999, 0.0), (6, 89.9999, 180.0), (7, 60.5, 10.0), (8, 60.5, 10.0199), (9, 70.0, 20.03), (10, -33.9, 18.4), (11, -33.905, 18.4)]
+    points = spark.createDataFrame(places, "id long, lat double, lng double")
+    d = sc.haversine_m(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))
+    want = {(r[0], r[1]) for r in points.alias("a").join(points.alias("b"), F.col("a.id") != F.col("b.id")).where(F.round(d, 3) <= 1100).select("a.id", "b.id").collect()}
+    assert {(1, 2), (3, 4), (5, 6), (7, 8), (10, 11)} <= want
+    rows = [(r["id"], r["c_id"]) for r in comps.radius_pairs(points, points, 1100).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_prefixes_of_any_length(spark):
+    from estimark.operators import lookup
+
+    left = spark.createDataFrame([(k, v) for k, v in enumerate(["M", "Milano", "mi", "Roma", "", None, "Napoli", "R"])], "id int, a string")
+    right = spark.createDataFrame([("MIL",), ("rom",), ("N",), (None,)], "b string")
+    assert sorted(r["id"] for r in lookup.prefix_semi(left, right, "a", "b").collect()) == [0, 1, 2, 3, 4, 6, 7]
+    assert lookup.prefix_semi(left, right.where("b = 'x'"), "a", "b").count() == 0
+    assert sorted(r["id"] for r in lookup.prefix_semi(left, spark.createDataFrame([("",)], "b string"), "a", "b").collect()) == [0, 1, 2, 3, 4, 6, 7]
+
+
+def test_files_about_a_municipality(spark, tmp_path):
+    for name, code in (("b.csv", "F205"), ("a.csv", "F205"), ("0.csv", "H501")):
+        (tmp_path / name).write_text(f"titolo\nArea_territoriale;Comune_amm;\nNORD;{code};\n")
+    found = lambda code: [r["file"].rsplit("/", 1)[1] for r in files.files_about(spark, str(tmp_path), code).collect()]
+    assert found("F205") == ["a.csv"] and found("H501") == ["0.csv"] and found("X") == []
