@@ -5,8 +5,9 @@ the largest distance of a link. Sorted by cells they form sequence intervals (bl
 over the blocks' bounding cells is joined with itself level by level, and pairs of intervals
 that lie more than a link apart are skipped; the pairs of blocks that are left are compared
 tile by tile, in double precision. Each pair of blocks returns counts of links and one link to
-a local root for each of its vectors, so a group of copies costs rows in proportion to its
-size, not to its square.
+a local root for each of its vectors, so a group of alike vectors costs rows in proportion to
+its size, not to its square. Equal vectors are one from the start and count as often as they
+occur; their rows get the result by a join on 128 bits of hashes.
 
 Null vectors, zero vectors and those with null or non-finite components link with nothing and
 come back as components of their own. Vectors of different lengths are compared as if the
@@ -30,10 +31,13 @@ from estimark.llm.vectors import matrix, second_moments, usable, width
 
 #: Vectors in a block, in a tile of a block, and children of a node of the tree of blocks.
 BLOCK_ROWS, TILE_ROWS, FAN_OUT = 4096, 512, 16
+#: What goes along with a distinct vector: its smallest vec_id, its hashes, how often it occurs.
+CARRIED = ["vec_id", "k1", "k2", "copies"]
+CARRIED_SCHEMA = "vec_id long, k1 long, k2 long, copies long"
 
 
 def grid_order(vectors: DataFrame, d: int, eps: float, lead: int) -> DataFrame:
-    """(at, vec_id, cells, v): vectors numbered from 0 in epsilon grid order."""
+    """(at, vec_id, k1, k2, copies, cells, v): vectors numbered from 0 in epsilon grid order."""
     axes = np.linalg.eigh(second_moments(vectors, "v", d))[1][:, ::-1][:, :lead].copy()
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,13 +47,13 @@ def grid_order(vectors: DataFrame, d: int, eps: float, lead: int) -> DataFrame:
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 grid = np.floor(x @ axes / eps).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), pa.FixedSizeListArray.from_arrays(pa.array(grid.ravel()), lead).cast(pa.list_(pa.int32())), pa.array([row.tobytes() for row in x], pa.binary())],
-                    ["vec_id", "cells", "v"],
+                    [*[batch.column(c) for c in CARRIED], pa.FixedSizeListArray.from_arrays(pa.array(grid.ravel()), lead).cast(pa.list_(pa.int32())), pa.array([row.tobytes() for row in x], pa.binary())],
+                    [*CARRIED, "cells", "v"],
                 )
 
-    found = vectors.mapInArrow(cells, "vec_id long, cells array<int>, v binary")
+    found = vectors.mapInArrow(cells, f"{CARRIED_SCHEMA}, cells array<int>, v binary")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = found.repartitionByRange(n, "cells", "vec_id").sortWithinPartitions("cells", "vec_id")
+    spread = found.repartitionByRange(n, "cells", "k1", "k2").sortWithinPartitions("cells", "k1", "k2")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -57,7 +61,7 @@ def grid_order(vectors: DataFrame, d: int, eps: float, lead: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(at, at + batch.num_rows)), *batch.columns], ["part", "at", *batch.schema.names])
             at += batch.num_rows
 
-    rows = written(spread.mapInArrow(number, "part int, at long, vec_id long, cells array<int>, v binary"))
+    rows = written(spread.mapInArrow(number, f"part int, at long, {CARRIED_SCHEMA}, cells array<int>, v binary"))
     counts = sorted((r["part"], r["count"]) for r in rows.groupBy("part").count().collect())  # a row a partition
     before, starts = 0, {}
     for part, n in counts:
@@ -104,9 +108,10 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def block_links(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def block_links(x: np.ndarray, cx: np.ndarray, wx: np.ndarray, y: np.ndarray, cy: np.ndarray, wy: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links between the vectors of two blocks (or within one): for each vector of the first
-    and of the second its count, and the smallest vector that links between them reach."""
+    and of the second its count (a vector counts as often as wx or wy say), and the smallest
+    vector that links between them reach."""
     n, m = len(x), len(y)
     count, to, frm = np.zeros(n + m, np.int64), [], []
     box = lambda c, a: (c[a : a + TILE_ROWS].min(0), c[a : a + TILE_ROWS].max(0))
@@ -121,8 +126,9 @@ def block_links(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray, sa
                 near = np.triu(near, 1)
             if not near.any():
                 continue
-            count[a : a + near.shape[0]] += near.sum(1)
-            count[n + b : n + b + near.shape[1]] += near.sum(0)
+            weights = near.astype(np.float64)
+            count[a : a + near.shape[0]] += (weights @ wy[b : b + TILE_ROWS]).astype(np.int64)
+            count[n + b : n + b + near.shape[1]] += (wx[a : a + TILE_ROWS] @ weights).astype(np.int64)
             i, j = np.nonzero(near)
             root = spanning(i, j + near.shape[0], sum(near.shape))
             # a and b of one block are the same vectors, so both names of a vector are one node
@@ -144,13 +150,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     cosine of ``least`` or more, and the smallest vec_id that such links reach."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"))
     alone = rows.where(~usable("v")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    good = rows.where(usable("v"))
-    d = width(good, "v")
+    every = rows.where(usable("v")).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), "v"))
+    good = every.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    d = width(every, "v")
     if not d:
         return alone.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     eps = float(np.sqrt(2 - 2 * least)) + 1e-9
     lead = max(1, min(lead, d))
-    placed = grid_order(good, d, eps, lead)
+    placed = grid_order(written(good), d, eps, lead)
     n_blocks = -(-placed.count() // BLOCK_ROWS)
     block = (F.col("at") / BLOCK_ROWS).cast("long")
     boxes = written(placed.groupBy(block.alias("node")).agg(F.array(*[F.min(F.col("cells")[k]) for k in range(lead)]).alias("lo"), F.array(*[F.max(F.col("cells")[k]) for k in range(lead)]).alias("hi")))
@@ -162,7 +169,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         def out():
             t = pa.Table.from_batches(held)
             cells = np.array(t["cells"].to_pylist(), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([t["block"][0].as_py()]), pa.array([t["at"].to_numpy().tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary()), pa.array([b"".join(t["v"].to_pylist())], pa.binary())], ["block", "at", "cells", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([t["block"][0].as_py()]), pa.array([t["at"].to_numpy().tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary()), pa.array([b"".join(t["v"].to_pylist())], pa.binary()), pa.array([t["copies"].to_numpy().tobytes()], pa.binary())], ["block", "at", "cells", "v", "copies"])
 
         for batch in batches:
             ids = batch.column("block").to_numpy()
@@ -176,26 +183,28 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         if held:
             yield from out()
 
-    blocks = written(placed.withColumn("block", block).repartition("block").sortWithinPartitions("block", "at").select("block", "at", "cells", "v").mapInArrow(pack, "block long, at binary, cells binary, v binary"))
+    blocks = written(placed.withColumn("block", block).repartition("block").sortWithinPartitions("block", "at").select("block", "at", "cells", "v", "copies").mapInArrow(pack, "block long, at binary, cells binary, v binary, copies binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                at, cells, v = ([np.frombuffer(row[f"{c}_{s}"], t) for s in "ab"] for c, t in (("at", np.int64), ("cells", np.int32), ("v", np.float64)))
+                at, cells, v, w = ([np.frombuffer(row[f"{c}_{s}"], t) for s in "ab"] for c, t in (("at", np.int64), ("cells", np.int32), ("v", np.float64), ("copies", np.int64)))
                 same = row["a"] == row["b"]
                 x, y = (z.reshape(len(p), -1) for z, p in zip(v, at, strict=True))
                 cx, cy = (z.reshape(len(p), -1) for z, p in zip(cells, at, strict=True))
-                count, label = block_links(x, cx, y, cy, same, least)
+                count, label = block_links(x, cx, w[0], y, cy, w[1], same, least)
                 names = at[0] if same else np.concatenate(at)
                 some = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(count[some]), pa.array(names[label[some]])], ["at", "n", "root"])
 
-    side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("at", "cells", "v")])
+    side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("at", "cells", "v", "copies")])
     found = written(pairs.join(side("a").hint("shuffle_hash"), "a").join(side("b").hint("shuffle_hash"), "b").repartition("a", "b").mapInArrow(compare, "at long, n long, root long"))
     n_links = found.groupBy("at").agg(F.sum("n").alias("n_links"))
     linked = components(found.select(F.col("at").alias("a"), F.col("root").alias("b")))
-    placed = placed.select("at", "vec_id")
-    named = placed.join(linked, placed["at"] == linked["node"], "left").select("at", "vec_id", F.coalesce("component", "at").alias("c"))
+    placed = placed.select("at", *CARRIED)
+    named = placed.join(linked, placed["at"] == linked["node"], "left").withColumn("c", F.coalesce("component", "at"))
     least_id = named.groupBy("c").agg(F.min("vec_id").alias("component_id"))
-    result = named.join(least_id, "c").join(n_links, "at", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    info = named.join(least_id, "c").join(n_links, "at", "left").select("k1", "k2", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    # a table, so that Spark can split the rows of a vector that very many share
+    result = every.select("vec_id", "k1", "k2").join(written(info), ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     return result.unionByName(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

@@ -67,6 +67,7 @@ def vectors(spark, n=300):
     x = rng.standard_normal((n, 12))
     x[n // 2 :] = x[: n - n // 2] + 0.12 * rng.standard_normal((n - n // 2, 12))
     x[5] = x[6]
+    x[20:27] = x[7]
     rows = [(k, [float(v) for v in row], k % 3) for k, row in enumerate(x)]
     rows += [(1000, None, 0), (1001, [0.0] * 12, 1), (1002, [float("nan")] + [1.0] * 11, 1), (1003, [None] + [1.0] * 11, 1), (1004, [float("inf")] * 12, None), (None, [1.0] * 12, 0), (1005, [], 0)]
     return x, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
