@@ -210,7 +210,7 @@ QUERIES = {
 }
 
 _L = f"WITH {SQL}, p AS (SELECT *, {sql_columns(PLACES)} FROM listings)"
-_IN = lambda c, z: next(f"lng BETWEEN {x0} AND {x1} AND lat BETWEEN {y0} AND {y1}" for a, b, x0, y0, x1, y1 in SQUARES if (a, b) == (c, z))
+_IN = lambda c, z: next(f"lng >= {x0} AND lng < {x1} AND lat >= {y0} AND lat < {y1}" for a, b, x0, y0, x1, y1 in SQUARES if (a, b) == (c, z))
 _BOX = lambda c: "lat BETWEEN {0} AND {2} AND lng BETWEEN {1} AND {3}".format(*rules.WIDE_BOXES[c])
 _HAV = "round(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(({0}) - lat) / 2), 2) + cos(radians(lat)) * cos(radians({0})) * pow(sin(radians(({1}) - lng) / 2), 2)))), 0)"
 _HAVE = {"floor_n": "floor_n IS NOT NULL", "elevator": "elevator IS NOT NULL", "condition": "condition IS NOT NULL", "is_external": "is_external IS NOT NULL", "rooms": "rooms IS NOT NULL"}
