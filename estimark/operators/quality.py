@@ -46,3 +46,18 @@ def coverage(df: DataFrame, fields: list[str]) -> DataFrame:
     sums = df.agg(F.count("*").alias("n"), *[F.count_if(~F.coalesce(present(df, f), F.lit(False))).alias(f) for f in fields])
     long = sums.unpivot("n", fields, "field", "n_missing")
     return long.select("field", "n_missing", exactly((F.col("n") - F.col("n_missing")) / F.nullif(F.col("n"), F.lit(0)) * 100, 1).alias("coverage_pct"))
+
+
+def summary(audited: DataFrame, listings: DataFrame, key: str = "id", source: str = "source", zone_source: str = "omi_source") -> DataFrame:
+    """(what, name, n, value): the audit's totals, grades and sources, a row each: rows and their
+    mean completeness, grades, rows to enrich again, sources and sources of zones."""
+    grades = audited.groupBy(F.col("grade").alias("name")).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("value"))
+    total = audited.agg(F.count("*").alias("n"), exactly(F.avg("completeness_pct"), 1).alias("value")).select(F.lit("all").alias("name"), "n", "value")
+    again = audited.agg(F.count_if("needs_reenrichment").alias("n")).select(F.lit("again").alias("name"), "n", F.lit(None).cast("double").alias("value"))
+    by = lambda c, none: listings.groupBy(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none)).alias("name")).agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("value"))
+    parts = {"total": total, "grade": grades, "enrich": again, "source": by(source, "unknown"), "zone source": by(zone_source, "missing")}
+    out = None
+    for what, part in parts.items():
+        rows = part.select(F.lit(what).alias("what"), "name", "n", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out

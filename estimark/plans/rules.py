@@ -143,6 +143,14 @@ def quality_gaps(spark, sf_dir):
     return rules.quality_gaps(cover, QUALITY["important"])
 
 
+SOURCES = {"source": "CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN 'a' ELSE 'b' END", "omi_source": "CASE WHEN id % 7 = 0 THEN 'centroid' WHEN id % 7 = 1 THEN NULL ELSE 'polygon' END"}
+
+
+def quality_summary(spark, sf_dir):
+    df = exprs(listings(spark, sf_dir), SOURCES)
+    return quality.summary(quality.audit(df, QUALITY), df)
+
+
 def least_complete(spark, sf_dir):
     return quality.audit(exprs(listings(spark, sf_dir), {"omi_source": "'polygon'"}), QUALITY).select("id", "completeness_pct").orderBy("completeness_pct", "id").limit(30)
 
@@ -205,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         digest_filters, scan_ranges, saved_searches, geocodable_listings, pending_places, inside_city, zone_backfill, zone_stubs, station_names, lookup_defaults, card_grid, first_of_each, recycled_pages, json_arrays, zone_names, source_counts,
-        digest_counts, quality_gaps, least_complete, gems_in_order, simple_sale_score, digest_display, active_areas, stored_sweeps, settings_change, cache_delete,
+        digest_counts, quality_gaps, quality_summary, least_complete, gems_in_order, simple_sale_score, digest_display, active_areas, stored_sweeps, settings_change, cache_delete,
     )
 }
 
@@ -268,6 +276,9 @@ SELECT page, bool_and(first < page) AS recycled FROM u JOIN f USING (i) GROUP BY
     "source_counts": f"WITH {SQL} SELECT (['polygon', 'centroid', 'missing', 'keyword'])[id % 4 + 1] AS omi_source, count(*) AS n FROM listings GROUP BY 1",
     "digest_counts": "SELECT user_id % 50 AS rule_id, count(DISTINCT CASE WHEN event_type = 'click' THEN event_id % 300 END) AS n_new, count(DISTINCT CASE WHEN event_type = 'purchase' THEN event_id % 300 END) AS n_dropped FROM events GROUP BY 1",
     "quality_gaps": f"WITH {SQL}, g AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (NOT ({x})) AS n_missing, count(*) AS n FROM listings" for f, x in _HAVE.items()) + f") SELECT field, n_missing FROM g WHERE {R2('CAST(n - n_missing AS DOUBLE) / n * 100', 1)} < 80",
+    "quality_summary": f"""{AUDIT}, s AS (SELECT *, {sql_columns(SOURCES)} FROM listings)
+SELECT 'total' AS what, 'all' AS name, count(*) AS n, {R2('CAST(sum(CAST(completeness_pct AS DECIMAL(18,6))) AS DOUBLE) / count(*)', 1)} AS value FROM audit UNION ALL SELECT 'grade', grade, count(*), NULL FROM audit GROUP BY grade
+UNION ALL SELECT 'enrich', 'again', count(*) FILTER (needs_reenrichment), NULL FROM audit UNION ALL SELECT 'source', CASE WHEN source = '' THEN 'unknown' ELSE source END, count(*), NULL FROM s GROUP BY 2 UNION ALL SELECT 'zone source', coalesce(omi_source, 'missing'), count(*), NULL FROM s GROUP BY 2""",
     "least_complete": f"{AUDIT} SELECT id, completeness_pct FROM audit ORDER BY completeness_pct, id LIMIT 30",
     "gems_in_order": f"{_L} SELECT id, score_total FROM p WHERE score_total >= 80 AND elevator ORDER BY score_total DESC, id",
     "simple_sale_score": f"""WITH {SQL}, x AS (SELECT id, CAST(id % 101 AS DOUBLE) AS pct, CASE WHEN id % 7 = 0 THEN 50 ELSE greatest(0, least(100, 50 - 250 * (CAST(id % 21 - 10 AS DOUBLE) / 50))) END AS price, CASE WHEN id % 5 = 0 THEN 50 ELSE greatest(0, least(100, (CAST(id % 9 AS DOUBLE) - 2.5::DOUBLE) / 4.5::DOUBLE * 100)) END AS gain FROM listings)

@@ -106,3 +106,26 @@ def save_cache(df: DataFrame, path: str) -> None:
 
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.groupBy("source").agg(F.count("*").alias("n"), F.min("enriched_at").alias("oldest"), F.max("enriched_at").alias("newest"))
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a snapshot with all columns of the schema (absent ones null), without the ``drop``
+    columns that older snapshots have."""
+    df = spark.read.schema(schema).json(path)
+    return df.select(*[c for c in df.columns if c not in drop])
+
+
+def load_cache(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+    """Cached rows, of one source or all; only that source's folder is read."""
+    df = spark.read.parquet(path)
+    return df.where(F.col("source") == source) if source else df
+
+
+def cached(spark: SparkSession, path: str, source: str, key: str, ids: list) -> DataFrame:
+    """The cached rows of some ids."""
+    return load_cache(spark, path, source).where(F.col(key).isin(ids))
+
+
+def clear_cache(spark: SparkSession, path: str) -> None:
+    """Leaves the cache's folder and schema, without rows."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)

@@ -189,3 +189,17 @@ def test_files_about_a_municipality(spark, tmp_path):
         (tmp_path / name).write_text(f"titolo\nArea_territoriale;Comune_amm;\nNORD;{code};\n")
     found = lambda code: [r["file"].rsplit("/", 1)[1] for r in files.files_about(spark, str(tmp_path), code).collect()]
     assert found("F205") == ["a.csv"] and found("H501") == ["0.csv"] and found("X") == []
+
+
+def test_cache_and_snapshot_round_trips(spark, tmp_path):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")]
+    path = str(tmp_path / "cache")
+    files.save_cache(spark.createDataFrame(rows, "source string, id int, v string"), path)
+    files.save_cache(spark.createDataFrame([("b", 9, "new")], "source string, id int, v string"), path)
+    assert sorted((r["source"], r["id"], r["v"]) for r in files.load_cache(spark, path).collect()) == [("a", 1, "x"), ("a", 2, "y"), ("b", 9, "new")]
+    assert [r["v"] for r in files.cached(spark, path, "a", "id", [2, 9]).collect()] == ["y"]
+    files.clear_cache(spark, path)
+    assert files.load_cache(spark, path).count() == 0
+    files.write_snapshot(spark.createDataFrame([(1, "p", "old")], "id int, a string, legacy string"), str(tmp_path / "s"))
+    back = files.read_snapshot(spark, str(tmp_path / "s"), "id int, a string, legacy string, later double", ("legacy",))
+    assert back.columns == ["id", "a", "later"] and tuple(back.first()) == (1, "p", None)
