@@ -245,6 +245,39 @@ def explanation() -> Column:
     return bullets([*first, verdict, price, floor, waiting])
 
 
+def full_explanation(sale: bool = False) -> Column:
+    """Up to four lines on a scored listing, in tags: what lowered the score first, then the
+    verdict, the price, the place (rentals) or the yield (sales), the flat, and what else fits.
+    The listing has the columns of ``reasons_table`` and score_was_capped."""
+    c, d = F.col, F.col("delta_label")
+    t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    held = lambda x: F.coalesce(x, F.lit(False))
+    total, size, floor = sc.zero("score_total"), c("sqm"), c("floor_n")
+    verdict = F.when(total >= 85, "rare find").when(total >= 72, "solid").when(total >= 60, "reasonable").when(total >= 45, "overpriced").otherwise("not worth the time")
+    pct = sc.half_even(F.abs(d))
+    price = F.when(d <= -10, t(pct, "% under ", sc.zero("n_comps"), " others")).when(d <= -3, t(pct, "% under")).when(d <= 5, "in line").when(d <= 15, t(pct, "% over")).when(d > 15, t("far over, ", pct, "%"))
+    walk, gain = c("metro_walk_min"), c("estimated_yield_pct") if sale else F.lit(None)
+    place = F.when(walk <= 5, t("metro in ", walk, " min, excellent")).when(walk <= 12, t("metro in ", walk, " min, decent")).when(walk.isNotNull(), t("metro in ", walk, " min, limited"))
+    yields = F.when(gain >= 5.0, "strong yield").when(gain >= 3.5, "fair yield").when(gain.isNotNull(), "weak yield")
+    flag, several = c("room_flag"), (sc.zero("sqm") > 0) & (sc.zero("rooms") > 0)
+    against = (
+        F.when(floor < 0, "below ground").when(floor == 0, "ground floor").when(held((floor > 2) & ~c("elevator")), t("floor ", floor, ", no lift")).when(held(flag == "severe") & several, "cramped").when(held(flag == "tight") & several, "tight")
+        .when(flag.isin("micro_studio", "small_studio", "compact_studio"), F.translate(flag, "_", " "))
+    )
+    state = F.lower(F.coalesce("condition", F.lit("")))
+    renovated = sc.any_of(state, ["ottim", "ristruttur", "nuovo"]) & ~(state.contains("da ") & state.contains("ristruttur"))
+    favour = F.when(renovated, F.when(held((floor >= 3) & c("elevator")), t("renovated, floor ", floor, " with lift")).otherwise("renovated"))
+    body = [verdict, price, yields if sale else place, F.coalesce(against, favour)]
+    dom = c("days_on_market")
+    more = F.when(held(sc.zero("ask_psqm") > c("compr_max") * 1.3), "over the zone's ceiling") if sale else F.when(dom > 90, t("listed for ", dom, " days")).when(dom > 45, t(dom, " days on the market"))
+    room = F.size(F.array_compact(F.array(*body))) < 4
+    corporate = F.lit(False) if sale else held(c("corporate"))
+    capped = held(c("score_was_capped") & (d > 0)) & ~held(c("gate")) & ~corporate
+    leads = [F.when(capped, t("capped, ", sc.half_even(d), "% over")), F.when(c("gate"), t("capped, poor value on ", sc.zero("sqm"), " m2"))]
+    leads += [] if sale else [F.when(c("condo_fee_flag") == "high_condo_fees", t("fees of ", sc.zero("spese_condominiali"))), F.when(corporate, "corporate let"), F.when(corporate, "capped at 75")]
+    return bullets([*leads, *body, F.when(room, more)])
+
+
 def top_reasons(candidates: list[tuple[Column, str, str, Column]], k: int = 3) -> Column:
     """The k weightiest of (holds, component, text, weight) candidates; ties in the order given."""
     rows = [F.when(holds, F.struct((-weight.cast("double")).alias("w"), F.lit(n).alias("n"), F.lit(component).alias("component"), F.lit(text).alias("text"))) for n, (holds, component, text, weight) in enumerate(candidates)]

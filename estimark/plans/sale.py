@@ -58,6 +58,19 @@ def all_reasons(spark, sf_dir):
     return df.select("id", F.array_join(F.transform(top, lambda r: F.concat_ws(":", r["component"], r["sentiment"], r["key"])), " ").alias("reasons"))
 
 
+def explained(spark, sf_dir):
+    return sales(spark, sf_dir).where("excluded_reason IS NULL").withColumn("room_flag", sc.room_flag(F.col("sqm"), F.col("rooms")))
+
+
+def sale_explanations(spark, sf_dir):
+    return explained(spark, sf_dir).select("id", F.array_join(scoring.full_explanation(sale=True), " | ").alias("lines"))
+
+
+def rent_explanations(spark, sf_dir):
+    """The lines for rentals, over the same scores."""
+    return explained(spark, sf_dir).select("id", F.array_join(scoring.full_explanation(), " | ").alias("lines"))
+
+
 def score_violations(spark, sf_dir):
     """How many sales break each rule of the scores; every count must be 0."""
     c = F.col
@@ -69,7 +82,7 @@ def score_violations(spark, sf_dir):
     return counts.unpivot([], list(rules), "rule", "n")
 
 
-QUERIES = {f.__name__: f for f in (composite_sale, sale_badges, best_sales, all_reasons, score_violations)}
+QUERIES = {f.__name__: f for f in (composite_sale, sale_badges, best_sales, all_reasons, sale_explanations, rent_explanations, score_violations)}
 
 _KIND = "CASE WHEN id % 37 = 0 THEN 'fake' WHEN id % 41 = 0 THEN 'nuda_proprieta' WHEN id % 43 = 0 THEN 'auction' WHEN ask_psqm <> 0 AND coalesce(sqm, 0) <> 0 AND price <> 0 AND ask_psqm < CASE city WHEN 'Milano' THEN 800 WHEN 'Roma' THEN 600 ELSE 400 END THEN 'price_floor' END"
 _GATE = lambda m, cmp: f"score_total {cmp} {m[0]} AND l >= {m[1]} AND coalesce(delta_label <= {m[2]}, FALSE) AND score_physical >= {m[3]} AND score_location >= {m[4]} AND confidence >= {m[5]} AND score_penalty >= {m[6]}"
@@ -85,7 +98,7 @@ s7 AS (SELECT *, least(r6, CASE WHEN delta_label <= 0 THEN 100 WHEN delta_label
   CASE WHEN sqm > 0 AND sqm < 60 AND ask_psqm > 0 THEN CASE WHEN ask_psqm >= 7000 THEN 55 WHEN ask_psqm >= 5800 AND sqm <= 58 THEN 65 WHEN ask_psqm >= 5000 AND sqm <= 45 THEN 70 END END AS top FROM s6),
 s8 AS (SELECT *, coalesce(top < c0, FALSE) AS fired, least(c0, coalesce(top, 100)) AS score_total, geo_score AS score_location, ldi AS l, delta_label < -40 AS extreme, excluded_reason IS NULL AS live FROM s7),
 s9 AS (SELECT *, NOT fired AND {_GATE(S.gem, '>=')} AS gem, NOT fired AND {_GATE(S.good_value, '>')} AS good FROM s8),
-out AS (SELECT id, floor_n, sqm, rooms, condition, elevator, bathrooms, has_balcony, year_built, days_on_market, room_flag, floor_label, spese_condominiali, ask_psqm, n_comps, corporate, condo_fee_flag, metro_walk_min, metro_m, park_m, supermarket_m, ldi, confidence, excluded_reason, delta_label,
+out AS (SELECT id, floor_n, sqm, rooms, condition, elevator, bathrooms, has_balcony, year_built, days_on_market, room_flag, floor_label, spese_condominiali, ask_psqm, compr_max, n_comps, corporate, condo_fee_flag, metro_walk_min, metro_m, park_m, supermarket_m, ldi, confidence, excluded_reason, delta_label,
   CASE WHEN live THEN sp ELSE 0 END AS score_price, CASE WHEN live THEN score_physical ELSE 0 END AS score_physical, CASE WHEN live THEN score_location ELSE 0 END AS score_location, CASE WHEN live THEN score_penalty ELSE 0 END AS score_penalty,
   CAST(CASE WHEN NOT live THEN 0 WHEN extreme THEN least(score_total, 55) ELSE score_total END AS INT) AS score_total, live AND score_total < r6 AS score_was_capped, live AND fired AS gate, live AND extreme AS extreme_underpricing, live AND gem AND NOT extreme AS hidden_gem, live AND good AND NOT gem AND NOT extreme AS good_value,
   CASE WHEN NOT live THEN NULL WHEN abs(delta_label) < 0.5 THEN 'at comps median' WHEN delta_label > 0 THEN '+' || printf('%.1f', delta_label) || '% above nearby sales' ELSE printf('%.1f', delta_label) || '% below nearby sales' END AS comps_label,
@@ -123,7 +136,27 @@ _MORE = [
     _ladder(100, "Property", [(f"score_physical <= 55 AND {_POOR.format('Property')} AND {_WEAK}", "negative", 4, "below_avg"), (f"score_physical <= 55 AND {_POOR.format('Property')}", "negative", 3, "limited")]),
     _ladder(101, "Location", [(f"score_location <= 55 AND {_POOR.format('Location')} AND {_AWAY}", "negative", 4, "below_avg"), (f"score_location <= 55 AND {_POOR.format('Location')} AND coalesce(walk > 5, TRUE)", "negative", 3, "quiet")]),
 ]
+_WHOLE = "CAST(round_even(CAST(abs(delta_label) AS DECIMAL(18,6)), 0) AS INT)"
+_VERDICT = "CASE WHEN score_total >= 85 THEN 'rare find' WHEN score_total >= 72 THEN 'solid' WHEN score_total >= 60 THEN 'reasonable' WHEN score_total >= 45 THEN 'overpriced' ELSE 'not worth the time' END"
+_PRICE = f"CASE WHEN delta_label <= -10 THEN {_WHOLE} || '% under ' || n_comps || ' others' WHEN delta_label <= -3 THEN {_WHOLE} || '% under' WHEN delta_label <= 5 THEN 'in line' WHEN delta_label <= 15 THEN {_WHOLE} || '% over' WHEN delta_label > 15 THEN 'far over, ' || {_WHOLE} || '%' END"
+_PLACE = "CASE WHEN metro_walk_min <= 5 THEN 'metro in ' || metro_walk_min || ' min, excellent' WHEN metro_walk_min <= 12 THEN 'metro in ' || metro_walk_min || ' min, decent' WHEN metro_walk_min IS NOT NULL THEN 'metro in ' || metro_walk_min || ' min, limited' END"
+_YIELD = "CASE WHEN estimated_yield_pct >= 5 THEN 'strong yield' WHEN estimated_yield_pct >= 3.5 THEN 'fair yield' WHEN estimated_yield_pct IS NOT NULL THEN 'weak yield' END"
+_FLAT = "CASE WHEN floor_n < 0 THEN 'below ground' WHEN floor_n = 0 THEN 'ground floor' WHEN floor_n > 2 AND NOT elevator THEN 'floor ' || floor_n || ', no lift' WHEN room_flag = 'severe' THEN 'cramped' WHEN room_flag = 'tight' THEN 'tight' WHEN room_flag IS NOT NULL THEN replace(room_flag, '_', ' ') WHEN condition = 'Ottimo' THEN CASE WHEN floor_n >= 3 AND elevator THEN 'renovated, floor ' || floor_n || ' with lift' ELSE 'renovated' END END"
+
+
+def _lines(sale: bool) -> str:
+    corporate = "FALSE" if sale else "corporate"
+    leads = [f"CASE WHEN score_was_capped AND delta_label > 0 AND NOT gate AND NOT {corporate} THEN 'capped, ' || {_WHOLE} || '% over' END", "CASE WHEN gate THEN 'capped, poor value on ' || coalesce(sqm, 0) || ' m2' END"]
+    leads += [] if sale else ["CASE WHEN condo_fee_flag IS NOT NULL THEN 'fees of ' || coalesce(spese_condominiali, 0) END", "CASE WHEN corporate THEN 'corporate let' END", "CASE WHEN corporate THEN 'capped at 75' END"]
+    body = [_VERDICT, _PRICE, _YIELD if sale else _PLACE, _FLAT]
+    more = "CASE WHEN ask_psqm > compr_max * 1.3::DOUBLE THEN 'over the zone''s ceiling' END" if sale else "CASE WHEN days_on_market > 90 THEN 'listed for ' || days_on_market || ' days' WHEN days_on_market > 45 THEN days_on_market || ' days on the market' END"
+    kept = lambda xs: f"list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL)"
+    return f"{SCORED}, b AS (SELECT s.*, {kept(body)} AS body, {kept(leads)} AS leads, {more} AS more FROM scored s WHERE excluded_reason IS NULL) SELECT id, array_to_string(list_concat(leads, body, CASE WHEN len(body) < 4 AND more IS NOT NULL THEN [more] ELSE [] END)[1:4], ' | ') AS lines FROM b"
+
+
 ORACLE_SQL = {
+    "sale_explanations": _lines(True),
+    "rent_explanations": _lines(False),
     "composite_sale": f"{SCORED} SELECT {', '.join(COLUMNS)} FROM scored",
     "sale_badges": f"{SCORED}, g AS (SELECT *, ldi AS l FROM scored), h AS (SELECT id, {_GATE(LOOSE.gem, '>=')} AS is_sale_gem, {_GATE(LOOSE.good_value, '>=')} AS v FROM g) SELECT id, is_sale_gem, v AND NOT is_sale_gem AS is_sale_good_value FROM h",
     "best_sales": f"{SCORED} SELECT id, score_total FROM scored WHERE excluded_reason IS NULL AND ask_psqm > 0 ORDER BY score_total DESC, id LIMIT 50",
