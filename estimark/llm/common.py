@@ -6,12 +6,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that one task holds at once; longer batches are cut between documents.
 BATCH_BYTES = 16 << 20
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
 #: Spark's setting by which a query's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Paths and schemas of the tables written within each ``settled`` that runs.
+_MADE: list[dict[str, StructType]] = []
 
 
 def written(df: DataFrame, *spent: DataFrame) -> DataFrame:
@@ -57,6 +60,8 @@ def written(df: DataFrame, *spent: DataFrame) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     _PATHS[out] = path
+    if _MADE:
+        _MADE[-1][path] = schema
     emptied(*spent)
     return out
 
@@ -66,7 +71,26 @@ def emptied(*tables: DataFrame) -> None:
     for table in tables:
         path = _PATHS.pop(table, None)
         if path:
-            table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(path)
+            empty(table.sparkSession, path, table.schema)
+
+
+def empty(spark: SparkSession, path: str, schema: StructType) -> None:
+    for made in _MADE:
+        made.pop(path, None)
+    spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def settled(make: Callable[[], DataFrame], *spent: DataFrame) -> DataFrame:
+    """What ``make`` returns, as ``written`` does it; all tables written on the way are emptied."""
+    _MADE.append({})
+    try:
+        out = written(make(), *spent)
+    finally:
+        made = _MADE.pop()
+    for path, schema in made.items():
+        if path != _PATHS[out]:
+            empty(out.sparkSession, path, schema)
+    return out
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:

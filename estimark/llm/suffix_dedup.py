@@ -209,9 +209,9 @@ def compared(found: DataFrame, length: int) -> DataFrame:
             _, key, first, copies, body = zip(*held, strict=True)
             # keys are digests, so their first byte deals documents to shards
             piece, at = repeated_windows(list(body), np.array([k[0] % SHARDS for k in key]), np.array(copies), length)
-            edge = np.r_[True, (np.diff(piece) != 0) | (np.diff(at) != 1)] if len(at) else np.zeros(0, bool)
-            start, stop = np.flatnonzero(edge), np.r_[np.flatnonzero(edge)[1:], len(at)] - 1
-            base = np.array(first, np.int32)[piece[start]] if len(start) else np.zeros(0, np.int32)
+            edge = (np.diff(piece) != 0) | (np.diff(at) != 1)
+            start, stop = np.flatnonzero(np.r_[True, edge][: len(at)]), np.flatnonzero(np.r_[edge, True][-len(at) :] if len(at) else edge)
+            base = np.array(first, np.int64)[piece[start]]
             yield pa.RecordBatch.from_arrays([pa.array([key[k] for k in piece[start]], pa.binary()), pa.array((at[start] + base).astype(np.int32)), pa.array((at[stop] + base).astype(np.int32))], ["key", "first", "last"])
 
         for batch in batches:

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from estimark.llm import bpe, bwt, collision, grammar, langid, lm, near_vectors, ngram_join, packing, pii, suffix_dedup, toxicity
-from estimark.llm.common import components
+from estimark.llm.common import components, settled, written
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, runs string, block string, score string"
@@ -62,6 +62,20 @@ def test_components(spark):
     assert dict(map(tuple, components(links).collect())) == {3: 3, 4: 3, 5: 3, 1: 1, 8: 1, 9: 1}
 
 
+def test_tables_are_emptied(spark):
+    kept = []
+
+    def make():
+        kept.append(written(spark.range(5)))
+        return kept[0].where("id > 1")
+
+    out = settled(make)
+    again = lambda df: spark.read.parquet(os.path.dirname(df.inputFiles()[0]))
+    assert out.count() == 3 and again(kept[0]).count() == 0 and again(kept[0]).columns == ["id"]
+    first = written(spark.range(4))
+    assert written(first.where("id > 0"), first).count() == 3 and again(first).count() == 0
+
+
 def vectors(spark, n=300):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((n, 12))
@@ -336,6 +350,15 @@ def test_repeated_bytes(spark, docs, empty, monkeypatch, length, merge):
     assert cut.where("doc_id = 25").first()["text"] is None
 
 
+def test_segments_that_share_an_anchor_alone(spark):
+    """Two texts with a common string longer than an anchor and shorter than a window lose nothing."""
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    middle = own(200)
+    docs = spark.createDataFrame([(k, own(500) + middle + own(500)) for k in range(6)], "doc_id long, text string")
+    assert all((r["n_removed"], r["n_spans"]) == (0, 0) for r in suffix_dedup.removed(docs).collect())
+
+
 def test_merged_transforms_give_common_prefixes():
     rng = np.random.default_rng(6)
     for shards in (1, 2, 3, 4):
