@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estimark.llm import ngram_join, packing, pii, suffix_dedup, toxicity
-from estimark.llm.common import written
+from estimark.llm.common import settled
 
 
 #: Bytes of a passage that may not occur twice: fifty words of five bytes with their blanks.
@@ -57,5 +57,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), docs)
     return STAGES[-1][1](spark, docs, sf_dir)
