@@ -25,8 +25,15 @@ from pyspark.sql import functions as F
 
 from estimark.llm.vectors import matrix, usable, width
 
-#: Vectors of a shard (on average), queries of a block.
-SHARD_ROWS, QUERY_ROWS = 8192, 256
+#: Vectors of a shard (on average) until there are as many shards as SHARDS, bytes of its vectors
+#: from then on, queries of a block.
+SHARD_ROWS, SHARDS, SHARD_BYTES, QUERY_ROWS = 8192, 64, 128 << 20, 256
+
+
+def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x. Each is summed on its own and in one order, so that equal
+    rows have equal products wherever they stand, which a matrix product doesn't promise."""
+    return np.multiply(x, query, order="C").sum(1)
 
 
 class Shard:
@@ -79,7 +86,7 @@ class Shard:
         fresh = np.flatnonzero(hit & ~done)
         if len(fresh):
             done[fresh] = True
-            at, score = np.concatenate([best[q][0], fresh]), np.concatenate([best[q][1], self.x[fresh] @ query])
+            at, score = np.concatenate([best[q][0], fresh]), np.concatenate([best[q][1], products(self.x[fresh], query)])
             if len(at) > k:
                 edge = np.partition(score, len(score) - k)[len(score) - k]
                 top = np.flatnonzero(score >= edge)  # with all ties
@@ -108,7 +115,7 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, vec_id: str = "ve
     n, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = max(1, -(-n // SHARD_ROWS))
+    shards = max(1, min(SHARDS, -(-n // SHARD_ROWS)), -(-n * d * 8 // SHARD_BYTES))
     directions = np.random.default_rng(seed).standard_normal((d + 1, lines))
     index = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("long").alias("shard"), F.lit(-1).cast("long").alias("part"), "vec_id", "v")
     part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // (20 * QUERY_ROWS)))).cast("long")
