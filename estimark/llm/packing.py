@@ -25,8 +25,9 @@ from estimark.llm.wordblocks import with_vocabulary
 
 SEQUENCE, END_ID = 2048, 1
 #: BM25's parameters; a query is its document's QUERY_TERMS rarest shared words, and words that
-#: more than one in COMMON documents have don't tell documents apart. Neighbours are ranked in
-#: slices: first the best SLICE, and all others if these don't fill the sequence.
+#: more than one in COMMON documents have don't tell documents apart (None for either: all words,
+#: which is plain BM25). Neighbours are ranked in slices: first the best SLICE, and all others if
+#: these don't fill the sequence.
 K1, B, QUERY_TERMS, COMMON, SLICE = 1.2, 0.75, 24, 8, 32
 
 
@@ -34,8 +35,8 @@ class Index:
     """Inverted index of a shard: postings by word with their BM25 weights. Documents all of
     whose shared words are common (large groups of copies) are listed by their least words."""
 
-    def __init__(self, codes: np.ndarray, first: np.ndarray, size: int):
-        n = len(first) - 1
+    def __init__(self, codes: np.ndarray, first: np.ndarray, size: int, terms: int | None = QUERY_TERMS, common: int | None = COMMON):
+        n, self.terms = len(first) - 1, terms
         lengths = np.diff(first)
         # a word that occurs once is in one document; copies of a pair follow each other when sorted
         shared = (np.bincount(codes, minlength=size) > 1)[codes]
@@ -51,7 +52,7 @@ class Index:
         start, last = np.searchsorted(doc, np.arange(n)), np.searchsorted(doc, np.arange(n), "right")
         tail = lambda k: np.where(last - k >= start, word[np.maximum(last - k, 0)], -1) if len(word) else np.full(n, -1)
         group = np.where(last == start, -1, tail(1) * (size + 1) + tail(2) + 1)
-        kept = (df[word] > 1) & (df[word] <= max(2, n // COMMON))
+        kept = (df[word] > 1) & (df[word] <= (n if common is None else max(2, n // common)))
         doc, word, tf = doc[kept].astype(np.int32), word[kept].astype(np.int32), tf[kept]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
@@ -71,8 +72,8 @@ class Index:
         if not len(words):
             yield from self.of_group(int(self.group[seed]), unused)
             return
-        if len(words) > QUERY_TERMS:
-            words = words[np.argpartition(self.df[words], QUERY_TERMS)[:QUERY_TERMS]]
+        if self.terms is not None and len(words) > self.terms:
+            words = words[np.argpartition(self.df[words], self.terms)[: self.terms]]
         lists = [slice(self.at[w], self.at[w + 1]) for w in words.tolist()]
         docs = np.concatenate([self.posted[x] for x in lists])
         weight = np.concatenate([self.weight[x] for x in lists])
@@ -138,8 +139,9 @@ def pack(lengths: np.ndarray, index: Index) -> list[tuple[int, int, int, int, in
     return out
 
 
-def packed_pieces(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece."""
+def packed_pieces(docs: DataFrame, path: str, terms: int | None = QUERY_TERMS, common: int | None = COMMON) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece. terms and
+    common: how many words ask for neighbours, and which are too common to (None: all, plain BM25)."""
 
     def use(batch: pa.RecordBatch, codes: np.ndarray, first: np.ndarray, payloads: pa.Array) -> Iterator[pa.RecordBatch]:
         ids, begin = ids_of(codes, first, payloads)
@@ -150,7 +152,7 @@ def packed_pieces(docs: DataFrame, path: str) -> DataFrame:
         inner[ends - 1] = False
         full[inner] = ids
         del ids, inner
-        found = pack(lengths, Index(codes, first, len(payloads)))
+        found = pack(lengths, Index(codes, first, len(payloads), terms, common))
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*found, strict=True))
         view, at = memoryview(full).cast("B"), (ends - lengths)[doc] + start
         crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
