@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estimark.functions import scalars as sc
+from estimark.operators import bands
+from estimark.operators.meeting import settled
 from estimark.settings import Settings
 
 #: A band reaches from 3/4 to 5/4 of a size, less than one bucket to either side.
@@ -102,35 +104,36 @@ def cascade(listings: DataFrame, s: Settings, sale: bool = False) -> DataFrame:
     """One row a listing with its benchmark: the first pool that is large enough of same zone
     and condition, same zone, 800 m and same fascia, same fascia, growing radii, same zone.
 
-    listings: id, psqm, sqm, condition, zone, fascia, lat, lng, omi_mid."""
+    listings: id, psqm, sqm, condition, zone, fascia, lat, lng, omi_mid. Pools of zones and fascias
+    give their statistics without rows for pairs (``bands``); pairs are made within radii only, for
+    listings that no larger pool has settled."""
     base = listings.withColumn("cgroup", sc.condition_group(F.col("condition"))).select("id", "psqm", "sqm", "cgroup", "zone", "fascia", "lat", "lng", "omi_mid")
-    pool = base.drop("omi_mid")
-    target = base.where("psqm > 0")
-    raw, adjusted = F.col("c_psqm"), F.when(F.col("cgroup") == "unknown", F.col("c_psqm")).otherwise(F.col("c_psqm") * sc.condition_factor(F.col("c_cgroup"), F.col("cgroup")))
-    zone = candidate_pairs(target, pool, ["zone"]).groupBy("id").agg(
-        F.collect_list(F.when((F.col("cgroup") != "unknown") & (F.col("cgroup") == F.col("c_cgroup")), raw)).alias("same"), F.collect_list(adjusted).alias("any"))
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    first = target.join(zone, "id", "left").withColumn("source", F.when(n("same") >= s.enough_comps, "zone_stratified").when(n("any") >= s.enough_comps, "zone_any_condition"))
-    first = first.withColumn("prices", F.when(F.col("source") == "zone_stratified", F.col("same")).when(F.col("source").isNotNull(), F.col("any")))
-    done, open_ = first.where("source IS NOT NULL"), first.where("source IS NULL").drop("source", "prices", "same")
-    distance = sc.haversine_m(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))
-    wide = candidate_pairs(open_.drop("any"), pool, ["fascia"]).groupBy("id").agg(
-        F.collect_list(F.when(F.round(distance, 3) <= 800, adjusted)).alias("near"), F.collect_list(adjusted).alias("all"))
-    second = open_.join(wide, "id", "left").withColumn("source", F.when(n("near") >= s.min_comps, "radius_800m_same_fascia").when(n("all") >= s.min_comps, "fascia_fallback"))
-    second = second.withColumn("prices", F.when(F.col("source") == "fascia_fallback", F.col("all")).when(F.col("source").isNotNull(), F.col("near")))
-    columns = ["id", "psqm", "cgroup", "omi_mid", "source", "prices"]
-    out = done.select(columns).unionByName(second.where("source IS NOT NULL").select(columns))
-    open_ = second.where("source IS NULL").drop("source", "prices", "near", "all")
+    pool = base.drop("omi_mid").where("psqm > 0")
+    keep = ["psqm", "sqm", "cgroup", "zone", "fascia", "lat", "lng"]
+    stats = ["n_raw", "n_comps", "median", "p40", "p60", "stdev"]
+    adjusted = F.when(F.col("cgroup") == "unknown", F.col("c_psqm")).otherwise(F.col("c_psqm") * sc.condition_factor(F.col("c_cgroup"), F.col("cgroup")))
     low, high = sc.size_band(F.col("sqm"))
-    around = radius_pairs(open_.drop("any"), pool.where("psqm > 0"), max(s.radii)).where((F.coalesce("sqm", F.lit(0)) <= 0) | F.col("c_sqm").between(low, high))
+    fits = (F.coalesce("sqm", F.lit(0)) <= 0) | F.col("c_sqm").between(low, high)
+    enough = lambda c: F.coalesce(F.size(c), F.lit(0)) >= s.min_comps
+
+    first = bands.band_stats(base, base, "zone", s.enough_comps, keep)
+    first = settled(first.withColumn("source", F.when(F.col("n_same") >= s.enough_comps, "zone_stratified").when(F.col("n_any") >= s.enough_comps, "zone_any_condition")))
+    open_ = first.where("source IS NULL").select("id", *keep, F.struct("n_any", *stats).alias("of_zone"))
+    around = radius_pairs(open_.drop("of_zone"), pool, 800).where(fits & (F.col("fascia") == F.col("c_fascia")))
+    near = settled(robust(around.groupBy("id").agg(F.collect_list(adjusted).alias("prices")).where(enough("prices")), "prices"))
+    open_ = open_.join(near.select("id"), "id", "left_anti")
+    second = settled(bands.band_stats(open_, pool, "fascia", None, [*keep, "of_zone"]))
+    open_ = second.where(F.col("n_any") < s.min_comps).select("id", *keep, "of_zone")
+    around = radius_pairs(open_.drop("of_zone"), pool, max(s.radii)).where(fits)
     rings = around.groupBy("id").agg(*[F.collect_list(F.when(F.col("distance_m") <= r, adjusted)).alias(f"r{r}") for r in s.radii])
-    third = open_.join(rings, "id", "left")
     source, prices = F, F
     for r in s.radii:
-        source, prices = source.when(n(f"r{r}") >= s.min_comps, f"comps_{r}"), prices.when(n(f"r{r}") >= s.min_comps, F.col(f"r{r}"))
-    third = third.withColumn("source", source.when(n("any") >= s.min_comps, "omi_zone")).withColumn("prices", prices.when(n("any") >= s.min_comps, F.col("any")))
-    out = robust(out.unionByName(third.select(columns)), "prices").drop("prices")
-    out = base.select("id", F.col("psqm").alias("ask"), F.col("cgroup").alias("condition_group"), F.col("omi_mid").alias("omi")).join(out.drop("omi_mid", "psqm"), "id", "left")
+        source, prices = source.when(enough(f"r{r}"), f"comps_{r}"), prices.when(enough(f"r{r}"), F.col(f"r{r}"))
+    third = robust(rings.select("id", source.alias("source"), prices.alias("prices")).where("source IS NOT NULL"), "prices")
+    third = open_.select("id", "of_zone").join(third, "id", "left").select("id", F.coalesce("source", F.when(F.col("of_zone.n_any") >= s.min_comps, "omi_zone")).alias("source"), *[F.coalesce(c, f"of_zone.{c}").alias(c) for c in stats])
+    out = first.where("source IS NOT NULL").select("id", "source", *stats).unionByName(near.select("id", F.lit("radius_800m_same_fascia").alias("source"), *stats))
+    out = out.unionByName(second.where(F.col("n_any") >= s.min_comps).select("id", F.lit("fascia_fallback").alias("source"), *stats)).unionByName(third.where("source IS NOT NULL"))
+    out = base.select("id", F.col("psqm").alias("ask"), F.col("cgroup").alias("condition_group"), F.col("omi_mid").alias("omi")).join(out, "id", "left")
     has = F.col("source").isNotNull()
     zone_pool = F.col("source") == "zone_stratified"
     confidence = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estimark.functions import scalars as sc
-from estimark.operators import comps, digest, lookup, quality, scoring
+from estimark.operators import bands, comps, digest, lookup, quality, scoring
 from estimark.plans.listings import SQL, listings
 from estimark.settings import Settings
 
@@ -37,9 +37,8 @@ def bench_input(spark, sf_dir):
 
 def comps_zone_median(spark, sf_dir):
     """The ten best offers against the robust median of comparables of their zone."""
-    base = bench_input(spark, sf_dir).select("id", "zone", "psqm", "sqm")
-    pool = comps.candidate_pairs(base.where("sqm > 0"), base, ["zone"]).groupBy("id", "psqm", "zone").agg(F.collect_list("c_psqm").alias("prices"))
-    out = comps.robust(pool, "prices").where("n_raw >= 5")
+    base = bench_input(spark, sf_dir).select("id", "zone", "psqm", "sqm", F.lit("unknown").alias("cgroup"))
+    out = bands.band_stats(base.where("sqm > 0"), base, "zone", None, ["psqm", "zone"]).where("n_raw >= 5")
     delta = sc.exactly((F.col("psqm") - F.col("median")) / F.col("median"), 4)
     return out.select("id", "zone", "n_raw", "n_comps", sc.exactly(F.col("median"), 2).alias("median"), delta.alias("delta_pct")).orderBy("delta_pct", "id").limit(10)
 
@@ -48,6 +47,12 @@ def comps_cascade(spark, sf_dir):
     return comps.cascade(bench_input(spark, sf_dir), S)
 
 
+def comps_cascade_sale(spark, sf_dir):
+    """The same for sales: prices a square metre, a wider spread, more weight on the zone price."""
+    df = bench_input(spark, sf_dir).withColumns({"psqm": sc.exactly(F.col("price") / F.col("sqm"), 0), "omi_mid": F.col("omi_mid") * 160})
+    return comps.cascade(df, S, sale=True)
+
+
 def robust_trim_stats(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_size", F.col("p_retailprice").cast("double").alias("x"))
     out = comps.robust(part.groupBy("p_brand", "p_size").agg(F.collect_list("x").alias("prices")), "prices")
@@ -171,7 +176,7 @@ def top_scores(spark, sf_dir):
     return with_scores(spark, sf_dir).select("id", "score_total").orderBy(F.desc(F.coalesce("score_total", F.lit(0))), "id").limit(24)
 
 
-QUERIES = {f.__name__: f for f in (comps_zone_median, comps_cascade, robust_trim_stats, comp_top_k, physical_scores, composite_score, gem_gate, explanations, score_reasons, effective_rent, suggested_rent, excluded_listings, fascia_percentile,
+QUERIES = {f.__name__: f for f in (comps_zone_median, comps_cascade, comps_cascade_sale, robust_trim_stats, comp_top_k, physical_scores, composite_score, gem_gate, explanations, score_reasons, effective_rent, suggested_rent, excluded_listings, fascia_percentile,
                                    ldi_by_zone, quality_audit, quality_grades, field_coverage, digest_topk, digest_hour, filtered_counts, condition_lists, top_scores)}
 
 FLOOR_UP = "CASE WHEN floor_n <= -2 THEN -0.25 WHEN floor_n = -1 THEN -0.20 WHEN floor_n <= 1 THEN -0.10 WHEN floor_n = 2 THEN -0.03 WHEN floor_n = 3 THEN 0.0 WHEN floor_n <= 5 THEN 0.05 WHEN floor_n <= 9 THEN 0.10 ELSE 0.20 END::DOUBLE"
@@ -209,21 +214,26 @@ q9 AS (SELECT *, NOT gate AND NOT corporate AND capped >= 80 AND ldi >= 70 AND d
 scored AS (SELECT *, gem AND NOT extreme AS hidden_gem, good AND NOT gem AND NOT extreme AS good_value, CAST(CASE WHEN extreme THEN least(capped, 55) ELSE capped END AS INT) AS score_total, capped < raw AS score_was_capped FROM q9)"""
 WHOLE = "CAST(CAST(round_even(CAST(abs(delta_label) AS DECIMAL(18,6)), 0) AS INT) AS VARCHAR)"
 
-ORACLE_SQL = {
-    "comps_zone_median": f"""WITH {SQL}, pool AS (SELECT a.id, a.zone, a.ask_psqm AS psqm, list(b.ask_psqm) AS prices FROM listings a JOIN listings b ON a.zone = b.zone AND a.id <> b.id WHERE b.ask_psqm > 0 AND a.sqm > 0 AND {BAND} GROUP BY ALL),
-{robust_sql('pool', 'id, zone, psqm')} SELECT id, zone, CAST(n_raw AS INT) AS n_raw, CAST(n_comps AS INT) AS n_comps, {R2('median')} AS median, {R2('(psqm - median) / median', 4)} AS delta_pct FROM stats WHERE n_raw >= 5 ORDER BY delta_pct, id LIMIT 10""",
-    "comps_cascade": f"""WITH {SQL}, base AS (SELECT *, {CGROUP} AS cgroup FROM listings),
+def cascade_sql(ask: str = "ask_psqm", omi: str = "omi_mid", spread: int = 3, thin: str = "") -> str:
+    return f"""WITH {SQL}, base AS (SELECT * REPLACE ({ask} AS ask_psqm, {omi} AS omi_mid), {CGROUP} AS cgroup FROM listings),
 pairs AS (SELECT a.id, a.cgroup, a.cgroup = b.cgroup AND a.cgroup <> 'unknown' AND a.zone = b.zone AS same, a.zone = b.zone AS z, a.fascia = b.fascia AS f, CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN {HAVERSINE} END AS d, b.ask_psqm AS raw, b.ask_psqm * {FACTOR} AS adj
   FROM base a JOIN base b ON a.id <> b.id WHERE b.ask_psqm > 0 AND a.ask_psqm > 0 AND (coalesce(a.sqm, 0) <= 0 OR {BAND})),
 c AS (SELECT id, list(raw) FILTER (same) AS s1, list(adj) FILTER (z) AS s2, list(adj) FILTER (f AND d <= 800) AS s3, list(adj) FILTER (f) AS s4, list(adj) FILTER (d <= 500) AS r1, list(adj) FILTER (d <= 800) AS r2, list(adj) FILTER (d <= 1200) AS r3 FROM pairs GROUP BY id),
 w AS (SELECT *, CASE WHEN len(s1) >= 15 THEN 'zone_stratified' WHEN len(s2) >= 15 THEN 'zone_any_condition' WHEN len(s3) >= 5 THEN 'radius_800m_same_fascia' WHEN len(s4) >= 5 THEN 'fascia_fallback' WHEN len(r1) >= 5 THEN 'comps_500' WHEN len(r2) >= 5 THEN 'comps_800' WHEN len(r3) >= 5 THEN 'comps_1200' WHEN len(s2) >= 5 THEN 'omi_zone' END AS source FROM c),
 pool AS (SELECT id, source, CASE source WHEN 'zone_stratified' THEN s1 WHEN 'zone_any_condition' THEN s2 WHEN 'radius_800m_same_fascia' THEN s3 WHEN 'fascia_fallback' THEN s4 WHEN 'comps_500' THEN r1 WHEN 'comps_800' THEN r2 WHEN 'comps_1200' THEN r3 ELSE s2 END AS prices FROM w WHERE source IS NOT NULL),
 {robust_sql('pool', 'id, source')},
-j AS (SELECT base.id, base.cgroup, base.omi_mid AS omi, base.ask_psqm AS ask, source, n_raw, n_comps, median, p40, p60, least(100, CASE WHEN n_comps >= 40 THEN 40 WHEN n_comps >= 20 THEN 20 ELSE 0 END + CASE WHEN source = 'zone_stratified' THEN 40 WHEN source LIKE '%zone%' THEN 10 ELSE 0 END + CASE WHEN stdev < 3 THEN 20 ELSE 0 END) AS conf,
+j AS (SELECT base.id, base.cgroup, base.omi_mid AS omi, base.ask_psqm AS ask, source, n_raw, n_comps, median, p40, p60, least(100, CASE WHEN n_comps >= 40 THEN 40 WHEN n_comps >= 20 THEN 20 ELSE 0 END + CASE WHEN source = 'zone_stratified' THEN 40 WHEN source LIKE '%zone%' THEN 10 ELSE 0 END + CASE WHEN stdev < {spread} THEN 20 ELSE 0 END) AS conf,
   source IS NULL AND coalesce(omi_mid, 0) > 0 AND ask_psqm > 0 AS only_omi FROM base LEFT JOIN stats ON base.id = stats.id),
-k AS (SELECT *, CASE WHEN source IS NULL THEN CASE WHEN only_omi THEN omi END WHEN coalesce(omi, 0) <= 0 THEN median ELSE median * CASE WHEN conf >= 70 THEN 1.0 WHEN conf >= 40 THEN 0.8 ELSE 0.5 END::DOUBLE + omi * (1 - CASE WHEN conf >= 70 THEN 1.0 WHEN conf >= 40 THEN 0.8 ELSE 0.5 END::DOUBLE) END AS blended FROM j)
+k AS (SELECT *, CASE WHEN source IS NULL THEN CASE WHEN only_omi THEN omi END WHEN coalesce(omi, 0) <= 0 THEN median {thin} ELSE median * CASE WHEN conf >= 70 THEN 1.0 WHEN conf >= 40 THEN 0.8 ELSE 0.5 END::DOUBLE + omi * (1 - CASE WHEN conf >= 70 THEN 1.0 WHEN conf >= 40 THEN 0.8 ELSE 0.5 END::DOUBLE) END AS blended FROM j)
 SELECT id, cgroup AS condition_group, coalesce(source, CASE WHEN only_omi THEN 'omi_only' ELSE 'none' END) AS benchmark_source, {R2('CASE WHEN only_omi THEN omi ELSE median END')} AS median, {R2('CASE WHEN only_omi THEN omi ELSE p40 END')} AS p40, {R2('CASE WHEN only_omi THEN omi ELSE p60 END')} AS p60, {R2('blended')} AS blended_median, {R2('(ask - blended) / nullif(blended, 0)', 4)} AS delta_pct,
-  CAST(CASE WHEN source IS NOT NULL THEN conf WHEN only_omi THEN 15 ELSE 0 END AS INT) AS confidence, CAST(coalesce(n_comps, 0) AS INT) AS n_comps, CAST(coalesce(n_raw, 0) AS INT) AS n_raw FROM k""",
+  CAST(CASE WHEN source IS NOT NULL THEN conf WHEN only_omi THEN 15 ELSE 0 END AS INT) AS confidence, CAST(coalesce(n_comps, 0) AS INT) AS n_comps, CAST(coalesce(n_raw, 0) AS INT) AS n_raw FROM k"""
+
+
+ORACLE_SQL = {
+    "comps_zone_median": f"""WITH {SQL}, pool AS (SELECT a.id, a.zone, a.ask_psqm AS psqm, list(b.ask_psqm) AS prices FROM listings a JOIN listings b ON a.zone = b.zone AND a.id <> b.id WHERE b.ask_psqm > 0 AND a.sqm > 0 AND {BAND} GROUP BY ALL),
+{robust_sql('pool', 'id, zone, psqm')} SELECT id, zone, CAST(n_raw AS INT) AS n_raw, CAST(n_comps AS INT) AS n_comps, {R2('median')} AS median, {R2('(psqm - median) / median', 4)} AS delta_pct FROM stats WHERE n_raw >= 5 ORDER BY delta_pct, id LIMIT 10""",
+    "comps_cascade": cascade_sql(),
+    "comps_cascade_sale": cascade_sql(R2("price / sqm", 0), "omi_mid * 160", 1500, "WHEN n_comps < 15 THEN median * 0.4::DOUBLE + omi * 0.6::DOUBLE"),
     "robust_trim_stats": f"WITH pool AS (SELECT p_brand, p_size, list(p_retailprice) AS prices FROM part GROUP BY ALL), {robust_sql('pool', 'p_brand, p_size')} SELECT p_brand, p_size, CAST(n_raw AS INT) AS n_raw, CAST(n_comps AS INT) AS n_comps, {R2('median')} AS median, {R2('p40')} AS p40, {R2('p60')} AS p60, {R2('stdev')} AS stdev FROM stats",
     "comp_top_k": f"""WITH {SQL}, r AS (SELECT a.id, b.id AS c_id, row_number() OVER (PARTITION BY a.id ORDER BY coalesce(CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN {HAVERSINE} END, b.ask_psqm), b.id) AS n FROM listings a JOIN listings b ON a.zone = b.zone AND a.id <> b.id WHERE b.ask_psqm > 0 AND a.sqm > 0 AND {BAND})
 SELECT id, string_agg(CAST(c_id AS VARCHAR), ',' ORDER BY n) AS comp_ids FROM r WHERE n <= 30 GROUP BY id""",
