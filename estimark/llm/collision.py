@@ -28,12 +28,14 @@ from estimark.llm.vectors import matrix, usable, width
 #: Vectors of a shard (on average) until there are as many shards as SHARDS, bytes of its vectors
 #: from then on, queries of a block.
 SHARD_ROWS, SHARDS, SHARD_BYTES, QUERY_ROWS = 8192, 64, 128 << 20, 256
+#: Vectors whose collisions are counted at once.
+SLICE = 4096
 
 
 def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products of the rows of x. Each is summed on its own and in one order, so that equal
     rows have equal products wherever they stand, which a matrix product doesn't promise."""
-    return np.multiply(x, query, order="C").sum(1)
+    return np.einsum("ij,j->i", x, query)
 
 
 class Shard:
@@ -43,8 +45,11 @@ class Shard:
         self.ids, self.x, self.lines = ids, x, lines
         self.rest = np.sqrt(np.maximum(0, longest**2 - (x * x).sum(1)))
         placed = (np.hstack([x, self.rest[:, None]]) @ lines).T
-        self.order = np.argsort(placed, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(placed, self.order, 1)
+        order = np.argsort(placed, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(placed, order, 1)
+        #: each vector's place in the array of each line, in the least unsigned type that holds their number
+        self.place = np.empty(placed.shape, np.uint16 if placed.shape[1] < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(placed.shape[1], dtype=self.place.dtype)[None, :], 1)
         self.half = 0.4 * float(placed.std()) + 1e-12
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, recall: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -52,27 +57,17 @@ class Shard:
         n, m = len(self.ids), self.lines.shape[1]
         need = m // 2
         at_lines = (queries @ self.lines[:-1]).T
-        count = np.zeros((len(queries), n), np.uint8)
         done = self.ids[None, :] == own[:, None]
         best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
-        lo = np.stack([np.searchsorted(s, p) for s, p in zip(self.sorted, at_lines, strict=True)], 1)
-        hi, half = lo.copy(), self.half
-        active, ended = np.arange(len(queries)), []
+        half, active, ended = self.half, np.arange(len(queries)), []
         while len(active):
             a = np.stack([np.searchsorted(s, p - half) for s, p in zip(self.sorted, at_lines[:, active], strict=True)], 1)
             b = np.stack([np.searchsorted(s, p + half, "right") for s, p in zip(self.sorted, at_lines[:, active], strict=True)], 1)
             all_in = ((a == 0) & (b == n)).all(1)
             stay = []
             for row, q in enumerate(active.tolist()):
-                c = count[q]
-                for order, old_a, old_b, new_a, new_b in zip(self.order, lo[q].tolist(), hi[q].tolist(), a[row].tolist(), b[row].tolist(), strict=True):
-                    if old_a == old_b:
-                        c[order[new_a:new_b]] += 1
-                    else:
-                        c[order[new_a:old_a]] += 1
-                        c[order[old_b:new_b]] += 1
-                lo[q], hi[q] = a[row], b[row]
-                self.verify(q, queries[q], c >= (0 if all_in[row] else need), done[q], best, k)
+                hit = np.ones(n, bool) if all_in[row] else self.collisions(a[row], b[row]) >= need
+                self.verify(q, queries[q], hit, done[q], best, k)
                 if all_in[row] or self.enough(best[q], queries[q], half, need, m, k, recall):
                     ended.append(half)
                 else:
@@ -82,11 +77,18 @@ class Shard:
         self.half = 0.8 * float(np.median(ended))  # where the next block's windows begin; blocks come in a fixed order
         return best
 
+    def collisions(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """In how many lines' windows each vector falls. A place before the window wraps around to
+        a number beyond its length, so one comparison tells."""
+        kind, n = self.place.dtype, self.place.shape[1]
+        begin, length = begin[:, None].astype(kind), (end - begin)[:, None].astype(kind)
+        return np.concatenate([np.add.reduce(self.place[:, at : at + SLICE] - begin < length, axis=0, dtype=np.uint8) for at in range(0, n, SLICE)])
+
     def verify(self, q: int, query: np.ndarray, hit: np.ndarray, done: np.ndarray, best: list, k: int) -> None:
         fresh = np.flatnonzero(hit & ~done)
         if len(fresh):
             done[fresh] = True
-            at, score = np.concatenate([best[q][0], fresh]), np.concatenate([best[q][1], products(self.x[fresh], query)])
+            at, score = np.concatenate([best[q][0], fresh]), np.concatenate([best[q][1], products(self.x.take(fresh, 0), query)])
             if len(at) > k:
                 edge = np.partition(score, len(score) - k)[len(score) - k]
                 top = np.flatnonzero(score >= edge)  # with all ties
