@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from estimark import settings as st
 from estimark.functions import scalars as sc
@@ -153,8 +154,7 @@ def answer(pool: Pool, asks: pa.RecordBatch, enough: int) -> pa.RecordBatch:
     """The asks with their statistics: of the band's prices of the same condition if these are
     enough, else of all."""
     group, own = asks.column("group").to_numpy(), asks.column("price").to_numpy()
-    low, high = (asks.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("low", "high"))
-    low, high = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+    low, high = ends(asks)
     out = np.zeros((len(STATS), len(own)))
     for g in np.unique(group).tolist():
         rows = np.flatnonzero(group == g)
@@ -177,6 +177,32 @@ def group_code(name: Column) -> Column:
     return sc.lookup(name, {g: i for i, g in enumerate(GROUPS)}, len(GROUPS) - 1).cast("int")
 
 
+def with_band(df: DataFrame, key: str) -> DataFrame:
+    """Rows with a price, and their key, size, price and condition under names of our own."""
+    size = F.when(F.col("sqm") > 0, F.col("sqm")).cast("double")
+    group = group_code(F.col("cgroup")) if "cgroup" in df.columns else F.lit(0)
+    return df.where("psqm > 0").withColumns({"__price": F.col("psqm").cast("double"), "__group": group, "__size": size, "__k": F.col(key)})
+
+
+def pool_buckets() -> Column:
+    """The buckets whose targets a pool row may serve."""
+    size = F.col("__size")
+    near = F.when(size.isNotNull(), F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: d + bucket(size))).otherwise(F.array().cast("array<int>"))
+    return F.explode(F.concat(near, F.array(F.lit(ANY_SIZE))))
+
+
+def target_columns() -> list[Column]:
+    """Of a target: key, bucket, and the ends of its band, null for any size."""
+    size = F.col("__size")
+    low, high = sc.size_band(F.col("sqm"))
+    return [F.col("__k"), F.coalesce(bucket(size), F.lit(ANY_SIZE)).alias("__bucket"), *[F.when(size.isNotNull(), x.cast("double")).alias(name) for name, x in (("low", low), ("high", high))]]
+
+
+def ends(asks: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    low, high = (asks.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("low", "high"))
+    return np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+
+
 def band_stats(targets: DataFrame, pool: DataFrame, key: str, enough: int | None, keep: list[str], most: int = MOST_ASKS) -> DataFrame:
     """(id, keep, n_same, n_any, n_raw, n_comps, median, p40, p60, stdev) for each target that has
     a price: the statistics of the prices of the pool's other listings of its key and in its band
@@ -186,21 +212,85 @@ def band_stats(targets: DataFrame, pool: DataFrame, key: str, enough: int | None
     ``keep``. Equal listings of a key go to the shuffle once, with their number. A target without a
     key, or without comparables, has zeros."""
 
-    def priced(df: DataFrame) -> DataFrame:
-        size = F.when(F.col("sqm") > 0, F.col("sqm")).cast("double")
-        return df.where("psqm > 0").withColumns({"__price": F.col("psqm").cast("double"), "__group": group_code(F.col("cgroup")), "__size": size, "__k": F.col(key)})
-
-    size = F.col("__size")
-    pool = priced(pool).where("__k IS NOT NULL").groupBy("__k", "__size", "__group", "__price").agg(F.count("*").alias("weight"))
-    near = F.when(size.isNotNull(), F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: d + bucket(size))).otherwise(F.array().cast("array<int>"))
-    pool = pool.select("__k", F.explode(F.concat(near, F.array(F.lit(ANY_SIZE)))).alias("__bucket"), size.alias("size"), F.col("__group").alias("group"), F.col("__price").alias("price"), "weight")
-    low, high = sc.size_band(F.col("sqm"))
-    asks = priced(targets).select(
-        "__k", F.coalesce(bucket(size), F.lit(ANY_SIZE)).alias("__bucket"), "id", *[c for c in keep if c != "id"],
-        F.col("__price").alias("price"), F.col("__group").alias("group"), *[F.when(size.isNotNull(), x.cast("double")).alias(name) for name, x in (("low", low), ("high", high))],
-    )
+    pool = with_band(pool, key).where("__k IS NOT NULL").groupBy("__k", "__size", "__group", "__price").agg(F.count("*").alias("weight"))
+    pool = pool.select("__k", pool_buckets().alias("__bucket"), F.col("__size").alias("size"), F.col("__group").alias("group"), F.col("__price").alias("price"), "weight")
+    asks = with_band(targets, key).select(*target_columns(), "id", *[c for c in keep if c != "id"], F.col("__price").alias("price"), F.col("__group").alias("group"))
     keyed = asks.where("__k IS NOT NULL")
     schema = StructType([*keyed.drop("__k", "__bucket").schema, *(StructField(name, IntegerType() if name.startswith("n_") else DoubleType()) for name in STATS)])
     found = meet(pool, keyed, ["__k", "__bucket"], Pool, lambda state, part: answer(state, part, NEVER if enough is None else enough), schema, most)
     bare = asks.where("__k IS NULL").drop("__k", "__bucket").withColumns({name: F.lit(0).cast("int" if name.startswith("n_") else "double") for name in STATS})
     return found.unionByName(bare).drop("price", "group", "low", "high")
+
+
+class Around:
+    """A key's listings for the nearest comparables: those with a place in order of latitude, the
+    others, and all, in order of price."""
+
+    def __init__(self, rows: pa.Table):
+        columns = {c: rows.column(c).to_numpy().astype(float) for c in ("size", "price", "lat", "lng")}
+        self.ids = rows.column("id").combine_chunks()
+        self.names = np.argsort(pc.sort_indices(self.ids).to_numpy(), kind="stable")  # ids in an order of their own
+        self.number = {v: i for i, v in enumerate(self.ids.to_pylist())}
+        self.size, self.price, self.lat, self.lng = np.nan_to_num(columns["size"]), columns["price"], columns["lat"], columns["lng"]
+        here = ~np.isnan(self.lat) & ~np.isnan(self.lng)
+        at = np.flatnonzero(here)
+        self.placed = at[np.argsort(self.lat[at], kind="stable")]
+        self.lats = self.lat[self.placed]
+        self.all = np.lexsort((self.names, self.price))
+        self.bare = self.all[~here[self.all]]
+        self.reach = 0.002
+
+    def cheapest(self, order: np.ndarray, low: float, high: float, own: int, k: int) -> np.ndarray:
+        found, at, step = [], 0, max(256, 4 * k)
+        while at < len(order) and sum(map(len, found)) < k:
+            part = order[at : at + step]
+            found.append(part[(self.size[part] >= low) & (self.size[part] <= high) & (part != own)])
+            at, step = at + step, 2 * step
+        return np.concatenate(found)[:k] if found else np.zeros(0, np.int64)
+
+    def nearest(self, lat: float, lng: float, low: float, high: float, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest with a place: a strip of latitudes widens until none outside can be nearer."""
+        reach = self.reach
+        while True:
+            a, b = np.searchsorted(self.lats, lat - reach), np.searchsorted(self.lats, lat + reach, "right")
+            rows = self.placed[a:b]
+            rows = rows[(self.size[rows] >= low) & (self.size[rows] <= high) & (rows != own)]
+            p, q = np.radians(lat), np.radians(self.lat[rows])
+            x = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(self.lng[rows] - lng) / 2) ** 2
+            far = np.round(2 * sc.EARTH_M * np.arcsin(np.sqrt(np.minimum(1.0, x))), 3)
+            whole = b - a == len(self.placed)
+            if whole or len(far) >= k and np.partition(far, k - 1)[k - 1] < reach * 111_000:
+                self.reach = max(1e-5, reach / 2)
+                return rows, far
+            reach *= 2
+
+    def best(self, own: object, lat: float, lng: float, low: float, high: float, k: int) -> np.ndarray:
+        me = self.number.get(own, -1)
+        if np.isnan(lat) or np.isnan(lng):
+            return self.cheapest(self.all, low, high, me, k)
+        rows, far = self.nearest(lat, lng, low, high, me, k)
+        bare = self.cheapest(self.bare, low, high, me, k)
+        rows, value = np.concatenate([rows, bare]), np.concatenate([far, self.price[bare]])
+        return rows[np.lexsort((self.names[rows], value))[:k]]
+
+
+def top_comparables(targets: DataFrame, pool: DataFrame, key: str, k: int = 30, most: int = MOST_ASKS) -> DataFrame:
+    """(id, comp_ids) for each priced target with a key: up to k other listings of the key in its band
+    of sizes, the nearest first; where one of the two has no place, its price stands for the
+    distance. Ties come by smaller id. Both have id (unique), psqm, sqm, lat, lng and the key. Pairs
+    are looked at within tasks, k ids of a target leave them."""
+    place = [F.col(c).cast("double").alias(c) for c in ("lat", "lng")]
+    pool = with_band(pool, key).where("__k IS NOT NULL").select("__k", pool_buckets().alias("__bucket"), "id", F.col("__size").alias("size"), F.col("__price").alias("price"), *place)
+    asks = with_band(targets, key).where("__k IS NOT NULL").select(*target_columns(), "id", *place)
+
+    def answer(state: Around | None, part: pa.RecordBatch) -> pa.RecordBatch | None:
+        if state is None:
+            return None
+        lat, lng = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lng"))
+        found = [state.best(*row, k) for row in zip(part.column("id").to_pylist(), lat, lng, *ends(part), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)), state.ids.take(pa.array(np.concatenate(found).astype(np.int64))))
+        out = pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "comp_ids"])
+        return out.filter(pa.array([len(f) > 0 for f in found]))
+
+    schema = StructType([asks.schema["id"], StructField("comp_ids", ArrayType(pool.schema["id"].dataType))])
+    return meet(pool, asks, ["__k", "__bucket"], Around, answer, schema, most)

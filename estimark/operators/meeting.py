@@ -51,24 +51,33 @@ def segments(batch: pa.RecordBatch, columns: list[str]) -> list[tuple[int, int]]
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def dealt(pool: DataFrame, asks: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
-    """Both with a ``__salt``: the asks of a key that has over ``most`` of them are dealt out over
-    several salts, each of which gets the key's pool. Counts come first, a row a hot key."""
-    hot = asks.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("__salts")).where("__salts > 1")
-    salts = F.coalesce("__salts", F.lit(1))
-    asks = asks.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*asks.columns), salts).cast("int")).drop("__salts")
-    pool = pool.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-    return pool, asks
+def dealt(pool: DataFrame, asks: DataFrame, keys: list[str], most: int, most_pool: int | None) -> tuple[DataFrame, DataFrame]:
+    """Both with a ``__salt`` and a ``__part``. The asks of a key that has over ``most`` of them are
+    dealt out over several salts, each of which gets the key's pool; the pool of a key with over
+    ``most_pool`` rows over several parts, each of which gets the key's asks. Counts come first, a
+    row a hot key."""
 
+    def split(many: DataFrame, others: DataFrame, limit: int, name: str) -> tuple[DataFrame, DataFrame]:
+        hot = many.groupBy(*keys).agg(F.ceil(F.count("*") / limit).cast("int").alias("__n")).where("__n > 1")
+        n = F.coalesce("__n", F.lit(1))
+        many = many.join(hot, keys, "left").withColumn(name, F.pmod(F.xxhash64(*many.columns), n).cast("int")).drop("__n")
+        return many, others.join(hot, keys, "left").withColumn(name, F.explode(F.sequence(F.lit(0), n - 1))).drop("__n")
 
-def meet(pool: DataFrame, asks: DataFrame, keys: list[str], build: Callable[[pa.Table], object], answer: Callable[[object, pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str, most: int = MOST_ASKS) -> DataFrame:
+    asks, pool = split(asks, pool, most, "__salt")
+    if most_pool is None:
+        return pool.withColumn("__part", F.lit(0)), asks.withColumn("__part", F.lit(0))
+    return split(pool, asks, most_pool, "__part")
+
+
+def meet(pool: DataFrame, asks: DataFrame, keys: list[str], build: Callable[[pa.Table], object], answer: Callable[[object, pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str, most: int = MOST_ASKS, most_pool: int | None = None) -> DataFrame:
     """What ``answer`` gives for each batch of asks, from what ``build`` makes of the pool rows of
-    the same keys (None where there are none). Keys may not be null."""
+    the same keys (None where there are none). Keys may not be null. With ``most_pool``, a key's
+    pool may come in several parts, and what they answer has to be put together by the caller."""
     columns = list(dict.fromkeys([*keys, *pool.columns, *asks.columns]))
-    pool, asks = dealt(pool, asks, keys, most)
+    pool, asks = dealt(pool, asks, keys, most, most_pool)
     both = pool.withColumn("__kind", F.lit(0)).unionByName(asks.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
-    by = [*keys, "__salt"]
-    both = both.repartition(*by).sortWithinPartitions(*by, "__kind").select(*columns, "__salt", "__kind")
+    by = [*keys, "__salt", "__part"]
+    both = both.repartition(*by).sortWithinPartitions(*by, "__kind").select(*columns, "__salt", "__part", "__kind")
     asked = [c for c in asks.columns if not c.startswith("__")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estimark.functions import scalars as sc
-from estimark.operators import bands, comps, digest, lookup, quality, scoring
+from estimark.operators import bands, comps, digest, lookup, quality, ranks, rules, scoring
 from estimark.plans.listings import SQL, listings
 from estimark.settings import Settings
 
@@ -60,9 +60,8 @@ def robust_trim_stats(spark, sf_dir):
 
 
 def comp_top_k(spark, sf_dir):
-    base = bench_input(spark, sf_dir).withColumn("cgroup", F.lit(None).cast("string")).select("id", "psqm", "sqm", "cgroup", "zone", "fascia", "lat", "lng")
-    pairs = comps.candidate_pairs(base.where("sqm > 0"), base, ["zone"])
-    return comps.top_comparables(pairs, 30).select("id", F.concat_ws(",", F.transform("comp_ids", lambda x: x.cast("string"))).alias("comp_ids"))
+    base = bench_input(spark, sf_dir).select("id", "psqm", "sqm", "zone", "lat", "lng")
+    return bands.top_comparables(base.where("sqm > 0"), base, "zone", 30).select("id", F.concat_ws(",", F.transform("comp_ids", lambda x: x.cast("string"))).alias("comp_ids"))
 
 
 def physical_scores(spark, sf_dir):
@@ -119,14 +118,12 @@ def excluded_listings(spark, sf_dir):
 
 
 def fascia_percentile(spark, sf_dir):
-    """Share of the fascia's listings that are no dearer, and the simple score built on it."""
-    from pyspark.sql import Window
-
-    share = F.cume_dist().over(Window.partitionBy("fascia").orderBy("ask_psqm")) * 100
+    """Share of the fascia's listings that are no dearer (50 where none has a price), and the simple
+    score built on it. Brushed fascias' prices are unknown here, so they have no peers."""
+    df = listings(spark, sf_dir).withColumn("ask_psqm", F.when(F.col("fascia").contains("BRUSHED"), None).otherwise(F.col("ask_psqm"))).where("ask_psqm > 0 OR ask_psqm IS NULL")
+    df = ranks.share_up_to(df, "fascia", "ask_psqm", "share").withColumn("pct", F.coalesce(F.col("share") * 100, F.lit(50.0)))
     vs = (F.col("ask_psqm") - F.col("omi_mid")) / F.col("omi_mid")
-    price = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 - 250 * vs))
-    df = listings(spark, sf_dir).where("ask_psqm > 0").withColumn("pct", share)
-    return df.select("id", sc.exactly(F.col("pct"), 2).alias("fascia_pct"), sc.exactly(F.when(vs.isNull(), 50.0).otherwise(price) * 0.60 + (100 - F.col("pct")) * 0.40, 1).alias("simple_score"))
+    return df.select("id", sc.exactly(F.col("pct"), 2).alias("fascia_pct"), rules.simple_score(F.col("pct"), vs, False).alias("simple_score"))
 
 
 def ldi_by_zone(spark, sf_dir):
@@ -260,7 +257,9 @@ SELECT id, {R2('rent + kept')} AS effective_rent_mo, {R2('(rent + kept) / nullif
     "suggested_rent": f"""WITH {SQL}, x AS (SELECT id, price, CASE WHEN coalesce(omi_mid, 0) > 0 AND coalesce(sqm, 0) > 0 THEN CAST(round_even(CAST(omi_mid * CASE WHEN sqm < 50 THEN 1.20 WHEN sqm <= 85 THEN 1.0 WHEN sqm <= 115 THEN 0.9 WHEN sqm <= 145 THEN 0.82 ELSE 0.75 END::DOUBLE * CASE WHEN lower(condition) IN ('ottimo', 'nuova costruzione') THEN 1.0 WHEN condition = 'da ristrutturare' THEN 0.70 ELSE 0.85 END::DOUBLE * sqm / 25 AS DECIMAL(18,6)), 0) AS INT) * 25 END AS r FROM listings)
 SELECT id, r AS suggested_rent_mo, CASE WHEN r IS NOT NULL AND price > 0 THEN {R2('CAST(r * 12 AS DOUBLE) / price * 100')} END AS estimated_yield_pct FROM x""",
     "excluded_listings": f"""WITH {SQL}, x AS (SELECT id, CASE WHEN id % 37 = 0 THEN 'fake' WHEN id % 41 = 0 THEN 'nuda_proprieta' WHEN id % 43 = 0 THEN 'auction' WHEN sqm IS NOT NULL AND ask_psqm * 30 <> 0 AND price <> 0 AND ask_psqm * 30 < CASE city WHEN 'Milano' THEN 800 WHEN 'Roma' THEN 600 ELSE 400 END THEN 'price_floor' END AS excluded_reason FROM listings) SELECT * FROM x WHERE excluded_reason IS NOT NULL""",
-    "fascia_percentile": f"""WITH {SQL}, x AS (SELECT id, cume_dist() OVER (PARTITION BY fascia ORDER BY ask_psqm) * 100 AS pct, (ask_psqm - omi_mid) / omi_mid AS vs FROM listings WHERE ask_psqm > 0)
+    "fascia_percentile": f"""WITH {SQL}, l AS (SELECT * REPLACE (CASE WHEN contains(fascia, 'BRUSHED') THEN NULL ELSE ask_psqm END AS ask_psqm) FROM listings),
+p AS (SELECT id, cume_dist() OVER (PARTITION BY fascia ORDER BY ask_psqm) * 100 AS pct FROM l WHERE ask_psqm > 0),
+x AS (SELECT l.id, coalesce(pct, 50) AS pct, (ask_psqm - omi_mid) / omi_mid AS vs FROM l LEFT JOIN p ON l.id = p.id WHERE ask_psqm > 0 OR ask_psqm IS NULL)
 SELECT id, {R2('pct')} AS fascia_pct, {R2('CASE WHEN vs IS NULL THEN 50 ELSE greatest(0, least(100, 50 - 250 * vs)) END * 0.60::DOUBLE + (100 - pct) * 0.40::DOUBLE', 1)} AS simple_score FROM x""",
     "ldi_by_zone": f"""WITH {SQL}, z AS (SELECT fascia, zone, CAST(CAST(sum(CAST(ask_psqm AS DECIMAL(18,6))) / count(*) AS DECIMAL(18,6)) AS DOUBLE) AS mid FROM listings GROUP BY ALL),
 m AS (SELECT fascia, min(mid) AS lo, max(mid) AS hi, list_sort(list(mid)) AS s FROM z GROUP BY fascia)
