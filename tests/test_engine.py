@@ -86,15 +86,6 @@ def test_distinct_sightings(spark, tmp_path):
     assert sorted(r["event_id"] for r in spark.table("sightings").collect()) == sorted(r["event_id"] for r in events.collect())
 
 
-def test_guarded_upsert(spark):
-    stored = {"df": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, x string")}
-    put = streams.guarded_upsert(lambda: stored["df"], lambda df: stored.update(df=df), "id")
-    put(spark.createDataFrame([(1, "z", True)], "id int, x string, full_scan boolean"), 0)
-    assert sorted(map(tuple, stored["df"].collect())) == [(1, "a"), (2, "b"), (3, "c")]
-    put(spark.createDataFrame([(4, "d", False)], "id int, x string, full_scan boolean"), 1)
-    assert stored["df"].count() == 4
-
-
 def test_upsert_keeps_unsupplied_columns(spark):
     old, new = spark.createDataFrame([(1, "a", 5)], "id int, x string, y int"), spark.createDataFrame([(1, None), (2, "n")], "id int, x string")
     assert sorted(map(tuple, lifecycle.upsert(old, new, "id").collect())) == [(1, None, 5), (2, "n", None)]
