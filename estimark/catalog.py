@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from estimark.plans import lifecycle, places, raw, rules, sale, scores, texts
+from estimark.plans import lifecycle, places, raw, rules, sale, scores, tables, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plan in (scores, places, lifecycle, texts, raw, sale, rules):
+for _plan in (scores, places, lifecycle, texts, raw, sale, rules, tables):
     QUERIES |= _plan.QUERIES
     ORACLE_SQL |= _plan.ORACLE_SQL

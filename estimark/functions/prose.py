@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from estimark import settings as st
 from estimark.functions import scalars as sc
 
 
@@ -167,3 +168,27 @@ def search_url(base: str, city: Column, areas: Column, filters: dict[str, Column
     query = F.array_join(F.array_compact(F.array(*[F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), v.cast("string"))) for k, v in filters.items()])), "&")
     path = F.concat_ws("/", F.lit(base), sc.slug(city), F.nullif(F.array_join(F.transform(areas, sc.slug), ","), F.lit("")))
     return F.concat(path, F.lit("/"), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def portal_a_url(base: str, city: Column, area: Column, filters: dict[str, Column], page: Column) -> Column:
+    """Portal A's search address: the city, the area if one is named, filters that are set (not 0)
+    and the page from the second on as query parameters."""
+    query = [F.when(sc.zero(v) != 0, F.concat(F.lit(f"{k}="), v.cast("string"))) for k, v in filters.items()]
+    query.append(F.when(page > 1, F.concat(F.lit("pag="), page.cast("string"))))
+    text = F.array_join(F.array_compact(F.array(*query)), "&")
+    place = F.concat(F.lit(f"{base}/affitto-case/"), city, F.lit("/"), F.coalesce(F.concat(F.nullif(area, F.lit("")), F.lit("/")), F.lit("")))
+    return F.concat(place, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
+
+
+def portal_b_url(base: str, city: Column, area: Column, most: Column, least_sqm: Column, least_rooms: Column, page: Column, sale: bool = False) -> Column:
+    """Portal B's search address: filters are words of the path, each number of rooms from the least
+    on has its own, rentals ask for long terms, and pages are files."""
+    rooms = sc.zero(least_rooms)
+    words = [F.when(sc.zero(most) != 0, F.concat(F.lit("prezzo_"), most.cast("string"))), F.when(sc.zero(least_sqm) != 0, F.concat(F.lit("dimensione_"), least_sqm.cast("string")))]
+    words += [F.when((rooms != 0) & (rooms <= n), F.lit(word)) for n, word in st.ROOM_TOKENS.items()]
+    words += [] if sale else [F.lit("affitto-lungo-termine")]
+    text = F.array_join(F.array_compact(F.array(*words)), ",")
+    place = F.coalesce(F.nullif(area, F.lit("")), F.concat(city, F.lit("-"), city))
+    where = F.when(F.coalesce(area, F.lit("")) != "", F.concat(city, F.lit("/"), place)).otherwise(place)
+    path = F.concat(F.lit(f"{base}/{'vendita' if sale else 'affitto'}-case/"), where, F.lit("/"))
+    return F.concat(path, F.when(text != "", F.concat(F.lit("con-"), text, F.lit("/"))).otherwise(""), F.when(page > 1, F.concat(F.lit("lista-"), page.cast("string"), F.lit(".htm"))).otherwise(""))

@@ -5,6 +5,10 @@ rule asks for true or false, never for "not true"."""
 
 from __future__ import annotations
 
+import functools
+import json
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -93,10 +97,12 @@ def room_flag(sqm: Column, rooms: Column) -> Column:
     return F.when(zero(sqm) > 0, F.when(zero(rooms) >= 2, shared).otherwise(alone))
 
 
-def property_score() -> Column:
-    """0-100 from the physical columns of a listing; 50 if none is known."""
+def property_score(year: int | Column | None = None) -> Column:
+    """0-100 from the physical columns of a listing; 50 if none is known. year: to count ages from,
+    today's if it isn't given."""
     c = F.col
-    key, age = condition_key(c("condition")), 2026 - c("year_built")
+    now = F.year(F.current_date()) if year is None else F.lit(year)
+    key, age = condition_key(c("condition")), now - c("year_built")
     good, poor = key.isin("ottimo", "nuova_costruzione", "ristrutturato"), key.isin("da_ristrutturare", "fatiscente")
     heat = F.trim(F.lower("heating_type"))
     rent, fee = zero("rent_mo"), zero("spese_condominiali")
@@ -227,9 +233,38 @@ def parse_rooms(text: Column) -> Column:
     return out.otherwise(F.nullif(F.regexp_extract(t, r"([0-9]+)\s*local", 1), F.lit("")).try_cast("int"))
 
 
-ACCENTS = ("àáâäãåèéêëìíîïòóôöõùúûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
+@functools.cache
+def decomposed() -> tuple[str, str, dict[str, str]]:
+    """By Unicode's compatibility decomposition: characters that become one ASCII character, what
+    they become, and characters that become several."""
+    one, to, several = [], [], {}
+    for code in range(128, sys.maxunicode + 1):
+        letter = chr(code)
+        if 0xD800 <= code < 0xE000 or unicodedata.decomposition(letter) == "":
+            continue
+        ascii_ = unicodedata.normalize("NFKD", letter).encode("ascii", "ignore").decode()
+        if len(ascii_) == 1:
+            one.append(letter)
+            to.append(ascii_)
+        elif ascii_:
+            several[letter] = ascii_
+    return "".join(one), "".join(to), several
+
+
+@functools.cache
+def class_of(letters: str) -> str:
+    """A regular expression's class of the letters, as ranges of neighbours."""
+    codes = sorted(map(ord, letters))
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
 
 
 def slug(text: Column) -> Column:
-    plain = F.translate(F.lower(text), *ACCENTS)
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7f]", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """A name as part of an address: letters without marks, runs of anything but letters and digits
+    as one hyphen."""
+    one, to, several = decomposed()
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # one literal
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    plain = F.translate(F.when(text.rlike(class_of("".join(several))), spelled).otherwise(text), one, to)
+    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(plain, r"[^\x00-\x7f]", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -231,3 +231,47 @@ def display(score: Column, rent: Column) -> list[Column]:
     return [F.when(score >= 70, "high").when(score >= 50, "medium").when(score.isNotNull(), "low").otherwise("none").alias("band"), F.when(sc.zero(rent) > 0, F.concat(F.lit("€"), F.format_number(rent, 0))).otherwise("n/a").alias("rent_text")]
 
 
+
+
+def badge_colors(score: Column, fascia: Column, vs_zone: Column) -> list[Column]:
+    """(score_bg, score_color, score_border, fascia_bg, fascia_color, vs_bg, vs_color): colours of a
+    score, a belt and a distance to the zone's price; grey, grey and amber where one is unknown."""
+    pick = lambda i: F.when(score >= 70, st.GREEN[i]).when(score >= 50, st.AMBER[i]).when(score.isNotNull(), st.RED[i]).otherwise(st.GREY[i])
+    belt = lambda i: sc.lookup(F.upper(F.coalesce(fascia, F.lit(""))), {k: v[i] for k, v in st.FASCIA_COLORS.items()}, st.GREY[i])
+    vs = lambda i: F.when(vs_zone <= 0, st.VS_ZONE_COLORS[0][i]).when(vs_zone >= 10, st.VS_ZONE_COLORS[2][i]).otherwise(st.VS_ZONE_COLORS[1][i])
+    return [*[pick(i).alias(f"score_{n}") for i, n in enumerate(("bg", "color", "border"))], *[belt(i).alias(f"fascia_{n}") for i, n in enumerate(("bg", "color"))], *[vs(i).alias(f"vs_{n}") for i, n in enumerate(("bg", "color"))]]
+
+
+def floor_display(floor_n: Column, floor: Column) -> Column:
+    """A floor as a narrow cell shows it: by its number, else by what its text says."""
+    text = F.trim(F.coalesce(floor, F.lit("")))
+    number = F.regexp_extract(text, r"(\d+)", 1)
+    said = F.when(number != "", F.concat(F.lit("Floor "), number)).when(text.rlike("(?i)terra|ground"), "Ground").when(text != "", F.substring(text, 1, 14))
+    return F.when(floor_n == 0, "Ground").when(floor_n < 0, "Basement").when(floor_n > 0, F.concat(F.lit("Floor "), floor_n.cast("string"))).otherwise(said)
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas; a dash where it is unknown."""
+    return F.coalesce(F.format_number(n.cast("double").cast("long"), 0), F.lit("–"))
+
+
+def contract_options(city: Column, zone_name: Column, neighbourhood: Column) -> Column:
+    """The names of the rental contracts that a listing may have: the free one always, the agreed
+    one in cities with an agreement, the short one in places that ask for it."""
+    where = F.lower(F.concat_ws(" | ", zone_name, neighbourhood))
+    short = F.lit(False)
+    for name, places in st.TRANSITORIO_PLACES.items():
+        short = short | ((F.lower(city) == name) & sc.any_of(where, places))
+    agreed = F.lower(city).isin(st.CONCORDATO_CITIES)
+    return F.array_compact(F.array(F.lit("libero"), F.when(agreed, F.lit("concordato")), F.when(short, F.lit("transitorio"))))
+
+
+def contract_profiles(listings: DataFrame, city: str = "city", zone_name: str = "omi_descr", neighbourhood: str = "neighbourhood") -> DataFrame:
+    """One row a listing and contract it may have, with the contract's factors and costs."""
+    options = listings.withColumn("contract", F.explode(contract_options(F.col(city), F.col(zone_name), F.col(neighbourhood))))
+    return options.withColumns({field: sc.lookup(F.col("contract"), {k: float(v[i]) for k, v in st.CONTRACTS.items()}, None) for i, field in enumerate(st.CONTRACT_FIELDS)})
+
+
+def with_stored(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The pool of comparables of a scan: its rows, and the stored ones of other keys."""
+    return new.unionByName(stored.join(new.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -22,7 +22,7 @@ def composite(listings: DataFrame, s: st.Settings) -> DataFrame:
     and labels. listings has the physical columns, geo_score, ldi, delta_pct, blended_median,
     confidence, ask_psqm, omi_mid, boost (may the zone's price be boosted) and corporate."""
     c = F.col
-    df = listings.withColumns({"score_physical": sc.property_score(), "score_penalty": sc.penalty_score(s), "score_location": F.coalesce("geo_score", F.lit(50))})
+    df = listings.withColumns({"score_physical": sc.property_score(s.year), "score_penalty": sc.penalty_score(s), "score_location": F.coalesce("geo_score", F.lit(50))})
     # caps are terms of least() (which skips nulls), so no stage repeats the one before it
     known = c("delta_pct").isNotNull() & (F.coalesce("blended_median", F.lit(0.0)) > 0)
     price = F.when(known, sc.price_score(c("delta_pct"), c("rent_mo"), c("blended_median"), c("sqm"), s)).otherwise(50.0)
@@ -60,6 +60,12 @@ def gem_gate(s: st.Settings) -> Column:
     return F.coalesce(test & (c("metro_m") <= s.gem_metro_max_m) & (c("sqm") / F.nullif(c("rooms"), F.lit(0)) >= s.gem_min_sqm_per_room), F.lit(False))
 
 
+def good_value_gate(s: st.Settings) -> Column:
+    """The stand-alone good-value test of rentals: no gem, and at or above each of its thresholds
+    (at its total, too)."""
+    return ~gem_gate(s) & sale_gate(s.good_value, sc.zero("score_total") >= s.good_value[0])
+
+
 def sale_penalty(s: st.Settings) -> Column:
     """The penalty score, less 20 for asking more than 1.3 times the zone's highest price."""
     above = (sc.zero("ask_psqm") > 0) & (sc.zero("compr_max") > 0) & (F.col("ask_psqm") > F.col("compr_max") * 1.3)
@@ -94,7 +100,7 @@ def composite_sale(listings: DataFrame, s: st.Settings) -> DataFrame:
     listings has excluded_reason (null: scored), loc_mid (rent of the zone) and the columns of
     ``composite`` but corporate and omi_mid."""
     c = F.col
-    df = listings.withColumns({"score_physical": sc.property_score(), "score_penalty": sale_penalty(s), "score_location": F.coalesce("geo_score", F.lit(50))})
+    df = listings.withColumns({"score_physical": sc.property_score(s.year), "score_penalty": sale_penalty(s), "score_location": F.coalesce("geo_score", F.lit(50))})
     known = c("delta_pct").isNotNull() & (F.coalesce("blended_median", F.lit(0.0)) > 0)
     price = F.when(known, sc.price_score(c("delta_pct"), c("price"), c("blended_median"), c("sqm"), s)).otherwise(50.0)
     bonus = F.greatest(F.lit(0.0), (F.coalesce("ldi", F.lit(50.0)) - 50) / 50 * 0.10)

@@ -9,7 +9,7 @@ from estimark.operators import bands, comps, digest, lookup, quality, ranks, rul
 from estimark.plans.listings import SQL, listings
 from estimark.settings import Settings
 
-S = Settings()
+S = Settings(year=2026)
 BAND = "b.sqm BETWEEN a.sqm * (1 - CASE WHEN a.sqm <= 50 THEN 0.15 WHEN a.sqm <= 75 THEN 0.20 ELSE 0.25 END) AND a.sqm * (1 + CASE WHEN a.sqm <= 50 THEN 0.15 WHEN a.sqm <= 75 THEN 0.20 ELSE 0.25 END)"
 BAND = BAND.replace("0.15", "0.15::DOUBLE").replace("0.20", "0.20::DOUBLE").replace("0.25", "0.25::DOUBLE")
 HAVERSINE = "round(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))), 3)"
@@ -67,7 +67,7 @@ def comp_top_k(spark, sf_dir):
 def physical_scores(spark, sf_dir):
     df = listings(spark, sf_dir)
     return df.select("id", sc.exactly(sc.floor_coefficient(F.col("floor_n"), F.col("elevator")), 4).alias("floor_coefficient"), sc.condition_group(F.col("condition")).alias("condition_group"),
-                     sc.room_flag(F.col("sqm"), F.col("rooms")).alias("room_flag"), sc.property_score().alias("score_physical"), sc.penalty_score(S).alias("score_penalty"))
+                     sc.room_flag(F.col("sqm"), F.col("rooms")).alias("room_flag"), sc.property_score(S.year).alias("score_physical"), sc.penalty_score(S).alias("score_penalty"))
 
 
 def with_scores(spark, sf_dir):
@@ -89,6 +89,13 @@ def gem_gate(spark, sf_dir):
     return df.select("id", scoring.gem_gate(loose).alias("strict_gem"))
 
 
+def good_value_gate(spark, sf_dir):
+    """The stand-alone test at thresholds that some rows meet exactly."""
+    df = with_scores(spark, sf_dir).withColumn("metro_m", (F.col("id") * 17 % 1500).cast("int"))
+    loose = Settings(gem=(50, 30, 30, 40, 40, 20, 50), good_value=(45, 20, 40, 30, 20, 20, 50))
+    return df.select("id", scoring.good_value_gate(loose).alias("good_value"))
+
+
 def explanations(spark, sf_dir):
     return with_scores(spark, sf_dir).select("id", F.concat_ws(" | ", scoring.explanation()).alias("bullets"))
 
@@ -173,7 +180,7 @@ def top_scores(spark, sf_dir):
     return with_scores(spark, sf_dir).select("id", "score_total").orderBy(F.desc(F.coalesce("score_total", F.lit(0))), "id").limit(24)
 
 
-QUERIES = {f.__name__: f for f in (comps_zone_median, comps_cascade, comps_cascade_sale, robust_trim_stats, comp_top_k, physical_scores, composite_score, gem_gate, explanations, score_reasons, effective_rent, suggested_rent, excluded_listings, fascia_percentile,
+QUERIES = {f.__name__: f for f in (comps_zone_median, comps_cascade, comps_cascade_sale, robust_trim_stats, comp_top_k, physical_scores, composite_score, gem_gate, good_value_gate, explanations, score_reasons, effective_rent, suggested_rent, excluded_listings, fascia_percentile,
                                    ldi_by_zone, quality_audit, quality_grades, field_coverage, digest_topk, digest_hour, filtered_counts, condition_lists, top_scores)}
 
 FLOOR_UP = "CASE WHEN floor_n <= -2 THEN -0.25 WHEN floor_n = -1 THEN -0.20 WHEN floor_n <= 1 THEN -0.10 WHEN floor_n = 2 THEN -0.03 WHEN floor_n = 3 THEN 0.0 WHEN floor_n <= 5 THEN 0.05 WHEN floor_n <= 9 THEN 0.10 ELSE 0.20 END::DOUBLE"
@@ -238,6 +245,8 @@ SELECT id, string_agg(CAST(c_id AS VARCHAR), ',' ORDER BY n) AS comp_ids FROM r
     "composite_score": f"""{SCORED} SELECT id, delta_label, score_price, score_total, score_was_capped, gate, extreme AS extreme_underpricing, hidden_gem, good_value,
   CASE WHEN abs(delta_label) < 0.5 THEN 'at comps median' WHEN delta_label > 0 THEN '+' || printf('%.1f', delta_label) || '% above comps' ELSE printf('%.1f', delta_label) || '% below comps' END AS comps_label, CASE WHEN confidence >= 70 THEN 'High' WHEN confidence >= 40 THEN 'Medium' ELSE 'Low' END AS confidence_label FROM scored""",
     "gem_gate": f"{SCORED} SELECT id, coalesce(score_total >= 50 AND ldi >= 30 AND delta_label <= 30 AND score_physical >= 40 AND geo_score >= 40 AND confidence >= 20 AND score_penalty >= 50 AND id * 17 % 1500 <= 800 AND sqm / rooms >= 22, FALSE) AS strict_gem FROM scored",
+    "good_value_gate": f"""{SCORED}, g AS (SELECT *, coalesce(score_total >= 50 AND ldi >= 30 AND delta_label <= 30 AND score_physical >= 40 AND geo_score >= 40 AND confidence >= 20 AND score_penalty >= 50 AND id * 17 % 1500 <= 800 AND sqm / rooms >= 22, FALSE) AS strict FROM scored)
+SELECT id, NOT strict AND coalesce(score_total >= 45 AND ldi >= 20 AND delta_label <= 40 AND score_physical >= 30 AND geo_score >= 20 AND confidence >= 20 AND score_penalty >= 50, FALSE) AS good_value FROM g""",
     "explanations": f"""{SCORED} SELECT id, array_to_string(list_filter([CASE WHEN gate THEN 'Capped: poor absolute value.' END, CASE WHEN corporate THEN 'A corporate or short-term let.' END,
   CASE WHEN score_total >= 85 THEN 'A rare find.' WHEN score_total >= 72 THEN 'Solid for the area.' WHEN score_total >= 60 THEN 'Reasonable, with caveats.' WHEN score_total >= 45 THEN 'Overpriced for what it is.' ELSE 'Not worth the time.' END,
   CASE WHEN delta_label <= -10 THEN {WHOLE} || '% below ' || n_comps || ' comparable flats.' WHEN delta_label <= -3 THEN 'Slightly below comparable flats: ' || {WHOLE} || '%.' WHEN delta_label <= 5 THEN 'In line with comparable flats.' WHEN delta_label <= 15 THEN {WHOLE} || '% above comparable flats.' ELSE 'Far above comparable flats: ' || {WHOLE} || '%.' END,

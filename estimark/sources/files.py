@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from estimark.functions.scalars import exactly
 from estimark.operators.lookup import first_by_priority
@@ -79,15 +82,19 @@ def item_list(df: DataFrame, column: str) -> DataFrame:
 
 
 def slim(df: DataFrame) -> DataFrame:
-    """``df`` without columns whose names begin with _, and with null for empty texts and lists
-    (0 and false stay)."""
-    out = []
-    for name, kind in df.dtypes:
-        if name.startswith("_"):
-            continue
-        c = F.col(name)
-        out.append((F.nullif(c, F.lit("")) if kind == "string" else F.when(F.size(c) > 0, c) if kind.startswith("array") else c).alias(name))
-    return df.select(out)
+    """``df`` without columns whose names begin with _, and with null for empty texts, lists and
+    maps, and for structs without a value in any field (0 and false stay)."""
+
+    def kept(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, StringType):
+            return F.nullif(c, F.lit(""))
+        if isinstance(kind, ArrayType | MapType):
+            return F.when(F.size(c) > 0, c)
+        if isinstance(kind, StructType):
+            return F.when(reduce(lambda a, b: a | b, [c[f.name].isNotNull() for f in kind], F.lit(False)), c)
+        return c
+
+    return df.select(*[kept(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema if not f.name.startswith("_")])
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

@@ -31,6 +31,7 @@ class Manifest:
 
     version: int
     key: str
+    by: str
     buckets: int
     schema: str
     folders: dict[str, str] = field(default_factory=dict)
@@ -74,19 +75,21 @@ class Folder:
 
 
 class StoredTable:
-    """The table below ``path``. ``buckets`` counts for a new table; choose it so that a bucket is
-    what a change may well rewrite."""
+    """The table below ``path``. ``buckets`` and ``by`` count for a new table; choose so many that a
+    bucket is what a change may well rewrite. by: the column whose values share a bucket, if that
+    isn't the key; a key may not change it."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
-        self.spark, self.folder, self.key, self.path = spark, Folder(spark, path), key, path.rstrip("/")
-        self.buckets = (self.manifest() or Manifest(0, key, buckets, "")).buckets
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64, by: str | None = None):
+        self.spark, self.folder, self.path = spark, Folder(spark, path), path.rstrip("/")
+        now = self.manifest() or Manifest(0, key, by or key, buckets, "")
+        self.key, self.by, self.buckets = now.key, now.by, now.buckets
 
     def manifest(self) -> Manifest | None:
         names = [n for n in self.folder.names("manifests") if n.endswith(".json")]
         return Manifest(**json.loads(self.folder.read(f"manifests/{names[-1]}"))) if names else None
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(F.col(self.by).cast("string")), F.lit(self.buckets)).cast("int")
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
         """The rows of the newest version, of all buckets or some."""
@@ -109,7 +112,7 @@ class StoredTable:
         made = {n.split("=")[1]: f"{name}/{n}" for n in self.folder.names(name) if n.startswith(f"{BUCKET}=")} if touched else {}
         folders = {b: f for b, f in now.folders.items() if int(b) not in touched} | made
         applied = now.applied | ({batch[0]: batch[1]} if batch else {})
-        self.publish(Manifest(now.version + 1, self.key, self.buckets, rows.schema.json() if touched else now.schema, folders, applied))
+        self.publish(Manifest(now.version + 1, self.key, self.by, self.buckets, rows.schema.json() if touched else now.schema, folders, applied))
         return now.version + 1
 
     def publish(self, manifest: Manifest) -> None:
@@ -124,7 +127,7 @@ class StoredTable:
         columns stay, new keys are added. Of rows with one key the first by ``latest`` counts (else
         the greatest by its columns). batch: (stream, number); a number that isn't above the last
         one applied is skipped. Returns the version."""
-        now = self.manifest() or Manifest(0, self.key, self.buckets, StructType(list(rows.schema)).json())
+        now = self.manifest() or Manifest(0, self.key, self.by, self.buckets, StructType(list(rows.schema)).json())
         if batch and batch[1] <= now.applied.get(batch[0], -1):
             return now.version
         kinds = {f.name: f.dataType for f in StructType.fromJson(json.loads(now.schema))}
