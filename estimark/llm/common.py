@@ -47,15 +47,16 @@ _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _MADE: list[dict[str, StructType]] = []
 
 
-def written(df: DataFrame, *spent: DataFrame) -> DataFrame:
+def written(df: DataFrame, *spent: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: computed once, its
     lineage cut, and still there when executors are lost. The shuffle files behind it go at
-    once, and so do the tables ``spent``, which came from this function and serve no more."""
+    once, and so do the tables ``spent``, which came from this function and serve no more.
+    by: a column with few values, each of which gets a folder that can be read alone."""
     spark, schema = df.sparkSession, df.schema
     path, before = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)

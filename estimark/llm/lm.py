@@ -35,8 +35,9 @@ ALL_CLASSES = CLASSES + 2 * ENDINGS
 #: Inputs: frequent words (the end token is one of them), then the classes of the others.
 INPUTS = FREQUENT + 2 * ENDINGS
 SMOOTH, UNSEEN_SHARE = 0.1, 0.5
-#: Rates of the rounds, each over all training documents, and documents a worker.
-RATES, WORKER_DOCS = (0.01,), 4000
+#: Rates of the rounds, each over an equal part of the training documents, and documents that a
+#: worker goes through in all of them.
+RATES, WORKER_DOCS = (0.03, 0.02, 0.01, 0.005), 4000
 STREAMS, WINDOW, SCORE_STREAMS, SCORE_WINDOW = 128, 24, 256, 32
 END = b""
 #: Bytes of documents' input indexes (two each) that are scored at once.
@@ -270,13 +271,16 @@ def indexes(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(coded: DataFrame, model: Model) -> Model:
-    """Weights after the rounds of training on all of ``coded`` (worker, ids). A task adds
-    up its workers' weights, so one model leaves each task."""
+    """Weights after the rounds of training on all of ``coded`` (worker, ids): each document is in
+    one of them, and a round begins with the average of all workers' weights after the one before,
+    so more documents are more workers that each round learns from. A task adds up its workers'
+    weights, so one model leaves each task."""
     parts, size = 64, len(flat(model))
     bounds = np.linspace(0, size, parts + 1).astype(int)
-    dealt = written(coded.repartition("worker").sortWithinPartitions("worker"))
+    rounds = coded.withColumn("round", F.col("worker") % len(RATES)).repartition("worker").sortWithinPartitions("round", "worker")
+    dealt = written(rounds, by="round")
 
-    for rate in RATES:
+    for number, rate in enumerate(RATES):
         now = model
 
         def work(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
@@ -312,7 +316,7 @@ def fit(coded: DataFrame, model: Model) -> Model:
                     s[1] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(x / n).tobytes() for x, n in sums.values()], pa.binary())], ["part", "w"])
 
-        trained = dealt.mapInArrow(work, "part int, w binary, n double").repartition("part").mapInArrow(average, "part int, w binary")
+        trained = dealt.where(F.col("round") == number).drop("round").mapInArrow(work, "part int, w binary, n double").repartition("part").mapInArrow(average, "part int, w binary")
         rows = {r["part"]: np.frombuffer(bytes(r["w"])) for r in trained.collect()}  # the size of one model
         if rows:
             model = shaped(model, np.concatenate([rows[k] for k in range(parts)]))
@@ -366,7 +370,7 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         packed["n"], packed["at"] = counts, inputs_of(these, counts, frequent)
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), len(these), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
 
-    workers = max(1, round(train_docs / WORKER_DOCS))
+    workers = len(RATES) * max(1, round(train_docs / WORKER_DOCS))
 
     def use(batch: pa.RecordBatch, codes: np.ndarray, first: np.ndarray, payloads: pa.Array) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(payloads.buffers()[2], [("n", "<i8"), ("at", "<i4")], len(payloads)) if len(payloads) else np.zeros(0, [("n", "<i8"), ("at", "<i4")])

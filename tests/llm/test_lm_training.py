@@ -17,7 +17,7 @@ def test_all_training_documents_train(spark, monkeypatch, tmp_path):
     assert out.count() == n and out.where("held_out").count() == n // 10
     (taught,) = seen
     assert len(taught) == n - n // 10
-    assert len({r["worker"] for r in taught}) == round(len(taught) / lm.WORKER_DOCS)
+    assert len({r["worker"] for r in taught}) == len(lm.RATES) * round(len(taught) / lm.WORKER_DOCS)
     ids = [np.frombuffer(bytes(r["ids"]), np.int16) for r in taught]
     assert {len(x) for x in ids} == {4}
     assert max(int(x.max()) for x in ids) < lm.FREQUENT + lm.ENDINGS  # no word of the corpus is "seen once"
