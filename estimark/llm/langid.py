@@ -5,19 +5,23 @@ side. N-grams of all languages stand in one sorted array of hashes with their in
 probabilities by language; an n-gram that no language has seen backs off to its context's
 weight and the next lower order. The language with the lowest cross-entropy a character wins.
 A document whose cross-entropy lies beyond what 99.5 % of its language's calibration documents
-have is rejected: its score is at most 0.5.
+of its length have is rejected: its score is at most 0.5. The spread of an entropy falls with the
+characters that it is the mean of, so the limit does, too. Ties between languages go to the first
+by name.
 
 The models are fitted on about ``per_language`` documents of each language (the sample's
-bound, chosen by hash; every tenth of them calibrates), whole texts. Texts that are null or
+bound, chosen by hash), whole texts; for calibration each quarter is judged by the other three. Texts that are null or
 have no letter are ``und`` with score 0. Documents without a language teach nothing; with no
 language at all every document is ``und``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from estimark.llm.common import split_runs, text_bytes, text_slices, written
 
 ORDER, PER_LANGUAGE = 4, 3000
+#: Parts that are left out in turn, and the share of a language's own documents that may be rejected.
+PARTS, REJECTED = 4, 0.005
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 UNSEEN = -30.0
 
@@ -187,26 +193,61 @@ def entropies(batch: pa.RecordBatch, model: dict) -> tuple[np.ndarray, np.ndarra
     return -(sums[first[1:]] - sums[first[:-1]]) / np.maximum(chars, 1)[:, None], chars
 
 
+def merged(counts: list):
+    """The counts of several parts of the sample as one."""
+    both = pd.concat(counts)
+    return both.groupby(["lang", "n", "gram"], as_index=False).agg({"context": "first", "rest": "first", "whole": "first", "c": "sum"})
+
+
+def calibrated(h: np.ndarray, chars: np.ndarray, share: float = REJECTED) -> tuple[float, float, float, float]:
+    """(middle, a, b, limit) for a language's own documents with entropies h: a document of n
+    characters spreads around the middle by sqrt(a + b / n); no more than ``share`` of such documents
+    lie over ``limit`` times that (one in their number and one more, if they are few)."""
+    middle, x = float(np.median(h)), 1 / chars
+    off, terms = (h - middle) ** 2, np.stack([np.ones(len(x)), x], 1)
+    a, b = 0.0, max(1e-12, float((off * chars).mean()))
+    for _ in range(8):  # least squares weighted by the spread found so far; what lies far out counts as 16 times it
+        spread = a + b * x
+        scaled = np.minimum(off / spread, 16.0)
+        a, b = np.linalg.lstsq(terms / spread[:, None], scaled, rcond=None)[0]
+        if a < 0 or b < 0:  # then the other one alone
+            a, b = (0.0, float((scaled * spread / x).mean())) if a < 0 else (float((scaled * spread).mean()), 0.0)
+        a, b = max(a, 1e-12), max(b, 1e-12)
+    z = np.sort((h - middle) / np.sqrt(a + b * x + 1e-12))
+    return middle, float(a), float(b), float(z[min(len(z), math.ceil((len(z) + 1) * (1 - share))) - 1])
+
+
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
-    """The models, from (text, lang) rows."""
+    """The models, from (text, lang) rows. Rejection is calibrated on documents that the model judging
+    them hasn't seen: the sample's parts are left out in turn."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return {"langs": []}
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    sample = written(rows.where(place < share[F.col("lang")] * (1 << 20)).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(10)).alias("tenth")))
-    model = kneser_ney(gram_counts(sample.where("tenth <> 0")).toPandas())  # bounded by the sample
+    sample = written(rows.where(place < share[F.col("lang")] * (1 << 20)).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(PARTS)).alias("part")))
+    counts = [gram_counts(sample.where(F.col("part") == k)).toPandas() for k in range(PARTS)]  # bounded by the sample
+    own = pd.concat([own_entropies(sample.where(F.col("part") == k), kneser_ney(merged(counts[:k] + counts[k + 1 :]))) for k in range(PARTS) if any(len(c) for i, c in enumerate(counts) if i != k)] or [pd.DataFrame({"lang": [], "h": [], "chars": []})])
+    model = kneser_ney(merged(counts))
+    known = [own[own["lang"] == x] for x in model["langs"]]
+    found = [calibrated(o["h"].to_numpy(), o["chars"].to_numpy().astype(float)) if len(o) else (0.0, 0.0, 0.0, np.inf) for o in known]
+    model["spread"] = np.array(found).reshape(-1, 4)
+    return model
+
+
+def own_entropies(docs: DataFrame, model: dict):
+    """(lang, h, chars) of documents under their own language's model, as a pandas frame; those of
+    languages that the model doesn't know are left out."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 4 << 20):
+            batch = batch.filter(pa.array([x in model["langs"] for x in batch.column("lang").to_pylist()]))
             h, chars = entropies(batch, model)
-            own = [model["langs"].index(x) if x in model["langs"] else -1 for x in batch.column("lang").to_pylist()]
+            own = np.array([model["langs"].index(x) for x in batch.column("lang").to_pylist()], int)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(h[np.arange(len(own)), own]), pa.array(chars)], ["lang", "h", "chars"])
 
-    own = sample.where("tenth = 0").mapInArrow(emit, "lang string, h double, chars long").where("chars > 0").toPandas()
-    model["limit"] = np.array([float(np.quantile(own.loc[own["lang"] == x, "h"], 0.995)) if (own["lang"] == x).any() else np.inf for x in model["langs"]])
-    return model
+    return docs.select("lang", "text").mapInArrow(emit, "lang string, h double, chars long").where("chars > 0").toPandas()
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -223,7 +264,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 best = h.argmin(1)
                 low = h[np.arange(n), best]
                 p = 1 / np.exp(-np.clip((h - low[:, None]) * np.minimum(chars, 50)[:, None], 0, 60)).sum(1)
-                rejected = (low > model["limit"][best]) & (chars > 0)
+                middle, a, b, limit = model["spread"][best].T
+                rejected = ((low - middle) / np.sqrt(a + b / np.maximum(chars, 1) + 1e-12) > limit) & (chars > 0)
                 score = np.where(chars > 0, np.where(rejected, np.minimum(p, 0.5), p), 0.0)
                 columns = [pa.array([langs[b] if c else "und" for b, c in zip(best, chars, strict=True)], pa.string()), pa.array(score), pa.array(low), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
