@@ -100,7 +100,9 @@ def portal_a(raw: DataFrame, body: str, city: str, today: Column, sale: bool = F
     item = F.from_json(body, PORTAL_A)["realEstate"]
     # Spark takes names that differ in case alone for the same, so this one has a column of its own
     baths = F.get_json_object(body, "$.realEstate.properties[0].bathRooms")
-    df = raw.select(item.alias("r"), baths.alias("other_baths")).withColumns({"p": F.try_element_at("r.properties", F.lit(1)), "price": F.col("r.price.value").try_cast("int")})
+    # behind a generator, so that the parsed item isn't put in for each of its fields and parsed anew
+    parsed = raw.select(F.explode(F.array(F.struct(item.alias("r"), baths.alias("other_baths")))).alias("x")).select("x.r", "x.other_baths")
+    df = parsed.withColumns({"p": F.try_element_at("r.properties", F.lit(1)), "price": F.col("r.price.value").try_cast("int")})
     df = df.withColumn("sqm", digits(first_of(F.col("p.surface"), F.col("p.surfaceValue")))).where("price > 0 AND sqm > 0")
     c = F.col
     psqm = c("price") / c("sqm")

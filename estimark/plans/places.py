@@ -39,7 +39,7 @@ def nearest_poi(spark, sf_dir):
 
 def point_in_polygon(spark, sf_dir):
     zones = spark.createDataFrame([("milano", *z) for z in ZONES], "city string, zona string, ord long, polygons array<array<array<array<double>>>>")
-    return geo.polygon_lookup(points(spark, sf_dir, "customer", "c_custkey").withColumn("city", F.lit("milano")), zones)
+    return geo.polygon_lookup(points(spark, sf_dir, "customer", "c_custkey").withColumn("city", F.when(F.col("kind") >= 0, "milano")), zones)
 
 
 def outside_city(spark, sf_dir):
