@@ -47,10 +47,14 @@ def misrep_distance(spark, sf_dir):
 
 
 FLOORS = ["S, 3", "4 - 5", "T, R", "S2", "I", "PR", "12", "-1", "N/A", "", "piano 3", "Piano terra", "r", "attico"]
+BETWEEN = [", ", " - ", " – ", " "]
 
 
 def parse_floor(spark, sf_dir):
-    df = listings(spark, sf_dir).select("id", F.element_at(F.array(*[F.lit(x) for x in FLOORS]), (F.col("id") % len(FLOORS) + 1).cast("int")).alias("raw"))
+    """Floor texts of one or two parts, in each pairing of forms that the keys give."""
+    k, pick = F.col("id"), lambda n: F.element_at(F.array(*[F.lit(x) for x in FLOORS]), (n % len(FLOORS) + 1).cast("int"))
+    raw = F.concat(pick(k), F.when(k % 5 < 4, F.concat(F.element_at(F.array(*[F.lit(x) for x in BETWEEN]), (k % 5 + 1).cast("int")), pick(F.expr("id * 5 DIV 14")))).otherwise(""))
+    df = listings(spark, sf_dir).select("id", raw.alias("raw"))
     floor, label = sc.parse_floor(F.col("raw"))
     return df.select("id", "raw", floor.alias("floor_n"), label.alias("floor_label"))
 
@@ -99,17 +103,24 @@ def _any(text: str, words: list[str]) -> str:
 
 
 _SHOUT = "len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) >= 4 AND len(list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 2 AND upper(w) = w AND lower(w) <> w)) * 2 > len(list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 2))"
-_F = "VALUES " + ", ".join(f"({i}, '{x}', {n}, {l})" for i, (x, n, l) in enumerate(zip(FLOORS, ["-1", "4", "0", "-2", "-2", "1", "12", "-1", "NULL", "NULL", "3", "0", "1", "NULL"], ["'Seminterrato'", "'4° piano'", "'Piano terra'", "'Interrato'", "'Interrato'", "'Piano rialzato'", "'12° piano'", "'Seminterrato'", "NULL", "NULL", "'3° piano'", "'Piano terra'", "'Piano rialzato'", "NULL"], strict=True)))  # noqa: E741
+_PICK = lambda n: f"[{', '.join(repr(x) for x in FLOORS)}][CAST({n} % {len(FLOORS)} AS INT) + 1]"
+_CODES = ", ".join(f"({k!r}, {v})" for k, v in sc.FLOOR_CODES.items())
+_MOVED = lambda towns: "CASE " + " ".join(f"WHEN {_any('t', [f'{x} (mi)', f'{x} (rm)', f'{x} (na)', f'{x}(mi)', f'{x}, mi', f'{x}, rm', f'{x}, na'])} THEN 'province:{x}'" for x in towns) + " WHEN km >= 3 THEN 'distance:' || km " + " ".join(f"WHEN contains(h, ' {x} ') OR starts_with(h, '{x} ') THEN 'opening:{x}'" for x in towns) + " END"
 ORACLE_SQL = {
     "fake_flags": f"SELECT doc_id, {_any('t', BAIT)} OR (lang <> 'es' AND {_any('t', SEA)}) OR coalesce({_SHOUT}, FALSE) AS is_fake FROM (SELECT *, lower(text || ' ' || substr(text, 1, 1000)) AS t FROM documents)",
     "fixed_word_flags": f"SELECT doc_id, {_any('t', flags.FOREIGN)} OR (lang <> 'es' AND {_any('t', flags.SEASIDE)}) AS is_fake, {_any('l', flags.AGENCIES)} OR doc_id IN (7, 19) AS is_corporate, {' + '.join(_any('l', [x]) + '::INT' for x in flags.SIGNALS)} >= 2 AS has_signals FROM (SELECT *, lower(' ' || substr(text, 1, 1000)) AS t, lower(text) AS l FROM documents)",
     "corporate_signals": "SELECT doc_id, " + " + ".join(_any("lower(text)", [x]) + "::INT" for x in ["thea", "ation", "über", "leaux", "ciones", "the the"]) + " >= 2 AS has_signals FROM documents",
     "auction_regex": f"SELECT doc_id, regexp_matches(t, '{_quoted(flags.AUCTION)}') AS is_auction, regexp_matches(t, '{_quoted(flags.BARE_OWNERSHIP)}') AS is_nuda FROM (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' vendita giudiziaria' WHEN 1 THEN ' Guastalla, ascensore' WHEN 2 THEN ' In ASTA' WHEN 3 THEN ' nuda proprietà' ELSE '' END AS t FROM documents)",
-    "misrep_distance": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'distance:8' WHEN 2 THEN 'opening:opera' WHEN 3 THEN 'province:rho' END AS reason FROM documents",
-    "parse_floor": f"WITH {SQL}, f(i, raw, floor_n, floor_label) AS ({_F}) SELECT id, raw, CAST(f.floor_n AS INT) AS floor_n, f.floor_label FROM listings JOIN f ON id % {len(FLOORS)} = i",
+    "misrep_distance": f"""WITH x AS (SELECT doc_id, lower(substr(CASE doc_id % 9 WHEN 0 THEN 'Bilocale a 8 km da Milano ' WHEN 1 THEN 'A soli 2 km da Milano ' WHEN 2 THEN 'Ad Opera proponiamo ' WHEN 3 THEN 'Villa a Rho (MI) ' ELSE '' END || text, 1, 1500)) AS t FROM documents),
+y AS (SELECT doc_id, t, substr(t, 1, 300) AS h, TRY_CAST(nullif(regexp_extract(t, '{flags.DISTANCE.replace("'", "''")}', 1), '') AS INT) AS km FROM x) SELECT doc_id, {_MOVED(["opera", "rho", "segrate"])} AS reason FROM y""",
+    "parse_floor": f"""WITH {SQL}, c(code, floor) AS (VALUES {_CODES}), m AS (SELECT map_from_entries(list((code, floor))) AS codes FROM c),
+x AS (SELECT id, {_PICK('id')} || CASE WHEN id % 5 < 4 THEN [', ', ' - ', ' – ', ' '][CAST(id % 5 + 1 AS INT)] || {_PICK('(id * 5 // 14)')} ELSE '' END AS raw FROM listings),
+y AS (SELECT id, raw, list_filter(list_transform(string_split_regex(raw, ',\\s*|\\s+[-–]\\s+'), lambda t: upper(trim(t))), lambda t: t <> '') AS tokens FROM x),
+z AS (SELECT id, raw, tokens, CASE WHEN upper(trim(raw)) NOT IN ('', 'NONE', 'N/A') THEN list_min(list_transform(tokens, lambda t: coalesce(codes[t], TRY_CAST(nullif(regexp_extract(t, '-?\\d+'), '') AS INT)))) END AS floor_n FROM y CROSS JOIN m)
+SELECT id, raw, CAST(floor_n AS INT) AS floor_n, CASE WHEN floor_n <= -2 THEN 'Interrato' WHEN floor_n = -1 THEN 'Seminterrato' WHEN floor_n = 0 THEN 'Piano terra' WHEN floor_n = 1 AND list_has_any(tokens, ['R', 'RIALZATO', 'PR', 'PIANO RIALZATO']) THEN 'Piano rialzato' ELSE floor_n || '° piano' END AS floor_label FROM z""",
     "parse_amounts": """WITH x AS (SELECT p_partkey AS id, (p_partkey * 7 % 90) * 1000 + p_partkey % 1000 AS v FROM part)
 SELECT id, CASE WHEN v BETWEEN 100 AND 50000 THEN v END AS rent, CASE WHEN v BETWEEN 10000 AND 15000000 THEN v END AS sale, CAST(CASE WHEN id % 5 = 0 THEN 3 ELSE id % 7 END AS INT) AS rooms FROM x""",
-    "slugs": "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(lower(text), 'àáâäãåèéêëìíîïòóôöõùúûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents",
+    "slugs": "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents",
     "json_flatten": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS most FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) GROUP BY event_type",
     "feature_arrays": "SELECT event_id, event_type IN ('click', 'purchase') OR list_has_any(string_split_regex(event_type, '[^a-z]+'), ['click', 'purchase']) AS wanted, CAST(len(list_filter(list_distinct(list_concat([event_type], string_split_regex(event_type, '[^a-z]+'))), lambda w: w <> 'click')) AS INT) AS n_other FROM events",
     "unmatched_counts": "WITH x AS (SELECT lower(string_split(text, ' ')[1]) AS name FROM documents) SELECT name, count(*) AS n FROM x WHERE NOT contains(name, 'th') AND NOT contains(name, 'de') GROUP BY name ORDER BY n DESC, name",
