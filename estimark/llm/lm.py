@@ -36,8 +36,8 @@ ALL_CLASSES = CLASSES + 2 * ENDINGS
 INPUTS = FREQUENT + 2 * ENDINGS
 SMOOTH, UNSEEN_SHARE = 0.1, 0.5
 #: Rates of the rounds, each over an equal part of the training documents, and documents that a
-#: worker goes through in all of them.
-RATES, WORKER_DOCS = (0.03, 0.02, 0.01, 0.005), 4000
+#: worker goes through in all of them: enough for its streams to end together in each.
+RATES, WORKER_DOCS = (0.03, 0.02, 0.01, 0.005), 16000
 STREAMS, WINDOW, SCORE_STREAMS, SCORE_WINDOW = 128, 24, 256, 32
 END = b""
 #: Bytes of documents' input indexes (two each) that are scored at once.

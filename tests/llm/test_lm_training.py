@@ -8,6 +8,7 @@ from estimark.llm import lm
 
 def test_all_training_documents_train(spark, monkeypatch, tmp_path):
     n = 4000
+    monkeypatch.setattr(lm, "WORKER_DOCS", 900)
     # w<k> is a frequent word; a rare word is in two documents far apart, so seen twice in the corpus
     rows = [(k, f"w{k % 2500} w{k % 2500} r{k % 2000}" if k % 10 else "held", "x") for k in range(n)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3, "doc_id").write.parquet(f"{tmp_path}/documents")
