@@ -16,6 +16,7 @@ from __future__ import annotations
 import datetime
 import functools
 import hashlib
+import logging
 import re
 import secrets
 from collections.abc import Callable, Iterator
@@ -267,6 +268,8 @@ def key_of(spark: SparkSession) -> bytes:
     """The secret key that the session's setting ``KEY_SETTING`` holds. Where there is none, a
     new one that nobody knows: values are then linked in this run, and never again."""
     key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        logging.getLogger(__name__).warning("%s is not set: pseudonyms of this run are linked with no other run's", KEY_SETTING)
     return key.encode() if key else secrets.token_bytes(32)
 
 
