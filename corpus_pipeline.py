@@ -27,24 +27,33 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from the labels of those here, doesn't predict as
+    toxic; rows that repeat an id stay or go each by its text. Without labels, or with labels of one kind
+    only, the model decides by its fixed patterns. An empty table stays empty."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return toxicity.score(rows, model, ["row"]).where("predicted = 0").select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose word 5-grams are alike (0.8 and more, by links), the one with the smallest
+    id; documents without words stay."""
     return ngram_join.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of passages that occur twice; a null text stays null, and a text that
+    was all repeated becomes empty."""
     return counted(suffix_dedup.without_repeats(docs, PASSAGE), docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms for personal data, under the session's key."""
     return counted(pii.pseudonymise(docs, pii.key_of(spark), found=None), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts in sequences of 2,048 tokens."""
     return packing.packed_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
