@@ -76,10 +76,30 @@ def robust(df: DataFrame, prices: str) -> DataFrame:
     return df.select(*columns, "n_raw", *stats, F.size(kept).alias("n_comps"), deviation(kept, F.col("mean")).alias("stdev"))
 
 
-def radius_pairs(targets: DataFrame, pool: DataFrame, radius_m: int, key: str = "id") -> DataFrame:
+#: The least reach in metres of targets with radii of their own; each further reach is twice the one before.
+LEAST_REACH = 250
+
+
+def radius_pairs(targets: DataFrame, pool: DataFrame, radius_m: int | str, key: str = "id") -> DataFrame:
     """Pairs of points at most ``radius_m`` apart, by an equi-join on grid cells and their
-    neighbours. Points are (key, lat, lng); the partner's columns have the prefix c_."""
-    cell = radius_m / 111_000.0
+    neighbours. Points are (key, lat, lng); the partner's columns have the prefix c_. A name for
+    ``radius_m`` is a column of the targets with each one's own radius; the pool is then laid out in a
+    grid for each doubling of the reach (the number of which comes from the largest radius), and a target
+    looks into that of its own."""
+    if isinstance(radius_m, str):
+        most = targets.agg(F.max(radius_m)).first()[0] or LEAST_REACH
+        doublings = lambda m: F.greatest(F.lit(0), F.ceil(F.log2(m / LEAST_REACH) - 1e-9)).cast("int")
+        last = max(0, math.ceil(math.log2(max(most, 1) / LEAST_REACH) - 1e-9))
+        targets = targets.where(F.col(radius_m) >= 0).withColumn("reach_no", doublings(F.greatest(F.col(radius_m).cast("double"), F.lit(1.0))))
+        pool = pool.withColumn("reach_no", F.explode(F.sequence(F.lit(0), F.lit(last))))
+        out = cell_pairs(targets, pool, F.pow(F.lit(2.0), F.col("reach_no")) * (LEAST_REACH / 111_000.0), F.col(radius_m), key, ["reach_no"])
+        return out.drop("reach_no", "c_reach_no")
+    return cell_pairs(targets, pool, F.lit(radius_m / 111_000.0), F.lit(radius_m), key, [])
+
+
+def cell_pairs(targets: DataFrame, pool: DataFrame, cell: Column, radius: Column, key: str, same: list[str]) -> DataFrame:
+    """The pairs of ``radius_pairs`` with equal columns ``same``; ``cell`` is the height of a cell
+    in degrees, no less than the radius, by columns that both have."""
     # a band of latitude has cells as wide as the radius at its edge nearer to the pole; next to a pole it is one cell
     band_edge = lambda gy: F.greatest(F.abs(gy * cell), F.abs((gy + 1) * cell))
     wide = lambda gy: F.least(F.lit(360.0), cell / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), band_edge(gy)))), F.lit(1e-6)))
@@ -95,9 +115,9 @@ def radius_pairs(targets: DataFrame, pool: DataFrame, radius_m: int, key: str =
     around = F.when(reach >= 180, span(F.lit(0.0), F.lit(360.0))).otherwise(F.array_distinct(F.concat(
         span(F.greatest(e - reach, F.lit(0.0)), F.least(e + reach, F.lit(360.0))), F.when(e + reach >= 360, span(F.lit(0.0), e + reach - 360)).otherwise(none), F.when(e - reach < 0, span(e - reach + 360, F.lit(360.0))).otherwise(none))))
     near = near.withColumn("gx", F.explode(around)).drop("east")
-    pairs = near.join(pool, (F.col("gy") == F.col("c_gy")) & (F.col("gx") == F.col("c_gx")))
+    pairs = near.join(pool, [F.col(c) == F.col(f"c_{c}") for c in ("gy", "gx", *same)])
     distance = sc.haversine_m(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))
-    return pairs.withColumn("distance_m", F.round(distance, 3)).where((F.col("distance_m") <= radius_m) & (F.col(key) != F.col(f"c_{key}"))).drop("gy", "gx", "dy", "c_gy", "c_gx")
+    return pairs.withColumn("distance_m", F.round(distance, 3)).where((F.col("distance_m") <= radius) & (F.col(key) != F.col(f"c_{key}"))).drop("gy", "gx", "dy", "c_gy", "c_gx")
 
 
 def cascade(listings: DataFrame, s: Settings, sale: bool = False) -> DataFrame:

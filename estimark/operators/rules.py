@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from estimark import settings as st
 from estimark.functions import prose as pr
 from estimark.functions import scalars as sc
-from estimark.operators import geo
+from estimark.operators import comps, geo
 from estimark.operators.lifecycle import sweep
 
 # Fixed values that results depend on.
@@ -110,10 +110,10 @@ def metro_names(near: DataFrame, stations: DataFrame) -> DataFrame:
     """``near`` (id, lat, lng, city, distance_m, name, lines) with lines and name from the first
     station in order with lines at most 100 m further, where the nearest entrance has none.
     stations: city, ord, lat, lng, name, lines."""
-    some = stations.where("lines <> ''").select(F.col("city").alias("__c"), "ord", F.col("lat").alias("__lat"), F.col("lng").alias("__lng"), F.col("name").alias("__name"), F.col("lines").alias("__lines"))
-    bare = near.where(F.coalesce("lines", F.lit("")) == "")
-    distance = F.round(sc.haversine_m(F.col("lat"), F.col("lng"), F.col("__lat"), F.col("__lng")), 0)
-    found = bare.join(some, F.col("city") == F.col("__c")).where(distance <= F.col("distance_m") + 100).groupBy("id").agg(F.min(F.struct("ord", "__name", "__lines")).alias("s"))
+    some = stations.where("lines <> ''").select("city", "lat", "lng", "ord", "name", "lines", F.lit(0).alias("side"))
+    bare = near.where(F.coalesce("lines", F.lit("")) == "").select("id", "city", "lat", "lng", F.col("distance_m").alias("own_m"), (F.col("distance_m") + 101).alias("radius"), F.lit(1).alias("side"))
+    pairs = comps.radius_pairs(bare, some, "radius", "side").where((F.col("city") == F.col("c_city")) & (F.round("distance_m", 0) <= F.col("own_m") + 100))
+    found = pairs.groupBy("id").agg(F.min(F.struct(F.col("c_ord").alias("ord"), F.col("c_name").alias("__name"), F.col("c_lines").alias("__lines"))).alias("s"))
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
     out = near.join(found, "id", "left")
     return out.withColumns({"lines": F.coalesce(empty("lines"), F.col("s.__lines")), "name": F.coalesce(empty("name"), F.col("s.__name"))}).drop("s")

@@ -129,6 +129,13 @@ def snapshot_rows(spark, sf_dir):
     return back.select("id", "status", F.array_join("tags", ",").alias("tags"), F.col("more").isNull().alias("no_more"), F.col("who").isNull().alias("nobody"), "zero", F.col("_hidden").isNull().alias("slim"), "later")
 
 
+def csv_export(spark, sf_dir):
+    """Listings exported with a column that they don't have, and read back as text."""
+    path = folder(spark, "export")
+    files.export_csv(listings(spark, sf_dir).where("id % 4 = 1"), path, ["id", "zone", "rooms", "elevator", "published"])
+    return spark.read.option("header", "true").schema("id string, zone string, rooms string, elevator string, published string").csv(path)
+
+
 # --- stored tables -----------------------------------------------------------
 
 
@@ -206,7 +213,7 @@ def comps_pool(spark, sf_dir):
     return pool.groupBy("zone", "source").agg(F.count("*").alias("n"), sc.exactly(F.sum(F.col("ask_psqm").cast("decimal(18,2)")), 2).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (page_parts, page_links, page_scripts, page_item_list, page_details, page_texts, zone_file_prices, polygon_file_rings, snapshot_rows, stored_upserts, rescored_zones, portal_urls, badge_styles, contract_costs, comps_pool)}
+QUERIES = {f.__name__: f for f in (page_parts, page_links, page_scripts, page_item_list, page_details, page_texts, zone_file_prices, polygon_file_rings, snapshot_rows, csv_export, stored_upserts, rescored_zones, portal_urls, badge_styles, contract_costs, comps_pool)}
 
 _TEXT = lambda x: f"nullif(trim(regexp_replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')), '')"
 _PARTS = f"""x AS (SELECT page_id, html, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS page_lang, {_TEXT("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, {_TEXT("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
@@ -264,6 +271,7 @@ x AS (SELECT p_brand, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS a,
 SELECT 'F205' AS comune, p_brand AS zona, a AS compr_min, b AS compr_max, c AS loc_min, d AS loc_max, CAST(round(CAST((a + b) / 2 AS DECIMAL(18,6)), 0) AS DOUBLE) AS compr_mid, CAST(round(CAST((c + d) / 2 AS DECIMAL(18,6)), 2) AS DOUBLE) AS loc_mid FROM x""",
     "polygon_file_rings": "SELECT 'N' || n_nationkey AS zona, CAST(CASE WHEN n_nationkey % 4 = 1 THEN 2 ELSE 1 END AS INT) AS n_polygons, CAST(CASE WHEN n_nationkey % 4 = 1 THEN 2 ELSE 1 END * CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 1 END AS INT) AS n_rings, n_nationkey + 1.0::DOUBLE AS x, n_nationkey * 2 + 1.0::DOUBLE AS y FROM nation WHERE n_nationkey % 5 <> 4",
     "snapshot_rows": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS tags, o_orderkey % 4 <> 0 AS no_more, o_orderkey % 5 <> 0 AS nobody, o_orderkey % 2 AS zero, TRUE AS slim, CAST(NULL AS DOUBLE) AS later FROM orders",
+    "csv_export": f"WITH {SQL} SELECT id::VARCHAR AS id, zone, rooms::VARCHAR AS rooms, elevator::VARCHAR AS elevator, CAST(NULL AS VARCHAR) AS published FROM listings WHERE id % 4 = 1",
     "stored_upserts": """WITH m AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS p, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS c FROM orders WHERE (o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0) AND o_orderkey % 11 <> 0)
 SELECT o_orderkey, CASE WHEN p > 200000 THEN 'dear' ELSE s END AS o_orderstatus, CASE WHEN p > 200000 AND o_orderkey % 5 = 0 THEN 0 ELSE p END AS o_totalprice, c AS o_custkey FROM m""",
     "rescored_zones": f"WITH {SQL}, x AS (SELECT id, zone, ask_psqm, CASE WHEN zone NOT LIKE '%3' THEN CAST({ZONE_MIDS['new']} AS DOUBLE) END AS mid FROM listings) SELECT id, zone, {_SIMPLE} AS score FROM x",

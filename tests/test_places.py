@@ -129,3 +129,15 @@ def test_ranges_without_kept_levels(monkeypatch):
             for limit in range(len(tree.distinct) + 1):
                 top = tree.distinct[limit] if limit < len(tree.distinct) else np.inf
                 assert tree.below(np.array([l]), np.array([r]), np.array([limit]))[0] == (flat < top).sum()
+
+
+def test_radii_of_ones_own(spark):
+    """Targets with radii from nothing to half the earth, against all pairs."""
+    rng = random.Random(9)
+    places = [(rng.uniform(45, 45.3), rng.uniform(9, 9.4)) for _ in range(60)] + [(rng.uniform(-89, 89), rng.uniform(-180, 180)) for _ in range(25)] + [(0.0, 179.99), (0.0, -179.99)]
+    targets = spark.createDataFrame([(k, y, x, rng.choice([0, 50, 249, 250, 251, 3000, 40_000, 500_000, 9_000_000, 21_000_000])) for k, (y, x) in enumerate(places)], "id long, lat double, lng double, radius int")
+    pool = spark.createDataFrame([(k + 1000, y, x) for k, (y, x) in enumerate(places)], "id long, lat double, lng double")
+    d = sc.haversine_m(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))
+    want = targets.alias("a").join(pool.alias("b"), F.round(d, 3) <= F.col("a.radius")).select("a.id", "b.id").collect()
+    got = [(r["id"], r["c_id"]) for r in comps.radius_pairs(targets, pool, "radius").collect()]
+    assert sorted(got) == sorted((r[0], r[1]) for r in want) and len(got) == len(set(got))
