@@ -2,6 +2,7 @@
 against a sum token by token."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,6 +10,8 @@ import numpy as np
 from estimark.llm import lm, queries
 
 SF = "/root/testdata/sf0.01"
+#: Shingles are of words whose letters A to Z are lower-cased.
+LOW = {k: k + 32 for k in range(65, 91)}
 
 
 def texts(spark):
@@ -19,7 +22,7 @@ def test_ngram_join_of_a_whole_table(spark):
     """Every link of at least 0.8 between documents, found by an index of all shingles."""
     sets = {}
     for d, t in texts(spark):
-        words = t.split()
+        words = re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOW))
         sets[d] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
     index = defaultdict(list)
     for d, s in sets.items():
