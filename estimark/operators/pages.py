@@ -20,31 +20,37 @@ def attribute(tag_text: Column, name: str) -> Column:
     return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(F.regexp_extract(tag_text, rf"""(?is)\b{name}\s*=\s*([^\s"'>]+)""", 1), F.lit("")))
 
 
-def plain(html: Column) -> Column:
-    """The text of some HTML: without elements that aren't shown, tags and comments; common
-    entities as characters, white space as single blanks."""
+#: Entities of symbols in running text, and all that ``plain`` knows; the ampersand comes last, so
+#: that none is made of another.
+SYMBOLS = (("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), *SYMBOLS)
+
+
+def plain(html: Column, entities: tuple[tuple[str, str], ...] = ENTITIES) -> Column:
+    """The text of some HTML: without elements that aren't shown, tags and comments; ``entities``
+    as characters, white space as single blanks."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for name, letter in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    for name, letter in entities:
         text = F.replace(text, F.lit(name), F.lit(letter))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def parts(html: Column) -> list[Column]:
+def parts(html: Column, entities: tuple[tuple[str, str], ...] = ENTITIES) -> list[Column]:
     """A page's language, title, first heading, and the numbers of its paragraphs and links."""
     return [
         attribute(F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0), "lang").alias("page_lang"),
-        F.nullif(plain(F.coalesce(F.get(inner(html, "title"), F.lit(0)), F.lit(""))), F.lit("")).alias("title"),
-        F.nullif(plain(F.coalesce(F.get(inner(html, "h1"), F.lit(0)), F.lit(""))), F.lit("")).alias("heading"),
+        F.nullif(plain(F.coalesce(F.get(inner(html, "title"), F.lit(0)), F.lit("")), entities), F.lit("")).alias("title"),
+        F.nullif(plain(F.coalesce(F.get(inner(html, "h1"), F.lit(0)), F.lit("")), entities), F.lit("")).alias("heading"),
         F.regexp_count(html, F.lit(r"(?i)<p\b")).alias("n_paragraphs"), F.regexp_count(html, F.lit(r"(?i)<a\b")).alias("n_links"),
     ]
 
 
-def links(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
+def links(pages: DataFrame, html: str, keep: list[str], entities: tuple[tuple[str, str], ...] = ENTITIES) -> DataFrame:
     """(keep, place, href, label) of each link."""
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b([^>]*)>.*?</a\s*>"), F.lit(1))
     both = F.arrays_zip(tags.alias("tag"), inner(F.col(html), "a").alias("label"))
-    return pages.select(*keep, F.posexplode(both).alias("place", "a")).select(*keep, "place", attribute(F.col("a.tag"), "href").alias("href"), plain(F.col("a.label")).alias("label"))
+    return pages.select(*keep, F.posexplode(both).alias("place", "a")).select(*keep, "place", attribute(F.col("a.tag"), "href").alias("href"), plain(F.col("a.label"), entities).alias("label"))
 
 
 def scripts(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import re
 import unicodedata
+from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
+from estimark import catalog
 from estimark.functions import scalars as sc
 from estimark.operators import pages as pg
 from estimark.operators import rescoring, rules
@@ -79,3 +82,19 @@ def test_settings_reach(spark):
     rows = spark.createDataFrame([(1, 10, 50, 400), (2, 45, 50, 900), (3, 90, None, None)], "id int, days_on_market int, sqm int, metro_m int").withColumn("rooms", F.lit(2))
     reached = lambda **new: sorted(r["id"] for r in rows.where(rescoring.reached(Settings(), Settings(**new))).collect())
     assert reached() == [] and reached(penalty_dom_stale=40) == [2, 3] and reached(gem_metro_max_m=1000) == [2] and reached(w_price=0.5) == [1, 2, 3] and reached(euro_impact_small=1) == [1, 2]
+
+
+def test_page_queries_with_quoted_titles(spark, tmp_path):
+    """Entities that the SQL leaves as they stand: the queries follow it, the operator reads them all."""
+    page = '<html lang="en"><head><title>{0}</title></head><body><h1>{0}</h1><p>x</p><a href="/a">{0}</a></body></html>'
+    said = "it&#39;s a &quot;b&quot; &lt;c&gt; &amp;lt; d&nbsp;e &copy; &middot;"
+    rows = [(k, f"/{k}", page.format(text)) for k, text in enumerate((said, 'token = "x"', "&quot;", "plain"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("page_parts", "page_links", "page_item_list", "page_details", "page_texts"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        ours = Counter(tuple(map(str, row)) for row in df.select(sorted(df.columns)).collect())
+        assert ours == Counter(tuple(map(str, row)) for row in con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({catalog.ORACLE_SQL[name]})").fetchall()), name
+    read = spark.range(1).select(pg.plain(F.lit(said)).alias("t")).first()["t"]
+    assert read == "it's a \"b\" <c> &lt; d e © ·"
