@@ -71,18 +71,25 @@ def condo_fee(text: Column) -> Column:
     """Monthly condominium fee in euros: the first fee of 20 to 1,000 a month that isn't said to
     be included, excluded or open. What is said about a fee stands at most 10 characters before
     it or 40 behind it; yearly fees count a twelfth."""
-    t = F.translate(text, "\u00a0", " ")
+    place = lambda x, state: F.position(x, state["text"], state["next"])
 
     def one(state: Column, match: Column) -> Column:
-        at = F.position(match, t, state["next"])
-        around = F.substring(t, F.greatest(F.lit(1), at - 10), F.least(F.lit(10), at - 1) + F.length(match) + 40)
-        value = italian_number(F.regexp_extract(match, FEE, 2))
-        monthly = F.when(around.rlike(FEE_YEARLY) & ~around.rlike(FEE_MONTHLY), value / 12).otherwise(value)
-        fee = F.when(~around.rlike(FEE_UNKNOWN) & monthly.between(20, 1000), F.bround(monthly, 0).cast("int"))
-        return F.struct((at + F.length(match)).alias("next"), F.coalesce(state["fee"], fee).alias("fee"))
-
-    start = F.struct(F.lit(1).alias("next"), F.lit(None).cast("int").alias("fee"))
-    return F.aggregate(F.regexp_extract_all(t, F.lit(FEE), F.lit(0)), start, one)["fee"]
+        return sc.let(place(match, state), lambda at: F.struct(
+            state["text"].alias("text"), (at + F.length(match)).alias("next"),
+            F.array_append(state["found"], F.struct(match.alias("match"), F.substring(state["text"], F.greatest(F.lit(1), at - 10), F.least(F.lit(10), at - 1) + F.length(match) + 40).alias("around"))).alias("found"),
+        ))
+
+    def fee(f: Column) -> Column:
+        value = italian_number(F.regexp_extract(f["match"], FEE, 2))
+        by_month = lambda v: F.when(v.isNotNull() & f["around"].rlike(FEE_YEARLY) & ~f["around"].rlike(FEE_MONTHLY), v / 12).otherwise(v)
+        return sc.let(sc.let(value, by_month), lambda v: F.when(v.between(20, 1000) & ~f["around"].rlike(FEE_UNKNOWN), F.bround(v, 0).cast("int")))
+
+    def first(t: Column) -> Column:
+        start = F.struct(t.alias("text"), F.lit(1).alias("next"), F.array().cast("array<struct<match:string,around:string>>").alias("found"))
+        # each step binds what it needs, as an expression is put in anew wherever its column is named
+        return F.get(F.array_compact(F.transform(F.aggregate(F.regexp_extract_all(t, F.lit(FEE), F.lit(0)), start, one)["found"], fee)), F.lit(0))
+
+    return sc.let(F.replace(text, F.lit("\u00a0"), F.lit(" ")), first)
 
 
 def not_city(parts: Column, city: list[str]) -> Column:

@@ -19,6 +19,11 @@ from estimark import settings as st
 EARTH_M = 6_371_000.0
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of the value, which is worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def zero(x: Column | str) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     return F.coalesce(x, F.lit(0))

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from estimark.functions import prose as pr
 from estimark.operators import flags, normalise
-from estimark.plans.listings import SQL, listings
+from estimark.plans.listings import SQL, listings, spread
 
 K = "p_partkey"
 CITY_NAMES = ["milano", "mi", "milan", "italia", "italy"]
 
 
 def parts(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col(K).alias("k"))
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col(K).alias("k")), "k")
 
 
 def case(values, shift=0):
