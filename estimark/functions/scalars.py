@@ -214,12 +214,18 @@ RAISED = ["R", "RIALZATO", "PR", "PIANO RIALZATO"]
 
 def parse_floor(raw: Column) -> tuple[Column, Column]:
     """Lowest floor of a floor text such as "S, 3" or "4 - 5", and its label."""
+    codes = F.create_map(*[F.lit(x) for kv in FLOOR_CODES.items() for x in kv])
     tokens = F.filter(F.transform(F.split(raw, r",\s*|\s+[-–]\s+"), lambda t: F.upper(F.trim(t))), lambda t: t != "")
-    number = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FLOOR_CODES.items() for x in kv]), t), F.expr("1").cast("int") * F.nullif(F.regexp_extract(t, r"-?\d+", 0), F.lit("")).try_cast("int")))
-    floor = F.when(~F.upper(F.trim(raw)).isin("", "NONE", "N/A"), F.array_min(number))
-    raised = F.exists(tokens, lambda t: t.isin(RAISED))
-    named = F.when(floor <= -2, "Interrato").when(floor == -1, "Seminterrato").when(floor == 0, "Piano terra").when((floor == 1) & raised, "Piano rialzato").otherwise(F.concat(floor.cast("string"), F.lit("° piano")))
-    return floor, F.when(floor.isNotNull(), named)
+    number = lambda t: F.coalesce(F.try_element_at(codes, t), F.nullif(F.regexp_extract(t, r"-?\d+", 0), F.lit("")).try_cast("int"))
+    said = ~F.upper(F.trim(raw)).isin("", "NONE", "N/A")
+    both = let(tokens, lambda ts: F.struct(F.when(said, F.array_min(F.transform(ts, number))).alias("floor"), F.exists(ts, lambda t: t.isin(RAISED)).alias("raised")))
+
+    def named(x: Column) -> Column:
+        floor = x["floor"]
+        name = F.when(floor <= -2, "Interrato").when(floor == -1, "Seminterrato").when(floor == 0, "Piano terra").when((floor == 1) & x["raised"], "Piano rialzato").otherwise(F.concat(floor.cast("string"), F.lit("° piano")))
+        return F.when(floor.isNotNull(), name)
+
+    return both["floor"], let(both, named)
 
 
 def digits_within(text: Column, lo: int, hi: int) -> Column:

@@ -47,6 +47,12 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*[filled(c) for c in columns])
 
 
+def within(text: Column, path: str) -> Column:
+    """What lies at the path of a text that is a JSON object. Other texts, the most, aren't parsed,
+    as each would raise an error within Spark."""
+    return F.when(text.contains("{"), F.get_json_object(text, path))
+
+
 def photo_urls(photos: Column, most: int = 8) -> Column:
     """Addresses of the first photos, the largest size of each; photos without one are left out."""
     url = lambda p: first_of(p["urls"]["large"], p["urls"]["medium"], p["urls"]["small"], p["url"], p["src"])
@@ -107,24 +113,28 @@ def portal_a(raw: DataFrame, body: str, city: str, today: Column, sale: bool = F
     c = F.col
     psqm = c("price") / c("sqm")
     features = feature_set(F.when(F.size("p.features") > 0, c("p.features")).otherwise(c("r.features")))
-    df = df.withColumns({"features": features, "psqm": psqm, "photos": photo_urls(c("p.multimedia.photos"))})
     if sale:
-        df = df.where(c("psqm") >= LEAST_SALE_PSQM)
-    floor_raw = F.coalesce(filled(F.get_json_object("p.floor", "$.abbreviation")), filled(F.get_json_object("p.floor", "$.value")), c("p.floor"))
-    floor, label = sc.parse_floor(floor_raw)
+        df = df.where(psqm >= LEAST_SALE_PSQM)
+    zone = lambda x: F.coalesce(within(x, "$.name"), F.trim(x))
+    df = df.withColumns({
+        "features": features, "photos": photo_urls(c("p.multimedia.photos")), "date": pr.published(c("r.publicationDate"), c("r.insertionDate"), c("r.createdAt")),
+        "floor_raw": F.coalesce(filled(within(c("p.floor"), "$.abbreviation")), filled(within(c("p.floor"), "$.value")), c("p.floor")),
+        "microzone": zone(c("p.location.microzone")), "macrozone": zone(c("p.location.macrozone")),
+    })
+    floor, label = sc.parse_floor(c("floor_raw"))
+    df = df.withColumns({"floor": floor, "floor_label": label})
+    floor, date = c("floor"), c("date")
     rooms = F.coalesce(first_of(c("p.rooms"), c("p.roomsNumber"), c("p.numRooms")).try_cast("int"), sc.parse_rooms(c("r.title")))
     beds = F.nullif(first_of(c("p.bedRoomsNumber"), c("p.bedrooms")).try_cast("int"), F.lit(0))
     outside = pr.either(c("p.isExternal"), c("p.external"), c("p.ga4Exposure"))
     furnished = pr.either(c("p.furnished"), c("p.isFurnished"), c("p.arredato"), c("r.furnished"))
-    zone = lambda x: F.coalesce(F.get_json_object(x, "$.name"), F.trim(x))
-    date = pr.published(c("r.publicationDate"), c("r.insertionDate"), c("r.createdAt"))
     money = [c("price").alias("price" if sale else "rent_mo"), F.when(F.lit(sale), sc.half_even(psqm).cast("double")).otherwise(sc.exactly(psqm, 2)).alias("ask_psqm")]
     fee = F.coalesce(digits(first_of(c("p.expenses"), c("p.condominiumFees"), c("p.monthlyCharges"))), pr.condo_fee(c("p.description")))
     out = df.select(
         F.coalesce("r.id", F.lit("")).alias("id"), F.lit("sale" if sale else "portal_a").alias("source"), F.lit(city).alias("city"), F.coalesce("r.title", F.lit("")).alias("title"),
-        F.coalesce(filled(zone("p.location.microzone")), filled(zone("p.location.macrozone")), c("p.location.city"), F.lit("")).alias("neighbourhood"), F.coalesce("p.location.address", F.lit("")).alias("address"),
+        F.coalesce(filled(c("microzone")), filled(c("macrozone")), c("p.location.city"), F.lit("")).alias("neighbourhood"), F.coalesce("p.location.address", F.lit("")).alias("address"),
         c("p.location.latitude").alias("latitude"), c("p.location.longitude").alias("longitude"), *money, "sqm", fee.alias("spese_condominiali"), rooms.alias("rooms"), F.when(~F.coalesce(beds > rooms, F.lit(False)), beds).alias("bedrooms"),
-        first_of(c("p.bathrooms"), c("other_baths")).try_cast("int").alias("bathrooms"), floor.alias("floor_n"), label.alias("floor_label"), F.coalesce(floor < 0, F.lit(False)).alias("is_below_ground"), F.coalesce(floor == 0, F.lit(False)).alias("is_ground_floor"),
+        first_of(c("p.bathrooms"), c("other_baths")).try_cast("int").alias("bathrooms"), floor.alias("floor_n"), "floor_label", F.coalesce(floor < 0, F.lit(False)).alias("is_below_ground"), F.coalesce(floor == 0, F.lit(False)).alias("is_ground_floor"),
         pr.truth(pr.either(c("p.elevator"), c("p.hasElevator"))).alias("elevator"), F.when(outside.isNotNull(), F.lower(outside).isin("true", "yes", "esterno", "1")).alias("is_external"),
         F.upper(F.trim(first_of(c("p.energyClass"), c("r.energyClass")))).alias("energy_class"), first_of(c("p.yearBuilt"), c("r.yearBuilt")).try_cast("int").alias("year_built"),
         F.coalesce(any_yes(*[c(f"p.{x}") for x in ("hasBalcony", "balcony", "hasTerrace", "terrace", "hasGarden", "garden")]), among(c("features"), OUTDOOR)).alias("has_balcony"),

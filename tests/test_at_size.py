@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from estimark import catalog
 from estimark.functions import prose as pr
+from estimark.functions import scalars as sc
+from estimark.operators import normalise
 
 from conftest import SF
 
@@ -13,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["condo_fees"])
+@pytest.mark.parametrize("name", ["condo_fees", "portal_a_rentals", "portal_a_sales"])
 def test_rows_are_dealt_out(spark, name):
     assert "RepartitionByExpression" in plan(catalog.QUERIES[name](spark, SF))
 
@@ -25,3 +27,16 @@ def test_condo_fee_binds_its_text_once(spark):
     many = " ".join(["Spese 5 euro, molto bello e luminoso, in una zona tranquilla e verde;"] * 50)
     rows = spark.createDataFrame([(0, many + " spese 90 euro"), (1, many), (2, None), (3, ""), (4, "spese ..")], "k int, t string").select("k", pr.condo_fee(F.col("t")).alias("f"))
     assert dict(rows.collect()) == {0: 90, 1: None, 2: None, 3: None, 4: None}
+
+
+def test_portal_texts_that_are_no_json(spark):
+    df = spark.createDataFrame([(0, '{"name":"A"}'), (1, "A"), (2, ""), (3, None), (4, "{A"), (5, ' {"name":"B"}'), (6, '{"x":1}')], "k int, t string")
+    assert dict(df.select("k", normalise.within(F.col("t"), "$.name")).collect()) == dict(df.select("k", F.get_json_object("t", "$.name")).collect()) == {0: "A", 1: None, 2: None, 3: None, 4: None, 5: "B", 6: None}
+    for name in ("portal_a_rentals", "portal_a_sales"):
+        assert plan(catalog.QUERIES[name](spark, SF)).count("get_json_object") <= 6, name
+
+
+def test_floors_bound_once(spark):
+    floor, label = sc.parse_floor(F.concat(F.lit("S, "), F.col("id").cast("string")))
+    df = spark.range(3, 4).select(floor.alias("n"), label.alias("l"))
+    assert tuple(df.first()) == (-1, "Seminterrato") and plan(df).count("split(") <= 2
