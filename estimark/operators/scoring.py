@@ -136,16 +136,20 @@ def condition_share(condition: Column) -> Column:
 
 
 def reasons_table() -> Column:
-    """All reasons that hold for a scored listing, as (component, sentiment, weight, key, text);
-    the listing has the columns of ``composite`` or ``composite_sale`` and of the places near it.
-    Words are ours; which reasons hold, their weights and their order are fixed values."""
+    """All reasons of a scored listing, as (weight, rank, component, sentiment, key, text), null where
+    one doesn't hold; the listing has the columns of ``composite`` or ``composite_sale`` and of the
+    places near it. No lambda stands around the list: below one, Spark interprets everything for
+    each row. Words are ours; which reasons hold, their weights and their order are fixed values."""
     c = F.col
     t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     rows: list[Column] = []
+    bad: dict[str, Column] = {}  # whether a component has a reason against it
 
     def add(holds: Column, component: str, mood: str, weight: int, key: str, text: Column | str) -> None:
         text = F.lit(text) if isinstance(text, str) else text
-        rows.append(F.when(holds, F.struct(F.lit(component).alias("component"), F.lit(mood).alias("sentiment"), F.lit(weight).alias("weight"), F.lit(key).alias("key"), F.lit(len(rows)).alias("n"), text.alias("text"))))
+        if mood == "negative":
+            bad[component] = bad.get(component, F.lit(False)) | F.coalesce(holds, F.lit(False))
+        rows.append(F.when(holds, F.struct(F.lit(weight).alias("weight"), F.lit(-len(rows)).alias("rank"), F.lit(component).alias("component"), F.lit(mood).alias("sentiment"), F.lit(key).alias("key"), text.alias("text"))))
 
     def ladder(component: str, steps: list[tuple[Column, str, int, str, Column | str]]) -> None:
         """The first step that holds."""
@@ -197,26 +201,24 @@ def reasons_table() -> Column:
     ladder("Price", [(gain >= 5.0, "positive", 6, "strong_yield", t("yields ", sc.exactly(gain, 1), " % a year")), (gain < 3.0, "negative", 5, "weak_yield_pct", t("yields ", sc.exactly(gain, 1), " % a year"))])
 
     # what stands for a poor component without a reason of its own
-    bad = lambda name, found: F.exists(found, lambda r: (r["component"] == name) & (r["sentiment"] == "negative"))
-    first = F.array_compact(F.array(*rows))
-    rows = []
+    flat, place = bad["Property"], bad["Location"]
     low = F.when(c("elevator").isNull(), " without a known lift").otherwise(" without a lift")
     weak = F.array_compact(F.array(F.when(held(floor <= 2) & ~held(c("elevator")), F.concat(F.lit("floor "), floor.cast("string"), low)), F.when(state.isin("buono", "abitabile") & (F.size(strong) == 0), "plain condition"),
                                    F.when(held((year >= 1960) & (year < 1990)) & ~renovated, t("built in the ", year, "s, not renovated")), F.when(held(~c("has_balcony")), "no balcony")))
-    poor = held(c("score_physical") <= 55) & ~bad("Property", first)
+    poor = held(c("score_physical") <= 55) & ~flat
     add(poor & (F.size(weak) > 0), "Property", "negative", 4, "below_avg", F.array_join(F.slice(weak, 1, 2), ", "))
     add(poor & (F.size(weak) == 0), "Property", "negative", 3, "limited", "little that stands out")
     away = F.array_compact(F.array(F.when(held(walk >= 10), t(walk, " min to the metro")), F.when(held(c("park_m") > 600), "no park within 600 m"), F.when(held(c("supermarket_m") > 500), t("supermarket in ", c("supermarket_m").cast("int"), " m"))))
-    remote = held(F.coalesce("score_location", "geo_score") <= 55) & ~bad("Location", first)
+    remote = held(F.coalesce("score_location", "geo_score") <= 55) & ~place
     add(remote & (F.size(away) > 0), "Location", "negative", 4, "below_avg", F.array_join(F.slice(away, 1, 2), ", "))
     add(remote & (F.size(away) == 0) & F.coalesce(walk > 5, F.lit(True)), "Location", "negative", 3, "quiet", "a quiet part of the city")
-    return F.concat(first, F.transform(F.array_compact(F.array(*rows)), lambda r: r.withField("n", r["n"] + 100)))
+    return F.array(*rows)
 
 
-def weightiest(reasons: Column, k: int = 3) -> Column:
-    """The k weightiest reasons, ties in their order."""
-    order = lambda a, b: F.when(a["weight"] != b["weight"], b["weight"] - a["weight"]).otherwise(a["n"] - b["n"])
-    return F.slice(F.array_sort(reasons, order), 1, k)
+def weightiest(reasons: Column, k: int = 3) -> list[Column]:
+    """The k weightiest reasons, ties in their order; null where fewer hold."""
+    best = F.sort_array(reasons, asc=False)
+    return [F.get(best, F.lit(n)) for n in range(k)]
 
 
 def suggested_rent() -> list[Column]:

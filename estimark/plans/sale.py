@@ -24,7 +24,7 @@ EXTRA = {
 
 
 def sales(spark, sf_dir):
-    df = listings(spark, sf_dir)
+    df = listings(spark, sf_dir, dealt=True)
     df = df.select(*[F.expr(SALE[n]).alias(n) if n in SALE else F.col(n) for n in df.columns])
     df = df.withColumns({n: F.expr(e) for n, e in EXTRA.items()})
     kinds = {"fake": F.col("id") % 37 == 0, "nuda": F.col("id") % 41 == 0, "auction": F.col("id") % 43 == 0}
@@ -55,7 +55,7 @@ def best_sales(spark, sf_dir):
 def all_reasons(spark, sf_dir):
     df = sales(spark, sf_dir).where("excluded_reason IS NULL").withColumn("room_flag", sc.room_flag(F.col("sqm"), F.col("rooms")))
     top = scoring.weightiest(scoring.reasons_table())
-    return df.select("id", F.array_join(F.transform(top, lambda r: F.concat_ws(":", r["component"], r["sentiment"], r["key"])), " ").alias("reasons"))
+    return df.select("id", F.concat_ws(" ", *[F.when(r.isNotNull(), F.concat_ws(":", r["component"], r["sentiment"], r["key"])) for r in top]).alias("reasons"))
 
 
 def explained(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from estimark import catalog
 from estimark.functions import prose as pr
 from estimark.functions import scalars as sc
-from estimark.operators import normalise
+from estimark.operators import normalise, scoring
 
 from conftest import SF
 
@@ -15,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["condo_fees", "portal_a_rentals", "portal_a_sales"])
+@pytest.mark.parametrize("name", ["condo_fees", "portal_a_rentals", "portal_a_sales", "all_reasons"])
 def test_rows_are_dealt_out(spark, name):
     assert "RepartitionByExpression" in plan(catalog.QUERIES[name](spark, SF))
 
@@ -40,3 +40,12 @@ def test_floors_bound_once(spark):
     floor, label = sc.parse_floor(F.concat(F.lit("S, "), F.col("id").cast("string")))
     df = spark.range(3, 4).select(floor.alias("n"), label.alias("l"))
     assert tuple(df.first()) == (-1, "Seminterrato") and plan(df).count("split(") <= 2
+
+
+def test_reasons_are_compiled(spark):
+    """Around a lambda Spark interprets whole expressions; the list of reasons has none."""
+    df = catalog.QUERIES["all_reasons"](spark, SF)
+    assert "array_sort" not in plan(df) and "sort_array" in plan(df)
+    rows = spark.createDataFrame([(5, 0, "a"), (7, -1, "b"), (5, -2, "c"), (5, -3, "d")], "weight int, rank int, key string")
+    one = rows.groupBy().agg(F.collect_list(F.struct("weight", "rank", "key")).alias("r")).select(F.concat("r", F.array(F.lit(None))).alias("r"))
+    assert [x and x["key"] for x in one.select(*[x.alias(f"x{n}") for n, x in enumerate(scoring.weightiest(F.col("r"), 6))]).first()] == ["b", "a", "c", "d", None, None]
