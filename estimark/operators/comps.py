@@ -97,6 +97,19 @@ def radius_pairs(targets: DataFrame, pool: DataFrame, radius_m: int | str, key:
     return cell_pairs(targets, pool, F.lit(radius_m / 111_000.0), F.lit(radius_m), key, [])
 
 
+def radius_counts(points: DataFrame, radius_m: int, key: str = "id") -> DataFrame:
+    """(key, n, nearest_m): how many rows of other keys lie at most ``radius_m`` from the rows of each
+    key, which has one place, and how far the nearest is; keys without any are left out. Rows of
+    one place are counted before pairs are made, so pairs are of places, not of rows."""
+    own = points.where("lat IS NOT NULL AND lng IS NOT NULL").groupBy(key, "lat", "lng").agg(F.count("*").alias("own"))
+    places = own.groupBy("lat", "lng").agg(F.sum("own").alias("held"))
+    pairs = radius_pairs(places.withColumn("side", F.lit(0)), places.withColumn("side", F.lit(1)), radius_m, "side")
+    elsewhere = (F.col("lat") != F.col("c_lat")) | (F.col("lng") != F.col("c_lng"))
+    around = pairs.groupBy("lat", "lng").agg(F.sum("c_held").alias("around"), F.max("held").alias("held"), F.min(F.when(elsewhere, F.col("distance_m"))).alias("next_m"))
+    met = own.join(around, ["lat", "lng"]).where("around > own")
+    return met.select(key, (F.col("own") * (F.col("around") - F.col("own"))).alias("n"), F.when(F.col("held") > F.col("own"), 0.0).otherwise(F.col("next_m")).alias("nearest_m"))
+
+
 def cell_pairs(targets: DataFrame, pool: DataFrame, cell: Column, radius: Column, key: str, same: list[str]) -> DataFrame:
     """The pairs of ``radius_pairs`` with equal columns ``same``; ``cell`` is the height of a cell
     in degrees, no less than the radius, by columns that both have."""

@@ -27,8 +27,7 @@ ZONES = [
 
 def radius_join_counts(spark, sf_dir):
     """Suppliers within 2500 m of each supplier, by grid cells."""
-    sup = points(spark, sf_dir, "supplier", "s_suppkey").select("id", "lat", "lng")
-    return comps.radius_pairs(sup, sup, 2500).groupBy("id").agg(F.count("*").alias("n"), F.min("distance_m").alias("nearest_m"))
+    return comps.radius_counts(points(spark, sf_dir, "supplier", "s_suppkey"), 2500)
 
 
 def nearest_poi(spark, sf_dir):

@@ -1,12 +1,14 @@
 """Queries whose work must not gather in one task, grow with pairs of copies, or be interpreted."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from estimark import catalog
 from estimark.functions import prose as pr
 from estimark.functions import scalars as sc
-from estimark.operators import normalise, scoring
+from estimark.operators import comps, normalise, scoring
 
 from conftest import SF
 
@@ -49,3 +51,20 @@ def test_reasons_are_compiled(spark):
     rows = spark.createDataFrame([(5, 0, "a"), (7, -1, "b"), (5, -2, "c"), (5, -3, "d")], "weight int, rank int, key string")
     one = rows.groupBy().agg(F.collect_list(F.struct("weight", "rank", "key")).alias("r")).select(F.concat("r", F.array(F.lit(None))).alias("r"))
     assert [x and x["key"] for x in one.select(*[x.alias(f"x{n}") for n, x in enumerate(scoring.weightiest(F.col("r"), 6))]).first()] == ["b", "a", "c", "d", None, None]
+
+
+def test_radius_counts_by_place(spark):
+    """20,000 rows of one place would be 400 million pairs; odd rows against brute force."""
+    here = spark.range(20_000).select("id", F.lit(45.4).alias("lat"), F.lit(9.1).alias("lng")).unionByName(spark.createDataFrame([(-1, 45.401, 9.1), (-2, 46.0, 9.1), (-3, None, 9.1)], "id long, lat double, lng double"))
+    got = {r["id"]: (r["n"], r["nearest_m"]) for r in comps.radius_counts(here, 2500).collect()}
+    assert len(got) == 20_001 and got[0] == got[19_999] == (20_000, 0.0) and got[-1][0] == 20_000 and 100 < got[-1][1] < 120
+    rows = [(k % 40, 45.4 + k % 40 % 7 * 0.01, 9.1 + k % 40 % 5 * 0.01) for k in range(60)]
+    metres = lambda a, b: round(2 * 6_371_000.0 * math.asin(math.sqrt(math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2)), 3)
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] != b[0] and metres(a, b) <= 2500:
+                n, least = want.get(a[0], (0, 1e9))
+                want[a[0]] = (n + 1, min(least, metres(a, b)))
+    got = {r["id"]: (r["n"], round(r["nearest_m"], 3)) for r in comps.radius_counts(spark.createDataFrame(rows, "id long, lat double, lng double"), 2500).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 0.002 for k in want)
