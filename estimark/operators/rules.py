@@ -111,12 +111,17 @@ def metro_names(near: DataFrame, stations: DataFrame) -> DataFrame:
     station in order with lines at most 100 m further, where the nearest entrance has none.
     stations: city, ord, lat, lng, name, lines."""
     some = stations.where("lines <> ''").select("city", "lat", "lng", "ord", "name", "lines", F.lit(0).alias("side"))
-    bare = near.where(F.coalesce("lines", F.lit("")) == "").select("id", "city", "lat", "lng", F.col("distance_m").alias("own_m"), (F.col("distance_m") + 101).alias("radius"), F.lit(1).alias("side"))
+    # entrances of one place and distance ask once
+    asks = F.coalesce("lines", F.lit("")) == ""
+    bare = near.where(asks).select("city", "lat", "lng", F.col("distance_m").alias("own_m")).distinct().withColumns({"radius": F.col("own_m") + 101, "side": F.lit(1)})
     pairs = comps.radius_pairs(bare, some, "radius", "side").where((F.col("city") == F.col("c_city")) & (F.round("distance_m", 0) <= F.col("own_m") + 100))
-    found = pairs.groupBy("id").agg(F.min(F.struct(F.col("c_ord").alias("ord"), F.col("c_name").alias("__name"), F.col("c_lines").alias("__lines"))).alias("s"))
+    place = ["city", "lat", "lng", "own_m"]
+    found = pairs.groupBy(*place).agg(F.min(F.struct(F.col("c_ord").alias("ord"), F.col("c_name").alias("__name"), F.col("c_lines").alias("__lines"))).alias("s"))
+    found = found.select(*[F.col(c).alias(f"__{c}") for c in place], "s")
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
-    out = near.join(found, "id", "left")
-    return out.withColumns({"lines": F.coalesce(empty("lines"), F.col("s.__lines")), "name": F.coalesce(empty("name"), F.col("s.__name"))}).drop("s")
+    same = [F.col(c) == F.col(f"__{c}") for c in ("city", "lat", "lng")]
+    out = near.join(found, [asks, *same, F.col("distance_m") == F.col("__own_m")], "left")
+    return out.withColumns({"lines": F.coalesce(empty("lines"), F.col("s.__lines")), "name": F.coalesce(empty("name"), F.col("s.__name"))}).drop("s", *[f"__{c}" for c in place])
 
 
 def with_defaults(listings: DataFrame, ldi: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def zone_stubs(spark, sf_dir):
 
 def station_names(spark, sf_dir):
     """Names and lines of the metro for entrances that have none."""
-    near = listings(spark, sf_dir).where("lat IS NOT NULL").select("id", "lat", "lng", F.lit("milano").alias("city"), F.lit(400).alias("distance_m"), F.expr("CASE WHEN id % 4 = 0 THEN 'Gate' END").alias("name"), F.expr("CASE WHEN id % 5 = 0 THEN 'M9' ELSE '' END").alias("lines"))
+    near = listings(spark, sf_dir, dealt=True).where("lat IS NOT NULL").select("id", "lat", "lng", F.lit("milano").alias("city"), F.lit(400).alias("distance_m"), F.expr("CASE WHEN id % 4 = 0 THEN 'Gate' END").alias("name"), F.expr("CASE WHEN id % 5 = 0 THEN 'M9' ELSE '' END").alias("lines"))
     stations = spark.createDataFrame([("milano", 0, 45.46, 9.19, "Duomo", "M1, M3"), ("milano", 1, 45.461, 9.19, "Cordusio", "M1"), ("milano", 2, 45.48, 9.2, "Centrale", ""), ("roma", 3, 45.46, 9.19, "Termini", "MA")], "city string, ord int, lat double, lng double, name string, lines string")
     return rules.metro_names(near, stations).select("id", "name", "lines")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from estimark import catalog
 from estimark.functions import prose as pr
 from estimark.functions import scalars as sc
-from estimark.operators import comps, normalise, scoring
+from estimark.operators import comps, normalise, rules, scoring
 
 from conftest import SF
 
@@ -17,7 +17,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["condo_fees", "portal_a_rentals", "portal_a_sales", "all_reasons"])
+@pytest.mark.parametrize("name", ["condo_fees", "portal_a_rentals", "portal_a_sales", "all_reasons", "station_names"])
 def test_rows_are_dealt_out(spark, name):
     assert "RepartitionByExpression" in plan(catalog.QUERIES[name](spark, SF))
 
@@ -68,3 +68,11 @@ def test_radius_counts_by_place(spark):
                 want[a[0]] = (n + 1, min(least, metres(a, b)))
     got = {r["id"]: (r["n"], round(r["nearest_m"], 3)) for r in comps.radius_counts(spark.createDataFrame(rows, "id long, lat double, lng double"), 2500).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 0.002 for k in want)
+
+
+def test_stations_asked_once_a_place(spark):
+    stations = spark.createDataFrame([("m", 0, 45.46, 9.19, "Duomo", "M1")], "city string, ord int, lat double, lng double, name string, lines string")
+    near = [(1, 45.46, 9.19, "m", 50, None, ""), (1, 45.46, 9.19, "m", 50, None, "M9"), (2, 45.46, 9.19, "m", 50, "Gate", None), (3, 45.46, 9.19, "m", None, None, ""), (4, 45.46, 9.19, None, 50, None, ""), (5, 45.47, 9.19, "m", 50, None, ""), (5, 45.47, 9.19, "m", 1050, None, "")]
+    near = spark.createDataFrame(near, "id int, lat double, lng double, city string, distance_m int, name string, lines string")
+    got = sorted(((r["id"], r["name"], r["lines"]) for r in rules.metro_names(near, stations).collect()), key=str)
+    assert got == sorted([(1, "Duomo", "M1"), (1, None, "M9"), (2, "Gate", "M1"), (3, None, None), (4, None, None), (5, None, None), (5, "Duomo", "M1")], key=str)
