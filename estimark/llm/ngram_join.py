@@ -115,6 +115,14 @@ def sampled_sets(docs: DataFrame, least: float) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(emit, "doc_id long, text_key long, set binary, least int, " + ", ".join(f"t{k} array<struct<run:int,token:long>>" for k in range(LEVELS)))
 
 
+def shared_samples(sets: DataFrame, level: int) -> DataFrame:
+    """(set, run, token): what sets sample at a level, if another set samples it in the same run.
+    A bucket that went on by anything else would hold one set."""
+    every = written(sets.select("set", F.explode(f"t{level}").alias("t")).select("set", "t.run", "t.token"))
+    again = written(every.groupBy("run", "token").agg(F.count("*").alias("n")).where("n > 1").select("run", "token"))
+    return written(every.join(again, ["run", "token"]).select("set", "run", "token"), every, again)
+
+
 def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Small buckets (bucket, set), and the sets of buckets that stay large (group, set)."""
     now = sets.select("set", "least", F.explode("t0").alias("t")).select("set", "least", F.col("t.run").alias("run"), F.xxhash64(F.lit(0), "t.run", "t.token").alias("path"))
@@ -136,9 +144,12 @@ def buckets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             now = written(now.join(alike, "path"), alike)
             dense = now.where(F.col("alike") * 2 >= F.col("n")).select("set", "path")
             stay = dense if stay is None else stay.unionByName(dense)
-            more = now.where(F.col("alike") * 2 < F.col("n")).join(sets.select("set", F.col(f"t{level}").alias("t")), "set")
-            more = more.select("set", "least", "run", "path", F.explode(F.filter("t", lambda x: x["run"] == F.col("run"))).alias("t"))
-            now = more.select("set", "least", "run", F.xxhash64("path", "t.token").alias("path")).distinct()
+            split = now.where(F.col("alike") * 2 < F.col("n"))
+            if split.isEmpty():
+                now = split
+                break
+            more = split.join(shared_samples(sets, level), ["set", "run"])
+            now = more.select("set", "least", "run", F.xxhash64("path", "token").alias("path")).distinct()
     small = small.distinct().select(F.xxhash64("sets").alias("bucket"), F.explode("sets").alias("set"))
     now = now.select("set", "path").unionByName(stay)
     if now.isEmpty():
