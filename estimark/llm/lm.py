@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estimark.llm.common import scrambled, text_bytes, text_slices, written
-from estimark.llm.wordblocks import block_words, blocks_of_documents, distinct_words, meet
+from estimark.llm.wordblocks import distinct_words, meet, words_and_blocks
 
 CLASS_SIZE, CLASSES, ENDINGS, HIDDEN = 64, 32, 16, 32
 FREQUENT = CLASS_SIZE * CLASSES
@@ -79,65 +79,79 @@ class Model:
             "bw": np.where(by_class > 0, np.log(np.maximum(by_class, 1)), -30).astype(np.float32),
         })
 
-    def step(self, h: np.ndarray, ids: np.ndarray):
-        a = self.w["inputs"][ids]
-        f = 1 / (1 + np.exp(-(a[:, :HIDDEN] + h @ self.w["uf"])))
-        r = f * h
-        g = np.tanh(a[:, HIDDEN:] + r @ self.w["ug"])
-        return h + f * (g - h), f, r, g
+    def gates(self, h: np.ndarray, a: np.ndarray, f: np.ndarray, r: np.ndarray, g: np.ndarray) -> None:
+        """Writes gate, gated state and candidate of a step from the states before it and the
+        inputs' rows ``a``."""
+        np.matmul(h, self.w["uf"], out=f)
+        f += a[:, :HIDDEN]
+        np.negative(f, out=f)
+        np.exp(f, out=f)
+        f += 1
+        np.reciprocal(f, out=f)
+        np.multiply(f, h, out=r)
+        np.matmul(r, self.w["ug"], out=g)
+        g += a[:, HIDDEN:]
+        np.tanh(g, out=g)
 
     def outputs(self, h: np.ndarray, ids: np.ndarray, grad: dict | None = None):
         """Natural log probability of each class or frequent word given the state before it;
-        with ``grad``, adds to it and returns the gradient by the states, too."""
+        with ``grad``, fills it and returns the gradient by the states, too."""
         w = self.w
         cls = np.where(ids < FREQUENT, ids // CLASS_SIZE, ids - FREQUENT + CLASSES)
         # in the order of classes, so that each class's rows are neighbours
         order = np.argsort(cls.astype(np.uint8), kind="stable")
         h, ids, cls = h[order], ids[order], cls[order]
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        some = [(c, a, b) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        n = cuts[-1]
         p = h @ w["wc"]
         p += w["bc"]
-        p -= p.max(1, keepdims=True)
         row = np.arange(len(ids))
-        out = p[row, cls]
-        np.exp(p, out=p)
-        total = p.sum(1)
-        out -= np.log(total)
-        dh = None
-        if grad is not None:
-            p /= total[:, None]
-            p[row, cls] -= 1
-            grad["wc"] += h.T @ p
-            grad["bc"] += p.sum(0)
-            dh = p @ w["wc"].T
-        for c in range(CLASSES):
-            a, b = cuts[c], cuts[c + 1]
-            if a == b:
-                continue
-            x, k = h[a:b], np.arange(b - a)
-            own = ids[a:b] - c * CLASS_SIZE
-            z = x @ w["ww"][c]
-            z += w["bw"][c]
-            z -= z.max(1, keepdims=True)
-            out[a:b] += z[k, own]
-            np.exp(z, out=z)
-            total = z.sum(1)
-            out[a:b] -= np.log(total)
-            if grad is not None:
-                z /= total[:, None]
-                z[k, own] -= 1
-                grad["ww"][c] += x.T @ z
-                grad["bw"][c] += z.sum(0)
-                dh[a:b] += z @ w["ww"][c].T
+        out, p, total = log_shares(p, row, cls)
+        z = np.empty((n, CLASS_SIZE), h.dtype)
+        for c, a, b in some:
+            np.matmul(h[a:b], w["ww"][c], out=z[a:b])
+            z[a:b] += w["bw"][c]
+        own = ids[:n] - cls[:n] * CLASS_SIZE
+        inner, z, within = log_shares(z, row[:n], own)
+        out[:n] += inner
         back = np.empty_like(out)
         back[order] = out
         if grad is None:
             return back
+        p *= (1 / total)[:, None]
+        p[row, cls] -= 1
+        np.matmul(h.T, p, out=grad["wc"])
+        p.sum(0, out=grad["bc"])
+        dh = p @ w["wc"].T
+        if n:
+            z *= (1 / within)[:, None]
+            z[row[:n], own] -= 1
+            grad["bw"][[c for c, _, _ in some]] = np.add.reduceat(z, [a for _, a, _ in some])
+            more = np.empty((n, HIDDEN), h.dtype)
+            for c, a, b in some:
+                np.matmul(h[a:b].T, z[a:b], out=grad["ww"][c])
+                np.matmul(z[a:b], w["ww"][c].T, out=more[a:b])
+            dh[:n] += more
         moved = np.empty_like(dh)
         moved[order] = dh
         return back, moved
 
 
+def log_shares(z: np.ndarray, row: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log of each row's share at ``own`` of its exponentials, these and their sums; rows are
+    moved to their largest only if their sums leave the range of single precision otherwise."""
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+    one = np.ones(z.shape[1], z.dtype)
+    total = e @ one
+    if len(z) and not (total.min() > 1e-20 and total.max() < 1e20):
+        z = z - z.max(1, keepdims=True)
+        e = np.exp(z)
+        total = e @ one
+    return z[row, own] - np.log(total), e, total
+
+
 def streams_of(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Deals sequences out to n streams, longest first, each to the shortest stream in turn.
     Returns for each stream (the longest first) and step the position in the concatenation
@@ -170,87 +184,140 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray) -> np.
     out = np.zeros(len(ids), np.float32)
     h = np.zeros((n, HIDDEN), np.float32)
     states = np.empty((SCORE_WINDOW, n, HIDDEN), np.float32)
+    f, r, g = (np.empty((n, HIDDEN), np.float32) for _ in range(3))
+    fresh = begins.any(1)
     for at in range(0, len(place), SCORE_WINDOW):
         n = going[at]
         where = place[at : at + SCORE_WINDOW, :n]
         x = ids[np.maximum(where, 0)]
+        a = model.w["inputs"][x]
         for t in range(len(where)):
             k = going[at + t]
-            h[:k][begins[at + t, :k]] = 0
+            if fresh[at + t]:
+                h[:k][begins[at + t, :k]] = 0
             states[t, :k] = h[:k]
-            h[:k] = model.step(h[:k], x[t, :k])[0]
+            model.gates(h[:k], a[t, :k], f[:k], r[:k], g[:k])
+            # h + f (g - h)
+            g[:k] *= f[:k]
+            h[:k] -= r[:k]
+            h[:k] += g[:k]
         live = where >= 0
         out[where[live]] = model.outputs(states[: len(where), :n][live], x[live])
     return out
 
 
-def gradients(model: Model, x: np.ndarray, begin: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+def gradients(model: Model, x: np.ndarray, begin: np.ndarray, live: np.ndarray, h: np.ndarray, grad: dict | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
     """Gradients of minus the summed log probability over a window of streams (steps x streams),
     by backpropagation to the window's beginning; the log probabilities of its live places and
-    the states after it."""
+    the states after it. ``grad``: arrays of zeros to hold them."""
     w, (steps, n) = model.w, x.shape
-    kept, hs = [], np.empty((steps, n, HIDDEN), h.dtype)
+    grad = {k: np.zeros_like(v) for k, v in w.items()} if grad is None else grad
+    hs, f, r, g = (np.empty((steps, n, HIDDEN), h.dtype) for _ in range(4))
+    a, fresh = w["inputs"][x], begin.any(1)
     for t in range(steps):
-        h = np.where(begin[t][:, None], h.dtype.type(0), h)
         hs[t] = h
-        h, f, r, g = model.step(h, x[t])
-        kept.append((f, r, g))
-    grad = {k: np.zeros_like(v) for k, v in w.items()}
-    out, dlive = model.outputs(hs[live], x[live], grad)
-    dh_out = np.zeros_like(hs)
-    dh_out[live] = dlive
-    dh, da = np.zeros_like(h), np.empty((steps, n, 2 * HIDDEN), h.dtype)
+        if fresh[t]:
+            hs[t][begin[t]] = 0
+        model.gates(hs[t], a[t], f[t], r[t], g[t])
+        h = f[t] * g[t]
+        h -= r[t]
+        h += hs[t]
+    every = bool(live.all())
+    out, dlive = model.outputs(hs.reshape(-1, HIDDEN) if every else hs[live], x.ravel() if every else x[live], grad)
+    if every:
+        dh_out = dlive.reshape(hs.shape)
+    else:
+        dh_out = np.zeros_like(hs)
+        dh_out[live] = dlive
+    # what the gradient by the state after a step is multiplied with on its ways back
+    rest = 1 - f
+    by_r = f * rest
+    by_f = g - hs
+    by_f *= by_r
+    by_r *= hs
+    g *= g
+    np.subtract(1, g, out=g)
+    g *= f
+    da = np.empty((2, steps, n, HIDDEN), h.dtype)
+    dh, dr, part, uft, ugt = np.zeros_like(h), np.empty_like(h), np.empty_like(h), np.ascontiguousarray(w["uf"].T), np.ascontiguousarray(w["ug"].T)
     for t in range(steps - 1, -1, -1):
-        f, r, g = kept[t]
-        hp = hs[t]
-        dg = dh * f * (1 - g * g)
-        grad["ug"] += r.T @ dg
-        dr = dg @ w["ug"].T
-        df = (dh * (g - hp) + dr * hp) * f * (1 - f)
-        grad["uf"] += hp.T @ df
-        da[t, :, :HIDDEN], da[t, :, HIDDEN:] = df, dg
-        dh = (dh * (1 - f) + dr * f + df @ w["uf"].T + dh_out[t]) * ~begin[t][:, None]
+        df, dg = da[0, t], da[1, t]
+        np.multiply(dh, g[t], out=dg)
+        np.matmul(dg, ugt, out=dr)
+        np.multiply(dh, by_f[t], out=df)
+        np.multiply(dr, by_r[t], out=part)
+        df += part
+        dh *= rest[t]
+        dr *= f[t]
+        dh += dr
+        np.matmul(df, uft, out=part)
+        dh += part
+        dh += dh_out[t]
+        if fresh[t]:
+            dh[begin[t]] = 0
+    da = da.reshape(2, -1, HIDDEN)
+    np.matmul(hs.reshape(-1, HIDDEN).T, da[0], out=grad["uf"])
+    np.matmul(r.reshape(-1, HIDDEN).T, da[1], out=grad["ug"])
+    if not every:
+        da *= live.reshape(-1, 1)
     order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
     own = x.ravel()[order]
     begins_at = np.flatnonzero(np.diff(own, prepend=-1))
-    grad["inputs"][own[begins_at]] = np.add.reduceat((da * live[:, :, None]).reshape(-1, 2 * HIDDEN)[order], begins_at)
+    grad["inputs"][own[begins_at]] = np.add.reduceat(np.concatenate([da[0], da[1]], 1)[order], begins_at)
     return grad, out, h
 
 
+#: Values that an Adam step takes at once, so that they stay in the cache.
+ADAM_VALUES = 1 << 15
+
+
 def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rate: float) -> Model:
     """One pass of truncated backpropagation over the documents, with Adam steps that shrink to a
     tenth of ``rate``."""
-    w = {k: v.copy() for k, v in model.w.items()}
-    model = Model(w)
+    values = flat(model)
+    # views of one array each, so that a step goes over all weights at once
+    model, sums = views(model, values), np.zeros_like(values)
+    grad = views(model, sums).w
     place, begins, going = streams_of(lengths, min(STREAMS, max(1, len(lengths))))
     h = np.zeros((place.shape[1], HIDDEN), np.float32)
-    m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    m1, m2 = np.zeros_like(values), np.zeros_like(values)
     for step, at in enumerate(range(0, len(place), WINDOW), 1):
         n = going[at]
         where = place[at : at + WINDOW, :n]
         live = where >= 0
-        grad, _, h = gradients(model, ids[np.maximum(where, 0)], begins[at : at + WINDOW, :n], live, h[:n])
+        sums[:] = 0
+        _, _, h = gradients(model, ids[np.maximum(where, 0)], begins[at : at + WINDOW, :n], live, h[:n], grad)
         tokens = max(1, int(live.sum()))
-        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in grad.values())) / tokens
-        scale = min(1.0, 1.0 / max(norm, 1e-9)) / tokens
-        for k, v in grad.items():
-            # m1 += 0.1 (g - m1), m2 += 0.01 (g g - m2), w -= rate m1' / (sqrt(m2') + 1e-8), in place
+        norm = np.sqrt(float(np.dot(sums, sums))) / tokens
+        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / tokens)
+        # with m1 and m2 ten and a hundred times the averages of g and g g:
+        # w -= rate m1' / (sqrt(m2') + 1e-8), in place
+        root = np.sqrt(1 - 0.99**step)
+        small = np.float32(1e-7 * root)
+        by = np.float32(rate * (1 - 0.9 * at / len(place)) / (1 - 0.9**step) * root)
+        for lo in range(0, len(values), ADAM_VALUES):
+            part = slice(lo, lo + ADAM_VALUES)
+            v, first, second = sums[part], m1[part], m2[part]
             v *= scale
-            m1[k] *= 0.9
-            m2[k] *= 0.99
-            m1[k] += 0.1 * v
+            first *= np.float32(0.9)
+            first += v
             v *= v
-            v *= 0.01
-            m2[k] += v
-            np.multiply(m2[k], 1 / (1 - 0.99**step), out=v)
-            np.sqrt(v, out=v)
-            v += 1e-8
-            np.divide(m1[k], v, out=v)
-            v *= rate * (1 - 0.9 * at / len(place)) / (1 - 0.9**step)
-            w[k] -= v
+            second *= np.float32(0.99)
+            second += v
+            np.sqrt(second, out=v)
+            v += small
+            np.divide(first, v, out=v)
+            v *= by
+            values[part] -= v
     return model
 
 
+def views(like: Model, values: np.ndarray) -> Model:
+    """Weights in ``values``, without a copy."""
+    ends = np.cumsum([like.w[k].size for k in Model.names])
+    return Model({k: v.reshape(like.w[k].shape) for k, v in zip(Model.names, np.split(values, ends[:-1]), strict=True)})
+
+
 def flat(model: Model) -> np.ndarray:
     return np.concatenate([model.w[k].ravel() for k in Model.names])
 
@@ -339,7 +406,7 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document;
     rows that ``held_out`` selects teach nothing."""
     docs = docs.select("doc_id", "text", F.coalesce(~held_out, F.lit(True)).alias("train"))
-    words = written(block_words(docs, True, "train"))
+    words, blocks = words_and_blocks(docs, True, ["doc_id", "train"], "train")
     totals = written(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
     n_docs, train_docs = docs.agg(F.count("*"), F.count_if("train")).first()
     counted, distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -394,7 +461,7 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
         )
 
     schema = "doc_id long, held_out boolean, worker int, n_known long, base_score double, inner double, ids binary"
-    coded = written(meet(blocks_of_documents(docs, True, ["doc_id", "train"]), distinct_words(words, describe), use, schema))
+    coded = written(meet(blocks, distinct_words(words, describe), use, schema))
     model = fit(coded.where(~F.col("held_out")).select("worker", "ids"), model)
     context = docs.sparkSession.sparkContext.broadcast(flat(model))  # the model's size: about 0.9 MB
     like = Model({k: np.empty(v.shape, np.int8) for k, v in model.w.items()})

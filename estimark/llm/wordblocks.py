@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from estimark.llm.common import lower_ascii, split_runs, text_bytes, text_slices
+from estimark.llm.common import lower_ascii, split_runs, text_bytes, text_slices, written
 
 #: Rows of distinct words that a task packs at once.
 PACK_ROWS = 200_000
@@ -105,6 +106,28 @@ def blocks_of_documents(docs: DataFrame, chunks: bool, keep: list[str]) -> DataF
     return docs.select(*dict.fromkeys(["doc_id", "text", *keep])).mapInArrow(emit, "block long, part int, data binary, rest binary")
 
 
+def words_and_blocks(docs: DataFrame, chunks: bool, keep: list[str], train: str) -> tuple[DataFrame, DataFrame]:
+    """``block_words`` and ``blocks_of_documents`` from one scan, which both read as one written
+    table, so the documents are numbered once and their scan need not be the same twice."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["word", "block", "at", "n", "data", "rest"]
+        for batch in text_slices(batches):
+            codes, first, words = numbered(batch, chunks)
+            taught = codes[np.repeat(batch.column(train).to_numpy(zero_copy_only=False), np.diff(first))]
+            n, block = np.bincount(taught, minlength=len(words)).astype(np.int32), block_of(batch)
+            for at in range(0, len(words), 100_000):
+                part = np.arange(at, min(at + 100_000, len(words)), dtype=np.int32)
+                none = pa.nulls(len(part), pa.binary())
+                yield pa.RecordBatch.from_arrays([words.slice(at, len(part)), pa.array(np.full(len(part), block)), pa.array(part), pa.array(n[part]), none, none], names)
+            rest = pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(np.diff(first))], [*keep, "words"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([block]), pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([squeezed(codes)], pa.binary()), pa.array([packed(rest)], pa.binary())], names)
+
+    both = written(docs.select(*dict.fromkeys(["doc_id", "text", *keep, train])).mapInArrow(emit, "word binary, block long, at int, n int, data binary, rest binary"))
+    blocks = both.where("at < 0").select("block", F.lit(0).alias("part"), "data", "rest")
+    return both.where("at >= 0").select("word", "block", "at", "n"), blocks
+
+
 def distinct_words(words: DataFrame, describe: Callable) -> DataFrame:
     """(block, part = -1, data, rest): what ``describe(words, counts)`` says of each distinct
     word, asked once a word, packed for the blocks that hold the word.
