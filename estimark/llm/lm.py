@@ -122,15 +122,16 @@ class Model:
         p *= (1 / total)[:, None]
         p[row, cls] -= 1
         np.matmul(h.T, p, out=grad["wc"])
-        p.sum(0, out=grad["bc"])
+        one = np.ones(len(ids), h.dtype)
+        np.matmul(one, p, out=grad["bc"])
         dh = p @ w["wc"].T
         if n:
             z *= (1 / within)[:, None]
             z[row[:n], own] -= 1
-            grad["bw"][[c for c, _, _ in some]] = np.add.reduceat(z, [a for _, a, _ in some])
             more = np.empty((n, HIDDEN), h.dtype)
             for c, a, b in some:
                 np.matmul(h[a:b].T, z[a:b], out=grad["ww"][c])
+                np.matmul(one[a:b], z[a:b], out=grad["bw"][c])
                 np.matmul(z[a:b], w["ww"][c].T, out=more[a:b])
             dh[:n] += more
         moved = np.empty_like(dh)

@@ -139,7 +139,7 @@ def distinct_words(words: DataFrame, describe: Callable) -> DataFrame:
         held, size = [], 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([h.column(k) for h in held]) for k in range(4)], ["word", "block", "at", "n"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([h.column(k) for h in held]) for k in range(5)], ["word", "block", "at", "n", "hash"])
 
         for batch in batches:
             if batch.num_rows:
@@ -147,8 +147,8 @@ def distinct_words(words: DataFrame, describe: Callable) -> DataFrame:
                 size += batch.num_rows
             if size >= PACK_ROWS:
                 now = rows()
-                last = pc.index(now.column("word"), now.column("word")[size - 1]).as_py()
-                held, size = [now.slice(last)], size - last  # the last word may go on
+                last = pc.index(now.column("hash"), now.column("hash")[size - 1]).as_py()
+                held, size = [now.slice(last)], size - last  # the last hash's words may go on
                 if last:
                     yield from describe_rows(now.slice(0, last))
         if size:
@@ -170,7 +170,9 @@ def distinct_words(words: DataFrame, describe: Callable) -> DataFrame:
             rest.append(packed(pa.RecordBatch.from_arrays([payload.take(pa.array(codes[own]))], ["payload"])))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(len(keys), -1, np.int32)), pa.array(data, pa.binary()), pa.array(rest, pa.binary())], ["block", "part", "data", "rest"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, part int, data binary, rest binary")
+    # by one number, which sorts without comparing words; words of one hash stay together
+    dealt = words.select("word", "block", "at", "n").repartition("word").withColumn("hash", F.xxhash64("word"))
+    return dealt.sortWithinPartitions("hash").mapInArrow(run, "block long, part int, data binary, rest binary")
 
 
 def meet(blocks: DataFrame, words: DataFrame, use: Callable, schema: str) -> DataFrame:
