@@ -31,8 +31,10 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     toxic; rows that repeat an id stay or go each by its text. Without labels, or with labels of one kind
     only, the model decides by its fixed patterns. An empty table stays empty."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return toxicity.score(rows, model, ["row"]).where("predicted = 0").select("row.*")
+    # the text goes to and from Python once, beside the row's other columns
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    kept = toxicity.score(rows, model, ["text", "row"]).where("predicted = 0")
+    return kept.select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
