@@ -34,6 +34,8 @@ FREQUENT = CLASS_SIZE * CLASSES
 ALL_CLASSES = CLASSES + 2 * ENDINGS
 #: Inputs: frequent words (the end token is one of them), then the classes of the others.
 INPUTS = FREQUENT + 2 * ENDINGS
+#: The class of each input.
+CLASS_OF = np.r_[np.repeat(np.arange(CLASSES), CLASS_SIZE), np.arange(CLASSES, ALL_CLASSES)].astype(np.uint8)
 SMOOTH, UNSEEN_SHARE = 0.1, 0.5
 #: Rates of the rounds, each over an equal part of the training documents, and documents that a
 #: worker goes through in all of them: enough for its streams to end together in each.
@@ -79,64 +81,69 @@ class Model:
             "bw": np.where(by_class > 0, np.log(np.maximum(by_class, 1)), -30).astype(np.float32),
         })
 
-    def gates(self, h: np.ndarray, a: np.ndarray, f: np.ndarray, r: np.ndarray, g: np.ndarray) -> None:
-        """Writes gate, gated state and candidate of a step from the states before it and the
-        inputs' rows ``a``."""
-        np.matmul(h, self.w["uf"], out=f)
-        f += a[:, :HIDDEN]
-        np.negative(f, out=f)
+    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The inputs' rows for the gate, negated, and for the candidate, each without gaps, and
+        the gate's weights of the state, negated."""
+        inputs = self.w["inputs"]
+        return np.negative(inputs[:, :HIDDEN], order="C"), np.ascontiguousarray(inputs[:, HIDDEN:]), -self.w["uf"]
+
+    def gates(self, h: np.ndarray, af: np.ndarray, ag: np.ndarray, uf: np.ndarray, f: np.ndarray, r: np.ndarray, g: np.ndarray) -> None:
+        """Writes gate, gated state and candidate of a step from the states before it; ``af``, ``ag``
+        and ``uf`` are from ``halves``, the first two of the step's inputs."""
+        np.matmul(h, uf, out=f)
+        f += af
         np.exp(f, out=f)
         f += 1
         np.reciprocal(f, out=f)
         np.multiply(f, h, out=r)
         np.matmul(r, self.w["ug"], out=g)
-        g += a[:, HIDDEN:]
+        g += ag
         np.tanh(g, out=g)
 
     def outputs(self, h: np.ndarray, ids: np.ndarray, grad: dict | None = None):
         """Natural log probability of each class or frequent word given the state before it;
         with ``grad``, fills it and returns the gradient by the states, too."""
         w = self.w
-        cls = np.where(ids < FREQUENT, ids // CLASS_SIZE, ids - FREQUENT + CLASSES)
+        cls = CLASS_OF.take(ids)
         # in the order of classes, so that each class's rows are neighbours
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        h, ids, cls = h[order], ids[order], cls[order]
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        order = np.argsort(cls, kind="stable")
+        row = np.arange(len(ids))
+        place = np.empty_like(order)
+        place[order] = row
+        h, ids, cls = h.take(order, axis=0), ids.take(order), cls.take(order)
+        sizes = np.bincount(cls, minlength=ALL_CLASSES)[:CLASSES]
+        cuts = [0, *np.cumsum(sizes).tolist()]
         some = [(c, a, b) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
         n = cuts[-1]
         p = h @ w["wc"]
         p += w["bc"]
-        row = np.arange(len(ids))
         out, p, total = log_shares(p, row, cls)
         z = np.empty((n, CLASS_SIZE), h.dtype)
         for c, a, b in some:
             np.matmul(h[a:b], w["ww"][c], out=z[a:b])
-            z[a:b] += w["bw"][c]
-        own = ids[:n] - cls[:n] * CLASS_SIZE
+        z += np.repeat(w["bw"], sizes, axis=0)
+        own = ids[:n] % CLASS_SIZE
         inner, z, within = log_shares(z, row[:n], own)
         out[:n] += inner
-        back = np.empty_like(out)
-        back[order] = out
+        back = out.take(place)
         if grad is None:
             return back
         p *= (1 / total)[:, None]
-        p[row, cls] -= 1
+        p.reshape(-1)[row * ALL_CLASSES + cls] -= 1
         np.matmul(h.T, p, out=grad["wc"])
         one = np.ones(len(ids), h.dtype)
         np.matmul(one, p, out=grad["bc"])
         dh = p @ w["wc"].T
         if n:
             z *= (1 / within)[:, None]
-            z[row[:n], own] -= 1
+            z.reshape(-1)[row[:n] * CLASS_SIZE + own] -= 1
             more = np.empty((n, HIDDEN), h.dtype)
             for c, a, b in some:
                 np.matmul(h[a:b].T, z[a:b], out=grad["ww"][c])
                 np.matmul(one[a:b], z[a:b], out=grad["bw"][c])
                 np.matmul(z[a:b], w["ww"][c].T, out=more[a:b])
             dh[:n] += more
-        moved = np.empty_like(dh)
-        moved[order] = dh
-        return back, moved
+        return back, dh.take(place, axis=0)
 
 
 def log_shares(z: np.ndarray, row: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +157,7 @@ def log_shares(z: np.ndarray, row: np.ndarray, own: np.ndarray) -> tuple[np.ndar
         z = z - z.max(1, keepdims=True)
         e = np.exp(z)
         total = e @ one
-    return z[row, own] - np.log(total), e, total
+    return z.reshape(-1).take(row * z.shape[1] + own) - np.log(total), e, total
 
 
 def streams_of(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,24 +193,27 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray) -> np.
     h = np.zeros((n, HIDDEN), np.float32)
     states = np.empty((SCORE_WINDOW, n, HIDDEN), np.float32)
     f, r, g = (np.empty((n, HIDDEN), np.float32) for _ in range(3))
-    fresh = begins.any(1)
+    fresh, (by_gate, by_candidate, uf) = begins.any(1), model.halves()
     for at in range(0, len(place), SCORE_WINDOW):
         n = going[at]
         where = place[at : at + SCORE_WINDOW, :n]
-        x = ids[np.maximum(where, 0)]
-        a = model.w["inputs"][x]
+        x = ids.take(np.maximum(where, 0))
+        af, ag = by_gate.take(x, axis=0), by_candidate.take(x, axis=0)
         for t in range(len(where)):
             k = going[at + t]
             if fresh[at + t]:
                 h[:k][begins[at + t, :k]] = 0
             states[t, :k] = h[:k]
-            model.gates(h[:k], a[t, :k], f[:k], r[:k], g[:k])
+            model.gates(h[:k], af[t, :k], ag[t, :k], uf, f[:k], r[:k], g[:k])
             # h + f (g - h)
             g[:k] *= f[:k]
             h[:k] -= r[:k]
             h[:k] += g[:k]
         live = where >= 0
-        out[where[live]] = model.outputs(states[: len(where), :n][live], x[live])
+        if n == states.shape[1] and live.all():
+            out[where.ravel()] = model.outputs(states[: len(where)].reshape(-1, HIDDEN), x.ravel())
+        else:
+            out[where[live]] = model.outputs(states[: len(where), :n][live], x[live])
     return out
 
 
@@ -214,12 +224,13 @@ def gradients(model: Model, x: np.ndarray, begin: np.ndarray, live: np.ndarray,
     w, (steps, n) = model.w, x.shape
     grad = {k: np.zeros_like(v) for k, v in w.items()} if grad is None else grad
     hs, f, r, g = (np.empty((steps, n, HIDDEN), h.dtype) for _ in range(4))
-    a, fresh = w["inputs"][x], begin.any(1)
+    fresh, (by_gate, by_candidate, uf) = begin.any(1), model.halves()
+    af, ag = by_gate.take(x, axis=0), by_candidate.take(x, axis=0)
     for t in range(steps):
         hs[t] = h
         if fresh[t]:
             hs[t][begin[t]] = 0
-        model.gates(hs[t], a[t], f[t], r[t], g[t])
+        model.gates(hs[t], af[t], ag[t], uf, f[t], r[t], g[t])
         h = f[t] * g[t]
         h -= r[t]
         h += hs[t]
@@ -263,8 +274,13 @@ def gradients(model: Model, x: np.ndarray, begin: np.ndarray, live: np.ndarray,
         da *= live.reshape(-1, 1)
     order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
     own = x.ravel()[order]
+    da = np.concatenate([da[0].take(order, axis=0), da[1].take(order, axis=0)], 1)
     begins_at = np.flatnonzero(np.diff(own, prepend=-1))
-    grad["inputs"][own[begins_at]] = np.add.reduceat(np.concatenate([da[0], da[1]], 1)[order], begins_at)
+    # inputs that occur once are copied; their neighbours among these are one stretch for the sums
+    once = np.diff(begins_at, append=len(own)) == 1
+    apart = np.r_[True, ~(once[1:] & once[:-1])]
+    grad["inputs"][own[begins_at[once]]] = da.take(begins_at[once], axis=0)
+    grad["inputs"][own[begins_at[~once]]] = np.add.reduceat(da, begins_at[apart])[~once[apart]]
     return grad, out, h
 
 
