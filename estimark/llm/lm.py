@@ -18,7 +18,10 @@ Rows that repeat an id are scored each. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +64,27 @@ def inputs_of(words: pa.Array, counts: np.ndarray, frequent: pa.Array) -> np.nda
     return np.where(at >= 0, at, FREQUENT + ending(words) + ENDINGS * (counts <= 1)).astype(np.int32)
 
 
+class Room:
+    """Arrays by name, kept from window to window: memory that is freed and asked for again for each
+    window has to be cleared by the system each time."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+        """An array of any content; what had this name before is no longer valid."""
+        size = math.prod(shape)
+        held = self.held.get(name)
+        if held is None or held.size < size or held.dtype != dtype:
+            held = self.held[name] = np.empty(size, dtype)
+        return held[:size].reshape(shape)
+
+    def rows(self, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rows ``at``, which must be within ``table``."""
+        # with another mode, take makes an array of its own first
+        return table.take(at, axis=0, out=self(name, (*at.shape, *table.shape[1:]), table.dtype), mode="clip")
+
+
 class Model:
     """Weights of the recurrent layer and of the outputs."""
 
@@ -81,11 +105,13 @@ class Model:
             "bw": np.where(by_class > 0, np.log(np.maximum(by_class, 1)), -30).astype(np.float32),
         })
 
-    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def halves(self, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The inputs' rows for the gate, negated, and for the candidate, each without gaps, and
         the gate's weights of the state, negated."""
         inputs = self.w["inputs"]
-        return np.negative(inputs[:, :HIDDEN], order="C"), np.ascontiguousarray(inputs[:, HIDDEN:]), -self.w["uf"]
+        gate, candidate = (room(name, (len(inputs), HIDDEN), inputs.dtype) for name in ("by_gate", "by_candidate"))
+        np.copyto(candidate, inputs[:, HIDDEN:])
+        return np.negative(inputs[:, :HIDDEN], out=gate), candidate, -self.w["uf"]
 
     def gates(self, h: np.ndarray, af: np.ndarray, ag: np.ndarray, uf: np.ndarray, f: np.ndarray, r: np.ndarray, g: np.ndarray) -> None:
         """Writes gate, gated state and candidate of a step from the states before it; ``af``, ``ag``
@@ -100,30 +126,30 @@ class Model:
         g += ag
         np.tanh(g, out=g)
 
-    def outputs(self, h: np.ndarray, ids: np.ndarray, grad: dict | None = None):
+    def outputs(self, h: np.ndarray, ids: np.ndarray, grad: dict | None = None, room: Room | None = None):
         """Natural log probability of each class or frequent word given the state before it;
         with ``grad``, fills it and returns the gradient by the states, too."""
-        w = self.w
+        w, room = self.w, room or Room()
         cls = CLASS_OF.take(ids)
         # in the order of classes, so that each class's rows are neighbours
         order = np.argsort(cls, kind="stable")
         row = np.arange(len(ids))
         place = np.empty_like(order)
         place[order] = row
-        h, ids, cls = h.take(order, axis=0), ids.take(order), cls.take(order)
+        h, ids, cls = room.rows("h", h, order), ids.take(order), cls.take(order)
         sizes = np.bincount(cls, minlength=ALL_CLASSES)[:CLASSES]
         cuts = [0, *np.cumsum(sizes).tolist()]
         some = [(c, a, b) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
         n = cuts[-1]
-        p = h @ w["wc"]
+        p = np.matmul(h, w["wc"], out=room("p", (len(ids), ALL_CLASSES), h.dtype))
         p += w["bc"]
-        out, p, total = log_shares(p, row, cls)
-        z = np.empty((n, CLASS_SIZE), h.dtype)
+        out, p, total = log_shares(p, row, cls, room("p_shares", p.shape, p.dtype))
+        z = room("z", (n, CLASS_SIZE), h.dtype)
         for c, a, b in some:
             np.matmul(h[a:b], w["ww"][c], out=z[a:b])
-        z += np.repeat(w["bw"], sizes, axis=0)
+            z[a:b] += w["bw"][c]
         own = ids[:n] % CLASS_SIZE
-        inner, z, within = log_shares(z, row[:n], own)
+        inner, z, within = log_shares(z, row[:n], own, room("z_shares", z.shape, z.dtype))
         out[:n] += inner
         back = out.take(place)
         if grad is None:
@@ -133,45 +159,45 @@ class Model:
         np.matmul(h.T, p, out=grad["wc"])
         one = np.ones(len(ids), h.dtype)
         np.matmul(one, p, out=grad["bc"])
-        dh = p @ w["wc"].T
+        dh = np.matmul(p, w["wc"].T, out=room("dh", h.shape, h.dtype))
         if n:
             z *= (1 / within)[:, None]
             z.reshape(-1)[row[:n] * CLASS_SIZE + own] -= 1
-            more = np.empty((n, HIDDEN), h.dtype)
+            more = room("more", (n, HIDDEN), h.dtype)
             for c, a, b in some:
                 np.matmul(h[a:b].T, z[a:b], out=grad["ww"][c])
                 np.matmul(one[a:b], z[a:b], out=grad["bw"][c])
                 np.matmul(z[a:b], w["ww"][c].T, out=more[a:b])
             dh[:n] += more
-        return back, dh.take(place, axis=0)
+        return back, room.rows("dh_out", dh, place)
 
 
-def log_shares(z: np.ndarray, row: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The log of each row's share at ``own`` of its exponentials, these and their sums; rows are
-    moved to their largest only if their sums leave the range of single precision otherwise."""
+def log_shares(z: np.ndarray, row: np.ndarray, own: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log of each row's share at ``own`` of its exponentials, these (in ``out``) and their sums; rows
+    are moved to their largest only if their sums leave the range of single precision otherwise."""
     with np.errstate(over="ignore"):
-        e = np.exp(z)
+        e = np.exp(z, out=out)
     one = np.ones(z.shape[1], z.dtype)
     total = e @ one
     if len(z) and not (total.min() > 1e-20 and total.max() < 1e20):
         z = z - z.max(1, keepdims=True)
-        e = np.exp(z)
+        e = np.exp(z, out=out)
         total = e @ one
     return z.reshape(-1).take(row * z.shape[1] + own) - np.log(total), e, total
 
 
 def streams_of(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Deals sequences out to n streams, longest first, each to the shortest stream in turn.
+    """Deals sequences out to n streams, longest first, each to the stream that is the shortest by then.
     Returns for each stream (the longest first) and step the position in the concatenation
     (-1: none), whether a sequence begins there, and for each step how many streams go on."""
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
-    load, lists = np.zeros(n, np.int64), [[] for _ in range(n)]
-    for at in range(0, len(order), n):
-        part = order[at : at + n]
-        for s, k in zip(np.argsort(load, kind="stable"), part, strict=False):
-            lists[s].append(k)
-            load[s] += lengths[k]
+    shortest, lists = [(0, s) for s in range(n)], [[] for _ in range(n)]
+    for k, length in zip(order.tolist(), lengths[order].tolist(), strict=True):
+        so_far, s = shortest[0]
+        lists[s].append(k)
+        heapq.heapreplace(shortest, (so_far + length, s))
+    load = np.array([so_far for so_far, _ in sorted(shortest, key=itemgetter(1))], np.int64)
     rank = np.argsort(-load, kind="stable")
     place = np.full((int(load.max(initial=0)), n), -1, np.int64)
     begins = np.zeros(place.shape, bool)
@@ -193,12 +219,13 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray) -> np.
     h = np.zeros((n, HIDDEN), np.float32)
     states = np.empty((SCORE_WINDOW, n, HIDDEN), np.float32)
     f, r, g = (np.empty((n, HIDDEN), np.float32) for _ in range(3))
-    fresh, (by_gate, by_candidate, uf) = begins.any(1), model.halves()
+    room = Room()
+    fresh, (by_gate, by_candidate, uf) = begins.any(1), model.halves(room)
     for at in range(0, len(place), SCORE_WINDOW):
         n = going[at]
         where = place[at : at + SCORE_WINDOW, :n]
         x = ids.take(np.maximum(where, 0))
-        af, ag = by_gate.take(x, axis=0), by_candidate.take(x, axis=0)
+        af, ag = room.rows("af", by_gate, x), room.rows("ag", by_candidate, x)
         for t in range(len(where)):
             k = going[at + t]
             if fresh[at + t]:
@@ -211,21 +238,21 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray) -> np.
             h[:k] += g[:k]
         live = where >= 0
         if n == states.shape[1] and live.all():
-            out[where.ravel()] = model.outputs(states[: len(where)].reshape(-1, HIDDEN), x.ravel())
+            out[where.ravel()] = model.outputs(states[: len(where)].reshape(-1, HIDDEN), x.ravel(), room=room)
         else:
-            out[where[live]] = model.outputs(states[: len(where), :n][live], x[live])
+            out[where[live]] = model.outputs(states[: len(where), :n][live], x[live], room=room)
     return out
 
 
-def gradients(model: Model, x: np.ndarray, begin: np.ndarray, live: np.ndarray, h: np.ndarray, grad: dict | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
+def gradients(model: Model, x: np.ndarray, begin: np.ndarray, live: np.ndarray, h: np.ndarray, grad: dict | None = None, room: Room | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
     """Gradients of minus the summed log probability over a window of streams (steps x streams),
     by backpropagation to the window's beginning; the log probabilities of its live places and
     the states after it. ``grad``: arrays of zeros to hold them."""
-    w, (steps, n) = model.w, x.shape
+    w, (steps, n), room = model.w, x.shape, room or Room()
     grad = {k: np.zeros_like(v) for k, v in w.items()} if grad is None else grad
-    hs, f, r, g = (np.empty((steps, n, HIDDEN), h.dtype) for _ in range(4))
-    fresh, (by_gate, by_candidate, uf) = begin.any(1), model.halves()
-    af, ag = by_gate.take(x, axis=0), by_candidate.take(x, axis=0)
+    fresh, (by_gate, by_candidate, uf) = begin.any(1), model.halves(room)
+    af, ag = room.rows("af", by_gate, x), room.rows("ag", by_candidate, x)
+    hs, f, r, g = (room(name, af.shape, h.dtype) for name in ("hs", "f", "r", "g"))
     for t in range(steps):
         hs[t] = h
         if fresh[t]:
@@ -235,22 +262,21 @@ def gradients(model: Model, x: np.ndarray, begin: np.ndarray, live: np.ndarray,
         h -= r[t]
         h += hs[t]
     every = bool(live.all())
-    out, dlive = model.outputs(hs.reshape(-1, HIDDEN) if every else hs[live], x.ravel() if every else x[live], grad)
+    out, dlive = model.outputs(hs.reshape(-1, HIDDEN) if every else hs[live], x.ravel() if every else x[live], grad, room)
     if every:
         dh_out = dlive.reshape(hs.shape)
     else:
         dh_out = np.zeros_like(hs)
         dh_out[live] = dlive
     # what the gradient by the state after a step is multiplied with on its ways back
-    rest = 1 - f
-    by_r = f * rest
-    by_f = g - hs
+    rest = np.subtract(1, f, out=room("rest", f.shape, h.dtype))
+    by_r, by_f = np.multiply(f, rest, out=af), np.subtract(g, hs, out=ag)
     by_f *= by_r
     by_r *= hs
     g *= g
     np.subtract(1, g, out=g)
     g *= f
-    da = np.empty((2, steps, n, HIDDEN), h.dtype)
+    da = room("da", (2, steps, n, HIDDEN), h.dtype)
     dh, dr, part, uft, ugt = np.zeros_like(h), np.empty_like(h), np.empty_like(h), np.ascontiguousarray(w["uf"].T), np.ascontiguousarray(w["ug"].T)
     for t in range(steps - 1, -1, -1):
         df, dg = da[0, t], da[1, t]
@@ -274,16 +300,26 @@ def gradients(model: Model, x: np.ndarray, begin: np.ndarray, live: np.ndarray,
         da *= live.reshape(-1, 1)
     order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
     own = x.ravel()[order]
-    da = np.concatenate([da[0].take(order, axis=0), da[1].take(order, axis=0)], 1)
     begins_at = np.flatnonzero(np.diff(own, prepend=-1))
-    # inputs that occur once are copied; their neighbours among these are one stretch for the sums
-    once = np.diff(begins_at, append=len(own)) == 1
-    apart = np.r_[True, ~(once[1:] & once[:-1])]
-    grad["inputs"][own[begins_at[once]]] = da.take(begins_at[once], axis=0)
-    grad["inputs"][own[begins_at[~once]]] = np.add.reduceat(da, begins_at[apart])[~once[apart]]
+    times = np.diff(begins_at, append=len(own))
+    # inputs that occur often are summed one by one, all others together, a row of each at a time
+    often = times > OFTEN
+    one, many = np.ones(times.max(), h.dtype), list(zip(own[begins_at[often]].tolist(), begins_at[often].tolist(), times[often].tolist(), strict=True))
+    seldom = begins_at[~often][np.argsort(-times[~often], kind="stable")]
+    more = np.bincount(times[~often], minlength=OFTEN + 1)[::-1].cumsum()[::-1].tolist()
+    for half, part in zip((slice(HIDDEN), slice(HIDDEN, None)), da, strict=True):
+        into, part = grad["inputs"][:, half], room.rows("by_input", part, order)
+        for k, a, m in many:
+            np.matmul(one[:m], part[a : a + m], out=into[k])
+        sums = part.take(seldom, axis=0)
+        for k in range(1, OFTEN):
+            sums[: more[k + 1]] += part.take(seldom[: more[k + 1]] + k, axis=0)
+        into[own[seldom]] = sums
     return grad, out, h
 
 
+#: Inputs that occur more often in a window are summed one by one.
+OFTEN = 8
 #: Values that an Adam step takes at once, so that they stay in the cache.
 ADAM_VALUES = 1 << 15
 
@@ -297,13 +333,13 @@ def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rate: float) -> Mo
     grad = views(model, sums).w
     place, begins, going = streams_of(lengths, min(STREAMS, max(1, len(lengths))))
     h = np.zeros((place.shape[1], HIDDEN), np.float32)
-    m1, m2 = np.zeros_like(values), np.zeros_like(values)
+    m1, m2, room = np.zeros_like(values), np.zeros_like(values), Room()
     for step, at in enumerate(range(0, len(place), WINDOW), 1):
         n = going[at]
         where = place[at : at + WINDOW, :n]
         live = where >= 0
         sums[:] = 0
-        _, _, h = gradients(model, ids[np.maximum(where, 0)], begins[at : at + WINDOW, :n], live, h[:n], grad)
+        _, _, h = gradients(model, ids[np.maximum(where, 0)], begins[at : at + WINDOW, :n], live, h[:n], grad, room)
         tokens = max(1, int(live.sum()))
         norm = np.sqrt(float(np.dot(sums, sums))) / tokens
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / tokens)
@@ -485,7 +521,9 @@ def score(docs: DataFrame, held_out: F.Column) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shaped(like, context.value)
-        for batch in text_slices(batches, SLICE_BYTES, "ids"):
+        # by length, so that the documents of a slice end together
+        by_length = (batch.take(pc.array_sort_indices(pc.binary_length(batch.column("ids")), order="descending")) for batch in batches)
+        for batch in text_slices(by_length, SLICE_BYTES, "ids"):
             ids, lengths = indexes(batch.column("ids"))
             outer = log_probabilities(model, ids, lengths).astype(np.float64) / np.log(10)
             outer = np.diff(np.r_[0.0, np.cumsum(outer)][np.r_[0, np.cumsum(lengths)]])
