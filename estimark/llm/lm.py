@@ -320,8 +320,6 @@ def gradients(model: Model, x: np.ndarray, begin: np.ndarray, live: np.ndarray,
 
 #: Inputs that occur more often in a window are summed one by one.
 OFTEN = 8
-#: Values that an Adam step takes at once, so that they stay in the cache.
-ADAM_VALUES = 1 << 15
 
 
 def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rate: float) -> Model:
@@ -348,20 +346,17 @@ def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rate: float) -> Mo
         root = np.sqrt(1 - 0.99**step)
         small = np.float32(1e-7 * root)
         by = np.float32(rate * (1 - 0.9 * at / len(place)) / (1 - 0.9**step) * root)
-        for lo in range(0, len(values), ADAM_VALUES):
-            part = slice(lo, lo + ADAM_VALUES)
-            v, first, second = sums[part], m1[part], m2[part]
-            v *= scale
-            first *= np.float32(0.9)
-            first += v
-            v *= v
-            second *= np.float32(0.99)
-            second += v
-            np.sqrt(second, out=v)
-            v += small
-            np.divide(first, v, out=v)
-            v *= by
-            values[part] -= v
+        sums *= scale
+        m1 *= np.float32(0.9)
+        m1 += sums
+        sums *= sums
+        m2 *= np.float32(0.99)
+        m2 += sums
+        np.sqrt(m2, out=sums)
+        sums += small
+        np.divide(m1, sums, out=sums)
+        sums *= by
+        values -= sums
     return model
 
 
