@@ -41,7 +41,9 @@ from estimark.llm.common import components, pieces_array, ranges, text_bytes, wr
 from estimark.llm.vectors import matrix, second_moments, usable, width
 
 #: Vectors in a block of a small table, in a tile of a block; slices at most; bytes of a block's vectors.
-BLOCK_ROWS, TILE_ROWS, FAN_OUT, BLOCK_BYTES = 4096, 64, 8, 15 << 20
+BLOCK_ROWS, TILE_ROWS, FAN_OUT, BLOCK_BYTES = 4096, 256, 8, 13 << 20
+#: Parts of a tile, by their distance from its mean direction.
+PARTS = 8
 #: Vectors that are compared with a tile at once, and tiles whose directions are tried at once.
 AT_ONCE, TILES_AT_ONCE = 4096, 32
 #: Share of the vectors' squared lengths that the coordinates for the bound hold, without the first; rounding of the bounds.
@@ -82,18 +84,16 @@ def directions(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def in_tiles(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of unit vectors, and where its tiles start: those whose mean direction is nearest, in two
-    halves by their distance from it."""
-    n = max(1, len(x) // (2 * TILE_ROWS))
-    to = x[np.linspace(0, len(x) - 1, n).astype(np.int64)]
+    """An order of unit vectors, and where its tiles start: those whose mean direction is nearest, the
+    nearest first."""
+    to = x[np.linspace(0, len(x) - 1, max(1, len(x) // TILE_ROWS)).astype(np.int64)]
     for step in range(3):
-        group, along = nearest(x, to)
-        order = np.lexsort((-along, group))
-        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        tile, along = nearest(x, to)
+        order = np.lexsort((-along, tile))
+        starts = np.flatnonzero(np.diff(tile[order], prepend=-1))
         if step < 2:
             to = directions(x[order], starts)
-    ends = np.append(starts[1:], len(x))
-    return order, np.unique(np.concatenate([starts, (starts + ends) // 2]))
+    return order, starts
 
 
 def grid_cells(vectors: DataFrame, d: int, dtype: type, axes: np.ndarray, sizes: np.ndarray, eps: float, lead: int, n: int) -> DataFrame:
@@ -235,8 +235,9 @@ class Block:
         return cls(raw, x, tiles, copies.astype(np.float64), np.column_stack([turned, rest]))
 
 
-def meeting(x: Block, y: Block, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(vectors of x, vectors of y) that may link, for each tile of y; within one block, each pair once."""
+def meeting(x: Block, y: Block, same: bool, least: float) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+    """For each tile of y vectors of x, and parts of the tile: (start, end, how many of these vectors may link
+    with the part, the first ones). Within one block, vectors behind the tile's first."""
     angle, ends = np.arccos(least), [*y.tiles[1:].tolist(), len(y.raw)]
     for first in range(0, len(ends), TILES_AT_ONCE):
         starts = y.tiles[first : first + TILES_AT_ONCE]
@@ -244,12 +245,29 @@ def meeting(x: Block, y: Block, same: bool, least: float) -> Iterator[tuple[np.n
         to = directions(y.unit[starts[0] : ends[first + len(starts) - 1]], starts - starts[0])
         along = to @ x.unit[base:].T
         for k, (start, end) in enumerate(zip(starts.tolist(), ends[first:])):  # noqa: B905
+            cuts = sorted({start + (end - start) * p // PARTS for p in range(PARTS + 1)})
             # where unit vectors cancel out, their sum has no direction to speak of, but any will do
-            far = np.arccos(np.clip((y.unit[start:end] @ to[k]).min() - SLACK, -1, 1)) + angle
-            some = np.flatnonzero(along[k] >= np.cos(far) - SLACK) + base if far < np.pi else np.arange(base, len(x.raw))
-            some = some[np.searchsorted(some, start + 1) :] if same else some
-            for at in range(0, len(some), AT_ONCE):
-                yield some[at : at + AT_ONCE], np.arange(start, end)
+            far = np.arccos(np.clip(np.minimum.reduceat(y.unit[start:end] @ to[k], np.array(cuts[:-1]) - start) - SLACK, -1, 1)) + angle
+            limits = np.minimum.accumulate(np.where(far < np.pi, np.cos(far) - SLACK, -2))
+            skip = start + 1 - base if same else 0
+            some = np.flatnonzero(along[k][skip:] >= limits[-1]) + skip
+            misses = (along[k][some] < limits[:, None]).sum(0, dtype=np.uint8)
+            counts = np.cumsum(np.bincount(misses, minlength=len(limits))).tolist()
+            yield some[np.argsort(misses, kind="stable")] + base, list(zip(cuts[:-1], cuts[1:], counts))  # noqa: B905
+
+
+def passing(x: Block, y: Block, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(vectors of x, vectors of y): those of a part of a tile that have a partner by the bounds of the cosines."""
+    for rows, parts in meeting(x, y, same, least):
+        for at in range(0, len(rows), AT_ONCE):
+            some = rows[at : at + AT_ONCE]
+            bound = np.take(x.bound, some, axis=0)
+            for start, end, n in parts:
+                if n > at:
+                    most = bound[: n - at] @ y.bound[start:end].T
+                    if most.max() >= least - SLACK:
+                        may = most >= least - SLACK
+                        yield some[: n - at][may.any(1)], np.arange(start, end)[may.any(0)]
 
 
 def block_links(x: Block, y: Block, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +277,7 @@ def block_links(x: Block, y: Block, same: bool, least: float) -> tuple[np.ndarra
     n, m = len(x.raw), len(y.raw)
     shift = 0 if same else n  # the vectors of one block have one name on either side
     count, frm, to, held = np.zeros(n if same else n + m, np.int64), [], [], 0
-    for i, j in meeting(x, y, same, least):
-        may = x.bound[i] @ y.bound[j[0] : j[-1] + 1].T >= least - SLACK
-        if not may.any():
-            continue
-        i, j = i[may.any(1)], j[may.any(0)]
+    for i, j in passing(x, y, same, least):
         near = unit(x.raw[i]) @ unit(y.raw[j]).T >= least
         if same:
             near &= i[:, None] > j
